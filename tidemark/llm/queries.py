@@ -1,11 +1,11 @@
-"""The queries opN_<name> and pipeline, and their SQL."""
+"""The queries opN_<name> over the given tables, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, minhash, quality
+from . import classlm, decontam, html, langid, minhash, packing, quality, sharding, toxicity, urls
 from .common import fold, read
 
 
@@ -13,10 +13,45 @@ def _held_out(key: str, remainder: int):
     return F.coalesce(fold(key) == remainder, F.lit(False))
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(read(spark, sf_dir, "documents")).drop("hub")
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(read(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", _held_out("doc_id", 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    # The url rides along as part of the key, so that no join is needed.
+    boxed = pages.select(F.struct("page_id", "url").alias("page"), "html")
+    return html.extract(boxed, key="page").select("page_id.page_id", "page_id.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op7_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classlm.score(read(spark, sf_dir, "documents"), fold("doc_id") == 1)
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.col("item_tokens").cast("long").alias("item_tokens"), F.col("matched").cast("long").alias("matched"), F.col("position").cast("long").alias("position"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     found = langid.detect(docs.select("doc_id", "text"), langid.fit(docs))
@@ -28,9 +63,103 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op2_near_duplicates": op2_near_duplicates,
-    "op9_language": op9_language,
-    "op10_quality": op10_quality,
+    f.__name__: f
+    for f in (op1_sharding, op2_near_duplicates, op3_packing, op4_toxicity, op5_html, op6_urls, op7_class_lm, op8_decontamination, op9_language, op10_quality)
 }
 
-ORACLES: dict[str, str] = {}
+
+def _stop_list() -> str:
+    return ", ".join("'" + w + "'" for w in quality.STOP_WORDS)
+
+
+def _rule_sql() -> str:
+    out = []
+    for r in quality.RULES:
+        ratio = f"(CASE WHEN {r.denominator} > 0 THEN {r.numerator}::DOUBLE / {r.denominator} ELSE 0 END)"
+        out += [f"{ratio} >= {r.low}"] if r.low is not None else []
+        out += [f"{ratio} <= {r.high}"] if r.high is not None else []
+    return " AND ".join(out)
+
+
+_LINE = r"[^\x20\x09-\x0D]"
+_OP10 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '{_LINE}+') AS w,
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_LINE}')) AS l FROM d),
+tri AS (SELECT doc_id, p, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] AS g
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS p FROM w)),
+rep AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, g) AS c FROM tri) WHERE c > 1),
+cov AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest([p, p + 1, p + 2]) AS q FROM rep) GROUP BY doc_id),
+m AS (SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+        len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(l) AS n_lines,
+        (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words,
+        len(list_filter(w, lambda x: lower(x) IN ({_stop_list()}))) AS n_stop_words,
+        len(list_filter(l, lambda x: regexp_matches(ltrim(x, ' '), '^[-•*]'))) AS n_bullet_lines,
+        len(list_filter(l, lambda x: regexp_matches(rtrim(x, ' '), '(\\.\\.\\.|…)$'))) AS n_ellipsis_lines
+      FROM w LEFT JOIN cov ON w.doc_id = cov.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       (n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words) AS base_failed,
+       NOT (n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words) AND {_rule_sql()} AS kept
+FROM m"""
+
+_OP2 = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_LINE}+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[p : p + 3], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS p FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+near AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM reach r JOIN near e ON r.b = e.a),
+c AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.c AS component_id, c.c = d.doc_id AS kept
+FROM documents d JOIN c ON c.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
+
+
+def _mask_sql(mask: str, name: str, at: str) -> str:
+    return " || ' ' || ".join(f"{name}[{at} + {i}]" for i, c in enumerate(mask) if c == "1")
+
+
+_WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+_OP8 = f"""
+WITH i AS (SELECT DISTINCT item_id, iw, len(iw) AS n FROM (SELECT item_id, {_WORDS} AS iw FROM benchmark) WHERE len(iw) >= {decontam.MIN_TOKENS}),
+d AS (SELECT DISTINCT doc_id, w FROM (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL)),
+ip AS (SELECT *, unnest(range(1, n - {decontam.SPAN} + 2)) AS p FROM i WHERE n >= {decontam.SPAN}),
+dp AS (SELECT doc_id, w, unnest(range(1, len(w) - {decontam.SPAN} + 2)) AS p FROM d),
+si AS ({" UNION ALL ".join(f"SELECT item_id, iw, n, p, {k} AS m, {_mask_sql(m, 'iw', 'p')} AS s FROM ip" for k, m in enumerate(decontam.MASKS))}
+       UNION ALL SELECT item_id, iw, n, 1, 100 + n, array_to_string(iw, ' ') FROM i WHERE n < {decontam.SPAN}),
+sd AS ({" UNION ALL ".join(f"SELECT doc_id, w, p, {k} AS m, {_mask_sql(m, 'w', 'p')} AS s FROM dp" for k, m in enumerate(decontam.MASKS))}
+       UNION ALL SELECT doc_id, w, p, 100 + k, array_to_string(w[p : p + k - 1], ' ') FROM
+         (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT n AS k FROM i WHERE n < {decontam.SPAN}))),
+hit AS (SELECT DISTINCT sd.doc_id, sd.w, si.item_id, si.iw, si.n, sd.p - si.p AS position FROM sd JOIN si ON sd.m = si.m AND sd.s = si.s),
+e AS (SELECT *, list_transform(range(greatest(1, 1 - position), least(n, len(w) - position) + 1), lambda j: CASE WHEN w[position + j] = iw[j] THEN 1 ELSE 0 END) AS same FROM hit),
+v AS (SELECT *, list_sum(same) AS matched, least(n, {decontam.OVERLAP}) AS span FROM e WHERE len(same) >= least(n, {decontam.OVERLAP})),
+b AS (SELECT *, list_max(list_transform(range(1, len(same) - span + 2), lambda j: list_sum(same[j : j + span - 1]))) AS best FROM v),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, position) AS k FROM b WHERE 100 * best >= {decontam.AGREE_PERCENT} * span)
+SELECT doc_id, item_id, n::BIGINT AS item_tokens, matched::BIGINT AS matched, position::BIGINT AS position FROM r WHERE k = 1"""
+
+
+def _judge_sql(host: str, path: str, value: str) -> str:
+    order = sorted(urls.RULES, key=lambda r: (-len(r.name), r.block, r.name))
+    pick = {"name": lambda r: f"'{r.name}'", "block": lambda r: str(r.block).upper()}[value]
+    return "CASE " + " ".join(f"WHEN ({host} = '{r.host}' OR ends_with({host}, '.{r.host}')) AND starts_with({path}, '{r.path}') THEN {pick(r)}" for r in order) + " END"
+
+
+_UP = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_NODE = f"CASE WHEN regexp_matches({{0}}, '^[^:/?#]*://[^/?#]') THEN translate(regexp_extract({{0}}, '^[^:/?#]*://([^/?#]*)', 1), {_UP}) || regexp_extract({{0}}, '^[^:/?#]*://[^/?#]*([^#]*)', 1) END"
+_OP6 = f"""
+WITH RECURSIVE r AS (SELECT page_id, url, html, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, url, html, translate(regexp_extract(rest, '^([^/?#]*)', 1), {_UP}) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+v AS (SELECT url AS u, unnest([regexp_extract(regexp_extract(html, '(?is)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>'), '(?is)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1),
+        regexp_extract(regexp_extract(html, '(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>'), '(?is)\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1)]) AS v FROM p),
+x AS (SELECT u, CASE WHEN regexp_matches(v, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN v WHEN starts_with(v, '//') THEN 'http:' || v
+        WHEN starts_with(v, '/') THEN regexp_extract(u, '^([^:/?#]*://[^/?#]*)', 1) || v ELSE regexp_extract(u, '^([^?#]*/)', 1) || v END AS v FROM v WHERE v <> ''),
+e AS (SELECT {_NODE.format("u")} AS a, {_NODE.format("v")} AS b FROM x),
+near AS (SELECT a, b FROM e WHERE a IS NOT NULL AND b IS NOT NULL UNION SELECT b, a FROM e WHERE a IS NOT NULL AND b IS NOT NULL),
+reach AS (SELECT a, a AS b FROM near UNION SELECT q.a, n.b FROM reach q JOIN near n ON q.b = n.a),
+said AS (SELECT a, {_judge_sql("regexp_extract(b, '^([^/?]*)', 1)", "regexp_extract(b, '^[^/?]*([^?]*)', 1)", "block")} AS block FROM reach),
+alias AS (SELECT a, bool_or(NOT block) AS allowed, bool_or(block) AS blocked FROM said GROUP BY a)
+SELECT page_id, host, path, {_judge_sql("host", "path", "name")} AS rule,
+       CASE WHEN coalesce({_judge_sql("host", "path", "block")}, CASE WHEN allowed THEN FALSE WHEN blocked THEN TRUE END, FALSE) THEN 'block' ELSE 'allow' END AS verdict
+FROM p LEFT JOIN alias ON alias.a = {_NODE.format("url")}"""
+
+ORACLES: dict[str, str] = {"op2_near_duplicates": _OP2, "op6_urls": _OP6, "op8_decontamination": _OP8, "op10_quality": _OP10}
