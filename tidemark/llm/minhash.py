@@ -30,7 +30,9 @@ K = 64
 #: Chance, at most, that a pair exactly at the similarity asked for agrees in fewer than T coordinates.
 MISS = 1e-9
 #: Documents and shingles that a block may hold.
-BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1 << 20
+BLOCK_DOCS, BLOCK_SHINGLES = 4096, 1 << 20
+#: Bits, at most, of the map of ids whose texts are read again (2 MB).
+MEMBER_BITS = 1 << 24
 _A = mix64(np.arange(1, K + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -112,8 +114,13 @@ def _links(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray
             m = np.zeros((n, min(2048, width - lo)), np.float32)
             m[owner[i:j], code[i:j] - lo] = 1
             both += m @ m.T
-    union = size[:, None] + size[None, :] - both
-    a, b = np.nonzero(np.triu(100 * both >= percent * union, 1))
+    found = []
+    for lo in range(0, n, 256):  # a few rows at a time, to bound memory
+        part = both[lo : lo + 256]
+        union = size[lo : lo + 256, None] + size[None, :] - part
+        a, b = np.nonzero(100 * part >= percent * union)
+        found.append(np.stack([a + lo, b])[:, b > a + lo])
+    a, b = np.concatenate(found, axis=1)
     return a, b
 
 
@@ -161,6 +168,19 @@ def _blocks(members: DataFrame, group: str, weight: str) -> DataFrame:
     return dealt.select(group, "id", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), *[c for c in members.columns if c not in (group, "id")])
 
 
+def _members(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of texts whose id may be one of ids: a bitmap of hashed ids, bounded by MEMBER_BITS, is
+    broadcast, so that most texts are left out before they are shuffled. It never leaves out one of ids;
+    beyond its size it only lets more pass."""
+    place = F.pmod(F.xxhash64("id"), F.lit(MEMBER_BITS))
+    maps = ids.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    at = F.bitmap_bit_position("p")
+    byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = texts.withColumn("p", place).withColumn("bucket", F.bitmap_bucket_number("p"))
+    kept = marked.join(F.broadcast(maps), "bucket").where(F.getbit(byte, (at % 8).cast("int")) == 1)
+    return kept.drop("p", "bucket", "bits")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row for each row of docs: doc_id (from key, which must be an integer), n_shingles,
     component_id (least id reachable over links of `percent` similarity, itself included), kept.
@@ -206,7 +226,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     canopies = counted.where(F.col("hits") >= least).select(F.col("pivot").cast("string").alias("group"), "id", "pivot")
     members = canopies.select("group", "id").unionAll(canopies.select("group", F.col("pivot").alias("id"))).unionAll(rest.select("group", F.col("a").alias("id"))).unionAll(rest.select("group", F.col("b").alias("id"))).distinct()
     blocks = cut(_blocks(members.join(sigs.select("id", "n"), "id"), "group", "n").select("group", "id", "i", "j"))
-    texts = source.where("text IS NOT NULL").join(chosen.select(F.col("rep").alias("id")), "id", "left_semi")
+    texts = _members(source.where("id IS NOT NULL AND text IS NOT NULL"), blocks.select("id").distinct())
     links = blocks.join(texts, "id").groupBy("group", "i", "j").applyInPandas(_confirm(shingle, percent), "a long, b long")
     found = components(cut(links))
 
