@@ -1 +1,152 @@
+"""Column helpers with defined results for NULL, zero and ties."""
 
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+TRADING_DAYS = 252
+
+
+def col(c: Column | str) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
+def safe_div(a: Column | str, b: Column | str) -> Column:
+    """a / b; 0 if b is 0; NULL if either is NULL."""
+    a, b = col(a), col(b)
+    return F.when(a.isNotNull() & b.isNotNull(), F.coalesce(F.try_divide(a, b), F.lit(0.0)))
+
+
+def clamp(v: Column | str, low: float, high: float) -> Column:
+    """v inside [low, high]; NULL stays NULL."""
+    v = col(v)
+    return F.when(v.isNotNull(), F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), v)))
+
+
+def or_default(v: Column | str, default: float) -> Column:
+    """v, or the default if it is NULL or 0."""
+    return F.coalesce(F.nullif(col(v), F.lit(0.0)), F.lit(float(default)))
+
+
+def mean0(v: Column | str) -> Column:
+    return F.coalesce(F.avg(v), F.lit(0.0))
+
+
+def std0(v: Column | str) -> Column:
+    """Sample standard deviation; 0 for fewer than two values."""
+    return F.coalesce(F.stddev_samp(v), F.lit(0.0))
+
+
+def safe_corr(x: Column | str, y: Column | str) -> Column:
+    """Pearson correlation within [-1, 1]; 0 for fewer than two pairs or without variance."""
+    both = col(x).isNotNull() & col(y).isNotNull()
+    a, b = F.when(both, col(x)), F.when(both, col(y))
+    r = F.try_divide(F.covar_pop(a, b), F.sqrt(F.var_pop(a) * F.var_pop(b)))
+    return F.coalesce(clamp(r, -1, 1), F.lit(0.0))
+
+
+def tanh_score(v: Column | str, scale: float) -> Column:
+    """0.5 + 0.5 tanh(v / scale); 0.5 if scale is not positive."""
+    return F.lit(0.5) + 0.5 * F.tanh(col(v) / scale) if scale > 0 else F.lit(0.5)
+
+
+def smoothstep(v: Column | str) -> Column:
+    """x * x * (3 - 2 x) of v clamped to [0, 1]."""
+    x = clamp(v, 0, 1)
+    return x * x * (3 - 2 * x)
+
+
+def decay(rate: Column | float, days: Column, norm: float) -> Column:
+    """exp(-rate * max(days, 1) / norm)."""
+    return F.exp(-rate * F.greatest(days, F.lit(1)) / norm)
+
+
+def daily_rate(annual: Column | str) -> Column:
+    return F.pow(1 + col(annual), F.lit(1.0 / TRADING_DAYS)) - 1
+
+
+def annualize(v: Column | str) -> Column:
+    return col(v) * math.sqrt(TRADING_DAYS)
+
+
+def keyword_count(text: Column | str, words: list[str]) -> Column:
+    """Occurrences of all words in a text, case aside, each word counted for itself without overlaps."""
+    low = F.lower(F.coalesce(col(text), F.lit("")))
+    total = F.lit(0)
+    for w in words:
+        total = total + F.size(F.split(low, _literal(w.lower()), -1)) - 1
+    return total
+
+
+def _literal(s: str) -> str:
+    """A pattern that matches just s."""
+    return r"\Q" + s.replace(r"\E", r"\E\\E\Q") + r"\E"
+
+
+def squeeze(text: Column | str) -> Column:
+    return F.trim(F.regexp_replace(col(text), r"\s+", " "))
+
+
+#: Character references that strip_html decodes, the ampersand last.
+REFERENCES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"), ("&ndash;", "–"), ("&mdash;", "—"), ("&rsquo;", "’"), ("&lsquo;", "‘"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&hellip;", "…"), ("&amp;", "&"))
+
+
+def strip_html(html: Column | str, keep_bodies: bool = False) -> Column:
+    """Text of a page: script and style bodies out (unless keep_bodies), tags to blanks, common
+    character references decoded, white space squeezed."""
+    t = col(html)
+    if not keep_bodies:
+        t = F.regexp_replace(t, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", " ")
+    t = F.regexp_replace(t, r"(?s)<[^>]+>", " ")
+    for name, char in REFERENCES:
+        t = F.replace(t, F.lit(name), F.lit(char))
+    return squeeze(t)
+
+
+#: Suffixes of amounts and what they multiply by.
+SCALES = (("trillion", 1e12), ("tn", 1e12), ("billion", 1e9), ("bn", 1e9), ("b", 1e9), ("million", 1e6), ("m", 1e6), ("thousand", 1e3), ("k", 1e3))
+_SUFFIX = "trillion|tn|billion|bn|b|million|m|thousand|k"
+
+
+def money_scale(suffix: Column | str) -> Column:
+    """What a suffix (any case; none: 1) multiplies an amount by."""
+    s, out = F.lower(F.coalesce(col(suffix), F.lit(""))), F.lit(1.0)
+    for name, value in reversed(SCALES):
+        out = F.when(s == name, F.lit(value)).otherwise(out)
+    return out
+
+
+def context_money(text: Column | str, words: list[str], radius: int = 120, least: float = 1e6, strict_suffix: bool = False) -> Column:
+    """Largest amount of `least` or more within `radius` characters of any of the words; NULL if none.
+    A suffix counts even at the start of a longer word, unless strict_suffix."""
+    low = F.lower(F.coalesce(col(text), F.lit("")))
+    pattern = F.lit(rf"(\d+(?:\.\d+)?)\s*({_SUFFIX})?{'(?![a-z])' if strict_suffix else ''}")
+    best = []
+    for w in words:
+        parts = F.split(low, _literal(w.lower()), -1)
+        n = len(w)
+        heads = F.slice(parts, 1, F.size(parts) - 1)
+        at = F.aggregate(heads, F.array().cast("array<int>"), lambda acc, x: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)) + n, F.lit(0)) + F.length(x)))
+
+        def amount(p: Column) -> Column:
+            start = F.greatest(p - radius, F.lit(0))
+            around = F.substr(low, start + 1, p + n + radius - start)
+            found = F.zip_with(F.regexp_extract_all(around, pattern, F.lit(1)), F.regexp_extract_all(around, pattern, F.lit(2)), lambda a, b: a.cast("double") * money_scale(b))
+            return F.array_max(F.filter(found, lambda v: v >= least))
+
+        best.append(F.array_max(F.transform(at, amount)))
+    return F.greatest(*best) if len(best) > 1 else best[0]
+
+
+def per_share(text: Column | str) -> Column:
+    """The first amount followed by 'per share' or '/share', NULL if none."""
+    return F.nullif(F.regexp_extract(F.lower(F.coalesce(col(text), F.lit(""))), r"(\d+(?:\.\d+)?)\s*(?:per\s+share|/share)", 1), F.lit("")).cast("double")
+
+
+def market_day(ts: Column | str, close_hour: int = 16, zone: str = "America/New_York") -> tuple[Column, Column]:
+    """Local date and whether the market has closed, of a UTC timestamp."""
+    local = F.from_utc_timestamp(col(ts), zone)
+    return F.to_date(local), F.hour(local) >= close_hour

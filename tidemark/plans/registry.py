@@ -2,5 +2,12 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from . import backtest, basic  # noqa: F401  importing a module registers its queries
+from .bindings import dates_as_text
+
+QUERIES: dict = dict(basic.QUERIES)
 ORACLES: dict = {}
+for _name, _sql in basic.ORACLES.items():
+    while "\n,\n" in _sql or "\n," in _sql:
+        _sql = _sql.replace("\n,", ",")
+    ORACLES[_name] = dates_as_text(_sql, basic.DATES.get(_name, ""))
