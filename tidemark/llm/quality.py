@@ -113,4 +113,6 @@ def filter_quality(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...]
     column of any name is safe."""
     boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("body"))
     base, broken = verdicts(rules)
-    return measures(boxed, "body", ("row",)).where(~base & (F.size(broken) == 0)).select("row.*")
+    # A plain filter would be pushed below the measures and copy their expressions into itself.
+    passed = F.explode_outer(F.when(~base & (F.size(broken) == 0), F.array("row"))).alias("kept")
+    return measures(boxed, "body", ("row",)).select(passed).where("kept IS NOT NULL").select("kept.*")
