@@ -265,7 +265,7 @@ _RET = "ret AS (SELECT *, coalesce(adjclose / lag(adjclose) OVER w - 1, 0) AS re
 
 def ret_query(sql: str, views: tuple[str, ...] = ("px",), dates: str = ""):
     """An oracle over px with returns."""
-    return query(f",\n{_RET}\n{sql}", views, dates)
+    return query(f",\n{_RET},\n{sql}" if sql.startswith(("pos AS", "mk AS")) else f",\n{_RET}\n{sql}", views, dates)
 
 
 @ret_query(f"SELECT symbol, {R('sqrt(avg(power(least(ret, 0), 2))) * sqrt(252)', 'down')} FROM ret WHERE idx > 0 GROUP BY symbol")

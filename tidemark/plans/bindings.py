@@ -27,6 +27,7 @@ SQL = {
     f"CAST(date_trunc('quarter', {_DAY}) + INTERVAL 4 MONTH AS DATE) AS filed, CAST(count(*) * CASE tag WHEN 'revenue' THEN 1000000 WHEN 'operating_income' THEN 100000 WHEN 'capex' THEN 80000 ELSE 50000 END AS DOUBLE) AS val "
     f"FROM {_ALL} CROSS JOIN (SELECT 'revenue' AS tag UNION ALL SELECT 'operating_income' UNION ALL SELECT 'capex' UNION ALL SELECT 'repurchases') t GROUP BY c_mktsegment, tag, date_trunc('quarter', {_DAY})",
     "filing_docs": "SELECT CAST(floor(doc_id / CAST(3 AS DOUBLE)) AS BIGINT) AS filing, doc_id, CASE doc_id % 3 WHEN 0 THEN 'ex99-1.htm' WHEN 1 THEN 'main.htm' ELSE 'notes.txt' END AS name, text FROM documents",
+    "texts": "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'AUTOMOBILE' WHEN 1 THEN 'BUILDING' WHEN 2 THEN 'FURNITURE' WHEN 3 THEN 'MACHINERY' ELSE 'HOUSEHOLD' END AS ticker, DATE '1995-01-01' + CAST(doc_id * 37 % 2400 AS INTEGER) AS d, text FROM documents",
     "firms": "SELECT * FROM (VALUES ('AUTOMOBILE', 'Automobile', 'standard', 30), ('BUILDING', 'Building', 'standard', 40), ('FURNITURE', 'Furniture', 'internal_reallocation', 50), ('MACHINERY', 'Machinery', 'standard', 60), ('HOUSEHOLD', 'Household', 'standard', 100)) AS f(ticker, name, variant, target_count)",
 }
 TABLES = "region nation customer supplier part orders lineitem events documents pages".split()
