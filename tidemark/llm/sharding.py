@@ -29,17 +29,21 @@ def _pick(values: list[int], index: Column) -> Column:
 
 def propagate(state: DataFrame, links: DataFrame, capacity: int, rounds: int) -> DataFrame:
     """state: (rid, shard) of the rows that have links; links: (rid, hub), rows of one hub being
-    neighbours of each other. In each round a hub looks to the shard, among those with room, where most
-    of its members are; members outside full shards ask to go where most of their hubs look. A shard
-    takes asking rows, those of the largest crowds first, up to its capacity without the rows that it
-    would lose. Ends when nothing moves. Every round is written to the shared folder."""
+    neighbours of each other. In each round a hub looks to that shard, among those with room, where most
+    of its members are, and its members ask to go there; those of a crowd over a quarter of a shard stay
+    where a shard is full. A row with several hubs follows the largest crowd. A shard takes asking rows,
+    those of the largest crowds first, up to its capacity without the rows that ask to leave it. Ends
+    when nothing asks. Every round is written to the shared folder."""
     for _ in range(rounds):
         load = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.count("*").alias("n")).collect()}
-        full = [s for s, n in load.items() if n >= capacity]
-        loose = state.where(~F.col("shard").isin(full)) if full else state
-        votes = loose.join(links, "rid").groupBy("hub", "shard").agg(F.count("*").alias("n"))
-        looks = votes.groupBy("hub").agg(F.max_by("shard", F.struct("n", F.xxhash64("hub", "shard"))).alias("target"), F.sum("n").alias("crowd"))
-        wish = loose.join(links, "rid").join(looks, "hub").groupBy("rid", "shard").agg(F.max(F.struct("crowd", "target", "hub")).alias("w"))
+        if not load:
+            break
+        full = [s for s, n in load.items() if n >= capacity - max(1, capacity // 50)]
+        at_full = F.col("shard").isin(full) if 0 < len(full) < len(load) else F.lit(False)
+        votes = state.join(links, "rid").groupBy("hub", "shard").agg(F.count("*").alias("n"))
+        looks = votes.groupBy("hub").agg(F.max_by("shard", F.struct((~at_full).cast("int"), "n", F.xxhash64("hub", "shard"))).alias("target"), F.sum("n").alias("crowd"))
+        wish = state.join(links, "rid").join(looks, "hub").where(~at_full | (F.col("crowd") <= max(1, capacity // 4)))
+        wish = wish.groupBy("rid", "shard").agg(F.max(F.struct("crowd", "target", "hub")).alias("w"))
         wish = wish.select("rid", "shard", "w.target", "w.crowd", "w.hub").where("shard <> target")
         wish = cut(wish.withColumn("cell", F.concat(F.lpad((F.lit(99) - F.floor(F.log2("crowd"))).cast("string"), 2, "0"), F.lit("-"), F.pmod(F.xxhash64("hub"), F.lit(CELLS)).cast("string"))).withColumn("one", F.lit(1)))
         leave = {r["shard"]: r["n"] for r in wish.groupBy("shard").agg(F.count("*").alias("n")).collect()}
