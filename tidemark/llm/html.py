@@ -122,8 +122,8 @@ def blocks(page: str) -> list[Block]:
 
 def labels(items: list[Block], rules: Rules = Rules()) -> list[bool]:
     """First pass: good, bad or open by place, length, stop words and links. Second pass: an open block
-    is good if its nearest decided neighbours are; if they differ the nearer counts, at a tie the block
-    is good only inside an article; without any it is good only there too."""
+    is good if its nearest decided neighbour is, at a tie that before it; without any it is good only
+    inside an article."""
     article = any(b.inside for b in items)
     first: list[bool | None] = []
     for b in items:
@@ -154,8 +154,7 @@ def labels(items: list[Block], rules: Rules = Rules()) -> list[bool]:
         if x is None:
             near = [(abs(i - k), v) for k, v in filter(None, (before[i], last))]
             least = min((d for d, _ in near), default=0)
-            values = {v for d, v in near if d == least}
-            out[i] = values.pop() if len(values) == 1 else b.inside
+            out[i] = next((v for d, v in near if d == least), b.inside)  # the one before comes first
         else:
             out[i] = x
             if not (article and not b.inside) and not b.outside:
