@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import backtest, basic, study  # noqa: F401  importing a module registers its queries
+from . import backtest, basic, landing, study  # noqa: F401  importing a module registers its queries
 from .bindings import dates_as_text
 
 QUERIES: dict = dict(basic.QUERIES)

@@ -1 +1,106 @@
+"""Landing files to tables and back. Readers take a path of files as they were delivered (multiline) or of
+one document a line."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def _day(seconds: Column) -> Column:
+    return F.to_date(F.timestamp_seconds(seconds))
+
+
+_EVENTS = "events STRUCT<dividends: MAP<STRING, STRUCT<amount: DOUBLE, date: BIGINT>>, splits: MAP<STRING, STRUCT<date: BIGINT, numerator: DOUBLE, denominator: DOUBLE, splitRatio: STRING>>>"
+_CHART = f"symbol STRING, chart STRUCT<result: ARRAY<STRUCT<timestamp: ARRAY<BIGINT>, indicators: STRUCT<quote: ARRAY<STRUCT<close: ARRAY<DOUBLE>>>, adjclose: ARRAY<STRUCT<adjclose: ARRAY<DOUBLE>>>>, {_EVENTS.replace('events STRUCT', 'events: STRUCT')}>>>"
+
+
+def read_price_payloads(spark: SparkSession, path: str, multiline: bool = False, fall_back: bool = True) -> DataFrame:
+    """symbol, d, close, adjclose from parallel arrays. Days without a close go; a missing adjclose is the
+    close if fall_back, else such days go."""
+    r = spark.read.schema(_CHART).json(path, multiLine=multiline).select("symbol", F.get("chart.result", F.lit(0)).alias("r"))
+    arrays = F.arrays_zip(F.col("r.timestamp").alias("t"), F.get("r.indicators.quote", F.lit(0))["close"].alias("c"), F.get("r.indicators.adjclose", F.lit(0))["adjclose"].alias("a"))
+    rows = r.select("symbol", F.explode(arrays).alias("x")).select("symbol", _day(F.col("x.t")).alias("d"), F.col("x.c").alias("close"), F.col("x.a").alias("adjclose"))
+    rows = rows.where("close IS NOT NULL")
+    return rows.withColumn("adjclose", F.coalesce("adjclose", "close")) if fall_back else rows.where("adjclose IS NOT NULL")
+
+
+def read_actions(spark: SparkSession, path: str, kind: str = "dividends", multiline: bool = False) -> DataFrame:
+    """Dividends (symbol, d, amount) or splits (symbol, d, numerator, denominator, split_ratio)."""
+    r = spark.read.schema(_CHART).json(path, multiLine=multiline).select("symbol", F.get("chart.result", F.lit(0))["events"][kind].alias("m"))
+    rows = r.where("m IS NOT NULL").select("symbol", F.explode(F.map_values("m")).alias("x"))
+    if kind == "dividends":
+        return rows.select("symbol", _day(F.col("x.date")).alias("d"), F.col("x.amount").alias("amount"))
+    return rows.select("symbol", _day(F.col("x.date")).alias("d"), "x.numerator", "x.denominator", F.col("x.splitRatio").alias("split_ratio"))
+
+
+def read_markets(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    """market_id, question and days of creation and end: resolution, else close, else creation; 0 counts
+    as missing."""
+    m = spark.read.schema("id STRING, question STRING, createdTime BIGINT, closeTime BIGINT, resolutionTime BIGINT").json(path, multiLine=multiline)
+    end = F.coalesce(F.nullif("resolutionTime", F.lit(0)), F.nullif("closeTime", F.lit(0)), "createdTime")
+    day = lambda ms: F.to_date(F.timestamp_millis(ms))
+    return m.select(F.col("id").alias("market_id"), "question", day(F.col("createdTime")).alias("start_d"), day(end).alias("end_d"))
+
+
+def read_bets(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    b = spark.read.schema("contractId STRING, createdTime BIGINT, probBefore DOUBLE, probAfter DOUBLE").json(path, multiLine=multiline)
+    return b.select(F.col("contractId").alias("market_id"), F.timestamp_millis("createdTime").alias("ts"), F.col("probBefore").alias("prob_before"), F.col("probAfter").alias("prob_after"))
+
+
+def read_rates(spark: SparkSession, path: str, value: str = "TB3MS") -> DataFrame:
+    """d, annual_rate from percent; '.' and empty values go."""
+    r = spark.read.schema(f"DATE STRING, {value} STRING").csv(path, header=True, nullValue=".")
+    return r.where(F.col(value).isNotNull()).select(F.to_date("DATE").alias("d"), (F.col(value).cast("double") / 100).alias("annual_rate"))
+
+
+_FILINGS = ("accessionNumber", "filingDate", "form", "acceptanceDateTime", "primaryDocument", "primaryDocDescription", "reportDate")
+_COLUMNS = ", ".join(f"{c}: ARRAY<STRING>" for c in _FILINGS)
+
+
+def read_filing_index(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    """Rows of columnar filing lists, whether nested under filings.recent or, as in further pages, bare;
+    the first of an accession number stays."""
+    f = spark.read.schema(f"cik STRING, filings STRUCT<recent: STRUCT<{_COLUMNS}>>, " + _COLUMNS.replace(":", "")).json(path, multiLine=multiline)
+    zipped = F.arrays_zip(*[F.coalesce(F.col(f"filings.recent.{c}"), F.col(c), F.array().cast("array<string>")).alias(c) for c in _FILINGS])
+    rows = f.select("cik", F.posexplode(zipped).alias("seq", "x")).select("cik", "seq", "x.*")
+    first = rows.groupBy("cik", "accessionNumber").agg(F.min_by(F.struct("form", "filingDate", "acceptanceDateTime", "primaryDocument", "primaryDocDescription", "reportDate"), "seq").alias("x"))
+    return first.select("cik", F.col("accessionNumber").alias("accession_number"), "x.form", F.to_date("x.filingDate").alias("filing_date"), F.to_timestamp("x.acceptanceDateTime").alias("acceptance_ts"), F.col("x.primaryDocument").alias("primary_document"), F.col("x.primaryDocDescription").alias("primary_doc_description"), F.to_date("x.reportDate").alias("report_date"))
+
+
+def read_facts(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    """Long facts from maps taxonomy -> tag -> unit -> rows."""
+    kind = "cik STRING, facts MAP<STRING, MAP<STRING, STRUCT<units: MAP<STRING, ARRAY<STRUCT<start: STRING, end: STRING, filed: STRING, val: DOUBLE>>>>>>"
+    t = spark.read.schema(kind).json(path, multiLine=multiline).select("cik", F.explode("facts").alias("taxonomy", "tags")).select("cik", "taxonomy", F.explode("tags").alias("tag", "v"))
+    rows = t.select("cik", "taxonomy", "tag", F.explode("v.units").alias("unit", "rows")).select("cik", "taxonomy", "tag", "unit", F.inline("rows"))
+    return rows.select("cik", "taxonomy", "tag", "unit", F.to_date("start").alias("start_d"), F.to_date("end").alias("end_d"), F.to_date("filed").alias("filed"), "val")
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """path and text of whole files; bytes that are no UTF-8 become replacement characters."""
+    return spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("text"))
+
+
+def read_seeds(spark: SparkSession, path: str, field: str, row: str, multiline: bool = True) -> DataFrame:
+    """Rows of a list `field` of a JSON document; row: their DDL type."""
+    return spark.read.schema(f"{field} ARRAY<STRUCT<{row}>>").json(path, multiLine=multiline).select(F.inline(field))
+
+
+def read_curves(spark: SparkSession, path: str) -> DataFrame:
+    """An earlier run's daily curves."""
+    return spark.read.schema("symbol STRING, strategy STRING, d DATE, position DOUBLE, daily_return DOUBLE, equity DOUBLE").csv(path, header=True)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """CSV with a header; arrays, maps and structs as JSON text."""
+    nested = [c for c, k in df.dtypes if k.startswith(("array", "map", "struct"))]
+    df.select(*[F.to_json(c).alias(c) if c in nested else F.col(c) for c in df.columns]).write.mode("overwrite").csv(path, header=True)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").json(path)
+
+
+def write_results(df: DataFrame, path: str, run_id: str) -> None:
+    """One Parquet table for each result, a partition for each run; a repeated run replaces its own."""
+    df.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
