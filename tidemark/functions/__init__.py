@@ -138,7 +138,8 @@ def context_money(text: Column | str, words: list[str], radius: int = 120, least
             return F.array_max(F.filter(found, lambda v: v >= least))
 
         best.append(F.array_max(F.transform(at, amount)))
-    return F.greatest(*best) if len(best) > 1 else best[0]
+    # Most texts have no digit at all; they need no search.
+    return F.when(low.rlike("[0-9]"), F.greatest(*best) if len(best) > 1 else best[0])
 
 
 def per_share(text: Column | str) -> Column:
