@@ -55,20 +55,25 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def _signatures(size: int):
+    """Rows leave some hundred at a time, as arrays without Python numbers, so a worker stays small."""
+
+    def batch(ids, sizes, digests, sigs) -> pa.RecordBatch:
+        ends = np.cumsum([0, *[K if len(x) else 0 for x in sigs]]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sigs)), mask=pa.array([not len(x) for x in sigs]))
+        return pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists], ["id", "n", "digest", "sig"])
+
+    none = np.empty(0, np.int32)
+
     def run(it):
         for b in it:
-            sizes, digests, sigs = [], [], []
-            for t in b.column(1).to_pylist():
-                s = shingle_set(word_hashes((t or "").encode("utf-8", "replace")), size)
-                sizes.append(len(s))
-                if len(s):
-                    mixed = mix64(s)
-                    digests.append(np.array([s.sum(dtype=np.uint64), np.bitwise_xor.reduce(mixed) + np.uint64(len(s))]).tobytes())
-                    sigs.append(signature(s).tolist())
-                else:
-                    digests.append(None)
-                    sigs.append(None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.list_(pa.int32()))], ["id", "n", "digest", "sig"])
+            for at in range(0, b.num_rows, 500):
+                part, sizes, digests, sigs = b.slice(at, 500), [], [], []
+                for t in part.column(1):
+                    s = shingle_set(word_hashes((t.as_py() or "").encode("utf-8", "replace")), size)
+                    sizes.append(len(s))
+                    digests.append(np.array([s.sum(dtype=np.uint64), np.bitwise_xor.reduce(mix64(s)) + np.uint64(len(s))]).tobytes() if len(s) else None)
+                    sigs.append(signature(s) if len(s) else none)
+                yield batch(part.column(0), sizes, digests, sigs)
 
     return run
 
@@ -94,11 +99,12 @@ def _forest(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, in
 
 def _links(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions of all pairs with 100 * intersection >= percent * union, by products of the incidence
-    matrix of the shingles that two sets have at least, some thousand shingles at a time."""
+    matrix of the shingles that two sets have at least, some hundred shingles at a time."""
     n = len(sets)
     size = np.array([len(s) for s in sets])
     if n == 2:
-        both = np.array([[0, len(np.intersect1d(sets[0], sets[1], assume_unique=True))], [0, 0]], float)
+        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        found = [np.array([[0], [1]])[:, : int(100 * both >= percent * (size.sum() - both))]]
     else:
         values, code = np.unique(np.concatenate(sets), return_inverse=True)
         owner = np.repeat(np.arange(n), size)
@@ -108,18 +114,18 @@ def _links(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray
         owner, code, width = owner[keep], place[code[keep]], int(often.sum())
         order = np.argsort(code, kind="stable")
         owner, code = owner[order], code[order]
-        both = np.zeros((n, n), np.float32)
-        for lo in range(0, width, 2048):
-            i, j = np.searchsorted(code, (lo, lo + 2048))
-            m = np.zeros((n, min(2048, width - lo)), np.float32)
-            m[owner[i:j], code[i:j] - lo] = 1
-            both += m @ m.T
-    found = []
-    for lo in range(0, n, 256):  # a few rows at a time, to bound memory
-        part = both[lo : lo + 256]
-        union = size[lo : lo + 256, None] + size[None, :] - part
-        a, b = np.nonzero(100 * part >= percent * union)
-        found.append(np.stack([a + lo, b])[:, b > a + lo])
+        cuts = np.searchsorted(code, np.arange(0, width + 1024, 1024))
+        found = []
+        for row in range(0, n, 256):  # a few rows and some hundred shingles at a time, to bound memory
+            part = np.zeros((min(256, n - row), n), np.float32)
+            for k in range(len(cuts) - 1):
+                i, j = cuts[k], cuts[k + 1]
+                m = np.zeros((n, 1024), np.float32)
+                m[owner[i:j], code[i:j] - 1024 * k] = 1
+                part += m[row : row + 256] @ m.T
+            union = size[row : row + 256, None] + size[None, :] - part
+            a, b = np.nonzero(100 * part >= percent * union)
+            found.append(np.stack([a + row, b])[:, b > a + row])
     a, b = np.concatenate(found, axis=1)
     return a, b
 
