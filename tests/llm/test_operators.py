@@ -1,5 +1,6 @@
 """Operators on small fixtures against plain versions, and the edge cases that they define."""
 
+import itertools
 import math
 import random
 import zlib
@@ -316,6 +317,41 @@ def test_decontamination(spark, edge, empty):
     assert decontam.filter_contaminated(edge, bench).count() == 9 and decontam.filter_contaminated(edge, bench.where("false")).columns == edge.columns
 
 
+def agreeing(w, item):
+    """The best alignment by the rule of 13 tokens and 80 %, over all alignments: matched, position."""
+    span, best = min(13, len(item)), None
+    for p in range(span - len(item), len(w) - span + 1):
+        same = [w[p + j] == item[j] for j in range(max(0, -p), min(len(item), len(w) - p))]
+        if any(100 * sum(same[i : i + span]) >= 80 * span for i in range(len(same) - span + 1)):
+            best = max(best or (0, 0), (sum(same), -p))
+    return best and (best[0], -best[1])
+
+
+def test_decontamination_masks_miss_no_pattern():
+    for n in range(decontam.MIN_TOKENS, 14):
+        masks = decontam.WINDOW_MASKS if n == 13 else decontam.short_masks(n)
+        for differ in itertools.combinations(range(n), n * 20 // 100):
+            free = [all(i < a or m[i - a : i - a + 1] != "1" for i in differ) for m in masks for a in range(n - len(m) + 1)]
+            assert any(free), (n, differ)
+
+
+def test_decontamination_matches_unseeded_brute_force(spark):
+    r = random.Random(12)
+    items = [[f"i{k}x{j}" for j in range(n)] for k, n in enumerate((6, 7, 8, 9, 10, 11, 12, 13, 14, 16, 16, 30))]
+    docs = []
+    for item in items:
+        for _ in range(40):
+            cut = r.randrange(max(1, len(item) - 12)) if r.random() < 0.5 else 0
+            w = item[cut : cut + 13] if cut else list(item)
+            for i in r.sample(range(len(w)), r.randrange(5)):
+                w[i] = "other"
+            docs.append(prose(len(docs), r.randrange(4)).split() + w + prose(len(docs) + 1, r.randrange(4)).split())
+    want = {(d, i): agreeing(w, item) for d, w in enumerate(docs) for i, item in enumerate(items) if agreeing(w, item)}
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): (x["matched"], x["position"]) for x in decontam.overlaps(table(spark, [" ".join(w) for w in docs]), bench).collect()}
+    assert got == want
+
+
 @pytest.mark.parametrize("shards", [3, 40])
 def test_sharding(spark, shards):
     texts = [prose(i % 50 if i < 150 else i, 10) for i in range(260)] + ["hot"] * 90 + ["", "", None, None]

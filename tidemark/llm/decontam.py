@@ -3,15 +3,20 @@ hits that survive substitutions; overlaps around the hits are then verified toke
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Positions of a window that a mask looks at (1).
+#: Masks of the SQL in `queries`, which sees only the overlaps that these hit.
 MASKS = ("111010011011", "110110101101")
 SPAN = 12
+#: Positions of a window that a mask looks at (1): whichever two of OVERLAP tokens differ, one of these
+#: masks fits into the OVERLAP tokens so that it looks at neither.
+WINDOW_MASKS = ("11110111", "1100101111", "11101100101")
 #: Tokens of an overlap and the share of them that must agree.
 OVERLAP, AGREE_PERCENT = 13, 80
-#: Items of fewer tokens are never looked for; those below SPAN only as they are.
+#: Items of fewer tokens are never looked for; those below OVERLAP only as a whole.
 MIN_TOKENS = 6
 #: Seeds, at most, that are broadcast (about 40 bytes each); more are joined by a shuffle.
 BROADCAST_SEEDS = 500_000
@@ -23,14 +28,20 @@ def tokens(text: Column) -> Column:
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def _seed(h: Column, at: Column, which: int, places: list[int], n: Column, span: int) -> Column:
-    value = F.xxhash64(F.lit(which), *[F.get(h, at + p) for p in places])
-    return F.when(at + span <= n, value)
+def short_masks(n: int) -> list[str]:
+    """Masks for an item of n tokens below OVERLAP: it is cut into two blocks more than tokens may differ,
+    and each mask looks at two of the blocks; so differing tokens always leave one mask untouched."""
+    blocks = n * (100 - AGREE_PERCENT) // 100 + 2
+    return ["".join("1" if i * blocks // n in pair else "0" for i in range(n)) for pair in combinations(range(blocks), 2)]
 
 
-def _seeds(h: Column, at: Column, n: Column, short: list[int]) -> list[Column]:
-    out = [_seed(h, at, i, [p for p, c in enumerate(m) if c == "1"], n, SPAN) for i, m in enumerate(MASKS)]
-    return out + [_seed(h, at, 100 + k, list(range(k)), n, k) for k in short]
+def _seeds(h: Column, at: Column, n: Column, kind: int, masks: list[str] | tuple[str, ...], span: int = 0) -> list[Column]:
+    """Seeds of the tokens from `at` on, NULL where the mask (or span) exceeds the tokens."""
+    out = []
+    for i, m in enumerate(masks):
+        value = F.xxhash64(F.lit(100 * kind + i), *[F.get(h, at + p) for p, c in enumerate(m) if c == "1"])
+        out.append(F.when(at + max(span, len(m)) <= n, value))
+    return out
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id") -> DataFrame:
@@ -39,29 +50,27 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str
     where the item starts, negative if its head is cut off), row_hash (of doc_id and text).
 
     An overlap: OVERLAP tokens in a row of an alignment (all, if the item is shorter) of which
-    AGREE_PERCENT agree, at an alignment that one seed hits. Tokens are runs of letters and digits,
-    lower-cased. NULL and empty texts on either side overlap with nothing; items below MIN_TOKENS tokens
+    AGREE_PERCENT agree; the seeds miss none. Tokens are runs of letters and digits, lower-cased. NULL and empty texts on either side overlap with nothing; items below MIN_TOKENS tokens
     are left out; repeated rows and items count once; other columns are not read."""
     items = benchmark.select(F.col(f"`{item_key}`").alias("item_id"), tokens(F.col(f"`{item_text}`")).alias("ih"))
     items = items.select("item_id", "ih", F.size("ih").alias("n")).where(F.col("n") >= MIN_TOKENS).distinct()
-    short = sorted(r["n"] for r in items.where(F.col("n") < SPAN).select("n").distinct().collect())
+    short = sorted(r["n"] for r in items.where(F.col("n") < OVERLAP).select("n").distinct().collect())
     starts = items.select("item_id", "ih", "n", F.explode(F.sequence(F.lit(0), F.col("n") - MIN_TOKENS)).alias("ipos"))
     # A short item is looked for as a whole only.
-    kinds = _seeds(F.col("ih"), F.col("ipos"), F.col("n"), short)
-    kinds = [F.when(F.col("n") >= SPAN, k) for k in kinds[: len(MASKS)]] + [F.when((F.col("n") == s) & (F.col("ipos") == 0), k) for s, k in zip(short, kinds[len(MASKS) :], strict=True)]
+    kinds = [F.when(F.col("n") >= OVERLAP, k) for k in _seeds(F.col("ih"), F.col("ipos"), F.col("n"), 0, WINDOW_MASKS)]
+    kinds += [F.when((F.col("n") == s) & (F.col("ipos") == 0), k) for s in short for k in _seeds(F.col("ih"), F.col("ipos"), F.col("n"), s, short_masks(s), s)]
     seeds = starts.select("item_id", "ih", "n", "ipos", F.explode(F.array(*kinds)).alias("seed")).where("seed IS NOT NULL")
     small = seeds.count() <= BROADCAST_SEEDS
 
     rows = docs.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{key}`").alias("doc_id"), F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")).alias("row_hash"), tokens(F.col(f"`{text}`")).alias("h"))
     at = rows.select("doc_id", "row_hash", "h", F.posexplode("h").alias("pos", "token"))
+    kinds = _seeds(F.col("h"), F.col("pos"), F.size("h"), 0, WINDOW_MASKS) + [k for s in short for k in _seeds(F.col("h"), F.col("pos"), F.size("h"), s, short_masks(s), s)]
     if not small:
-        kinds = _seeds(F.col("h"), F.col("pos"), F.size("h"), short)
         hits = at.select("doc_id", "row_hash", "pos", F.explode(F.array(*kinds)).alias("seed")).where("seed IS NOT NULL").join(seeds.drop("ih", "n"), "seed")
         hits = hits.select("doc_id", "row_hash", "item_id", (F.col("pos") - F.col("ipos")).alias("position")).distinct()
         hits = hits.join(rows.select("row_hash", "h").dropDuplicates(["row_hash"]), "row_hash").join(items, "item_id")
         hits = hits.select("doc_id", "row_hash", "item_id", "position", "ih", "n", _aligned().alias("part"))
     else:
-        kinds = _seeds(F.col("h"), F.col("pos"), F.size("h"), short)
         each = at.select("doc_id", "row_hash", "h", "pos", F.explode(F.array(*kinds)).alias("seed")).where("seed IS NOT NULL")
         hits = each.join(F.broadcast(seeds), "seed").select("doc_id", "row_hash", "h", "item_id", "ih", "n", (F.col("pos") - F.col("ipos")).alias("position"))
         hits = hits.select("doc_id", "row_hash", "item_id", "position", "ih", "n", _aligned().alias("part"))
