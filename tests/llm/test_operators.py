@@ -368,5 +368,21 @@ def test_sharding(spark, shards):
         assert (small[small["n"] < 10]["k"] > 1).mean() < 0.1
 
 
+def test_sharding_keeps_a_third_of_all_rows_in_few_shards(spark):
+    """A group of 13.3 shards, one of 1.5 shards, and many pairs."""
+    texts = ["hot"] * 400 + ["warm"] * 45 + [prose(i % 200, 10) for i in range(400)] + [prose(1000 + i, 10) for i in range(355)]
+    rows = sharding.shard(table(spark, texts), 40).toPandas()
+    assert (rows.groupby("shard").size() == 30).all()
+    assert rows[rows["doc_id"] < 400]["shard"].nunique() == 14
+    assert rows[(rows["doc_id"] >= 400) & (rows["doc_id"] < 445)]["shard"].nunique() == 2
+    pairs = rows[(rows["doc_id"] >= 445) & (rows["doc_id"] < 845)].groupby("hub")["shard"].nunique()
+    assert len(pairs) == 200 and (pairs > 1).mean() < 0.05
+
+
+def test_sharding_targets():
+    assert sharding.targets({7: {0: 1, 1: 5, 2: 4}}, [6, 6, 6]) == [(7, 1, 0, 6), (7, 2, 6, 10)]
+    assert sharding.targets({7: {0: 1, 1: 3}, 8: {1: 3}}, [4, 4]) == [(7, 1, 0, 4), (8, 0, 0, 3)]
+
+
 def test_sharding_edges(edge, empty):
     assert sharding.shard(edge, 4).count() == 9 and sharding.shard(empty, 4).count() == 0
