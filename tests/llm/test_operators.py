@@ -235,6 +235,24 @@ def test_html_main_text():
         html.main_text(broken)
 
 
+GOOD = "The cat of the house and the dog of the yard. " * 8
+
+
+@pytest.mark.parametrize("name", ["page has-sidebar", "content-with-sidebar", "no-sidebar", "main side", "post comments-open"])
+def test_html_class_words_of_a_wrapper_keep_its_text(name):
+    page = f"<div class='{name}'><h1>A title</h1><p>{GOOD}</p><div class='sidebar'><a href='/'>one</a> two</div><div class='comments'><p>{GOOD.replace('cat', 'fox')}</p></div></div>"
+    assert html.main_text(page) == f"A title {GOOD.strip()}"
+
+
+def test_html_articles_are_evidence_only():
+    head = f"<article><div class='article-header'><h1>A title</h1><p>{GOOD}</p></div><p>{GOOD}</p></article>"
+    assert html.main_text(head) == f"A title {GOOD.strip()} {GOOD.strip()}"
+    cards = "<article><a href='/'>Another page of the site</a></article>" * 2
+    assert html.main_text(f"<div><p>{GOOD}</p></div>{cards}").startswith(GOOD.strip())
+    comment = f"<article><p>{GOOD}</p></article><article class='comment'><p>{GOOD.replace('cat', 'fox') * 3}</p></article>"
+    assert html.main_text(comment) == GOOD.strip()
+
+
 def test_html_table(spark):
     rows = spark.createDataFrame([(1, "u", PAGE), (2, "u", None), (3, None, "")], "page_id long, url string, html string")
     got = {x["page_id"]: x["text"] for x in html.extract(rows).collect()}

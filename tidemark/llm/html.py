@@ -19,12 +19,19 @@ BLOCK = set("address article aside blockquote body br button center dd details d
 OUTSIDE = set("nav header footer aside form button select textarea menu dialog noscript template iframe svg canvas object title head".split())
 RAW = ("script", "style", "noembed", "xmp")
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-#: Words in class, id or role that mark menus, notices, adverts and comments.
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|signup|login|"
-    r"comments?|disqus|replies|respond|sidebar|side|widget|menu|nav|navbar|navigation|breadcrumbs?|header|masthead|footer|related|recommended|share|sharing|social|tags|pagination|pager|complementary|contentinfo|search)(?:$|[\s_-])",
+#: Words in class, id or role of elements with prose of another kind: adverts, notices, comments, teasers.
+FOREIGN = re.compile(
+    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|newsletter|subscribe|signup|login|"
+    r"comments?|disqus|replies|respond|related|recommended|teasers?)(?:$|[\s_-])",
     re.I,
 )
+#: Words for parts of a page's layout; they say nothing against blocks of good prose.
+LAYOUT = re.compile(
+    r"(?:^|[\s_-])(?:banner|overlay|sidebar|side|widget|menu|nav|navbar|navigation|breadcrumbs?|header|masthead|footer|share|sharing|social|tags|pagination|pager|complementary|contentinfo|search)(?:$|[\s_-])",
+    re.I,
+)
+#: Names that tell what an element has or lacks, and heads of articles: no marks.
+_NO_MARK = re.compile(r"\S*(?<![^\s_-])(?:has|with|without|no|not)[_-]\S*|(?<!\S)(?:article|post|entry|content|story|page|section)[_-]+header(?!\S)", re.I)
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _BROKEN = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)([^<>]*)\Z", re.S)
 _MARKED = re.compile(r"(?:^|[\s\"'])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -47,21 +54,28 @@ class Block:
     text: str
     linked: int  # characters inside links
     inside: bool  # in an article or main element
-    outside: bool  # in a menu, header, advert, form and the like
+    outside: bool  # in a menu, header, form and the like by its elements, or hidden
+    layout: tuple[int, ...] = ()  # elements around it that layout words mark
+    foreign: bool = False  # in an element that words for other prose mark
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order, references decoded and white space squeezed."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, marked as outside, article or main
+    stack: list[tuple[str, bool, bool, int, int]] = []  # name, marked as outside, article or main, layout and foreign marks
     parts: list[str] = []
-    linked = outside = inside = links = 0
+    linked = outside = inside = links = marks = 0
+    layout: list[int] = []
+    foreign: list[int] = []
+    of: list[tuple[int, ...]] = []  # foreign marks around each block
+    void: set[int] = set()  # foreign marks around a main element or the first heading
 
     def flush():
         nonlocal linked
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
-            out.append(Block(text, linked, inside > 0, outside > 0))
+            out.append(Block(text, linked, inside > 0, outside > 0, tuple(layout)))
+            of.append(tuple(foreign))
         parts.clear()
         linked = 0
 
@@ -96,9 +110,13 @@ def blocks(page: str) -> list[Block]:
         if m[1]:
             if any(x[0] == name for x in stack):
                 while stack:
-                    top, marked, main = stack.pop()
-                    if (marked or main or top == name) and top != name and (outside or main):
+                    top, marked, main, plain, other = stack.pop()
+                    if (marked or main or plain or other) and top != name:
                         flush()
+                    if plain:
+                        layout.pop()
+                    if other:
+                        foreign.pop()
                     outside -= marked
                     inside -= main
                     links -= top == "a"
@@ -108,45 +126,62 @@ def blocks(page: str) -> list[Block]:
             if name == "p" and stack and stack[-1][0] == "p":
                 stack.pop()
             said = " ".join(a or b or c for a, b, c in _MARKED.findall(m[3])) if m[3] else ""
-            article = name in ("article", "main")
-            marked = name not in ("html", "body", "article", "main") and (name in OUTSIDE and not (name == "header" and inside) or bool(said and MARKS.search(said)) or bool(m[3] and _HIDDEN.search(m[3])))
-            if marked and name not in BLOCK:
+            if name in ("h1", "main"):
+                void.update(foreign)
+            marked = name not in ("html", "body", "article", "main") and (name in OUTSIDE and not (name == "header" and inside) or bool(m[3] and _HIDDEN.search(m[3])))
+            said = _NO_MARK.sub(" ", said) if said and name not in ("html", "body", "main") else ""
+            other = bool(said and FOREIGN.search(said))
+            plain = bool(said and not other and name != "article" and LAYOUT.search(said))
+            article = name == "main" or name == "article" and not other
+            if (marked or other or plain) and name not in BLOCK:
                 flush()
-            stack.append((name, marked, article))
+            if other or plain:
+                marks += 1
+                (foreign if other else layout).append(marks)
+            stack.append((name, marked, article, marks if plain else 0, marks if other else 0))
             outside += marked
             inside += article
             links += name == "a"
     flush()
+    for b, around in zip(out, of, strict=True):
+        b.foreign = not void.issuperset(around)
     return out
 
 
+def _rule(b: Block, rules: Rules) -> bool | None:
+    density = b.linked / max(1, len(b.text))
+    words = _WORD.findall(b.text.lower())
+    stops = sum(w in _STOP for w in words) / max(1, len(words))
+    if b.inside:
+        return True if len(b.text) >= rules.short and density <= rules.link_high and stops >= rules.stop_low else None
+    if density > rules.link_high:
+        return False
+    if len(b.text) < rules.short:
+        return False if b.linked else None
+    if stops >= rules.stop_high or (stops >= rules.stop_low and len(b.text) >= rules.long):
+        return True
+    return None if stops >= rules.stop_low else False
+
+
 def labels(items: list[Block], rules: Rules = Rules()) -> list[bool]:
-    """First pass: good, bad or open by place, length, stop words and links. Second pass: an open block
-    is good if its nearest decided neighbour is, at a tie that before it; without any it is good only
-    inside an article."""
-    article = any(b.inside for b in items)
-    first: list[bool | None] = []
-    for b in items:
-        density = b.linked / max(1, len(b.text))
-        words = _WORD.findall(b.text.lower()) if not b.outside else []
-        stops = sum(w in _STOP for w in words) / max(1, len(words))
-        if b.outside or (article and not b.inside):
-            first.append(False)
-        elif b.inside:
-            first.append(True if len(b.text) >= rules.short and density <= rules.link_high and stops >= rules.stop_low else None)
-        elif density > rules.link_high:
-            first.append(False)
-        elif len(b.text) < rules.short:
-            first.append(False if b.linked else None)
-        elif stops >= rules.stop_high or (stops >= rules.stop_low and len(b.text) >= rules.long):
-            first.append(True)
-        else:
-            first.append(None if stops >= rules.stop_low else False)
+    """First pass: good, bad or open by length, stop words and links, and bad by place. A layout mark counts
+    only around no good block; text outside of articles is bad only where articles hold at least half of
+    the good text. Second pass: an open block is good if its nearest decided neighbour is, at a tie that
+    before it; without any it is good only inside an article."""
+    first = [False if b.outside or b.foreign else _rule(b, rules) for b in items]
+    held = {m for b, x in zip(items, first, strict=True) if x for m in b.layout}
+    off = [b.outside or b.foreign or not held.issuperset(b.layout) for b in items]
+    good = [0, 0]
+    for b, x in zip(items, first, strict=True):
+        good[b.inside] += len(b.text) if x else 0
+    article = any(b.inside for b in items) and good[1] >= good[0]
+    off = [o or (article and not b.inside) for b, o in zip(items, off, strict=True)]
+    first = [False if o else x for x, o in zip(first, off, strict=True)]
     before: list[tuple[int, bool] | None] = []
     last = None
-    for i, (b, x) in enumerate(zip(items, first, strict=True)):
+    for i, x in enumerate(first):
         before.append(last)
-        if x is not None and not (article and not b.inside) and not b.outside:
+        if x is not None and not off[i]:
             last = (i, x)
     out, last = [False] * len(items), None
     for i in range(len(items) - 1, -1, -1):
@@ -157,7 +192,7 @@ def labels(items: list[Block], rules: Rules = Rules()) -> list[bool]:
             out[i] = next((v for d, v in near if d == least), b.inside)  # the one before comes first
         else:
             out[i] = x
-            if not (article and not b.inside) and not b.outside:
+            if not off[i]:
                 last = (i, x)
     return out
 
