@@ -200,3 +200,14 @@ def test_bootstrap_shares_draws(spark):
     assert len(a) == 20 and np.allclose(a, b)
     ci = pn.intervals(pn.block_bootstrap(daily, ["strategy"], 20, 7), ["strategy"]).toPandas()
     assert (ci["ci_low"] <= ci["ci_high"]).all()
+
+
+def test_filings_keep_amounts_near_buyback_words(spark):
+    """5 million near a buyback word: 4 points more, and the amount reaches the candidates."""
+    from tidemark.plans import study
+
+    rows = [(1, 1, "main.htm", "we buy back the shares for 5 million"), (2, 2, "main.htm", "we buy back the shares for 5")]
+    docs = spark.createDataFrame(rows, "filing long, doc_id long, name string, text string")
+    got = {r["filing"]: (r["family"], r["score"], r["amount"]) for r in study._classified(lambda _: docs).collect()}
+    assert got == {1: ("buyback_authorization", 6, 5e6), 2: ("buyback_authorization", 2, None)}
+    assert [(r["event_id"], r["amount"]) for r in study._candidates(lambda _: docs).collect()] == [("F1", 5e6)]

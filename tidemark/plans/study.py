@@ -208,7 +208,7 @@ def select_documents(v, spark, sf):
 
 
 def _classified(v):
-    return sd.classify_filings(sd.select_documents(v("filing_docs")), GROUPS, F.col("filing") % 5 == 2, least_amount=1e30)
+    return sd.classify_filings(sd.select_documents(v("filing_docs")), GROUPS, F.col("filing") % 5 == 2)
 
 
 _CL = rf"""
@@ -230,7 +230,7 @@ def _candidates(v):
     c = _classified(v).where("score >= 4")
     ticker = F.get(F.array(*[F.lit(s) for s in _SEGMENTS]), (F.col("filing") % 5).cast("int"))
     day = F.date_add(_day(START), (F.col("filing") * 7 % 2400).cast("int"))
-    return c.select(ticker.alias("ticker"), day.alias("announced"), F.concat(F.lit("F"), F.col("filing").cast("string")).alias("event_id"), "family", F.lit(None).cast("double").alias("amount"), "score")
+    return c.select(ticker.alias("ticker"), day.alias("announced"), F.concat(F.lit("F"), F.col("filing").cast("string")).alias("event_id"), "family", "amount", "score")
 
 
 def _overlay(v):
