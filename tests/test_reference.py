@@ -211,3 +211,12 @@ def test_filings_keep_amounts_near_buyback_words(spark):
     got = {r["filing"]: (r["family"], r["score"], r["amount"]) for r in study._classified(lambda _: docs).collect()}
     assert got == {1: ("buyback_authorization", 6, 5e6), 2: ("buyback_authorization", 2, None)}
     assert [(r["event_id"], r["amount"]) for r in study._candidates(lambda _: docs).collect()] == [("F1", 5e6)]
+
+
+def test_metrics_table_has_every_symbol(spark):
+    from tidemark.plans import backtest, registry
+
+    rows = registry.QUERIES["metrics_table"](spark, "/root/testdata/sf0.001").toPandas()
+    symbols = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+    assert list(rows.columns) == ["metric", *[f"{s}/{k}" for s in symbols for k in ("hold", "vol_target")]]
+    assert set(backtest._NAMES) < set(rows.columns) and rows.notna().all().all()

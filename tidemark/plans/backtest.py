@@ -72,7 +72,8 @@ _LONG = "lg AS (UNPIVOT (SELECT symbol || '/' || strategy AS strategy, " + ", ".
 
 @strat_query(f",{_LONG}\nSELECT metric, " + ", ".join(R(f"max(value) FILTER (WHERE strategy = '{n}')", f'"{n}"') for n in _NAMES) + " FROM lg GROUP BY metric")
 def metrics_table(v, spark, sf):
-    return pn.metrics_table(_summary(v), _NAMES)
+    symbols = sorted(r["symbol"] for r in v("px").select("symbol").where("symbol IS NOT NULL").distinct().collect())
+    return pn.metrics_table(_summary(v), [f"{s}/{k}" for s in symbols for k in ("hold", "vol_target")])
 
 
 _BASE = [("AUTOMOBILE/hold", "cagr", 0.1), ("AUTOMOBILE/hold", "max_drawdown", -0.25), ("AUTOMOBILE/hold", "sharpe", 0.45), ("BUILDING/vol_target", "cagr", 0.09), ("BUILDING/vol_target", "max_drawdown", -0.18)]
