@@ -29,4 +29,15 @@ def cut(df: DataFrame) -> DataFrame:
     gives the optimizer true sizes."""
     path = new_path(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._tidemark_path = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that `cut` wrote and nothing reads any more; all that was made from them must have
+    been written itself."""
+    for t in tables:
+        context = t.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(t._tidemark_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
