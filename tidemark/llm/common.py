@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-import zlib
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.storage import cut, forget, shared_dir
+
+__all__ = ["components", "cut", "forget", "hot_limit", "meet", "shared_dir"]
 #: White space between words: blank and the control characters 9 to 13.
 SPACE = r"[\x20\x09-\x0D]+"
 _MULT = 0x9E3779B97F4A7C15
@@ -21,39 +21,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or the checkpoint folder
-    of the context. Only a plain local session, as in tests, gets one of its own."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = f"/tmp/spark-tidemark-{uuid.uuid4().hex}"
-        spark.sparkContext.setCheckpointDir(base)
-        base = spark.sparkContext.getCheckpointDir()
-    return base
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back: cuts the lineage, survives lost executors,
-    and gives the optimizer true sizes."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fold(column: str | Column, folds: int = 5) -> Column:
     """crc32 of the id as text modulo folds; NULL ids have no fold."""
     c = F.col(column) if isinstance(column, str) else column
     return F.crc32(c.cast("string").cast("binary")) % F.lit(folds)
 
 
-def crc_text(data: bytes) -> int:
-    return zlib.crc32(data) & 0xFFFFFFFF
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finalizer of splitmix64, element by element."""
     x = x.astype(np.uint64, copy=True)
@@ -81,17 +54,22 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def _block_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, starts and ends of the words of a block of bytes, A-Z lower-cased."""
+def piece_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of pieces of a block of bytes, A-Z lower-cased."""
     if not _POWERS or len(_POWERS[0]) <= len(data):
         _POWERS[:] = _powers(max(BLOCK_BYTES + 1, len(data) + 1))
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE_LOWER[data] * _POWERS[0][: len(data)], out=total[1:])
+    return mix64((total[ends] - total[starts]) * _POWERS[1][starts] + (ends - starts).astype(np.uint64))
+
+
+def _block_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and ends of the words of a block of bytes, A-Z lower-cased."""
     space = np.ones(len(data) + 2, bool)
     space[1:-1] = _IS_SPACE[data]
     edge = np.flatnonzero(space[1:] != space[:-1])
     starts, ends = edge[0::2], edge[1::2]
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE_LOWER[data] * _POWERS[0][: len(data)], out=total[1:])
-    return mix64((total[ends] - total[starts]) * _POWERS[1][starts] + (ends - starts).astype(np.uint64)), starts, ends
+    return piece_hashes(data, starts, ends), starts, ends
 
 
 def word_hashes(text: bytes) -> np.ndarray:
@@ -120,16 +98,32 @@ def shingle_set(words: np.ndarray, size: int) -> np.ndarray:
     return np.unique(mix64(value + np.uint64(k)))
 
 
-def batches(texts, limit: int = BLOCK_BYTES):
-    """Slices (from, to) of a list of bytes objects of about `limit` bytes each; one text at least."""
-    at = size = 0
-    for i, t in enumerate(texts):
-        if i > at and size + len(t) > limit:
-            yield at, i
-            at, size = i, 0
-        size += len(t) + 1
-    if at < len(texts):
-        yield at, len(texts)
+def slices(texts, limit: int = BLOCK_BYTES):
+    """Slices (from, to) of an Arrow column of strings of about `limit` bytes each; one text at least."""
+    import pyarrow.compute as pc
+
+    edge = np.concatenate(([0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)))
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(edge, edge[at] + limit, "right")) - 1)
+        yield at, to
+        at = to
+
+
+def hot_limit(rows: int) -> int:
+    """Rows of one key above which the key is hot, for tables of up to 64 times `rows` rows: so at most
+    65,536 keys are."""
+    return max(1024, rows // 1024)
+
+
+def meet(rows: DataFrame, sizes: DataFrame, key: str, size: str, limit: int) -> DataFrame:
+    """rows joined with sizes, which has one row for each key and in `size` the number of its rows. Hot keys,
+    which `limit` bounds in number, are broadcast, so that the rows of none of them meet in one task."""
+    hot = sizes.where(F.col(size) > limit)
+    if hot.isEmpty():
+        return rows.join(sizes, key)
+    few = F.broadcast(hot)
+    return rows.join(few, key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(sizes.where(F.col(size) <= limit), key))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -142,12 +136,15 @@ def components(edges: DataFrame) -> DataFrame:
     loops = pair.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("component"))
     state = cut(pair.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
-    def stars(e: DataFrame, large: bool) -> DataFrame:
+    def both_ways(e: DataFrame) -> DataFrame:
+        return e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+    def stars(e: DataFrame, large: bool, hot: bool) -> DataFrame:
         """Large star: larger neighbours of a node point to its least neighbour (or itself).
         Small star: the node and its smaller neighbours point to the least of them."""
-        around = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e
-        least = around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        both = around.join(least, "a")
+        around = both_ways(e) if large else e
+        least = around.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("size")).select("a", F.least("a", "m").alias("m"), "size")
+        both = meet(around, cut(least), "a", "size", limit) if hot else around.join(least, "a")
         if large:
             out = both.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
@@ -155,12 +152,17 @@ def components(edges: DataFrame) -> DataFrame:
         return out.where("a <> b").distinct()
 
     def mark(e: DataFrame):
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        """Number and hash of the edges, neighbours of the node that has most."""
+        ends = both_ways(e.select("a", "b")).groupBy("a").agg(F.count("*").alias("n"), F.sum(F.when(F.col("a") > F.col("b"), F.xxhash64("a", "b").cast("decimal(38,0)"))).alias("h"))
+        return tuple(ends.agg(F.coalesce(F.sum("n"), F.lit(0)), F.sum("h"), F.max("n")).first())
 
     seen = mark(state)
+    limit = hot_limit(seen[0])
     while seen[0]:
-        state = cut(stars(stars(state, True), False))
-        now = mark(state)
+        hot = seen[2] > limit
+        new = cut(stars(stars(state, True, hot), False, hot))
+        forget(state)
+        state, now = new, mark(new)
         if now == seen:
             break
         seen = now
