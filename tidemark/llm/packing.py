@@ -12,6 +12,7 @@ from __future__ import annotations
 from bisect import bisect_right
 from fractions import Fraction
 from math import lcm
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -20,18 +21,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import BLOCK_BYTES, cut, piece_hashes, slices
 
 MAX_TOKENS, END_ID, VOCABULARY = 2048, 1, "word_bpe_49k.json"
-#: Entries of each of a worker's two caches (words, their letters), which are emptied when full.
+#: Words whose ids a worker remembers; forgotten all at once when there are more.
 CACHE_ENTRIES = 400_000
+#: Bytes of text that a worker tokenizes at once.
+SLICE_BYTES = 4 << 20
 _TAIL = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+#: Kinds of bytes: 0 white space, 1 ASCII letter or digit, 2 other ASCII, 3 part of another character.
+_KIND = np.array([3 if b > 127 else 0 if b in b" \t\n\x0b\x0c\r" else 1 if chr(b).isalnum() else 2 for b in range(256)], np.uint8)
 _TOKENIZERS: dict[str, Tokens] = {}
 
 
 class Tokens:
-    """Ids of whole texts. The vocabulary drops white space and never joins across it, so texts are
-    split at blanks and each word is tokenized once. Ids are kept as two or four bytes each."""
+    """Ids of whole texts. The vocabulary lower-cases, drops white space and never joins across it, nor an
+    ASCII letter or digit with a sign after it. So texts are cut there into pieces, equal pieces of a slice
+    are found by their hashes, and only pieces that are not remembered go through the tokenizer, which does
+    all the rest (composing, lower-casing). Hashes have 64 bits and meet only within a slice."""
 
     def __init__(self, path: str):
         import os
@@ -44,57 +51,95 @@ class Tokens:
         self.dtype = np.dtype("<u2" if max(ids.values()) < 1 << 16 else "<u4")
         self.ends = np.zeros(max(ids.values()) + 1, bool)
         self.ends[[v for k, v in ids.items() if k.endswith("</w>")]] = True
-        self.words: dict[bytes, bytes] = {}
-        self.letters: dict[str, bytes] = {}
+        self.added = [t.content.lower().encode() for t in self.model.get_added_tokens_decoder().values()]
+        self.forget()
 
-    def pack(self, ids) -> bytes:
-        return np.asarray(ids, self.dtype).tobytes()
+    def forget(self) -> None:
+        """Places of remembered pieces, and their ids one after another from start[place] to start[place + 1]."""
+        self.place: dict[bytes, int] = {}
+        self.start, self.ids = np.zeros(1, np.int64), np.zeros(0, self.dtype)
 
-    def each(self, words: list[str]) -> list[bytes]:
-        return [self.pack(e.ids) for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
+    def each(self, words: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, self.dtype) for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
 
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.words) + len(words) > CACHE_ENTRIES:
-            self.words.clear()
-        if len(self.letters) > CACHE_ENTRIES:
-            self.letters.clear()
-        plain, other, tails = {}, [], set()
+    def learn(self, words: list[bytes]) -> None:
+        plain, other, tails = {}, [], {}
         for w in words:
             core = w.rstrip(_TAIL)
-            low = core.decode("utf-8", "replace").lower()
-            if low.isalpha():
-                plain[w] = low
-                tails.add(w[len(core) :])
+            letters = core.decode("utf-8", "replace")
+            if letters.isalpha() and (letters.isascii() or normalize("NFC", letters).lower().isalpha()):
+                plain[w] = letters
+                tails[w[len(core) :]] = None
             else:
                 other.append(w)
-        new = list({x for x in plain.values() if x not in self.letters})
-        for at in range(0, len(new), 1000):
-            part = new[at : at + 1000]
-            ids = np.array(self.model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids)
+        cores, known = list(dict.fromkeys(plain.values())), {}
+        for at in range(0, len(cores), 1000):
+            part = cores[at : at + 1000]
+            ids = np.array(self.model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
             cuts = np.flatnonzero(self.ends[ids]) + 1
-            whole = len(cuts) == len(part)
-            self.letters.update(zip(part, (self.pack(x) for x in np.split(ids, cuts[:-1])) if whole else self.each(part), strict=True))
+            if len(cuts) == len(part):  # one end of a word for each
+                edge = [0, *cuts.tolist()]
+                known.update((w, ids[i:j]) for w, i, j in zip(part, edge[:-1], edge[1:], strict=True))
+            else:
+                known.update(zip(part, self.each(part), strict=True))
         tail = dict(zip(tails, self.each([t.decode() for t in tails]), strict=True))
-        for w, low in plain.items():
-            self.words[w] = self.letters[low] + tail[w[len(w.rstrip(_TAIL)) :]]
-        self.words.update(zip(other, self.each([w.decode("utf-8", "replace") for w in other]), strict=True))
+        found = [np.concatenate((known[c], tail[w[len(w.rstrip(_TAIL)) :]])) if w[-1] in _TAIL else known[c] for w, c in plain.items()]
+        found += self.each([w.decode("utf-8", "replace") for w in other])
+        first = len(self.place)
+        self.place.update(zip([*plain, *other], range(first, first + len(found)), strict=True))
+        self.start = np.concatenate((self.start, self.start[-1] + np.cumsum([len(x) for x in found], dtype=np.int64)))
+        self.ids = np.concatenate((self.ids, *found))
+
+    def block(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts of the pieces of a block of bytes, numbers of their ids, and all ids."""
+        kind = np.zeros(len(data) + 2, np.uint8)
+        kind[1:-1] = _KIND[data]
+        sign = (kind[:-1] == 1) & (kind[1:] == 2)
+        starts = np.flatnonzero((kind[1:-1] > 0) & ((kind[:-2] == 0) | sign[:-1]))
+        ends = np.flatnonzero((kind[1:-1] > 0) & ((kind[2:] == 0) | sign[1:])) + 1
+        if not len(starts):
+            return starts, np.zeros(0, np.int64), np.zeros(0, self.dtype)
+        _, first, which = np.unique(piece_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        low = data.tobytes().lower()
+        words = [low[i:j] for i, j in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        new = list(dict.fromkeys(w for w in words if w not in self.place))
+        if len(self.place) + len(new) > CACHE_ENTRIES:
+            self.forget()
+            new = list(dict.fromkeys(words))
+        if new:
+            self.learn(new)
+        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        n, begin = (self.start[at + 1] - self.start[at])[which], self.start[at][which]
+        before = np.cumsum(n) - n
+        return starts, n, self.ids[np.repeat(begin - before, n) + np.arange(n.sum())]
+
+    def texts(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each text. Texts that spell an added token of the vocabulary go through the tokenizer whole,
+        as such a token is cut out before all else."""
+        if not texts:
+            return []
+        whole = {}
+        if any(a in b" ".join(texts).lower() for a in self.added):
+            whole = {i: t for i, t in enumerate(texts) if any(a in t.lower() for a in self.added)}
+            texts = [b"" if i in whole else t for i, t in enumerate(texts)]
+        size = np.array([len(t) + 1 for t in texts], np.int64)
+        data, edge = np.frombuffer(b" ".join(texts) + b" ", np.uint8), np.cumsum(size) - size
+        total, ids, at = np.zeros(len(texts), np.int64), [], 0
+        while at < len(data):
+            end = min(len(data), at + BLOCK_BYTES)
+            while _KIND[data[end - 1]] and end < len(data):
+                end += 1
+            starts, n, found = self.block(data[at:end])
+            total += np.bincount(np.searchsorted(edge, starts + at, "right") - 1, n, len(texts)).astype(np.int64)
+            ids.append(found)
+            at = end
+        out = np.split(np.concatenate(ids), np.cumsum(total)[:-1])
+        for i, x in zip(whole, self.each([t.decode("utf-8", "replace") for t in whole.values()]), strict=True):
+            out[i] = x
+        return out
 
     def text(self, text: str) -> bytes:
-        words = text.encode("utf-8", "replace").split()
-        try:
-            return b"".join(map(self.words.__getitem__, words))
-        except KeyError:
-            out = []
-            for at in range(0, len(words), 50_000):  # a very long text may hold more words than the cache
-                part = words[at : at + 50_000]
-                missing = {w for w in part if w not in self.words}
-                if missing:
-                    self.learn(missing)
-                    missing = {w for w in part if w not in self.words}
-                    if missing:
-                        self.learn(missing)
-                out.append(b"".join(map(self.words.__getitem__, part)))
-            return b"".join(out)
+        return self.texts([text.encode("utf-8", "replace")])[0].tobytes()
 
 
 def _tokens(vocabulary: str) -> Tokens:
@@ -114,15 +159,17 @@ def tokenize(docs: DataFrame, text: str = "text", key: str = "doc_id", source: s
 
     def run(it):
         tokens, part, before = _tokens(vocabulary), TaskContext.get().partitionId(), {}
-        end, width = tokens.pack([end_id]), tokens.dtype.itemsize
+        end = np.array([end_id], tokens.dtype)
         for b in it:
-            sources, ids, ns, starts = b.column(1).to_pylist(), [], [], []
-            for s, t in zip(sources, b.column(2).to_pylist(), strict=True):
-                ids.append(tokens.text(t) + end)
-                ns.append(len(ids[-1]) // width)
-                starts.append(before.get(s, 0))
-                before[s] = starts[-1] + ns[-1]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary()), pa.array(ns, pa.int64()), pa.array([part] * len(ns), pa.int64()), pa.array(starts, pa.int64())], ["id", "source", "ids", "n", "part", "before"])
+            for i, j in slices(b.column(2), SLICE_BYTES):
+                rest = b.slice(i, j - i)
+                sources, ids, ns, starts = rest.column(1).to_pylist(), [], [], []
+                for s, x in zip(sources, tokens.texts([t.as_buffer().to_pybytes() for t in rest.column(2)]), strict=True):
+                    ids.append(np.concatenate((x, end)).tobytes())
+                    ns.append(len(x) + 1)
+                    starts.append(before.get(s, 0))
+                    before[s] = starts[-1] + ns[-1]
+                yield pa.RecordBatch.from_arrays([rest.column(0), rest.column(1), pa.array(ids, pa.binary()), pa.array(ns, pa.int64()), pa.array([part] * len(ns), pa.int64()), pa.array(starts, pa.int64())], ["id", "source", "ids", "n", "part", "before"])
 
     return rows.mapInArrow(run, T.StructType([rows.schema["id"], *schema.fields]))
 
