@@ -39,12 +39,15 @@ def _grams(text: bytes) -> list[np.ndarray]:
 
 def vector(text: str) -> np.ndarray:
     """Square roots of hashed n-gram shares of a whole text, of unit length; zero for no letters.
-    Long texts are counted in blocks, so memory is bounded."""
-    data = b" " + b" ".join(text.lower().encode("utf-8", "replace").translate(_WORDS).split()) + b" "
-    counts = np.zeros((len(ORDERS), 1 << DIM_BITS))
-    for at in range(0, len(data), 1 << 20):
-        for i, g in enumerate(_grams(data[at : at + (1 << 20) + ORDERS[-1] - 1])):
-            counts[i] += np.bincount(g[: 1 << 20], minlength=1 << DIM_BITS)
+    Texts are prepared and counted in blocks, so memory is bounded."""
+    counts, rest = np.zeros((len(ORDERS), 1 << DIM_BITS)), b" "
+    for at in range(0, len(text), 1 << 18):
+        data = text[at : at + (1 << 18)].lower().encode("utf-8", "replace").translate(_WORDS)
+        # A word that a block cuts goes on without a blank.
+        data = rest + (b"" if rest.endswith(b" ") or not data.startswith(b" ") else b" ") + b" ".join(data.split()) + (b" " if data.endswith(b" ") or at + (1 << 18) >= len(text) else b"")
+        for i, g in enumerate(_grams(data)):
+            counts[i] += np.bincount(g if at == 0 else g[max(0, len(rest) - ORDERS[i] + 1) :], minlength=1 << DIM_BITS)
+        rest = data[-(ORDERS[-1] - 1) :]
     total = counts.sum(axis=1, keepdims=True)
     x = np.sqrt(counts / np.maximum(total, 1)).ravel().astype(np.float32)
     return x / max(float(np.sqrt((x * x).sum())), 1e-9)
@@ -101,7 +104,9 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
 
     def vectors(it):
         for b in it:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([vector(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["lang", "x"])
+            for at in range(0, b.num_rows, AT_ONCE):
+                part = b.slice(at, AT_ONCE)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([vector(t.as_py()).tobytes() for t in part.column(1)], pa.binary())], ["lang", "x"])
 
     sample = rows.where(F.col("u") < shares[F.col("lang")]).select("lang", "text").mapInArrow(vectors, schema).toPandas()
     languages = sorted(counts)
@@ -133,39 +138,40 @@ def _train(x: np.ndarray, y: np.ndarray, group: np.ndarray, steps: int) -> tuple
     return w, b, (1 - np.minimum(error, 0.5) * 2 + 1e-3).astype(np.float32)
 
 
-RESULT = [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("runner_up", T.DoubleType()), ("ambiguous", T.BooleanType())]
+RESULT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("runner_up", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
+#: Texts that are vectors at the same time.
+AT_ONCE = 64
 
 
 def detect(docs: DataFrame, model: Model | None, text: str = "text", margin: float = 0.2) -> DataFrame:
     """The columns of docs in a struct `row`, and lang_pred, score, runner_up, ambiguous (the two best
     shares are closer than margin). A text that is NULL or has no letter, and any text if there is no
-    model, is `und` with score 0 and not ambiguous. Each row is judged alone, whole, whatever other
-    columns docs has; an empty table gives an empty result."""
-    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("body"))
-    boxed = boxed.select("row", "body", F.coalesce(F.col("body").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
-    schema = T.StructType([boxed.schema["row"], *[T.StructField(n, k) for n, k in RESULT]])
+    model, is `und` with score 0 and not ambiguous. At equal shares the language that comes first by name
+    is taken, and marked ambiguous. Each row is judged alone, so repeated rows are judged alike; texts of
+    any length are read whole, in blocks. Only the text goes through Python, whatever other columns docs
+    has and however they are named; an empty table gives an empty result."""
+    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    body = F.col("row").getField(text)
     shared = boxed.sparkSession.sparkContext.broadcast(model)
 
-    def judge(it):
-        own = shared.value
-        for b in it:
-            texts, letters = b.column(1).to_pylist(), b.column(2).to_pylist()
-            name, score, second = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
-            at = [i for i, ok in enumerate(letters) if ok and own is not None]
-            for lo in range(0, len(at), 64):
-                part = at[lo : lo + 64]
-                best, p, q = own.decode(np.stack([vector(texts[i]) for i in part]))
-                for i, k in zip(part, best, strict=True):
-                    name[i] = own.languages[k]
-                score[part], second[part] = p, q
-            close = [bool(n != UNKNOWN and a - z < margin) for n, a, z in zip(name, score, second, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(name, pa.string()), pa.array(score), pa.array(second), pa.array(close)], ["row", *[n for n, _ in RESULT]])
+    @F.arrow_udf(RESULT)
+    def judge(texts: pa.Array) -> pa.Array:
+        own, n = shared.value, len(texts)
+        name, score, second = np.full(n, UNKNOWN, object), np.zeros(n), np.zeros(n)
+        at = np.flatnonzero(texts.is_valid().to_numpy(zero_copy_only=False)) if own is not None else []
+        for lo in range(0, len(at), AT_ONCE):
+            part = at[lo : lo + AT_ONCE]
+            best, score[part], second[part] = own.decode(np.stack([vector(texts[i].as_py()) for i in part.tolist()]))
+            name[part] = np.array(own.languages, object)[best]
+        close = (name != UNKNOWN) & (score - second < margin)
+        return pa.StructArray.from_arrays([pa.array(name, pa.string()), pa.array(score), pa.array(second), pa.array(close)], RESULT.names)
 
-    return boxed.mapInArrow(judge, schema)
+    return boxed.withColumn("v", judge(F.when(body.rlike(r"\p{L}"), body))).select("row", "v.*")
 
 
 def filter_language(docs: DataFrame, model: Model | None, text: str = "text", min_score: float = 0.5) -> DataFrame:
-    """The rows of docs, all columns, whose language is known and not ambiguous."""
+    """The rows of docs, all columns, whose language is known and not ambiguous. A NULL, empty or letterless
+    text goes; repeated rows stay or go together; see `detect`."""
     return detect(docs, model, text).where((F.col("lang_pred") != UNKNOWN) & ~F.col("ambiguous") & (F.col("score") >= min_score)).select("row.*")
 
 
