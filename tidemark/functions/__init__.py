@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import html as entities
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -90,20 +92,30 @@ def squeeze(text: Column | str) -> Column:
     return F.trim(F.regexp_replace(col(text), r"\s+", " "))
 
 
-#: Character references that strip_html decodes, the ampersand last.
-REFERENCES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"), ("&ndash;", "–"), ("&mdash;", "—"), ("&rsquo;", "’"), ("&lsquo;", "‘"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&hellip;", "…"), ("&amp;", "&"))
+@F.arrow_udf("string")
+def unescape(texts: pa.Array) -> pa.Array:
+    """Texts with all character references of HTML decoded, named and numeric, once."""
+    return pa.array([None if t is None else entities.unescape(t) for t in texts.to_pylist()], pa.string())
 
 
 def strip_html(html: Column | str, keep_bodies: bool = False) -> Column:
-    """Text of a page: script and style bodies out (unless keep_bodies), tags to blanks, common
-    character references decoded, white space squeezed."""
+    """Text of a page: script and style bodies out (unless keep_bodies), tags to blanks, character
+    references decoded, white space squeezed. Only texts with references leave the JVM."""
     t = col(html)
     if not keep_bodies:
         t = F.regexp_replace(t, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", " ")
     t = F.regexp_replace(t, r"(?s)<[^>]+>", " ")
-    for name, char in REFERENCES:
-        t = F.replace(t, F.lit(name), F.lit(char))
-    return squeeze(t)
+    return squeeze(F.coalesce(unescape(F.when(t.contains("&"), t)), t))
+
+
+def title_case(code: Column | str) -> Column:
+    """A code such as annual_report as a title."""
+    return F.initcap(F.replace(col(code), F.lit("_"), F.lit(" ")))
+
+
+def announced_at(accepted: Column | str, filed: Column | str) -> Column:
+    """The time of acceptance; 20:05 of the filing day where it is missing."""
+    return F.coalesce(col(accepted), F.to_timestamp(F.concat(F.date_format(col(filed), "yyyy-MM-dd"), F.lit(" 20:05:00"))))
 
 
 #: Suffixes of amounts and what they multiply by.

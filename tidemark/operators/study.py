@@ -11,18 +11,20 @@ from .. import functions as fx
 from . import series as ts
 from .panel import small
 
+#: Fixed value: names of exhibits 99: "ex", perhaps a separator, "99", or "99" and "1"; no letter beside.
 EXHIBIT = r"(?:^|[^a-z])(?:ex[-_ ]?99|99(?:\.|_|-)?1)(?:[^a-z]|$)"
+#: Where all rows of these studies come from.
+DATA_TIER = "public_proxy"
 
 
 def select_documents(docs: DataFrame, most: int = 3, primary: str = "main.htm") -> DataFrame:
-    """Up to `most` documents of each filing (filing, doc_id, name, text) with .htm, .html or .txt names:
-    exhibits first, then others, then the primary, which always stays; text without markup."""
+    """Exhibits and the primary document of each filing (filing, doc_id, name, text) with .htm, .html or .txt
+    names: the first `most` by name, exhibits before the primary, which always stays; text without markup."""
     name = F.lower("name")
-    exhibit = name.rlike(EXHIBIT)
-    able = docs.where(name.rlike(r"\.(htm|html|txt)$"))
-    rank = F.when(exhibit, 0).when(F.col("name") == primary, 2).otherwise(1)
-    w = Window.partitionBy("filing").orderBy(rank, "doc_id")
-    kept = able.withColumn("place", F.row_number().over(w)).where((F.col("place") <= most) | (F.col("name") == primary))
+    exhibit, main = name.rlike(EXHIBIT), name == primary.lower()
+    able = docs.where(F.col("name").rlike(r"\.(htm|html|txt)$") & (exhibit | main))
+    w = Window.partitionBy("filing").orderBy(main.cast("int"), name, "doc_id")
+    kept = able.withColumn("place", F.row_number().over(w)).where((F.col("place") <= most) | (F.lower("name") == primary.lower()))
     return kept.select("filing", "doc_id", "name", "place", F.when(exhibit, "press_release").otherwise("primary_filing").alias("source_type"), fx.strip_html("text").alias("text"))
 
 
@@ -43,10 +45,25 @@ def classify_filings(bundles: DataFrame, groups: Mapping[str, Sequence[str]], in
     return rows.select("filing", family.alias("family"), score.alias("score"), "amount", "per_share", *groups, matched.alias("matched"), "title").where("family IS NOT NULL")
 
 
+def describe_candidates(classified: DataFrame, filings: DataFrame, documents: DataFrame) -> DataFrame:
+    """Classified filings with form, filing day, time of announcement (20:05 where acceptance is unknown),
+    addresses of their documents, title (the description where there is no text, else the form), data_tier."""
+    urls = documents.groupBy("filing").agg(F.array_sort(F.collect_list(F.struct("place", F.concat_ws("/", F.col("filing").cast("string"), "name").alias("url")))).alias("u"))
+    rows = classified.join(filings, "filing").join(urls, "filing")
+    title = F.coalesce(F.nullif("title", F.lit("")), F.nullif("description", F.lit("")), "form")
+    return rows.select(*[c for c in classified.columns if c != "title"], "form", "filed", fx.announced_at("accepted", "filed").alias("announced_ts"), F.transform("u", lambda x: x["url"]).alias("urls"), title.alias("title"), F.lit(DATA_TIER).alias("data_tier"))
+
+
+def excluded(candidates: DataFrame, overlay: DataFrame, exclusions: DataFrame) -> DataFrame:
+    """Days of candidates and overlay that exclusions take out, with their reasons."""
+    days = candidates.select("ticker", "announced").unionByName(overlay.select("ticker", "announced")).distinct()
+    return days.join(exclusions.groupBy("ticker", "announced").agg(F.min("reason").alias("reason")), ["ticker", "announced"])
+
+
 def apply_overlay(candidates: DataFrame, overlay: DataFrame, firms: DataFrame, exclusions: DataFrame) -> DataFrame:
     """Ledger of (ticker, announced): the best candidate (score, then event_id) of a day, fields replaced
-    by the overlay where it has them; overlay rows without a candidate come in with score 100; excluded
-    days go; each firm keeps target_count rows, manual ones first, then by score and day."""
+    by the overlay where it has them; overlay rows without a candidate come in with score 100 and their
+    family as title; excluded days go; each firm keeps target_count rows, manual ones first, then by score and day."""
     best = candidates.groupBy("ticker", "announced").agg(F.min_by(F.struct("event_id", "family", "amount", "score"), F.struct(-F.col("score"), F.col("event_id"))).alias("c")).select("ticker", "announced", "c.*")
     o = overlay.select("ticker", "announced", F.col("family").alias("o_family"), F.col("amount").alias("o_amount"), F.lit(True).alias("manual"))
     both = best.join(o, ["ticker", "announced"], "full_outer")
@@ -55,6 +72,7 @@ def apply_overlay(candidates: DataFrame, overlay: DataFrame, firms: DataFrame, e
         "ticker", "announced", F.coalesce("event_id", F.concat_ws("-", "ticker", F.date_format("announced", "yyyyMMdd"), "o_family")).alias("event_id"), F.coalesce("o_family", "family").alias("family"), F.coalesce("o_amount", "amount").alias("amount"),
         F.when(fresh, 100).otherwise(F.col("score")).alias("score"), F.when(fresh, "manual_seed").when(F.col("manual"), "manual_enriched").otherwise("auto_discovered").alias("status"),
     )
+    rows = rows.withColumn("title", F.when(F.col("status") == "manual_seed", fx.title_case("family"))).withColumn("data_tier", F.lit(DATA_TIER))
     rows = rows.join(exclusions.select("ticker", "announced"), ["ticker", "announced"], "left_anti").join(small(firms.select("ticker", "target_count")), "ticker")
     w = Window.partitionBy("ticker").orderBy(F.col("status").startswith("manual").cast("int").desc(), F.desc("score"), "announced", "event_id")
     return rows.withColumn("k", F.row_number().over(w)).where("k <= target_count").drop("k", "target_count")

@@ -66,7 +66,7 @@ def _summary(v):
     return ts.performance(_strategies(v), ["symbol", "strategy"]).withColumn("strategy", F.concat_ws("/", "symbol", "strategy")).drop("symbol")
 
 
-_NAMES = [f"{s}/{k}" for s in ("AUTOMOBILE", "BUILDING") for k in ("hold", "vol_target")]
+_NAMES = [f"{s}/{k}" for s in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY") for k in ("hold", "vol_target")]
 _LONG = "lg AS (UNPIVOT (SELECT symbol || '/' || strategy AS strategy, " + ", ".join(f"{m}::DOUBLE AS {m}" for m in pn.METRICS) + f" FROM s) ON {', '.join(pn.METRICS)} INTO NAME metric VALUE value)"
 
 
@@ -172,10 +172,6 @@ def block_bootstrap_ci(v, spark, sf):
     return pn.intervals(pn.block_bootstrap(_strategies(v), part, RESAMPLES, BLOCK, SEED), part)
 
 
-#: Daily reconstructions of three past episodes, moved into the period of the tables.
-_SEEDS = [("svb_contagion", "sovereign", "1996-02-15", "1996-03-08", "1996-03-24", 0.04, 0.42, 0.03), ("autumn_selloff", "monetary", "1997-09-20", "1997-10-24", "1997-11-10", 0.03, 0.31, 0.02), ("pandemic_crash", "sovereign", "1999-01-20", "1999-03-16", "1999-04-15", 0.02, 0.88, 0.02)]
-
-
 @query(
     f"SELECT event_id, d, {R('CASE WHEN d <= peak_date THEN b + (p - b) * u * u * (3 - 2 * u) ELSE p + (t - p) * w * w * (3 - 2 * w) END', 'probability')} FROM (SELECT *, greatest(0, least(1, date_diff('day', start_date, d) / greatest(date_diff('day', start_date, peak_date), 1)::DOUBLE)) AS u, greatest(0, least(1, date_diff('day', peak_date, d) / greatest(date_diff('day', peak_date, end_date), 1)::DOUBLE)) AS w FROM (SELECT *, CAST(unnest(generate_series(start_date, end_date, INTERVAL 1 DAY)) AS DATE) AS d FROM (SELECT event_id, min(d) AS start_date, CAST(min(d) + INTERVAL 30 DAY AS DATE) AS peak_date, CAST(min(d) + INTERVAL 90 DAY AS DATE) AS end_date, min(probability) / 2 AS b, max(probability) AS p, min(probability) AS t FROM probs GROUP BY event_id)))",
     ("probs",), "d",

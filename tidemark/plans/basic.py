@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as fx
 from ..operators import series as ts
+from ..operators import study as sd
 from .bindings import rounded, view, with_views
 
 QUERIES: dict = {}
@@ -64,7 +65,7 @@ def filter_score_threshold(v, spark, sf):
     return v("filing_docs").select("doc_id", fx.keyword_count("text", ["the"]).cast("long").alias("score")).where("score >= 20")
 
 
-_EX99 = r"(?:^|[^a-z])(?:ex[-_ ]?99|99(?:\.|_|-)?1)(?:[^a-z]|$)"
+_EX99 = sd.EXHIBIT
 
 
 @query(f"SELECT doc_id, name, regexp_matches(lower(name), '{_EX99}') AS exhibit FROM filing_docs WHERE ends_with(name, '.htm') OR ends_with(name, '.html') OR regexp_matches(lower(name), '{_EX99}')", ("filing_docs",))
@@ -532,9 +533,13 @@ def str_keyword_count(v, spark, sf):
     return table(spark, sf, "documents").select("doc_id", fx.keyword_count("text", ["the", "der"]).alias("n"))
 
 
+#: The character references that the given pages use, the ampersand last.
+_REFERENCES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&ndash;", "–"), ("&mdash;", "—"), ("&rsquo;", "’"), ("&hellip;", "…"), ("&amp;", "&"))
+
+
 def _html_sql() -> str:
     t = r"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>', ' ', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g')"
-    for a, b in fx.REFERENCES:
+    for a, b in _REFERENCES:
         t = f"replace({t}, '{a}', '{b if b != chr(39) else chr(39) * 2}')"
     return rf"SELECT page_id, trim(regexp_replace({t}, '\s+', ' ', 'g')) AS text FROM pages"
 

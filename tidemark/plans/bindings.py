@@ -26,7 +26,12 @@ SQL = {
     "facts": f"SELECT c_mktsegment AS symbol, tag, CAST(date_trunc('quarter', {_DAY}) AS DATE) AS start_d, CAST(date_trunc('quarter', {_DAY}) + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) AS end_d, "
     f"CAST(date_trunc('quarter', {_DAY}) + INTERVAL 4 MONTH AS DATE) AS filed, CAST(count(*) * CASE tag WHEN 'revenue' THEN 1000000 WHEN 'operating_income' THEN 100000 WHEN 'capex' THEN 80000 ELSE 50000 END AS DOUBLE) AS val "
     f"FROM {_ALL} CROSS JOIN (SELECT 'revenue' AS tag UNION ALL SELECT 'operating_income' UNION ALL SELECT 'capex' UNION ALL SELECT 'repurchases') t GROUP BY c_mktsegment, tag, date_trunc('quarter', {_DAY})",
-    "filing_docs": "SELECT CAST(floor(doc_id / CAST(3 AS DOUBLE)) AS BIGINT) AS filing, doc_id, CASE doc_id % 3 WHEN 0 THEN 'ex99-1.htm' WHEN 1 THEN 'main.htm' ELSE 'notes.txt' END AS name, text FROM documents",
+    "filing_docs": "SELECT 4 * CAST(floor(doc_id / CAST(14 AS DOUBLE)) AS BIGINT) + CASE WHEN doc_id % 14 < 6 THEN 0 WHEN doc_id % 14 < 10 THEN 1 WHEN doc_id % 14 < 12 THEN 2 ELSE 3 END AS filing, doc_id, "
+    "CASE WHEN doc_id % 14 IN (0, 6, 10, 12) THEN 'main.htm' WHEN doc_id % 14 IN (1, 7, 11, 13) THEN 'ex99-1.htm' WHEN doc_id % 14 IN (2, 8) THEN 'notes.txt' WHEN doc_id % 14 IN (3, 9) THEN 'EX-99_2.html' WHEN doc_id % 14 = 4 THEN '99.1.txt' ELSE 'ex99-3.htm' END AS name, text FROM documents",
+    "filings": "SELECT filing, form, filed, CASE WHEN filing % 3 = 0 THEN NULL ELSE CAST(filed AS TIMESTAMP) + INTERVAL 18 HOUR END AS accepted, CASE WHEN filing % 2 = 0 THEN 'current report' ELSE '' END AS description FROM ("
+    "SELECT filing, CASE WHEN filing % 4 = 3 THEN '10-Q' ELSE '8-K' END AS form, DATE '1995-01-01' + CAST(filing * 7 % 2400 AS INTEGER) AS filed FROM ("
+    "SELECT DISTINCT 4 * CAST(floor(doc_id / CAST(14 AS DOUBLE)) AS BIGINT) + CASE WHEN doc_id % 14 < 6 THEN 0 WHEN doc_id % 14 < 10 THEN 1 WHEN doc_id % 14 < 12 THEN 2 ELSE 3 END AS filing FROM documents) f) g",
+    "exclusions": f"SELECT c_mktsegment AS ticker, {_DAY} AS announced, concat('closing_', CAST(month({_DAY}) AS VARCHAR(2))) AS reason FROM {_ALL} WHERE day({_DAY}) >= 28 GROUP BY c_mktsegment, {_DAY}",
     "texts": "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'AUTOMOBILE' WHEN 1 THEN 'BUILDING' WHEN 2 THEN 'FURNITURE' WHEN 3 THEN 'MACHINERY' ELSE 'HOUSEHOLD' END AS ticker, DATE '1995-01-01' + CAST(doc_id * 37 % 2400 AS INTEGER) AS d, text FROM documents",
     "firms": "SELECT * FROM (VALUES ('AUTOMOBILE', 'Automobile', 'standard', 30), ('BUILDING', 'Building', 'standard', 40), ('FURNITURE', 'Furniture', 'internal_reallocation', 50), ('MACHINERY', 'Machinery', 'standard', 60), ('HOUSEHOLD', 'Household', 'standard', 100)) AS f(ticker, name, variant, target_count)",
 }

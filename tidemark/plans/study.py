@@ -202,35 +202,56 @@ def feature_panel(v, spark, sf):
 # Ledger
 
 
-@query("SELECT filing, doc_id, name, CASE WHEN name = 'ex99-1.htm' THEN 'press_release' ELSE 'primary_filing' END AS source_type FROM filing_docs", ("filing_docs",))
-def select_documents(v, spark, sf):
-    return sd.select_documents(v("filing_docs")).select("filing", "doc_id", "name", "source_type")
-
+_SEL = f"""
+sl AS (SELECT filing, doc_id, name, text, ex, k FROM (SELECT *, row_number() OVER (PARTITION BY filing ORDER BY (lower(name) = 'main.htm')::INT, lower(name), doc_id) AS k
+  FROM (SELECT *, regexp_matches(lower(name), '{sd.EXHIBIT}') AS ex FROM filing_docs) WHERE (ends_with(name, '.htm') OR ends_with(name, '.html') OR ends_with(name, '.txt')) AND (ex OR lower(name) = 'main.htm')) WHERE k <= 3 OR lower(name) = 'main.htm')"""
 
-def _classified(v):
-    return sd.classify_filings(sd.select_documents(v("filing_docs")), GROUPS, F.col("filing") % 5 == 2)
 
-
-_CL = rf"""
-bd AS (SELECT filing, lower(string_agg(t, ' ' ORDER BY p) FILTER (WHERE t <> '')) AS t, bool_or(name = 'ex99-1.htm') AS release FROM (SELECT filing, name, CASE name WHEN 'ex99-1.htm' THEN 0 WHEN 'main.htm' THEN 2 ELSE 1 END AS p, trim(regexp_replace(regexp_replace(text, '(?s)<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM filing_docs) GROUP BY filing),
-ct AS (SELECT filing, release, {", ".join(f"{_count('t', w)} AS {g}" for g, w in GROUPS.items())}, CAST(nullif(regexp_extract(t, '(\d+(?:\.\d+)?)\s*(?:per\s+share|/share)', 1), '') AS DOUBLE) AS per_share FROM bd WHERE t <> ''),
-cl AS (SELECT *, CASE WHEN filing % 5 = 2 AND internal_reallocation > 0 THEN 'internal_reallocation' WHEN buyback > 0 AND (dividend > 0 OR per_share IS NOT NULL) THEN 'dual_announcement' WHEN buyback > 0 THEN 'buyback_authorization' WHEN dividend > 0 OR per_share IS NOT NULL THEN 'dividend_announcement' WHEN split > 0 THEN 'signal_reset' END AS family,
-  CAST(2 * (per_share IS NOT NULL)::INT + 2 * buyback + 2 * dividend + split + 2 * internal_reallocation + release::INT AS INTEGER) AS score FROM ct)"""
+@query(f",{_SEL}\nSELECT filing, doc_id, name, k::INT AS place, CASE WHEN ex THEN 'press_release' ELSE 'primary_filing' END AS source_type FROM sl", ("filing_docs",))
+def select_documents(v, spark, sf):
+    return sd.select_documents(v("filing_docs")).select("filing", "doc_id", "name", "place", "source_type")
 
 
-@query(f",{_CL}\nSELECT filing, family, score, {R('per_share', 'per_share')}, buyback::INT AS buyback, dividend::INT AS dividend, split::INT AS split, internal_reallocation::INT AS internal_reallocation FROM cl WHERE family IS NOT NULL", ("filing_docs",))
+def _classified(v):
+    documents = sd.select_documents(v("filing_docs"))
+    found = sd.classify_filings(documents, GROUPS, F.col("filing") % 5 == 2)
+    return sd.describe_candidates(found, v("filings"), documents)
+
+
+_NEAR = ", ".join(f"'{w}'" for w in GROUPS["buyback"])
+_SCALE = "CASE z[2] " + " ".join(f"WHEN '{a}' THEN {x}" for a, x in fx.SCALES) + " ELSE 1.0 END"
+_AMOUNT = r"'(\d+(?:\.\d+)?)\s*(trillion|tn|billion|bn|b|million|m|thousand|k)?'"
+_CL = rf"""{_SEL},
+bx AS (SELECT filing, string_agg(t, ' ' ORDER BY k) FILTER (WHERE t <> '') AS x, bool_or(ex) AS release, list('' || filing || '/' || name ORDER BY k) AS urls FROM (SELECT filing, name, ex, k, trim(regexp_replace(regexp_replace(text, '(?s)<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM sl) GROUP BY filing),
+bd AS (SELECT filing, x, lower(x) AS t, release, urls FROM bx WHERE x <> ''),
+ak AS (SELECT filing, t, w, string_split(t, w) AS parts FROM bd, (SELECT unnest([{_NEAR}]) AS w)),
+ap AS (SELECT filing, t, w, unnest(list_transform(range(1, len(parts)), lambda i: list_sum(list_transform(parts[1:i], lambda y: length(y))) + (i - 1) * length(w)))::BIGINT AS p FROM ak WHERE len(parts) > 1 AND regexp_matches(t, '[0-9]')),
+aa AS (SELECT filing, substr(t, greatest(p - 120, 0) + 1, p + length(w) + 120 - greatest(p - 120, 0)) AS around FROM ap),
+af AS (SELECT filing, unnest(list_zip(regexp_extract_all(around, {_AMOUNT}, 1), regexp_extract_all(around, {_AMOUNT}, 2))) AS z FROM aa),
+am AS (SELECT filing, max(CAST(z[1] AS DOUBLE) * {_SCALE}) AS amount FROM af GROUP BY filing HAVING max(CAST(z[1] AS DOUBLE) * {_SCALE}) >= 1e6),
+ct AS (SELECT bd.filing, x, release, urls, amount, {", ".join(f"{_count('t', w)} AS {g}" for g, w in GROUPS.items())}, CAST(nullif(regexp_extract(t, '(\d+(?:\.\d+)?)\s*(?:per\s+share|/share)', 1), '') AS DOUBLE) AS per_share FROM bd LEFT JOIN am ON am.filing = bd.filing),
+cl AS (SELECT *, CASE WHEN filing % 5 = 2 AND internal_reallocation > 0 THEN 'internal_reallocation' WHEN (buyback > 0 OR amount IS NOT NULL) AND (dividend > 0 OR per_share IS NOT NULL) THEN 'dual_announcement' WHEN buyback > 0 OR amount IS NOT NULL THEN 'buyback_authorization' WHEN dividend > 0 OR per_share IS NOT NULL THEN 'dividend_announcement' WHEN split > 0 THEN 'signal_reset' END AS family,
+  CAST(4 * (amount IS NOT NULL)::INT + 2 * (per_share IS NOT NULL)::INT + 2 * buyback + 2 * dividend + split + 2 * internal_reallocation + release::INT AS INTEGER) AS score FROM ct)"""
+
+
+@query(
+    f",{_CL}\nSELECT cl.filing, family, score, {R('amount', 'amount')}, {R('per_share', 'per_share')}, buyback::INT AS buyback, dividend::INT AS dividend, split::INT AS split, internal_reallocation::INT AS internal_reallocation, form, strftime(coalesce(accepted, filed + INTERVAL 20 HOUR + INTERVAL 5 MINUTE), '%Y-%m-%d %H:%M:%S') AS announced_ts, array_to_string(urls, ' ') AS urls, "
+    "trim(regexp_replace(substr(x, 1, 180), '\\s+', ' ', 'g')) AS title, 'public_proxy' AS data_tier FROM cl JOIN filings ON filings.filing = cl.filing WHERE family IS NOT NULL",
+    ("filing_docs", "filings"),
+)
 def classify_filings(v, spark, sf):
-    return _classified(v).select("filing", "family", "score", "per_share", *GROUPS)
+    return _classified(v).select("filing", "family", "score", "amount", "per_share", *GROUPS, "form", F.date_format("announced_ts", "yyyy-MM-dd HH:mm:ss").alias("announced_ts"), F.array_join("urls", " ").alias("urls"), "title", "data_tier")
 
 
 _SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "MACHINERY", "HOUSEHOLD")
+FORMS, FIRST, LAST = ("8-K",), START, "2001-06-30"
 
 
 def _candidates(v):
-    c = _classified(v).where("score >= 4")
+    """Candidates of the forms and days asked for with a score of 4 at least."""
+    c = _classified(v).where("score >= 4").where(F.col("form").isin(*FORMS) & F.col("filed").between(_day(FIRST), _day(LAST)))
     ticker = F.get(F.array(*[F.lit(s) for s in _SEGMENTS]), (F.col("filing") % 5).cast("int"))
-    day = F.date_add(_day(START), (F.col("filing") * 7 % 2400).cast("int"))
-    return c.select(ticker.alias("ticker"), day.alias("announced"), F.concat(F.lit("F"), F.col("filing").cast("string")).alias("event_id"), "family", "amount", "score")
+    return c.select(ticker.alias("ticker"), F.col("filed").alias("announced"), F.concat(F.lit("F"), F.col("filing").cast("string")).alias("event_id"), "family", "amount", "score")
 
 
 def _overlay(v):
@@ -238,24 +259,28 @@ def _overlay(v):
 
 
 def _ledger(v):
-    gone = v("vix").join(v("firms"), how="cross").select("ticker", F.col("d").alias("announced"))
-    return sd.apply_overlay(_candidates(v), _overlay(v), v("firms"), gone)
+    return sd.apply_overlay(_candidates(v), _overlay(v), v("firms"), v("exclusions"))
 
 
 _LD = f"""
-ca AS (SELECT [{", ".join(repr(s) for s in _SEGMENTS)}][filing % 5 + 1] AS ticker, CAST(DATE '{START}' + CAST(filing * 7 % 2400 AS INTEGER) AS DATE) AS announced, 'F' || filing::VARCHAR AS event_id, family, score FROM cl WHERE family IS NOT NULL AND score >= 4),
+ca AS (SELECT [{", ".join(repr(s) for s in _SEGMENTS)}][cl.filing % 5 + 1] AS ticker, filed AS announced, 'F' || cl.filing::VARCHAR AS event_id, family, amount, score FROM cl JOIN filings g ON g.filing = cl.filing WHERE family IS NOT NULL AND score >= 4 AND form = '8-K' AND filed BETWEEN DATE '{FIRST}' AND DATE '{LAST}'),
 bc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticker, announced ORDER BY score DESC, event_id) AS k FROM ca) WHERE k = 1),
 ov AS (SELECT ticker, announced, 'buyback_authorization' AS family, max(amount) AS amount FROM ledger GROUP BY 1, 2),
-mg AS (SELECT coalesce(b.ticker, o.ticker) AS ticker, coalesce(b.announced, o.announced) AS announced, coalesce(b.event_id, o.ticker || '-' || strftime(o.announced, '%Y%m%d') || '-' || o.family) AS event_id, coalesce(o.family, b.family) AS family, o.amount, CASE WHEN b.event_id IS NULL THEN 100 ELSE b.score END AS score, CASE WHEN b.event_id IS NULL THEN 'manual_seed' WHEN o.ticker IS NOT NULL THEN 'manual_enriched' ELSE 'auto_discovered' END AS status FROM bc b FULL OUTER JOIN ov o ON b.ticker = o.ticker AND b.announced = o.announced),
-ld AS (SELECT * FROM (SELECT m.*, f.target_count, row_number() OVER (PARTITION BY m.ticker ORDER BY (status LIKE 'manual%') DESC, score DESC, announced, event_id) AS k FROM mg m JOIN firms f ON f.ticker = m.ticker WHERE announced NOT IN (SELECT d FROM vix)) WHERE k <= target_count)"""
-_LV = ("filing_docs", "ledger", "firms", "vix")
+mg AS (SELECT coalesce(b.ticker, o.ticker) AS ticker, coalesce(b.announced, o.announced) AS announced, coalesce(b.event_id, o.ticker || '-' || strftime(o.announced, '%Y%m%d') || '-' || o.family) AS event_id, coalesce(o.family, b.family) AS family, coalesce(o.amount, b.amount) AS amount, CASE WHEN b.event_id IS NULL THEN 100 ELSE b.score END AS score, CASE WHEN b.event_id IS NULL THEN 'manual_seed' WHEN o.ticker IS NOT NULL THEN 'manual_enriched' ELSE 'auto_discovered' END AS status FROM bc b FULL OUTER JOIN ov o ON b.ticker = o.ticker AND b.announced = o.announced),
+ld AS (SELECT * FROM (SELECT m.*, f.target_count, row_number() OVER (PARTITION BY m.ticker ORDER BY (status LIKE 'manual%') DESC, score DESC, m.announced, event_id) AS k FROM mg m JOIN firms f ON f.ticker = m.ticker WHERE NOT EXISTS (SELECT 1 FROM exclusions x WHERE x.ticker = m.ticker AND x.announced = m.announced)) WHERE k <= target_count)"""
+_LV = ("filing_docs", "filings", "ledger", "firms", "exclusions")
 
 
-@query(f",{_CL},{_LD}\nSELECT ticker, announced, event_id, family, {R('amount', 'amount')}, CAST(score AS INTEGER) AS score, status FROM ld", _LV, "announced")
+@query(f",{_CL},{_LD}\nSELECT ticker, announced, event_id, family, {R('amount', 'amount')}, CAST(score AS INTEGER) AS score, status, CASE WHEN status = 'manual_seed' THEN 'Buyback Authorization' END AS title, 'public_proxy' AS data_tier FROM ld", _LV, "announced")
 def apply_overlay(v, spark, sf):
     return _ledger(v)
 
 
+@query(f",{_CL},{_LD}\nSELECT m.ticker, m.announced, min(reason) AS reason FROM mg m JOIN exclusions x ON x.ticker = m.ticker AND x.announced = m.announced GROUP BY 1, 2", _LV, "announced")
+def excluded_events(v, spark, sf):
+    return sd.excluded(_candidates(v), _overlay(v), v("exclusions"))
+
+
 @query(f",{_CL},{_LD}\nSELECT f.ticker, f.target_count, count(l.event_id) AS achieved, greatest(f.target_count - count(l.event_id), 0) AS gap, greatest(count(l.event_id) - f.target_count, 0) AS overflow FROM firms f LEFT JOIN ld l ON l.ticker = f.ticker GROUP BY 1, 2", _LV)
 def gap_report(v, spark, sf):
     return sd.gap_report(_ledger(v), v("firms"))
