@@ -115,23 +115,15 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.c AS component_id, c.
 FROM documents d JOIN c ON c.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
 
 
-def _mask_sql(mask: str, name: str, at: str) -> str:
-    return " || ' ' || ".join(f"{name}[{at} + {i}]" for i, c in enumerate(mask) if c == "1")
-
-
 _WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+#: Without seeds: every alignment with enough equal tokens is looked at.
 _OP8 = f"""
-WITH i AS (SELECT DISTINCT item_id, iw, len(iw) AS n FROM (SELECT item_id, {_WORDS} AS iw FROM benchmark) WHERE len(iw) >= {decontam.MIN_TOKENS}),
-d AS (SELECT DISTINCT doc_id, w FROM (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL)),
-ip AS (SELECT *, unnest(range(1, n - {decontam.SPAN} + 2)) AS p FROM i WHERE n >= {decontam.SPAN}),
-dp AS (SELECT doc_id, w, unnest(range(1, len(w) - {decontam.SPAN} + 2)) AS p FROM d),
-si AS ({" UNION ALL ".join(f"SELECT item_id, iw, n, p, {k} AS m, {_mask_sql(m, 'iw', 'p')} AS s FROM ip" for k, m in enumerate(decontam.MASKS))}
-       UNION ALL SELECT item_id, iw, n, 1, 100 + n, array_to_string(iw, ' ') FROM i WHERE n < {decontam.SPAN}),
-sd AS ({" UNION ALL ".join(f"SELECT doc_id, w, p, {k} AS m, {_mask_sql(m, 'w', 'p')} AS s FROM dp" for k, m in enumerate(decontam.MASKS))}
-       UNION ALL SELECT doc_id, w, p, 100 + k, array_to_string(w[p : p + k - 1], ' ') FROM
-         (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT n AS k FROM i WHERE n < {decontam.SPAN}))),
-hit AS (SELECT DISTINCT sd.doc_id, sd.w, si.item_id, si.iw, si.n, sd.p - si.p AS position FROM sd JOIN si ON sd.m = si.m AND sd.s = si.s),
-e AS (SELECT *, list_transform(range(greatest(1, 1 - position), least(n, len(w) - position) + 1), lambda j: CASE WHEN w[position + j] = iw[j] THEN 1 ELSE 0 END) AS same FROM hit),
+WITH i AS (SELECT *, row_number() OVER () AS iid, len(iw) AS n FROM (SELECT DISTINCT item_id, {_WORDS} AS iw FROM benchmark) WHERE len(iw) >= {decontam.MIN_TOKENS}),
+d AS (SELECT *, row_number() OVER () AS did FROM (SELECT DISTINCT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL)),
+it AS (SELECT iid, n, unnest(iw) AS t, unnest(range(1, n + 1)) AS p FROM i),
+dt AS (SELECT did, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS p FROM d),
+al AS (SELECT did, iid, dt.p - it.p AS position FROM dt JOIN it ON dt.t = it.t GROUP BY did, iid, dt.p - it.p, n HAVING 100 * count(*) >= {decontam.AGREE_PERCENT} * least(n, {decontam.OVERLAP})),
+e AS (SELECT doc_id, item_id, n, position, list_transform(range(greatest(1, 1 - position), least(n, len(w) - position) + 1), lambda j: CASE WHEN w[position + j] = iw[j] THEN 1 ELSE 0 END) AS same FROM al JOIN d ON d.did = al.did JOIN i ON i.iid = al.iid),
 v AS (SELECT *, list_sum(same) AS matched, least(n, {decontam.OVERLAP}) AS span FROM e WHERE len(same) >= least(n, {decontam.OVERLAP})),
 b AS (SELECT *, list_max(list_transform(range(1, len(same) - span + 2), lambda j: list_sum(same[j : j + span - 1]))) AS best FROM v),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, position) AS k FROM b WHERE 100 * best >= {decontam.AGREE_PERCENT} * span)
@@ -144,15 +136,27 @@ def _judge_sql(host: str, path: str, value: str) -> str:
     return "CASE " + " ".join(f"WHEN ({host} = '{r.host}' OR ends_with({host}, '.{r.host}')) AND starts_with({path}, '{r.path}') THEN {pick(r)}" for r in order) + " END"
 
 
+def _attribute_sql(tag: str, attribute: str) -> str:
+    out = f"regexp_extract(regexp_extract(html, {_quoted(getattr(urls, tag))}), {_quoted(getattr(urls, attribute))}, 1)"
+    for name, char in urls.REFERENCES:
+        out = f"replace({out}, {_quoted(name)}, {_quoted(char)})"
+    return out
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 _UP = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _NODE = f"CASE WHEN regexp_matches({{0}}, '^[^:/?#]*://[^/?#]') THEN translate(regexp_extract({{0}}, '^[^:/?#]*://([^/?#]*)', 1), {_UP}) || regexp_extract({{0}}, '^[^:/?#]*://[^/?#]*([^#]*)', 1) END"
 _OP6 = f"""
 WITH RECURSIVE r AS (SELECT page_id, url, html, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, url, html, translate(regexp_extract(rest, '^([^/?#]*)', 1), {_UP}) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
-v AS (SELECT url AS u, unnest([regexp_extract(regexp_extract(html, '(?is)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>'), '(?is)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1),
-        regexp_extract(regexp_extract(html, '(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>'), '(?is)\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1)]) AS v FROM p),
+h AS (SELECT url, regexp_replace(html, '(?s)<!--.*?(-->|$)', ' ', 'g') AS html FROM p),
+t AS (SELECT url AS u, {_attribute_sql("BASE", "HREF")} AS base, unnest([{_attribute_sql("CANONICAL", "HREF")}, {_attribute_sql("REFRESH", "TARGET")}]) AS v FROM h),
+v AS (SELECT CASE WHEN regexp_matches(base, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN base WHEN starts_with(base, '/') AND NOT starts_with(base, '//') THEN regexp_extract(u, '^([^:/?#]*://[^/?#]*)', 1) || base ELSE u END AS f, u, v FROM t),
 x AS (SELECT u, CASE WHEN regexp_matches(v, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN v WHEN starts_with(v, '//') THEN 'http:' || v
-        WHEN starts_with(v, '/') THEN regexp_extract(u, '^([^:/?#]*://[^/?#]*)', 1) || v ELSE regexp_extract(u, '^([^?#]*/)', 1) || v END AS v FROM v WHERE v <> ''),
+        WHEN starts_with(v, '/') THEN regexp_extract(f, '^([^:/?#]*://[^/?#]*)', 1) || v ELSE regexp_extract(f, '^([^?#]*/)', 1) || v END AS v FROM v WHERE v <> ''),
 e AS (SELECT {_NODE.format("u")} AS a, {_NODE.format("v")} AS b FROM x),
 near AS (SELECT a, b FROM e WHERE a IS NOT NULL AND b IS NOT NULL UNION SELECT b, a FROM e WHERE a IS NOT NULL AND b IS NOT NULL),
 reach AS (SELECT a, a AS b FROM near UNION SELECT q.a, n.b FROM reach q JOIN near n ON q.b = n.a),

@@ -56,19 +56,34 @@ def judge(host: Column, path: Column, rules: Sequence[Rule] = RULES) -> tuple[Co
     return name, block
 
 
+#: Patterns of elements and of the attributes that hold addresses; rel may be a list of names.
+CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*(?:"(?:[^">]*\s)?canonical(?:\s[^">]*)?"|'(?:[^'>]*\s)?canonical(?:\s[^'>]*)?'|canonical\b)[^>]*>"""
+REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
+BASE = r"""(?is)<base\b[^>]*>"""
+HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
+TARGET = r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)"""
+#: References that addresses in attributes hold, the ampersand last.
+REFERENCES = (("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#x27;", "'"), ("&#47;", "/"), ("&#x2F;", "/"), ("&#58;", ":"), ("&#x3A;", ":"), ("&lt;", "<"), ("&gt;", ">"), ("&#38;", "&"), ("&#x26;", "&"), ("&amp;", "&"))
+
+
+def _attribute(html: Column, tag: str, attribute: str) -> Column:
+    out = F.regexp_extract(F.regexp_extract(html, tag, 0), attribute, 1)
+    for name, char in REFERENCES:
+        out = F.replace(out, F.lit(name), F.lit(char))
+    return out
+
+
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Edges (a, b) between a page's address and those that it names as its canonical address or
-    sends the reader on to."""
-    canonical = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
-    refresh = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
-    href = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
-    target = r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)"""
-    found = pages.where(F.col(html).rlike(canonical) | F.col(html).rlike(refresh)).select(
-        F.col(url).alias("u"), F.explode(F.array(F.regexp_extract(F.regexp_extract(html, canonical, 0), href, 1), F.regexp_extract(F.regexp_extract(html, refresh, 0), target, 1))).alias("v")
-    ).where("v <> ''")
-    v, u = F.col("v"), F.col("u")
-    origin = F.regexp_extract(u, r"^([^:/?#]*://[^/?#]*)", 1)
-    whole = F.when(v.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), v).when(v.startswith("//"), F.concat(F.lit("http:"), v)).when(v.startswith("/"), F.concat(origin, v)).otherwise(F.concat(F.regexp_extract(u, r"^([^?#]*/)", 1), v))
+    sends the reader on to. Comments do not count; references in addresses are decoded; relative
+    addresses are taken from the base element, if it has an absolute one or a path, else from the page's."""
+    body = F.col("body")
+    found = pages.where(F.col(f"`{html}`").rlike(CANONICAL) | F.col(f"`{html}`").rlike(REFRESH)).select(F.col(f"`{url}`").alias("u"), F.regexp_replace(F.col(f"`{html}`"), r"(?s)<!--.*?(-->|$)", " ").alias("body"))
+    found = found.select("u", _attribute(body, BASE, HREF).alias("base"), F.explode(F.array(_attribute(body, CANONICAL, HREF), _attribute(body, REFRESH, TARGET))).alias("v")).where("v <> ''")
+    origin = lambda x: F.regexp_extract(x, r"^([^:/?#]*://[^/?#]*)", 1)
+    v, u, base = F.col("v"), F.col("u"), F.col("base")
+    start = F.when(base.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), base).when(base.startswith("/") & ~base.startswith("//"), F.concat(origin(u), base)).otherwise(u)
+    whole = F.when(v.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), v).when(v.startswith("//"), F.concat(F.lit("http:"), v)).when(v.startswith("/"), F.concat(origin(start), v)).otherwise(F.concat(F.regexp_extract(start, r"^([^?#]*/)", 1), v))
     return found.select(node(u).alias("a"), node(whole).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
 
 
