@@ -32,8 +32,11 @@ LAYOUT = re.compile(
 )
 #: Names that tell what an element has or lacks, and heads of articles: no marks.
 _NO_MARK = re.compile(r"\S*(?<![^\s_-])(?:has|with|without|no|not)[_-]\S*|(?<!\S)(?:article|post|entry|content|story|page|section)[_-]+header(?!\S)", re.I)
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_BROKEN = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)([^<>]*)\Z", re.S)
+#: A tag up to its end; quotes hide a ">" only after "=". Nothing is tried twice, so time grows with the page.
+_TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)>", re.S)
+_OTHER = re.compile(r"<[!?/][^>]*+>", re.S)
+_NAME = re.compile(r"</?[A-Za-z]")
+_RAW_END = {name: re.compile(f"</{name}", re.I) for name in RAW}
 _MARKED = re.compile(r"(?:^|[\s\"'])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _STOP = frozenset(STOP_WORDS)
@@ -55,27 +58,42 @@ class Block:
     linked: int  # characters inside links
     inside: bool  # in an article or main element
     outside: bool  # in a menu, header, form and the like by its elements, or hidden
-    layout: tuple[int, ...] = ()  # elements around it that layout words mark
-    foreign: bool = False  # in an element that words for other prose mark
+    layout: int = 0  # innermost element around it that layout words mark
+    foreign: int = 0  # innermost element around it that words for other prose mark and no heading is in
 
 
-def blocks(page: str) -> list[Block]:
-    """The blocks of a page in order, references decoded and white space squeezed."""
+class Marks:
+    """Marked elements by number, each knowing the marked element around it (0: none)."""
+
+    def __init__(self):
+        self.around = [0]
+
+    def add(self, around: int) -> int:
+        self.around.append(around)
+        return len(self.around) - 1
+
+    def climb(self, mark: int, seen: set[int]) -> None:
+        """Adds mark and all marked elements around it to seen, which holds those of each member."""
+        while mark and mark not in seen:
+            seen.add(mark)
+            mark = self.around[mark]
+
+
+def blocks(page: str) -> tuple[list[Block], Marks]:
+    """The blocks of a page in order, references decoded and white space squeezed, and its layout marks."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, int, int]] = []  # name, marked as outside, article or main, layout and foreign marks
+    stack: list[tuple[str, bool, bool, int, int]] = []  # name, outside, article or main, marks around it
+    open_: dict[str, int] = {}
     parts: list[str] = []
-    linked = outside = inside = links = marks = 0
-    layout: list[int] = []
-    foreign: list[int] = []
-    of: list[tuple[int, ...]] = []  # foreign marks around each block
-    void: set[int] = set()  # foreign marks around a main element or the first heading
+    linked = outside = inside = links = layout = foreign = 0
+    plain, other = Marks(), Marks()
+    void: set[int] = set()  # foreign marks around a main element or a first heading
 
     def flush():
         nonlocal linked
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
-            out.append(Block(text, linked, inside > 0, outside > 0, tuple(layout)))
-            of.append(tuple(foreign))
+            out.append(Block(text, linked, inside > 0, outside > 0, layout, foreign))
         parts.clear()
         linked = 0
 
@@ -86,66 +104,71 @@ def blocks(page: str) -> list[Block]:
             if links:
                 linked += len(text)
 
-    at, low = 0, None
+    def leave() -> str:
+        nonlocal outside, inside, links, layout, foreign
+        top, marked, main, plain_, other_ = stack.pop()
+        open_[top] -= 1
+        if marked or main or plain_ != layout or other_ != foreign:
+            flush()
+        outside, inside, links, layout, foreign = outside - marked, inside - main, links - (top == "a"), plain_, other_
+        return top
+
+    at, last = 0, page.rfind(">")
     while at < len(page):
-        m = _TAG.search(page, at)
-        if m is None:
-            tail = _BROKEN.search(page, page.rfind("<", at) if page.rfind("<", at) >= 0 else len(page))
-            add(page[at : tail.start() if tail else len(page)])
+        sign = page.find("<", at)
+        if sign < 0:
+            add(page[at:])
             break
-        add(page[at : m.start()])
-        at, name = m.end(), (m[2] or "").lower()
+        add(page[at:sign])
+        if page.startswith("<!--", sign):
+            end = page.find("-->", sign + 4)
+            at = end + 3 if end >= 0 else len(page)
+            continue
+        m = (_TAG.match(page, sign) or _OTHER.match(page, sign)) if sign < last else None
+        if m is None:  # a tag without an end hides the rest; any other sign is text
+            if sign > last and _NAME.match(page, sign):
+                break
+            add("<")
+            at = sign + 1
+            continue
+        at, name = m.end(), m[2].lower() if m.re is _TAG else ""
         if not name:
             continue
         if name in RAW and not m[1]:
-            low = low if low is not None else page.lower()
-            end = low.find(f"</{name}", at)
-            if end < 0:
+            end = _RAW_END[name].search(page, at)
+            if end is None:
                 break
-            close = page.find(">", end)
+            close = page.find(">", end.end())
             at = close + 1 if close >= 0 else len(page)
             continue
         if name in BLOCK:
             flush()
         if m[1]:
-            if any(x[0] == name for x in stack):
-                while stack:
-                    top, marked, main, plain, other = stack.pop()
-                    if (marked or main or plain or other) and top != name:
-                        flush()
-                    if plain:
-                        layout.pop()
-                    if other:
-                        foreign.pop()
-                    outside -= marked
-                    inside -= main
-                    links -= top == "a"
-                    if top == name:
-                        break
+            if open_.get(name):
+                while leave() != name:
+                    pass
         elif name not in VOID and not m[3].rstrip().endswith("/"):
             if name == "p" and stack and stack[-1][0] == "p":
-                stack.pop()
+                leave()
             said = " ".join(a or b or c for a, b, c in _MARKED.findall(m[3])) if m[3] else ""
             if name in ("h1", "main"):
-                void.update(foreign)
+                other.climb(foreign, void)
             marked = name not in ("html", "body", "article", "main") and (name in OUTSIDE and not (name == "header" and inside) or bool(m[3] and _HIDDEN.search(m[3])))
             said = _NO_MARK.sub(" ", said) if said and name not in ("html", "body", "main") else ""
-            other = bool(said and FOREIGN.search(said))
-            plain = bool(said and not other and name != "article" and LAYOUT.search(said))
-            article = name == "main" or name == "article" and not other
-            if (marked or other or plain) and name not in BLOCK:
+            is_other = bool(said and FOREIGN.search(said))
+            is_plain = bool(said and not is_other and name != "article" and LAYOUT.search(said))
+            article = name == "main" or name == "article" and not is_other
+            if (marked or is_other or is_plain) and name not in BLOCK:
                 flush()
-            if other or plain:
-                marks += 1
-                (foreign if other else layout).append(marks)
-            stack.append((name, marked, article, marks if plain else 0, marks if other else 0))
-            outside += marked
-            inside += article
-            links += name == "a"
+            stack.append((name, marked, article, layout, foreign))
+            open_[name] = open_.get(name, 0) + 1
+            layout = plain.add(layout) if is_plain else layout
+            foreign = other.add(foreign) if is_other else foreign
+            outside, inside, links = outside + marked, inside + article, links + (name == "a")
     flush()
-    for b, around in zip(out, of, strict=True):
-        b.foreign = not void.issuperset(around)
-    return out
+    for b in out:
+        b.foreign = 0 if b.foreign in void else b.foreign
+    return out, plain
 
 
 def _rule(b: Block, rules: Rules) -> bool | None:
@@ -163,14 +186,17 @@ def _rule(b: Block, rules: Rules) -> bool | None:
     return None if stops >= rules.stop_low else False
 
 
-def labels(items: list[Block], rules: Rules = Rules()) -> list[bool]:
+def labels(items: list[Block], marks: Marks, rules: Rules = Rules()) -> list[bool]:
     """First pass: good, bad or open by length, stop words and links, and bad by place. A layout mark counts
     only around no good block; text outside of articles is bad only where articles hold at least half of
     the good text. Second pass: an open block is good if its nearest decided neighbour is, at a tie that
     before it; without any it is good only inside an article."""
     first = [False if b.outside or b.foreign else _rule(b, rules) for b in items]
-    held = {m for b, x in zip(items, first, strict=True) if x for m in b.layout}
-    off = [b.outside or b.foreign or not held.issuperset(b.layout) for b in items]
+    held: set[int] = {0}
+    for b, x in zip(items, first, strict=True):
+        if x:
+            marks.climb(b.layout, held)
+    off = [bool(b.outside or b.foreign or b.layout not in held) for b in items]
     good = [0, 0]
     for b, x in zip(items, first, strict=True):
         good[b.inside] += len(b.text) if x else 0
@@ -198,18 +224,19 @@ def labels(items: list[Block], rules: Rules = Rules()) -> list[bool]:
 
 
 def main_text(page: str | None, rules: Rules = Rules()) -> str:
-    items = blocks(page or "")
-    return " ".join(b.text for b, good in zip(items, labels(items, rules), strict=True) if good)
+    items, marks = blocks(page or "")
+    return " ".join(b.text for b, good in zip(items, labels(items, marks, rules), strict=True) if good)
 
 
 def extract(pages: DataFrame, html: str = "html", key: str = "page_id", rules: Rules = Rules()) -> DataFrame:
     """page_id (from key), text for each row of pages, from the whole html. NULL, empty and text-free
-    pages give ''; broken markup is read as far as it goes; repeated rows are read each for itself; other
-    columns are not read."""
+    pages give ''; broken markup is read as far as it goes, in time that grows with the page, however long;
+    an open block between equally near ones follows the one before it; repeated rows are read each for
+    itself; other columns are not read; an empty table gives an empty result."""
     rows = pages.select(F.col(f"`{key}`").alias("page_id"), F.col(f"`{html}`").alias("html"))
 
     def run(it):
         for b in it:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([main_text(p, rules) for p in b.column(1).to_pylist()], pa.string())], ["page_id", "text"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([main_text(p.as_py(), rules) for p in b.column(1)], pa.string())], ["page_id", "text"])
 
     return rows.mapInArrow(run, T.StructType([rows.schema["page_id"], T.StructField("text", T.StringType())]))
