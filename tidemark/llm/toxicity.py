@@ -15,6 +15,12 @@ from .common import fold, mix64
 
 #: Labelled rows, at most about, that the model is fitted on.
 TRAIN_ROWS = 8000
+#: Bytes, at most about, of the bags of n-grams that the driver receives; longer texts mean fewer rows.
+TRAIN_BYTES = 128 << 20
+#: Mini-batches, at least, that the model is trained on, so that few rows are seen more often.
+STEPS = 1000
+#: Power of the classes' ratio that the rarer class weighs more by.
+WORTH = 0.5
 BUCKET_BITS, DIMS, ORDERS = 15, 8, (3, 4, 5)
 _WORDS = bytes(b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256))
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -82,14 +88,20 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     one class are missing the model is constant: the share of class 1, or 0.5 without any row."""
     marked = labels.where(F.col(label).isNotNull() & (F.coalesce(fold(key), F.lit(0)) != 0)).select(F.col(key).alias("id"), (F.col(label) > 0).cast("int").alias("y"), (F.pmod(F.xxhash64(key), F.lit(1 << 30)) / float(1 << 30)).alias("u"))
     n = marked.count()
-    marked = marked.where(F.col("u") < (train_rows / n if n else 1.0)).groupBy("id").agg(F.max("y").alias("y"))
+    marked = marked.groupBy("id").agg(F.max("y").alias("y"), F.max("u").alias("u"))
+    # A bag has at most one entry of 4 bytes for each byte and order, and no more than there are buckets.
+    entries = F.least(F.octet_length(F.col(text)) * 4, F.lit(1 << BUCKET_BITS))
+    weight = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), entries.alias("n")).join(marked, "id").agg(F.sum(4 * F.col("n"))).first()[0] or 0
+    share = min(train_rows / n if n else 1.0, TRAIN_BYTES / weight if weight else 1.0)
+    marked = marked.where(F.col("u") < share).drop("u")
     rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text")).join(marked, "id").select("y", "text")
     schema = T.StructType([T.StructField("y", T.IntegerType()), T.StructField("f", T.BinaryType()), T.StructField("c", T.BinaryType())])
 
     def bags(it):
         for b in it:
             f, c = [], []
-            for t in b.column(1).to_pylist():
+            for t in b.column(1):
+                t = t.as_py()
                 bag = np.zeros(1 << BUCKET_BITS)
                 for x in blocks(t):
                     bag += np.bincount(_features(x), minlength=len(bag))
@@ -106,21 +118,26 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     return _train([np.frombuffer(v, np.uint16 if BUCKET_BITS <= 16 else np.uint32) for v in data["f"]], [np.frombuffer(v, np.float16) for v in data["c"]], y)
 
 
-def _train(buckets: list[np.ndarray], shares: list[np.ndarray], y: np.ndarray, epochs: int = 4, rate: float = 0.5, seed: int = 5) -> Model:
-    """Adagrad on mini-batches over embeddings and class weights together."""
+def _train(buckets: list[np.ndarray], shares: list[np.ndarray], y: np.ndarray, steps: int = STEPS, epochs: int = 4, rate: float = 0.5, seed: int = 5) -> Model:
+    """Adagrad on mini-batches over embeddings and class weights together: `epochs` passes, or as many as make
+    `steps` batches. The rarer class weighs more, by the square root of its lack."""
     rng = np.random.default_rng(seed)
     v = 1 << BUCKET_BITS
     e = (rng.standard_normal((v, DIMS)) * 0.1).astype(np.float32)
     w, b = np.zeros((DIMS, 2), np.float32), np.zeros(2, np.float32)
     ge, gw, gb = np.full(v, 1e-6, np.float32), np.full((DIMS, 2), 1e-6, np.float32), np.full(2, 1e-6, np.float32)
     target = np.stack([1 - y, y], 1)
+    worth = np.where(y > 0, (1 - y.mean()) / y.mean(), 1.0) ** WORTH
+    worth = (worth / worth.mean()).astype(np.float32)
+    batch = 32
+    epochs = max(epochs, -(-steps * batch // len(y)))
     # Shares are scaled so that one n-gram of an average text moves the average visibly.
     scale = float(np.mean([len(x) for x in buckets])) ** 0.5
     w += rng.standard_normal((DIMS, 2)).astype(np.float32) * 0.1
     for _ in range(epochs):
         order = rng.permutation(len(y))
-        for lo in range(0, len(y), 32):
-            part = order[lo : lo + 32]
+        for lo in range(0, len(y), batch):
+            part = order[lo : lo + batch]
             size = np.array([len(buckets[i]) for i in part])
             keep = size > 0
             part, size = part[keep], size[keep]
@@ -133,7 +150,7 @@ def _train(buckets: list[np.ndarray], shares: list[np.ndarray], y: np.ndarray, e
             z = hidden @ w + b
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
-            g = (p - target[part]) / len(part)
+            g = (p - target[part]) * worth[part, None] / len(part)
             back = g @ w.T
             used, place = np.unique(f, return_inverse=True)
             d = np.empty((len(used), DIMS), np.float32)
@@ -153,13 +170,14 @@ def _train(buckets: list[np.ndarray], shares: list[np.ndarray], y: np.ndarray, e
 
 def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id and score (0 to 1) for each row of docs. NULL and empty texts get the score of an empty
-    bag; repeated rows are scored each for itself; other columns are not read."""
+    bag; texts of any length are read whole, in blocks; repeated rows are scored each for itself; other
+    columns are not read; an empty table gives an empty result."""
     rows = docs.select(F.col(f"`{key}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(it):
         own = shared.value
         for b in it:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([own.score(t) for t in b.column(1).to_pylist()], pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([own.score(t.as_py()) for t in b.column(1)], pa.float64())], ["doc_id", "score"])
 
     return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], T.StructField("score", T.DoubleType())]))
