@@ -15,6 +15,8 @@ from .common import fold
 
 #: Rows of each language, at most about, that the classifiers are fitted on.
 ROWS_PER_LANGUAGE = 400
+#: Rows of all languages together, at most about, of 32 KB each: with more than 20 languages each has fewer.
+SAMPLE_ROWS = 8000
 DIM_BITS = 11
 ORDERS = (1, 2, 3, 4)
 UNKNOWN = "und"
@@ -99,7 +101,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
-    shares = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, rows_per_language / n)])
+    shares = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(rows_per_language, SAMPLE_ROWS / len(counts)) / n)])
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("x", T.BinaryType())])
 
     def vectors(it):
