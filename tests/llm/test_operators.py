@@ -103,6 +103,15 @@ def test_near_duplicates_in_one_large_group(spark, monkeypatch):
     assert [got[i] for i in range(60)] == near(texts, 4, 80)[0]
 
 
+def test_near_duplicates_of_five_thousand_copies(spark):
+    """One component, though no two texts are equal; texts that share a third of theirs stay alone."""
+    base = prose(5, 60)
+    texts = [f"{base} end{i}" for i in range(5000)] + [f"{base} " + prose(10_000 + i, 130) for i in range(40)]
+    got = {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(table(spark, texts), shingle=4).collect()}
+    assert [got[i] for i in range(5000)] == [0] * 5000
+    assert [got[i] for i in range(5000, 5040)] == list(range(5000, 5040))
+
+
 def test_match_threshold():
     t = minhash.match_threshold(0.8)
     tail = sum(math.comb(64, k) * 0.8**k * 0.2 ** (64 - k) for k in range(t))
@@ -328,7 +337,9 @@ def test_decontamination(spark, edge, empty):
         decontam.BROADCAST_SEEDS, keep = limit, decontam.BROADCAST_SEEDS
         got = {(x["doc_id"], x["item_id"]): x for x in decontam.overlaps(docs, bench).collect()}
         decontam.BROADCAST_SEEDS = keep
-        assert set(got) == {(1, 0), (2, 1), (3, 1), (4, 4)}
+        # Items of any length count, so the one of two words does, unless min_tokens leaves it out.
+        assert set(got) == {(1, 0), (2, 1), (3, 1), (4, 4), (5, 3)}
+        assert all(x["item_id"] != 3 for x in decontam.overlaps(docs, bench, min_tokens=6).collect())
         assert got[1, 0]["matched"] == 30 and got[2, 1]["matched"] == 28 and got[3, 1]["position"] == -8
     assert sorted(x["doc_id"] for x in decontam.filter_contaminated(docs, bench).collect()) == [0, 5, 6, 7]
     assert decontam.overlaps(edge, bench).count() == 0 and decontam.overlaps(empty, bench).count() == 0
