@@ -8,6 +8,7 @@ import math
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TRADING_DAYS = 252
 
@@ -92,7 +93,7 @@ def squeeze(text: Column | str) -> Column:
     return F.trim(F.regexp_replace(col(text), r"\s+", " "))
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def unescape(texts: pa.Array) -> pa.Array:
     """Texts with all character references of HTML decoded, named and numeric, once."""
     return pa.array([None if t is None else entities.unescape(t) for t in texts.to_pylist()], pa.string())
