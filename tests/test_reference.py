@@ -208,9 +208,13 @@ def test_filings_keep_amounts_near_buyback_words(spark):
 
     rows = [(1, 1, "main.htm", "we buy back the shares for 5 million"), (2, 2, "main.htm", "we buy back the shares for 5")]
     docs = spark.createDataFrame(rows, "filing long, doc_id long, name string, text string")
-    got = {r["filing"]: (r["family"], r["score"], r["amount"]) for r in study._classified(lambda _: docs).collect()}
+    filings = spark.sql("SELECT bigint(id) AS filing, '8-K' AS form, DATE '1999-05-03' AS filed, CASE WHEN id = 1 THEN TIMESTAMP '1999-05-03 12:00:00' END AS accepted, '' AS description FROM VALUES (1), (2) AS t(id)")
+    v = {"filing_docs": docs, "filings": filings}.__getitem__
+    found = study._classified(v).collect()
+    got = {r["filing"]: (r["family"], r["score"], r["amount"]) for r in found}
     assert got == {1: ("buyback_authorization", 6, 5e6), 2: ("buyback_authorization", 2, None)}
-    assert [(r["event_id"], r["amount"]) for r in study._candidates(lambda _: docs).collect()] == [("F1", 5e6)]
+    assert {r["filing"]: (str(r["announced_ts"]), r["urls"], r["data_tier"]) for r in found} == {1: ("1999-05-03 12:00:00", ["1/main.htm"], "public_proxy"), 2: ("1999-05-03 20:05:00", ["2/main.htm"], "public_proxy")}
+    assert [(r["event_id"], r["amount"]) for r in study._candidates(v).collect()] == [("F1", 5e6)]
 
 
 def test_metrics_table_has_every_symbol(spark):
@@ -220,3 +224,20 @@ def test_metrics_table_has_every_symbol(spark):
     symbols = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
     assert list(rows.columns) == ["metric", *[f"{s}/{k}" for s in symbols for k in ("hold", "vol_target")]]
     assert set(backtest._NAMES) < set(rows.columns) and rows.notna().all().all()
+
+
+def test_documents_are_exhibits_and_the_primary(spark):
+    names = ["Main.htm", "ex99-4.htm", "ex99-1.htm", "notes.txt", "EX-99_2.html", "99.1.txt", "ex99-3.pdf", "index99.htm"]
+    docs = spark.createDataFrame([(1, i, n, "x") for i, n in enumerate(names)], "filing long, doc_id long, name string, text string")
+    kept = sorted((r["place"], r["name"]) for r in sd.select_documents(docs).collect())
+    assert kept == [(1, "99.1.txt"), (2, "EX-99_2.html"), (3, "ex99-1.htm"), (5, "Main.htm")]
+
+
+def test_references_titles_and_reasons(spark):
+    from tidemark import functions as fx
+
+    row = spark.sql("SELECT '<p>a &amp;lt; b &#233;&hellip;&NotEqual; &amp</p>' AS t, 'dual_announcement' AS c").select(fx.strip_html("t").alias("t"), fx.title_case("c").alias("c")).first()
+    assert (row["t"], row["c"]) == ("a &lt; b é…≠ &", "Dual Announcement")
+    days = spark.sql("SELECT 'A' AS ticker, DATE '2000-01-03' AS announced UNION ALL SELECT 'B', DATE '2000-01-03'")
+    gone = spark.sql("SELECT 'A' AS ticker, DATE '2000-01-03' AS announced, 'halted' AS reason")
+    assert [(r["ticker"], r["reason"]) for r in sd.excluded(days, days, gone).collect()] == [("A", "halted")]
