@@ -166,14 +166,15 @@ def comovement_edges(returns: DataFrame, market: DataFrame, threshold: float, le
     return r.where((F.col("n") >= least) & (F.col("xi") > threshold)).orderBy(F.desc("xi"))
 
 
-def forest(rows: DataFrame, x: Sequence[str], y: str, trees: int = 50, depth: int = 4, seed: int = 1) -> DataFrame:
-    """rows with the prediction of bagged regression trees; missing features count as 0."""
+def forest(rows: DataFrame, x: Sequence[str], y: str, train: Column | None = None, trees: int = 50, depth: int = 4, seed: int = 1) -> DataFrame:
+    """rows with the prediction of bagged regression trees; missing features count as 0. With a condition train
+    the trees are fitted where it holds, and the rows are those where it does not."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
 
     data = VectorAssembler(inputCols=list(x), outputCol="vector").transform(rows.fillna(0.0, subset=list(x)).dropna(subset=[y]))
-    model = RandomForestRegressor(featuresCol="vector", labelCol=y, predictionCol="predicted", numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", maxBins=16, minInstancesPerNode=2, seed=seed).fit(data)
-    return model.transform(data).drop("vector")
+    model = RandomForestRegressor(featuresCol="vector", labelCol=y, predictionCol="predicted", numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", maxBins=16, minInstancesPerNode=2, seed=seed).fit(data if train is None else data.where(train))
+    return model.transform(data if train is None else data.where(~train)).drop("vector")
 
 
 def r2_of(y: Column, guess: Column) -> Column:

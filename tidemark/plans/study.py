@@ -354,7 +354,7 @@ def out_of_sample(v, spark, sf):
 
 @query()
 def forest_benchmark(v, spark, sf):
-    out = st.forest(_design(v), ["intensity", "vol_amplitude", "capital_amplitude", "skew", "state", "vix"], "car_5")
+    out = st.forest(_design(v), ["intensity", "vol_amplitude", "capital_amplitude", "skew", "state", "vix"], "car_5", F.col("announced") < _day("1999-01-01"))
     return out.select("event_id", "car_5", "predicted")
 
 
