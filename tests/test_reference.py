@@ -101,7 +101,10 @@ def test_ols_matches_numpy(spark):
     fit, out = st.ols(rows, "y", ["a", "b"], cluster="g", fixed="g")
     design = np.column_stack([np.ones(60), x, *[(g == k).astype(float) for k in (1, 2, 3)]])
     beta = np.linalg.lstsq(design, y, rcond=None)[0]
-    assert fit["beta"] == pytest.approx(beta, abs=1e-6) and fit["n"] == 60
+    effects = beta[0] + np.array([0, *beta[3:]])[g]
+    assert fit["beta"] == pytest.approx([effects.mean(), *beta[1:3]], abs=1e-6) and fit["n"] == 60
+    total = ((y - y.mean()) ** 2).sum()
+    assert fit["r2"] == pytest.approx(1 - ((y - design @ beta) ** 2).sum() / total, abs=1e-6)
     inv, res = np.linalg.inv(design.T @ design), y - design @ beta
     s = np.array([design[g == k].T @ res[g == k] for k in range(4)])
     want = np.sqrt(np.maximum(np.diag(inv @ s.T @ s @ inv) * 4 / 3 * 59 / 54, 0))
@@ -109,6 +112,23 @@ def test_ols_matches_numpy(spark):
     assert out.agg(F.sum("residual")).first()[0] == pytest.approx(0, abs=1e-6)
     boot = st.wild_bootstrap(spark, fit, 1, 200).first()
     assert boot["ci_low"] <= boot["coefficient"] <= boot["ci_high"] and boot["p_value"] < 0.05
+    one = st.fits(rows, ["a", "b"], "y", fixed="g").first()
+    sigma = np.sqrt(res @ res / 54)
+    assert one["slopes"] == pytest.approx(beta[1:3], abs=1e-6) and one["errors"] == pytest.approx(sigma * np.sqrt(np.diag(inv))[1:3], abs=1e-6)
+    assert one["r2"] == pytest.approx(fit["r2"]) and one["n"] == 60
+    assert st.fits(rows.where("a IS NULL"), ["a", "b"], "y", fixed="g").count() == 0
+    plain = st.fits(rows, ["a", "b"], "y", ["g"]).where("g = 'g1'").first()
+    each = np.linalg.lstsq(design[g == 1][:, :3], y[g == 1], rcond=None)[0]
+    assert plain["slopes"] == pytest.approx(each[1:], abs=1e-6)
+
+
+def test_places_are_those_of_the_whole_order(spark):
+    values = [None, *[float(i * 7919 % 101) for i in range(400)], *[5.0] * 150]
+    rows = spark.createDataFrame(list(enumerate(values)), "id long, v double")
+    got = ts.placed(rows, "v", "id", 8).select("id", "place", "of").collect()
+    want = sorted((v, i) for i, v in enumerate(values) if v is not None)
+    assert {r["id"]: r["place"] for r in got} == {i: k for k, (_, i) in enumerate(want)} and {r["of"] for r in got} == {550}
+    assert ts.placed(rows.where("v > 1000"), "v", "id").count() == 0
 
 
 def test_performance_matches_plain_version(spark):

@@ -95,6 +95,21 @@ def rank_split(df: DataFrame, order: Column | Sequence[Column], parts: int, part
     return df.withColumn("tier", tier)
 
 
+def placed(df: DataFrame, by: str, tie: str, ranges: int = 64) -> DataFrame:
+    """Rows with a value of by, with their place (from 0) in the order of by and tie among all rows, and the number
+    of rows (`of`). Each range of values is ordered for itself and starts where the counts of those before it
+    end, so that no task orders all rows; a value of very many rows is in one range. The places are exact, whatever
+    the bounds of the ranges."""
+    rows = df.where(F.col(by).isNotNull())
+    bounds = rows.agg(F.percentile_approx(by, [i / ranges for i in range(1, ranges)], 1000).alias("range_bounds"))
+    ranged = rows.crossJoin(F.broadcast(bounds)).withColumn("range_no", F.size(F.filter("range_bounds", lambda b: b < F.col(by)))).drop("range_bounds")  # one row
+    w = Window.orderBy("range_no")  # one row a range
+    counts = ranged.groupBy("range_no").agg(F.count("*").alias("range_n"))
+    starts = counts.select("range_no", (F.sum("range_n").over(w) - F.col("range_n")).alias("start"), F.sum("range_n").over(Window.partitionBy()).alias("of"))
+    place = F.col("start") + F.row_number().over(ordered(["range_no"], by, tie)) - 1
+    return ranged.join(F.broadcast(starts), "range_no").withColumn("place", place).drop("range_no", "start")
+
+
 def asof(left: DataFrame, right: DataFrame, left_time: str, right_time: str, values: Sequence[str], part: Sequence[str] = (), tolerance_days: int | None = None, forward: bool = False) -> DataFrame:
     """left with the values and the time (`asof_time`) of the last right row at or before it (forward: the
     first at or after it) with the same keys; NULL if there is none or it is farther than the tolerance.

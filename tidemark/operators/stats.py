@@ -1,5 +1,5 @@
 """Regressions, curve fits and correlation networks. Spark sums; only matrices of k x k, k being the
-number of regressors, and scores of clusters (firms) are handled outside."""
+number of regressors, are handled outside."""
 
 from __future__ import annotations
 
@@ -37,38 +37,70 @@ def solve(row, k: int) -> dict:
     return {"beta": beta, "inv": inv, "sse": sse, "r2": 1 - sse / total if total > 0 else 0.0, "n": int(n), "sigma2": sse / max(n - k - 1, 1)}
 
 
-def dummies(df: DataFrame, group: str) -> tuple[DataFrame, list[str]]:
-    """df with a 0/1 column for each value of group but the first in order. Groups are few (firms); many
-    levels are better demeaned."""
-    levels = [r[0] for r in df.select(group).distinct().orderBy(group).collect()]
-    names = [f"fe_{i}" for i in range(1, len(levels))]
-    return df.select("*", *[(F.col(group) == v).cast("double").alias(n) for v, n in zip(levels[1:], names, strict=True)]), names
+def fits(df: DataFrame, x: Sequence[str], y: str, part: Sequence[str] = (), fixed: str | None = None) -> DataFrame:
+    """Least squares of y on x for each key, with an effect of each group of fixed (else one intercept): slopes
+    and their errors in the order of x, r2, n. Sums of groups are centred on the group's means and added up, in
+    two aggregations without a join; the k x k sums of a key are solved inside a task. A NULL group is a group of
+    its own, rows with a NULL in x or y are left out, a key without rows gives no row; r2 is 0 where y is constant."""
+    k = len(x)
+    g = gram(df, x, y, [*part, *([fixed] if fixed else [])]).where("g_0_0 > 0")
+    cells = [(i, j) for i in range(1, k + 2) for j in range(i, k + 2)]
+    about = [F.sum(F.col(f"g_{i}_{j}") - F.col(f"g_0_{i}") * F.col(f"g_0_{j}") / F.col("g_0_0")).alias(f"w_{i}_{j}") for i, j in cells]
+    total = F.sum(f"g_{k + 1}_{k + 1}") - F.pow(F.sum(f"g_0_{k + 1}"), 2) / F.sum("g_0_0")
+    sums = g.groupBy(*part).agg(F.sum("g_0_0").cast("long").alias("n"), F.count("*").alias("effects"), total.alias("total"), *about).where("n > 0")
+
+    def run(it):
+        for pdf in it:
+            out = []
+            for row in pdf.to_dict("records"):
+                w = np.zeros((k + 1, k + 1))
+                for i, j in cells:
+                    w[i - 1, j - 1] = w[j - 1, i - 1] = row[f"w_{i}_{j}"]
+                inv = np.linalg.inv(w[:k, :k] + RIDGE * np.eye(k))
+                beta = inv @ w[:k, k]
+                sse = max(float(w[k, k] - 2 * beta @ w[:k, k] + beta @ w[:k, :k] @ beta), 0.0)
+                errors = np.sqrt(np.maximum(np.diag(inv), 0) * sse / max(row["n"] - k - row["effects"], 1))
+                out.append([*[row[c] for c in part], beta.tolist(), errors.tolist(), 1 - sse / row["total"] if row["total"] > 0 else 0.0, row["n"]])
+            yield pd.DataFrame(out, columns=[*part, "slopes", "errors", "r2", "n"])
+
+    schema = ", ".join([*[f"`{c}` {t}" for c, t in sums.dtypes if c in part], "slopes array<double>, errors array<double>, r2 double, n long"])
+    return sums.mapInPandas(run, schema)
 
 
 def ols(df: DataFrame, y: str, x: Sequence[str], cluster: str | None = None, fixed: str | None = None) -> tuple[dict, DataFrame]:
     """Least squares of y on 1, x and fixed effects, with classic or, by cluster, CR1 errors. Returns the
-    fit (names, beta, se, r2, n, scores by cluster) and df with fitted and residual."""
-    rows = df.dropna(subset=[y, *x])
-    names = list(x)
+    fit (names, beta, se, r2, n, scores by cluster) and df with fitted and residual. With fixed, every column is
+    centred on its group's mean and moved to the mean of all rows, so that no group becomes a column and the
+    intercept is the mean effect; rows with a NULL group are left out then. The driver sees k x k sums alone."""
+    rows = df.dropna(subset=[y, *x, *([fixed] if fixed else [])])
+    names, k, spread = list(x), len(x) + 1, None
+    target = y
     if fixed:
-        rows, more = dummies(rows, fixed)
-        names += more
-    fit = solve(gram(rows, names, y).first(), len(names))
-    fitted = F.lit(float(fit["beta"][0]))
+        own = rows.groupBy(fixed).agg(F.count("*").alias("own_n"), *[F.avg(c).alias(f"own_{i}") for i, c in enumerate((*x, y))])
+        every = own.agg(F.count("*").alias("effects"), *[F.try_divide(F.sum(F.col(f"own_{i}") * F.col("own_n")), F.sum("own_n")).alias(f"all_{i}") for i in range(k)])
+        rows = rows.join(own.crossJoin(F.broadcast(every)), fixed)  # every is one row
+        rows = rows.select("*", *[(F.col(c) - F.col(f"own_{i}") + F.col(f"all_{i}")).alias(f"in_{i}") for i, c in enumerate((*x, y))])
+        names, target = [f"in_{i}" for i in range(k - 1)], f"in_{k - 1}"
+        spread = rows.agg((F.var_pop(y) * F.count(y)).alias("total"), F.max("effects").alias("effects")).first()
+    fit = solve(gram(rows, names, target).first(), len(names))
+    if spread:
+        k = len(x) + (spread["effects"] or 1)
+        fit["r2"] = 1 - fit["sse"] / spread["total"] if spread["total"] else 0.0
+        fit["sigma2"] = fit["sse"] / max(fit["n"] - k, 1)
+    guess = F.lit(float(fit["beta"][0]))
     for c, b in zip(names, fit["beta"][1:], strict=True):
-        fitted = fitted + F.col(c) * float(b)
-    out = rows.withColumn("fitted", fitted).withColumn("residual", F.col(y) - F.col("fitted"))
-    cov, k = fit["inv"] * fit["sigma2"], len(names) + 1
-    fit["scores"] = np.zeros((0, k))
+        guess = guess + F.col(c) * float(b)
+    out = rows.withColumn("residual", F.col(target) - guess).withColumn("fitted", F.col(y) - F.col("residual"))
+    cov = fit["inv"] * fit["sigma2"]
     if cluster:
-        sums = out.groupBy(cluster).agg(*[F.sum(F.col("residual") * (F.col(c) if c else F.lit(1.0))).alias(f"s_{i}") for i, c in enumerate([None, *names])]).orderBy(cluster).toPandas()
-        s = sums[[f"s_{i}" for i in range(k)]].to_numpy(float)
-        fit["clusters"], fit["scores"] = sums[cluster].tolist(), s
-        g, n = len(s), fit["n"]
+        terms = range(len(x) + 1)
+        fit["scores"] = out.groupBy(F.col(cluster).alias("cluster")).agg(*[F.sum(F.col("residual") * (F.col(c) if c else F.lit(1.0))).alias(f"s_{i}") for i, c in enumerate([None, *names])])
+        meat = fit["scores"].agg(F.count("*").alias("g"), *[F.sum(F.col(f"s_{i}") * F.col(f"s_{j}")).alias(f"m_{i}_{j}") for i in terms for j in terms]).first()
+        g, n = meat["g"], fit["n"]
         if g > 1 and n > k:
-            cov = fit["inv"] @ (s.T @ s) @ fit["inv"] * g / (g - 1) * (n - 1) / (n - k)
-    fit["names"], fit["se"] = ["intercept", *names], np.sqrt(np.maximum(np.diag(cov), 0))
-    return fit, out
+            cov = fit["inv"] @ np.array([[meat[f"m_{i}_{j}"] for j in terms] for i in terms]) @ fit["inv"] * g / (g - 1) * (n - 1) / (n - k)
+    fit["names"], fit["se"] = ["intercept", *x], np.sqrt(np.maximum(np.diag(cov), 0))
+    return fit, out.drop(*[f"{a}_{i}" for a in ("own", "all", "in") for i in range(len(x) + 1)], "own_n", "effects") if fixed else out
 
 
 def coefficients(spark, fit: dict) -> DataFrame:
@@ -79,10 +111,10 @@ def coefficients(spark, fit: dict) -> DataFrame:
 def wild_bootstrap(spark, fit: dict, term: int, resamples: int, seed: int = 1) -> DataFrame:
     """Wild cluster bootstrap of one coefficient: beta + sum of w * (inv * score) over clusters, w being -1
     or 1 drawn for resample and cluster; interval, p = 2 * the lesser share beyond 0. No refit is needed."""
-    pull = fit["scores"] @ fit["inv"].T[:, term]
-    shifts = spark.createDataFrame([(int(i), float(v)) for i, v in enumerate(pull)], "cluster long, pull double")
+    pull = sum((F.col(f"s_{i}") * float(w) for i, w in enumerate(fit["inv"][term])), F.lit(0.0))
     sign = F.when(draw(F.col("resample"), F.col("cluster"), seed) % 2 == 0, 1.0).otherwise(-1.0)
-    draws = spark.range(resamples).select(F.col("id").alias("resample")).crossJoin(F.broadcast(shifts)).groupBy("resample").agg((F.sum(sign * F.col("pull")) + float(fit["beta"][term])).alias("b"))
+    signs = fit["scores"].select("cluster", pull.alias("pull"), F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
+    draws = signs.groupBy("resample").agg((F.sum(sign * F.col("pull")) + float(fit["beta"][term])).alias("b"))
     share = lambda c: F.avg(c.cast("double"))
     return draws.agg(F.percentile("b", 0.025).alias("ci_low"), F.percentile("b", 0.975).alias("ci_high"), F.least(F.lit(1.0), 2 * F.least(share(F.col("b") >= 0), share(F.col("b") <= 0))).alias("p_value"), F.lit(float(fit["beta"][term])).alias("coefficient"))
 
@@ -178,4 +210,5 @@ def forest(rows: DataFrame, x: Sequence[str], y: str, train: Column | None = Non
 
 
 def r2_of(y: Column, guess: Column) -> Column:
-    return 1 - F.sum(F.pow(y - guess, 2)) / F.nullif(F.var_pop(y) * F.count(y), F.lit(0.0))
+    """Share of the spread of y that guess explains, as an aggregate; 0 where y is constant."""
+    return F.coalesce(1 - F.try_divide(F.sum(F.pow(y - guess, 2)), F.var_pop(y) * F.count(y)), F.lit(0.0))

@@ -344,9 +344,13 @@ def agg_error_metrics(v, spark, sf):
     return error_metrics(rows, ["symbol"], "ret", "guess")
 
 
-def error_metrics(df: DataFrame, part: list[str], actual: str, guess: str) -> DataFrame:
+def error_terms(actual: str, guess: str) -> list:
     e = F.col(actual) - F.col(guess)
-    return df.groupBy(*part).agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.avg((F.signum(actual) == F.signum(guess)).cast("double")).alias("direction"))
+    return [F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.avg((F.signum(actual) == F.signum(guess)).cast("double")).alias("direction")]
+
+
+def error_metrics(df: DataFrame, part: list[str], actual: str, guess: str) -> DataFrame:
+    return df.groupBy(*part).agg(*error_terms(actual, guess))
 
 
 @query(f"SELECT metric, {R(chr(34) + 'O' + chr(34), 'o')}, {R(chr(34) + 'F' + chr(34), 'f')} FROM (PIVOT (UNPIVOT (SELECT l_linestatus, avg(l_quantity) AS quantity, avg(l_discount) AS discount, avg(l_tax) AS tax FROM lineitem GROUP BY 1) ON quantity, discount, tax INTO NAME metric VALUE x) ON l_linestatus IN ('O', 'F') USING max(x))")

@@ -8,7 +8,8 @@ from .. import functions as fx
 from ..operators import series as ts
 from ..operators import stats as st
 from ..operators import study as sd
-from .basic import KEY, R, query, ret_query, simple_ols
+from ..storage import cut
+from .basic import KEY, R, error_terms, query, ret_query, simple_ols
 
 START = "1995-01-01"
 HORIZONS = (1, 2, 3, 5, 10, 20, 40, 60, 90, 120)
@@ -294,67 +295,111 @@ def build_ledger(v, spark, sf):
 # Statistics
 
 
+_X = ["index_value", "state", "vix"]
+OUT_OF_SAMPLE = "1999-01-01"
+
+
 def _design(v):
-    return _panel(v).where("car_5 IS NOT NULL AND capital_amplitude IS NOT NULL AND vol_amplitude IS NOT NULL AND intensity IS NOT NULL AND state IS NOT NULL AND vix IS NOT NULL AND skew IS NOT NULL").select(
-        "event_id", "ticker", "announced", "car_5", "intensity", "vol_amplitude", "capital_amplitude", "skew", F.col("state"), (F.col("vix") / 100).alias("vix"))
+    """Eligible events; the index implies the amplitudes and the angle. Queries that pass over them again
+    and again write them first."""
+    return _panel(v).where("eligible").select("event_id", "ticker", "announced", "car_5", "intensity", "capital_amplitude", "vol_amplitude", "index_value", "state", "vix", F.cos(F.radians("angle")).alias("cosine"))
 
 
-_DESIGN = "de AS (SELECT event_id, ticker, announced, car_5, intensity, vol_amplitude, capital_amplitude, skew, state, vix / 100 AS vix FROM pn WHERE car_5 IS NOT NULL AND capital_amplitude IS NOT NULL AND vol_amplitude IS NOT NULL AND intensity IS NOT NULL AND state IS NOT NULL AND vix IS NOT NULL AND skew IS NOT NULL)"
+_DESIGN = "de AS (SELECT event_id, ticker, announced, car_5, intensity, capital_amplitude, vol_amplitude, index_value, state, vix, cos(radians(angle)) AS cosine FROM pn WHERE eligible)"
 
 
-@query()
+def _solved(rows: str) -> str:
+    """Tables of the least squares of y on a, b, c with effects, for each label, of rows (label, effect, y, a, b,
+    c): ce has the rows about the means of their effect, ls the slopes ka, kb, kc, the inverse and the errors."""
+    return f"""ra AS ({rows}),
+ce AS (SELECT label, effect, y AS raw, y - avg(y) OVER g AS y, a - avg(a) OVER g AS a, b - avg(b) OVER g AS b, c - avg(c) OVER g AS c FROM ra WINDOW g AS (PARTITION BY label, effect)),
+sm AS (SELECT label, count(*) AS n, count(DISTINCT effect) AS g, var_pop(raw) * count(*) AS total, sum(y * y) AS yy, sum(a * y) AS ya, sum(b * y) AS yb, sum(c * y) AS yc, sum(a * a) AS aa, sum(a * b) AS ab, sum(a * c) AS ac, sum(b * b) AS bb, sum(b * c) AS bc, sum(c * c) AS cc FROM ce GROUP BY label),
+dt AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM sm),
+iv AS (SELECT *, (bb * cc - bc * bc) / det AS iaa, (ac * bc - ab * cc) / det AS iab, (ab * bc - ac * bb) / det AS iac, (aa * cc - ac * ac) / det AS ibb, (ab * ac - aa * bc) / det AS ibc, (aa * bb - ab * ab) / det AS icc FROM dt),
+sl AS (SELECT *, iaa * ya + iab * yb + iac * yc AS ka, iab * ya + ibb * yb + ibc * yc AS kb, iac * ya + ibc * yb + icc * yc AS kc FROM iv),
+ls AS (SELECT *, yy - ka * ya - kb * yb - kc * yc AS sse, 1 - (yy - ka * ya - kb * yb - kc * yc) / total AS r2 FROM sl)"""
+
+
+_PRIMARY = _solved("SELECT 'all' AS label, ticker AS effect, car_5 AS y, index_value AS a, state AS b, vix AS c FROM de")
+_SCORES = """sc AS (SELECT effect, sum(e * a) AS sa, sum(e * b) AS sb, sum(e * c) AS sc FROM (SELECT ce.*, ce.y - ka * a - kb * b - kc * c AS e FROM ce, ls) GROUP BY effect),
+pl AS (SELECT effect, iaa * sa + iab * sb + iac * sc AS pa, iab * sa + ibb * sb + ibc * sc AS pb, iac * sa + ibc * sb + icc * sc AS pc FROM sc, ls)"""
+_TERMS = (("index_value", "a"), ("state", "b"), ("vix", "c"))
+
+
+@query(f"{_PANEL},{_DESIGN},{_PRIMARY}\n" + " UNION ALL ".join(f"SELECT '{t}' AS term, {R('k' + x, 'coefficient')}, {R(f'sqrt(sse / (n - 3 - g) * i{x}{x})', 'std_error')}, {R('r2', 'r2')}, n FROM ls" for t, x in _TERMS), _FVIEWS)
 def fixed_effect_ols(v, spark, sf):
-    fit, _ = st.ols(_design(v), "car_5", ["vol_amplitude", "state", "vix"], fixed="ticker")
-    return st.coefficients(spark, fit)
+    terms = F.arrays_zip(F.array(*map(F.lit, _X)).alias("term"), F.col("slopes").alias("coefficient"), F.col("errors").alias("std_error"))
+    return st.fits(_design(v), _X, "car_5", fixed="ticker").select(F.inline(terms).alias("term", "coefficient", "std_error"), "r2", "n")
 
 
-@query()
+@query(f"{_PANEL},{_DESIGN},{_PRIMARY},{_SCORES}\n" + " UNION ALL ".join(f"SELECT '{t}' AS term, {R('k' + x, 'coefficient')}, {R(f'sqrt((SELECT sum(p{x} * p{x}) FROM pl) * g / (g - 1) * (n - 1) / (n - 3 - g))', 'std_error')}, {R('r2', 'r2')}, n FROM ls" for t, x in _TERMS), _FVIEWS)
 def clustered_se(v, spark, sf):
-    fit, _ = st.ols(_design(v), "car_5", ["vol_amplitude", "state", "vix"], cluster="ticker")
-    return st.coefficients(spark, fit)
+    fit, _ = st.ols(cut(_design(v)), "car_5", _X, cluster="ticker", fixed="ticker")
+    return st.coefficients(spark, fit).where("term <> 'intercept'")
 
 
-@query()
+@query(f"{_PANEL},{_DESIGN},{_PRIMARY},{_SCORES},\ndr AS (SELECT ka + sum(pa * CASE WHEN CAST('0x' || substr(md5(concat_ws('|', i, effect, 7)), 1, 8) AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END) AS b, any_value(ka) AS ka FROM pl, ls, range(1000) t(i) GROUP BY i, ka)\n"
+       f"SELECT {R('quantile_cont(b, 0.025)', 'ci_low')}, {R('quantile_cont(b, 0.975)', 'ci_high')}, {R('least(1, 2 * least(avg((b >= 0)::INT), avg((b <= 0)::INT)))', 'p_value')}, {R('max(ka)', 'coefficient')} FROM dr", _FVIEWS)
 def wild_cluster_bootstrap(v, spark, sf):
-    fit, _ = st.ols(_design(v), "car_5", ["vol_amplitude", "state", "vix"], cluster="ticker")
+    fit, _ = st.ols(cut(_design(v)), "car_5", _X, cluster="ticker", fixed="ticker")
     return st.wild_bootstrap(spark, fit, 1, 1000, 7)
 
 
-def _r2(y: str, x: str, rows: str) -> str:
-    return f"SELECT coalesce(regr_r2({y}, {x}), 0) AS r2, count(*) AS n FROM {rows}"
+#: Regressors by model; all but the first have one intercept, and market state and VIX as controls or three components.
+_FORMS = {
+    "primary": _X, "amount_only": ["intensity", "state", "vix"], "components": ["capital_amplitude", "vol_amplitude", "cosine"],
+    "multiplicative": ["capital_amplitude * vol_amplitude * cosine", "state", "vix"], "arithmetic": ["0.5D * (capital_amplitude + vol_amplitude) * cosine", "state", "vix"], "cosine_only": ["cosine", "state", "vix"],
+}
+_MODELS = _solved(" UNION ALL ".join(f"SELECT '{m}' AS label, {'ticker' if m == 'primary' else repr('all')} AS effect, car_5 AS y, {a} AS a, {b} AS b, {c} AS c FROM de WHERE {a} IS NOT NULL" for m, (a, b, c) in _FORMS.items()).replace("0.5D", "0.5::DOUBLE"))
 
 
-_FORMS = {"amount_only": "intensity", "multiplicative": "capital_amplitude * vol_amplitude", "arithmetic": "capital_amplitude + vol_amplitude", "skew_only": "skew"}
+@query(f"{_PANEL},{_DESIGN},{_MODELS}\nSELECT label AS model, {R('r2', 'r2')}, n FROM ls", _FVIEWS)
+def model_benchmarks(v, spark, sf):
+    effect = lambda m: F.col("ticker") if m == "primary" else F.lit("all")
+    forms = F.array(*[F.struct(F.lit(m).alias("model"), effect(m).alias("effect"), *[F.expr(e).cast("double").alias(n) for n, e in zip("abc", x, strict=True)]) for m, x in _FORMS.items()])
+    return st.fits(_design(v).select("car_5", F.inline(forms)), ["a", "b", "c"], "car_5", ["model"], "effect").select("model", "r2", "n")
 
 
-@query(f"{_PANEL},{_DESIGN}\n" + " UNION ALL ".join(f"SELECT '{m}' AS model, {R('r2', 'r2')}, n FROM ({_r2('car_5', x, 'de')})" for m, x in _FORMS.items()), _FVIEWS)
-def model_benchmarks(v, spark, sf):
-    rows = _design(v).select("car_5", F.explode(F.create_map(*[y for m, x in _FORMS.items() for y in (F.lit(m), F.expr(x))])).alias("model", "x"))
-    return simple_ols(rows, ["model"], "car_5", "x").select("model", "r2", "n")
+_SPLITS = _solved("""SELECT CASE WHEN announced < DATE '1998-01-01' THEN 'early' ELSE 'late' END AS label, ticker AS effect, car_5 AS y, index_value AS a, state AS b, vix AS c FROM de
+  UNION ALL SELECT 'size_' || (k >= n // 2)::INT, ticker, car_5, index_value, state, vix FROM (SELECT *, row_number() OVER (ORDER BY intensity, event_id) - 1 AS k, count(*) OVER () AS n FROM de WHERE intensity IS NOT NULL)
+  UNION ALL SELECT 'vix_' || ((k >= n // 3)::INT + (k >= 2 * n // 3)::INT), ticker, car_5, index_value, state, vix FROM (SELECT *, row_number() OVER (ORDER BY vix, event_id) - 1 AS k, count(*) OVER () AS n FROM de)""")
 
 
-@query(f"{_PANEL},{_DESIGN},\nsp2 AS (SELECT CASE WHEN announced < DATE '1998-01-01' THEN 'early' ELSE 'late' END AS label, car_5, vol_amplitude FROM de UNION ALL SELECT 'vix_' || ((k >= n // 3)::INT + (k >= 2 * n // 3)::INT)::VARCHAR, car_5, vol_amplitude FROM (SELECT *, row_number() OVER (ORDER BY vix, event_id) - 1 AS k, count(*) OVER () AS n FROM de))\nSELECT label, {R('coalesce(regr_r2(car_5, vol_amplitude), 0)', 'r2')}, count(*) AS n FROM sp2 GROUP BY label", _FVIEWS)
+@query(f"{_PANEL},{_DESIGN},{_SPLITS}\nSELECT label, {R('r2', 'r2')}, n FROM ls", _FVIEWS)
 def robustness_splits(v, spark, sf):
-    rows = _design(v).withColumn("all", F.lit(1))
-    time = rows.select(F.when(F.col("announced") < _day("1998-01-01"), "early").otherwise("late").alias("label"), "car_5", "vol_amplitude")
-    tiers = ts.rank_split(rows, [F.col("vix"), F.col("event_id")], 3, ["all"]).select(F.concat(F.lit("vix_"), F.col("tier").cast("string")).alias("label"), "car_5", "vol_amplitude")
-    return simple_ols(time.unionByName(tiers), ["label"], "car_5", "vol_amplitude").select("label", "r2", "n")
+    rows = cut(_design(v))
+    pick = lambda df, label: df.select(label.alias("label"), "ticker", "car_5", *_X)
+    tier = lambda name, parts: F.concat(F.lit(name), sum((F.expr(f"int(place >= {i} * of div {parts})") for i in range(1, parts)), F.lit(0)).cast("string"))
+    time = pick(rows, F.when(F.col("announced") < _day("1998-01-01"), "early").otherwise("late"))
+    halves = ts.placed(rows, "intensity", "event_id")
+    thirds = ts.placed(rows, "vix", "event_id")
+    both = pick(halves, tier("size_", 2)).unionByName(pick(thirds, tier("vix_", 3)))
+    return st.fits(time.unionByName(both), _X, "car_5", ["label"], "ticker").select("label", "r2", "n")
 
 
-@query(f"{_PANEL},{_DESIGN},\nfi AS (SELECT regr_slope(car_5, vol_amplitude) AS b, regr_intercept(car_5, vol_amplitude) AS a FROM de WHERE announced < DATE '1999-01-01')\nSELECT {R('sqrt(avg(power(car_5 - a - b * vol_amplitude, 2)))', 'rmse')}, {R('avg(abs(car_5 - a - b * vol_amplitude))', 'mae')}, {R('avg(CASE WHEN sign(car_5) = sign(a + b * vol_amplitude) THEN 1.0 ELSE 0.0 END)', 'direction')} FROM de, fi WHERE announced >= DATE '1999-01-01'", _FVIEWS)
-def out_of_sample(v, spark, sf):
-    from .basic import error_metrics
+_OOS = f"""{_solved(f"SELECT 'all' AS label, ticker AS effect, car_5 AS y, index_value AS a, state AS b, vix AS c FROM de WHERE announced < DATE '{OUT_OF_SAMPLE}'")},
+ef AS (SELECT effect, avg(ra.y - ka * ra.a - kb * ra.b - kc * ra.c) AS base FROM ra, ls GROUP BY effect),
+te AS (SELECT car_5 AS y, coalesce(ef.base, (SELECT arg_min(base, effect) FROM ef)) + ka * index_value + kb * state + kc * vix AS p FROM (SELECT * FROM de WHERE announced >= DATE '{OUT_OF_SAMPLE}') d CROSS JOIN ls LEFT JOIN ef ON ef.effect = d.ticker)"""
+
 
-    rows = _design(v)
-    cut_off = _day("1999-01-01")
-    fit = simple_ols(rows.where(F.col("announced") < cut_off), [], "car_5", "vol_amplitude")
-    test = rows.where(F.col("announced") >= cut_off).crossJoin(F.broadcast(fit)).withColumn("guess", F.col("intercept") + F.col("slope") * F.col("vol_amplitude"))
-    return error_metrics(test, [], "car_5", "guess")
+@query(f"{_PANEL},{_DESIGN},{_OOS}\nSELECT {R('coalesce(1 - sum(power(y - p, 2)) / nullif(var_pop(y) * count(*), 0), 0)', 'r2')}, {R('sqrt(avg(power(y - p, 2)))', 'rmse')}, {R('avg(abs(y - p))', 'mae')}, {R('avg(CASE WHEN sign(y) = sign(p) THEN 1.0 ELSE 0.0 END)', 'direction')} FROM te", _FVIEWS)
+def out_of_sample(v, spark, sf):
+    """The primary model fitted before the cut-off and scored after it; a firm without rows before it has the
+    effect of the first firm."""
+    rows, before = cut(_design(v)), F.col("announced") < _day(OUT_OF_SAMPLE)
+    fit = st.fits(rows.where(before), _X, "car_5", fixed="ticker").select("slopes")
+    part = sum((F.col("slopes")[i] * F.col(c) for i, c in enumerate(_X)), F.lit(0.0))
+    # fit and first are one row each
+    effects = rows.where(before).crossJoin(F.broadcast(fit)).groupBy("ticker").agg(F.avg(F.col("car_5") - part).alias("effect"))
+    first = effects.agg(F.min_by("effect", "ticker").alias("first"))
+    test = rows.where(~before).join(effects, "ticker", "left").crossJoin(F.broadcast(fit)).crossJoin(F.broadcast(first))
+    guessed = test.select(F.col("car_5").alias("y"), (F.coalesce("effect", "first") + part).alias("p"))
+    return guessed.agg(st.r2_of(F.col("y"), F.col("p")).alias("r2"), *error_terms("y", "p"))
 
 
 @query()
 def forest_benchmark(v, spark, sf):
-    out = st.forest(_design(v), ["intensity", "vol_amplitude", "capital_amplitude", "skew", "state", "vix"], "car_5", F.col("announced") < _day("1999-01-01"))
+    out = st.forest(_design(v), [*_X, "capital_amplitude", "vol_amplitude"], "car_5", F.col("announced") < _day(OUT_OF_SAMPLE))
     return out.select("event_id", "car_5", "predicted")
 
 
