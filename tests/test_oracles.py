@@ -39,6 +39,20 @@ def test_same_rows(spark, duck, name):
     assert normal(registry.QUERIES[name](spark, SF).toPandas()) == normal(duck.execute(registry.ORACLES[name]).df())
 
 
-@pytest.mark.parametrize("name", ["forest_benchmark", "tail_screen", "scan_prior_run"])
-def test_runs(spark, name):
-    assert registry.QUERIES[name](spark, SF).columns
+def test_tail_screen_rates(spark):
+    """The share of each tier is that of its rows, whose order is by drawdown."""
+    rows = registry.QUERIES["tail_screen"](spark, SF).toPandas()
+    assert len(rows) and rows["drawdown"].dropna().is_monotonic_increasing
+    assert ((rows["drawdown"] <= -0.01) == rows["flagged"]).all()
+    assert (rows.groupby("tier")["flagged"].mean() - rows.groupby("tier")["hit_rate"].first()).abs().max() < 1e-6
+
+
+def test_forest_scores_the_rows_after_the_cut_off(spark):
+    rows = registry.QUERIES["forest_benchmark"](spark, SF).toPandas()
+    assert len(rows) and rows.notna().all().all() and rows["event_id"].is_unique
+    assert rows["predicted"].between(-0.5, 0.5).all() and rows["predicted"].nunique() > 1
+
+
+def test_prior_run_by_strategy(spark):
+    rows = registry.QUERIES["scan_prior_run"](spark, SF).toPandas()
+    assert len(rows) and rows.notna().any().all() and not rows.duplicated().any()

@@ -261,3 +261,52 @@ def test_references_titles_and_reasons(spark):
     days = spark.sql("SELECT 'A' AS ticker, DATE '2000-01-03' AS announced UNION ALL SELECT 'B', DATE '2000-01-03'")
     gone = spark.sql("SELECT 'A' AS ticker, DATE '2000-01-03' AS announced, 'halted' AS reason")
     assert [(r["ticker"], r["reason"]) for r in sd.excluded(days, days, gone).collect()] == [("A", "halted")]
+
+
+def test_point_in_time_matches_every_fact(spark):
+    """Latest value, total of quarters and trailing sums by running windows equal a scan of all facts of the firm:
+    later filings of a quarter, unknown filing days, ties of days, a firm without facts, a NULL as-of day."""
+    import datetime as dt
+    import random
+
+    rnd, first = random.Random(5), dt.date(2000, 1, 1)
+    day = lambda n: first + dt.timedelta(n)
+    facts = []
+    for symbol in "AB":
+        for q in range(12):
+            for version in range(rnd.randint(1, 3)):
+                filed = None if version == 0 and q % 5 == 0 else day(90 * q + 100 + 40 * version)
+                facts.append((symbol, "revenue", day(90 * q), day(90 * q + 89), filed, float(rnd.randint(1, 99))))
+    facts.append(("A", "revenue", day(0), None, day(5), 7.0))
+    events = [(f"{t}{i}", t, day(rnd.randint(0, 1400))) for t in "ABC" for i in range(25)] + [("A100", "A", day(100 + 40)), ("AN", "A", None)]
+    f = spark.createDataFrame(facts, "symbol string, tag string, start_d date, end_d date, filed date, val double")
+    e = spark.createDataFrame(events, "event_id string, ticker string, asof date")
+    instant = {r["event_id"]: r["x"] for r in sd.with_instant(e, f, "revenue", "x").collect()}
+    total = {r["event_id"]: r["x"] for r in sd.with_quarter_total(e, f, "x").collect()}
+    spent = {r["event_id"]: r["x"] for r in ts.trailing_sum(e, f.withColumnRenamed("symbol", "ticker"), "asof", "filed", "val", "x", 365, ["ticker"]).collect()}
+    assert set(instant) == set(total) == set(spent) == {n for n, _, _ in events}
+    for name, ticker, asof in events:
+        known = [x for x in facts if asof and x[0] == ticker and x[3] and x[3] <= asof and (x[4] is None or x[4] <= asof)]
+        best = max(known, key=lambda x: (x[3], x[4] or dt.date.min), default=None)
+        assert instant[name] == (best[5] if best else None)
+        last = {}
+        for x in sorted(known, key=lambda x: x[4] or dt.date.min):
+            last[x[3]] = x[5]
+        assert total[name] == (sum(last.values()) if last else None)
+        near = [x[5] for x in facts if asof and x[0] == ticker and x[4] and dt.timedelta(0) <= asof - x[4] < dt.timedelta(365)]
+        assert spent[name] == (sum(near) if near else None)
+
+
+def test_events_meet_the_calendar_by_day(spark):
+    left = spark.sql("SELECT id, IF(id = 6, NULL, date_add(DATE '2000-01-01', int(id % 5))) AS d FROM range(7)")
+    cal = spark.sql("SELECT date_add(DATE '2000-01-01', int(id)) AS day, id AS v FROM range(1, 4, 2)")
+    got = {r["id"]: r["v"] for r in ts.on_calendar(left, cal, "d", "day", ["v"], forward=True).collect()}
+    assert got == {0: 1, 1: 1, 2: 3, 3: 3, 4: None, 5: 1, 6: None}
+
+
+def test_feature_panel_plan(spark):
+    """No window over all rows: calendars are resolved in tables of their own; the bound tables are read as written."""
+    from tidemark.plans import registry
+
+    plan = registry.QUERIES["feature_panel"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") < 20 and "SinglePartition" not in plan and "NestedLoop" not in plan

@@ -129,6 +129,26 @@ def asof(left: DataFrame, right: DataFrame, left_time: str, right_time: str, val
     return out.select("row.*", "seen.*")
 
 
+def on_calendar(left: DataFrame, cal: DataFrame, left_time: str, cal_time: str, values: Sequence[str], forward: bool = False) -> DataFrame:
+    """`asof` without keys for a left side of any length: only its distinct days, as few as a calendar's, share one
+    window, and left meets them by day. NULL days have NULLs. left is read twice: write it first if it is costly."""
+    days = left.select(F.col(left_time).alias("on_day")).where("on_day IS NOT NULL").distinct()
+    found = asof(days, cal, "on_day", cal_time, values, forward=forward)
+    return left.join(found, F.col(left_time) == F.col("on_day"), "left").drop("on_day")
+
+
+def trailing_sum(left: DataFrame, right: DataFrame, left_time: str, right_time: str, value: str, name: str, days: int, part: Sequence[str]) -> DataFrame:
+    """left with the sum (`name`) of value over the right rows of the same keys in the last `days` days up to and
+    with left_time; NULL if there is none. One shuffle by key and a window of a range of days, no join."""
+    day = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date"))
+    keys = [f"k_{p}" for p in part]
+    mine = left.select(F.struct(*left.columns).alias("row"), *[F.col(p).alias(k) for p, k in zip(part, keys, strict=True)], day(left_time).alias("t"))
+    theirs = right.select(*[F.col(p).alias(k) for p, k in zip(part, keys, strict=True)], day(right_time).alias("t"), F.col(value).alias("add"))
+    w = Window.partitionBy(*keys).orderBy("t").rangeBetween(1 - days, 0)
+    stacked = mine.unionByName(theirs.where("t IS NOT NULL"), allowMissingColumns=True)
+    return stacked.withColumn(name, F.sum("add").over(w)).where("row IS NOT NULL").select("row.*", name)
+
+
 def calendar(days: DataFrame, d: str = "d") -> DataFrame:
     """Distinct days with their number from 0. A calendar has some thousand rows, hence the one window."""
     return days.select(F.col(d).alias("d")).distinct().withColumn("idx", F.row_number().over(Window.orderBy("d")) - 1)

@@ -182,10 +182,9 @@ def reversion_regimes(fits: DataFrame, dims: DataFrame, angles: DataFrame) -> Da
 def tail_screen(events: DataFrame, dims: DataFrame, threshold: float = -0.2) -> DataFrame:
     """Events (event_id, ticker, drawdown) with a tier, whether they fell to the threshold, and the share of
     their tier that did."""
-    from pyspark.sql import Window
-
     rows = events.join(dims.select("ticker", "tier"), "ticker").withColumn("flagged", F.coalesce(F.col("drawdown") <= threshold, F.lit(False)))
-    return rows.withColumn("hit_rate", F.avg(F.col("flagged").cast("double")).over(Window.partitionBy("tier"))).orderBy(F.asc_nulls_last("drawdown"), "event_id")
+    rates = rows.groupBy("tier").agg(F.avg(F.col("flagged").cast("double")).alias("hit_rate"))  # a row for each of the five tiers
+    return rows.join(F.broadcast(rates), "tier").orderBy(F.asc_nulls_last("drawdown"), "event_id")
 
 
 def comovement_edges(returns: DataFrame, market: DataFrame, threshold: float, least: int = 60) -> DataFrame:

@@ -89,7 +89,7 @@ def map_to_trading_day(events: DataFrame, cal: DataFrame, ts_col: str = "ts") ->
     """events with t0 and t0_idx: the first trading day at or after the local day, from the next day on if
     the market has closed; NULL past the calendar."""
     d, closed = fx.market_day(ts_col)
-    out = ts.asof(events.withColumn("target", F.date_add(d, closed.cast("int"))), cal.select("d", "idx"), "target", "d", ["idx"], forward=True)
+    out = ts.on_calendar(events.withColumn("target", F.date_add(d, closed.cast("int"))), cal.select("d", "idx"), "target", "d", ["idx"], forward=True)
     return out.withColumnsRenamed({"asof_time": "t0", "idx": "t0_idx"}).drop("target")
 
 
@@ -98,18 +98,43 @@ def known(facts: DataFrame, asof: Column) -> Column:
     return F.coalesce(F.col("filed") <= asof, F.lit(True)) & (F.col("end_d") <= asof)
 
 
+def _known_from(facts: DataFrame) -> DataFrame:
+    """Facts by ticker with the first day (known_from) on which `known` holds."""
+    return facts.where("end_d IS NOT NULL").withColumn("known_from", F.greatest("filed", "end_d")).withColumnRenamed("symbol", "ticker")
+
+
+def with_instant(events: DataFrame, facts: DataFrame, tag: str, name: str, asof: str = "asof") -> DataFrame:
+    """events with the value of the latest (end, filed) fact known at each event's as-of day, NULL if none is. The
+    best fact so far runs along each firm's facts, so that an event meets one row and not all facts of its firm."""
+    w = Window.partitionBy("ticker").orderBy("known_from").rangeBetween(Window.unboundedPreceding, 0)
+    best = _known_from(facts.where(F.col("tag") == tag)).select("ticker", "known_from", F.max(F.struct("end_d", "filed", "val")).over(w).getField("val").alias(name))
+    return ts.asof(events, best, asof, "known_from", [name], ["ticker"])
+
+
 def pit_instant(events: DataFrame, facts: DataFrame, tag: str, name: str, asof: str = "asof") -> DataFrame:
-    """event_id and the value of the latest (end, filed) fact known at each event's as-of day."""
-    f = facts.where(F.col("tag") == tag).select(F.col("symbol").alias("ticker"), "end_d", "filed", "val")
-    rows = events.select("event_id", "ticker", asof).join(f, "ticker").where(known(f, F.col(asof)))
-    return rows.groupBy("event_id").agg(F.max_by("val", F.struct("end_d", "filed")).alias(name))
+    """event_id and the value of `with_instant`, for events with a known fact."""
+    return with_instant(events.select("event_id", "ticker", asof), facts, tag, name, asof).where("asof_time IS NOT NULL").select("event_id", name)
+
+
+def quarter_lengths(low: int = 70, high: int = 110) -> Column:
+    """Facts about periods of low to high days, both ends counted."""
+    return (F.datediff("end_d", "start_d") + 1).between(low, high)
+
+
+def with_quarter_total(events: DataFrame, facts: DataFrame, name: str, asof: str = "asof") -> DataFrame:
+    """events with the sum over all quarters known at the as-of day, each with its latest filing's value; NULL if
+    none is known. A new filing adds its difference to the one before it, so that one running sum serves all days."""
+    was = F.lag("val").over(Window.partitionBy("ticker", "end_d").orderBy(F.asc_nulls_first("filed"), "val"))
+    steps = _known_from(facts.where(quarter_lengths())).withColumn("step", F.coalesce("val", F.lit(0.0)) - F.coalesce(was, F.lit(0.0)))
+    w = Window.partitionBy("ticker").orderBy("known_from").rangeBetween(Window.unboundedPreceding, 0)
+    return ts.asof(events, steps.select("ticker", "known_from", F.sum("step").over(w).alias(name)), asof, "known_from", [name], ["ticker"])
 
 
 def pit_quarters(events: DataFrame, facts: DataFrame, asof: str = "asof", low: int = 70, high: int = 110) -> DataFrame:
     """Quarters (event_id, tag, end_d, val, k from the latest) known at each event's as-of day: periods of
-    low to high days, both ends counted, the latest filing of each."""
-    length = F.datediff("end_d", "start_d") + 1
-    f = facts.where(length.between(low, high)).select(F.col("symbol").alias("ticker"), "tag", "end_d", "filed", "val")
+    low to high days, both ends counted, the latest filing of each. The result has a firm's quarters for each of
+    its events; sums and latest values alone come from with_quarter_total and with_instant."""
+    f = facts.where(quarter_lengths(low, high)).select(F.col("symbol").alias("ticker"), "tag", "end_d", "filed", "val")
     rows = events.select("event_id", "ticker", asof).join(f, "ticker").where(known(f, F.col(asof)))
     last = rows.groupBy("event_id", "tag", "end_d").agg(F.max_by("val", "filed").alias("val"))
     return last.withColumn("k", F.row_number().over(Window.partitionBy("event_id", "tag").orderBy(F.desc("end_d"))))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .. import functions as fx
 from ..operators import series as ts
 from ..operators import study as sd
-from .bindings import rounded, view, with_views
+from .bindings import Views, rounded, with_views
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -27,7 +27,7 @@ def query(sql: str | None = None, views: tuple[str, ...] = (), dates: str = ""):
 
     def add(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return rounded(f(lambda name: view(spark, sf_dir, name), spark, sf_dir))
+            return rounded(f(Views(spark, sf_dir), spark, sf_dir))
 
         QUERIES[f.__name__] = run
         if sql is not None:

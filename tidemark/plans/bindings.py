@@ -3,9 +3,13 @@ their oracles start from the same rows; every table is used whole."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import cut
+
 _DAY = "CAST(o_orderdate AS DATE)"
 _ALL = "orders JOIN customer ON o_custkey = c_custkey"
 SQL = {
@@ -47,6 +51,22 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(sql, **given)
 
 
+class Views:
+    """The logical tables of one run of a query. `once` writes a table that the query mentions more than once, so
+    that its lineage runs once."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._spark, self._sf_dir, self._written = spark, sf_dir, {}
+
+    def __call__(self, name: str) -> DataFrame:
+        return view(self._spark, self._sf_dir, name)
+
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        if name not in self._written:
+            self._written[name] = cut(make())
+        return self._written[name]
+
+
 def _replace(sql: str, table: str) -> str:
     import re
 

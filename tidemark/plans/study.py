@@ -8,6 +8,7 @@ from .. import functions as fx
 from ..operators import series as ts
 from ..operators import stats as st
 from ..operators import study as sd
+from ..operators.panel import small
 from ..storage import cut
 from .basic import KEY, R, error_terms, query, ret_query, simple_ols
 
@@ -22,16 +23,36 @@ def _day(s: str):
 
 
 def _market(v):
-    return ts.with_returns(v("mkt").withColumn("series", F.lit("m")), ["series"]).select("d", "idx", "ret", "adjclose", ts.momentum(20, ["series"]).alias("state"))
+    made = lambda: ts.with_returns(v("mkt").withColumn("series", F.lit("m")), ["series"]).select("d", "idx", "ret", "adjclose", ts.momentum(20, ["series"]).alias("state"))
+    return v.once("market", made)
+
+
+def _returns(v):
+    return v.once("returns", lambda: ts.with_returns(v("px"), KEY))
+
+
+def _ledger_rows(v):
+    return v.once("ledger", lambda: v("ledger"))
 
 
 def _events(v):
     """Ledger with t0, the as-of day before it, and the firm's variant."""
+    return v.once("events", lambda: _make_events(v))
+
+
+def _make_events(v):
     ts_col = F.expr("cast(announced as timestamp) + make_interval(0, 0, 0, 0, cast(hour as int), 0, 0)")
     market = _market(v)
-    at = sd.map_to_trading_day(v("ledger").withColumn("ts", ts_col), market)
+    at = sd.map_to_trading_day(_ledger_rows(v).withColumn("ts", ts_col), market)
     prior = market.select((F.col("idx") + 1).alias("t0_idx"), F.col("d").alias("asof"), "state")
-    return at.join(F.broadcast(prior), "t0_idx", "left").join(F.broadcast(v("firms").select("ticker", "variant")), "ticker", "left")
+    return at.join(small(prior), "t0_idx", "left").join(small(v("firms").select("ticker", "variant")), "ticker", "left")
+
+
+def _by_day(v):
+    """Sector and VIX as of every day of the market or of a stock; as long as a calendar."""
+    days = _returns(v).select("d").union(_market(v).select("d")).distinct()
+    of = lambda df, name: ts.asof(df, v(name).select("d", F.col("adjclose").alias(name)), "d", "d", [name]).drop("asof_time")
+    return v.once("by_day", lambda: of(of(days, "sector"), "vix"))
 
 
 _EV = """
@@ -66,32 +87,25 @@ def ttm_sum(v, spark, sf):
 
 def _features(v):
     """All point-in-time features of the events, one row for each."""
-    ev, px, facts = _events(v), v("px"), v("facts")
-    stock = ts.with_returns(px, KEY)
+    px, facts = _returns(v), v.once("facts", lambda: v("facts"))
     w20 = F.lag("d", 20).over(ts.ordered(KEY, "d"))
-    daily = stock.select(F.col("symbol").alias("ticker"), F.col("d").alias("asof"), (fx.annualize(ts.trailing_std(30, 10, KEY)) * (5.0 / 252) ** 0.5).alias("vol_amplitude"), ts.skew_score(20, 8, KEY).alias("skew"), (ts.momentum(20, KEY)).alias("stock_20"), w20.alias("from_d"))
-    sector = v("sector").select("d", F.col("adjclose").alias("sector"))
-    daily = ts.asof(ts.asof(daily, sector, "asof", "d", ["sector"]).drop("asof_time"), sector.withColumnRenamed("sector", "sector_from"), "from_d", "d", ["sector_from"]).drop("asof_time")
-    daily = daily.withColumn("strength", fx.tanh_score(F.col("stock_20") - (fx.safe_div("sector", "sector_from") - 1), 0.15))
-    f = ev.join(daily.select("ticker", "asof", "vol_amplitude", "skew", "strength"), ["ticker", "asof"], "left")
+    daily = px.select(F.col("symbol").alias("ticker"), F.col("d").alias("asof"), (fx.annualize(ts.trailing_std(30, 10, KEY)) * (5.0 / 252) ** 0.5).alias("vol_amplitude"), ts.skew_score(20, 8, KEY).alias("skew"), (ts.momentum(20, KEY)).alias("stock_20"), w20.alias("from_d"))
+    f = _events(v).join(daily, ["ticker", "asof"], "left")
+    days = _by_day(v)
+    f = f.join(small(days.withColumnRenamed("d", "asof")), "asof", "left").join(small(days.select(F.col("d").alias("from_d"), F.col("sector").alias("sector_from"))), "from_d", "left")
+    f = f.withColumn("strength", fx.tanh_score(F.col("stock_20") - (fx.safe_div("sector", "sector_from") - 1), 0.15))
     f = ts.asof(f, px.select(F.col("symbol").alias("ticker"), "d", F.col("adjclose").alias("close")), "asof", "d", ["close"], ["ticker"]).drop("asof_time")
-    f = ts.asof(f, v("vix").select("d", F.col("adjclose").alias("vix")), "asof", "d", ["vix"]).drop("asof_time")
-    shares = sd.pit_instant(ev, facts, "revenue", "shares")
-    f = f.join(shares, "event_id", "left").withColumn("cap", F.col("shares") * F.col("close"))
-    paid = v("dividends").select(F.col("symbol").alias("ticker"), F.col("d").alias("paid"), F.col("amount").alias("dividend"))
-    near = (F.col("paid") > F.date_sub("asof", 365)) & (F.col("paid") <= F.col("asof"))
-    income = ev.select("event_id", "ticker", "asof").join(paid, "ticker").where(near).groupBy("event_id").agg(F.sum("dividend").alias("dividend"))
-    f = f.join(income, "event_id", "left").withColumn("income", F.when(F.col("close") > 0, F.coalesce("dividend", F.lit(0.0)) / F.col("close")).otherwise(0.0))
+    f = sd.with_instant(f, facts, "revenue", "shares").drop("asof_time").withColumn("cap", F.col("shares") * F.col("close"))
+    f = ts.trailing_sum(f, v("dividends").withColumnRenamed("symbol", "ticker"), "asof", "d", "amount", "dividend", 365, ["ticker"])
+    f = f.withColumn("income", F.when(F.col("close") > 0, F.coalesce("dividend", F.lit(0.0)) / F.col("close")).otherwise(0.0))
     before = ts.Window.partitionBy("ticker").orderBy(F.datediff("announced", _day("1970-01-01"))).rangeBetween(ts.Window.unboundedPreceding, -1)
-    prior = v("ledger").select("event_id", F.coalesce(F.sum("amount").over(before), F.lit(0.0)).alias("prior"))
-    eve = ev.withColumn("eve", F.date_sub("announced", 1))
-    spent = sd.pit_quarters(eve, facts.where("tag = 'repurchases'"), "eve").where(F.col("end_d") >= _day(START)).groupBy("event_id").agg(F.sum("val").alias("spent"))
-    f = f.join(prior, "event_id").join(spent, "event_id", "left").withColumn("balance", F.greatest(F.col("prior") - F.coalesce("spent", F.lit(0.0)), F.lit(0.0)))
-    f = f.join(sd.internal_gains(sd.pit_quarters(ev, facts)), "event_id", "left")
+    f = f.withColumns({"prior": F.coalesce(F.sum("amount").over(before), F.lit(0.0)), "eve": F.date_sub("announced", 1)})
+    f = sd.with_quarter_total(f, facts.where((F.col("tag") == "repurchases") & (F.col("end_d") >= _day(START))), "spent", "eve").drop("asof_time", "eve")
+    f = f.withColumn("balance", F.greatest(F.col("prior") - F.coalesce("spent", F.lit(0.0)), F.lit(0.0)))
+    f = f.join(sd.internal_gains(sd.pit_quarters(_events(v), facts.where(F.col("tag").isin("revenue", "operating_income", "capex")))), "event_id", "left")
     f = f.withColumn("capital_amplitude", sd.capital_amplitude(F.col("balance"), F.col("cap"), F.col("income"), F.col("variant") == "internal_reallocation", F.col("margin_gain"), F.col("capex_gain"), F.col("revenue_ttm")))
-    words = v("texts").groupBy("ticker", "d").agg(F.max_by(F.struct("text"), "doc_id").alias("t"))
-    pos, neg = fx.keyword_count("t.text", POSITIVE), fx.keyword_count("t.text", NEGATIVE)
-    said = words.select("ticker", "d", ((pos + 1.0) / (pos + neg + 2.0)).alias("text_score"))
+    pos, neg = fx.keyword_count("text", POSITIVE), fx.keyword_count("text", NEGATIVE)
+    said = v("texts").select("ticker", "d", "doc_id", ((pos + 1.0) / (pos + neg + 2.0)).alias("text_score")).groupBy("ticker", "d").agg(F.max_by("text_score", "doc_id").alias("text_score"))
     f = ts.asof(f, said, "asof", "d", ["text_score"], ["ticker"], tolerance_days=120).drop("asof_time")
     f = f.withColumn("angle", sd.alignment_angle([F.col("text_score"), F.col("strength"), F.col("skew")]))
     f = f.withColumn("index_value", sd.interference_index(F.col("capital_amplitude"), F.col("vol_amplitude"), F.col("angle")))
@@ -147,7 +161,7 @@ for _name, _columns in {
 
 
 def _path(v, last=120):
-    return sd.offsets(_events(v), ts.with_returns(v("px"), KEY), _market(v), last)
+    return sd.offsets(_events(v), _returns(v), _market(v), last)
 
 
 _PATH = f"""
@@ -163,7 +177,7 @@ def event_returns(v, spark, sf):
 
 
 def _base(v):
-    px = v("px").select(F.col("symbol").alias("ticker"), "d", F.col("adjclose").alias("base"))
+    px = _returns(v).select(F.col("symbol").alias("ticker"), "d", F.col("adjclose").alias("base"))
     on_day = px.withColumnRenamed("d", "t0").withColumnRenamed("base", "day_base")
     back = ts.asof(_events(v), px, "asof", "d", ["base"], ["ticker"])
     return back.join(on_day, ["ticker", "t0"], "left").select("event_id", F.coalesce("day_base", "base").alias("base"))
@@ -430,8 +444,12 @@ def decay_law(v, spark, sf):
     return simple_ols(rows, [], "y", "x").select(F.exp("intercept").alias("tau_max"), (-F.col("slope")).alias("alpha"), "r2", "n")
 
 
+def _written_features(v):
+    return v.once("features", lambda: _features(v))
+
+
 def _dims(v):
-    f = _features(v).where("capital_amplitude IS NOT NULL AND vol_amplitude IS NOT NULL")
+    f = _written_features(v).where("capital_amplitude IS NOT NULL AND vol_amplitude IS NOT NULL")
     f = f.select("ticker", "capital_amplitude", "vol_amplitude", fx.or_default("intensity", 0.0).alias("intensity"), (1 - fx.or_default("skew", 0.5)).alias("down"), (F.coalesce("vix", F.lit(0.0)) - 100 * F.coalesce("state", F.lit(0.0))).alias("stress"))
     return st.effective_dimension(f, ["capital_amplitude", "vol_amplitude", "intensity", "down", "stress"])
 
@@ -443,12 +461,12 @@ def effective_dimension(v, spark, sf):
 
 @query()
 def reversion_regimes(v, spark, sf):
-    return st.reversion_regimes(_fits(v), _dims(v), _features(v).select("event_id", "ticker", "angle"))
+    return st.reversion_regimes(_fits(v), _dims(v), _written_features(v).select("event_id", "ticker", "angle"))
 
 
 @query()
 def tail_screen(v, spark, sf):
-    dd = sd.post_event_drawdown(_path(v), _base(v)).join(v("ledger").select("event_id", "ticker"), "event_id")
+    dd = sd.post_event_drawdown(_path(v), _base(v)).join(_events(v).select("event_id", "ticker"), "event_id")
     return st.tail_screen(dd, _dims(v), -0.01)
 
 
@@ -458,7 +476,7 @@ SELECT left_symbol, right_symbol, {R('xi', 'xi')}, n FROM (SELECT a.symbol AS le
     ("px", "mkt"),
 )
 def comovement_edges(v, spark, sf):
-    return st.comovement_edges(ts.with_returns(v("px"), KEY), _market(v), 0.3)
+    return st.comovement_edges(_returns(v), _market(v), 0.3)
 
 
 @query(f"{_PANEL}\nSELECT count(*) AS events, count(*) FILTER (WHERE eligible) AS eligible, count(DISTINCT ticker) AS tickers, count(*) FILTER (WHERE reasons <> '') AS incomplete FROM pn", _FVIEWS)
