@@ -310,3 +310,13 @@ def test_feature_panel_plan(spark):
 
     plan = registry.QUERIES["feature_panel"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") < 20 and "SinglePartition" not in plan and "NestedLoop" not in plan
+
+
+def test_pairs_by_blocks_equal_pairs_by_day(spark):
+    """More blocks and ranges than one, days that some keys lack, NULL values; against a pairwise join."""
+    rows = spark.sql("SELECT concat('S', k) AS symbol, date_add(DATE '2000-01-01', int(t)) AS d, IF((k * t) % 11 = 3, NULL, double((k * 7 + t * t * (k + 3)) % 23)) AS x FROM (SELECT id AS k FROM range(14)), (SELECT id AS t FROM range(70)) WHERE (k + t) % 5 > 0")
+    got = sorted(map(tuple, st.pair_sums(rows, block=4, days=20).collect()))
+    rows.createOrReplaceTempView("pair_rows")
+    want = spark.sql("SELECT a.symbol, b.symbol, count(*), sum(a.x), sum(b.x), sum(a.x * a.x), sum(b.x * b.x), sum(a.x * b.x) FROM pair_rows a JOIN pair_rows b ON a.d = b.d AND a.symbol < b.symbol WHERE a.x IS NOT NULL AND b.x IS NOT NULL GROUP BY 1, 2")
+    assert got == sorted(map(tuple, want.collect())) and len(got) == 91
+    assert st.pair_sums(rows.limit(0)).count() == 0

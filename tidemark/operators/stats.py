@@ -187,13 +187,44 @@ def tail_screen(events: DataFrame, dims: DataFrame, threshold: float = -0.2) ->
     return rows.join(F.broadcast(rates), "tier").orderBy(F.asc_nulls_last("drawdown"), "event_id")
 
 
+def pair_sums(values: DataFrame, key: str = "symbol", day: str = "d", value: str = "x", block: int = 256, days: int = 256) -> DataFrame:
+    """For each two keys with common days, left before right: n, and over those days the sums sx, sy, sxx, syy, sxy of
+    their values (one row for each key and day; rows with a NULL are left out). Keys are dealt to blocks of about
+    `block`; each two blocks meet by ranges of `days` days as matrices, whose products have the sums. So a row goes
+    to as many groups as there are blocks, and a pair is shuffled once for each range, not for each day."""
+    rows = values.select(F.col(key).cast("string").alias("key"), F.col(day).alias("day"), F.col(value).cast("double").alias("x")).dropna()
+    blocks = max(1, -(-rows.agg(F.count_distinct("key")).first()[0] // block))
+    mine, other = F.pmod(F.xxhash64("key"), F.lit(blocks)), F.col("other")
+    dealt = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select("key", "day", "x", F.least("mine", other).alias("low"), F.greatest("mine", other).alias("high"), "mine", F.floor(F.unix_date("day") / days).alias("range_no"))
+
+    def products(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, at = np.unique(pdf["key"].to_numpy(str), return_inverse=True)
+        when = np.unique(pdf["day"].to_numpy(), return_inverse=True)[1]
+        x, seen = np.zeros((len(names), when.max() + 1)), np.zeros((len(names), when.max() + 1))
+        x[at, when], seen[at, when] = pdf["x"], 1.0
+        side = np.empty(len(names), int)
+        side[at] = pdf["mine"]
+        n, sx, sxx, sxy = seen @ seen.T, x @ seen.T, (x * x) @ seen.T, x @ x.T
+        i, j = np.nonzero(np.triu(n, 1))
+        if pdf["low"].iat[0] != pdf["high"].iat[0]:
+            apart = side[i] != side[j]
+            i, j = i[apart], j[apart]
+        return pd.DataFrame({"left": names[i], "right": names[j], "n": n[i, j].astype(np.int64), "sx": sx[i, j], "sy": sx[j, i], "sxx": sxx[i, j], "syy": sxx[j, i], "sxy": sxy[i, j]})
+
+    sums = ("n", "sx", "sy", "sxx", "syy", "sxy")
+    parts = dealt.groupBy("low", "high", "range_no").applyInPandas(products, "left string, right string, n long, sx double, sy double, sxx double, syy double, sxy double")
+    return parts.groupBy("left", "right").agg(*[F.sum(c).alias(c) for c in sums])
+
+
 def comovement_edges(returns: DataFrame, market: DataFrame, threshold: float, least: int = 60) -> DataFrame:
     """Pairs of symbols whose excess returns over the market correlate above the threshold on `least` common
-    days or more. Pairs are summed before any shuffle of pairs; a day's symbols meet by the day."""
+    days or more; a pair without variance correlates 0."""
     x = returns.join(market.select("d", F.col("ret").alias("m")), "d").select("symbol", "d", (F.col("ret") - F.col("m")).alias("x"))
-    a, b = x.alias("a"), x.alias("b")
-    both = a.join(b, (F.col("a.d") == F.col("b.d")) & (F.col("a.symbol") < F.col("b.symbol")))
-    r = both.groupBy(F.col("a.symbol").alias("left_symbol"), F.col("b.symbol").alias("right_symbol")).agg(fx.safe_corr("a.x", "b.x").alias("xi"), F.count("*").alias("n"))
+    n, spread = F.col("n"), lambda s, ss: F.greatest(F.col("n") * F.col(ss) - F.col(s) * F.col(s), F.lit(0.0))
+    flat = (spread("sx", "sxx") <= 1e-12 * n * F.col("sxx")) | (spread("sy", "syy") <= 1e-12 * n * F.col("syy"))
+    xi = F.when(flat, 0.0).otherwise(fx.clamp(F.try_divide(n * F.col("sxy") - F.col("sx") * F.col("sy"), F.sqrt(spread("sx", "sxx") * spread("sy", "syy"))), -1, 1))
+    r = pair_sums(x).select(F.col("left").alias("left_symbol"), F.col("right").alias("right_symbol"), xi.alias("xi"), "n")
     return r.where((F.col("n") >= least) & (F.col("xi") > threshold)).orderBy(F.desc("xi"))
 
 

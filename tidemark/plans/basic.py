@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as fx
 from ..operators import series as ts
+from ..operators import stats as st
 from ..operators import study as sd
 from .bindings import Views, rounded, with_views
 
@@ -207,9 +208,8 @@ ORACLES["join_row_offset"] = ORACLES["join_row_offset"].replace("\nSELECT l.even
 
 @query(f"SELECT a.symbol AS left_symbol, b.symbol AS right_symbol, count(*) AS n, {R('sum(a.adjclose * b.adjclose)', 'xy')} FROM px a JOIN px b ON a.d = b.d AND a.symbol < b.symbol JOIN mkt m ON m.d = a.d GROUP BY 1, 2", ("px", "mkt"))
 def join_self_pairs(v, spark, sf):
-    a, b = v("px").alias("a"), v("px").alias("b")
-    both = a.join(b, (F.col("a.d") == F.col("b.d")) & (F.col("a.symbol") < F.col("b.symbol"))).join(v("mkt").select(F.col("d").alias("m")), F.col("a.d") == F.col("m"))
-    return both.groupBy(F.col("a.symbol").alias("left_symbol"), F.col("b.symbol").alias("right_symbol")).agg(F.count("*").alias("n"), F.sum(F.col("a.adjclose") * F.col("b.adjclose")).alias("xy"))
+    days = v("px").join(v("mkt").select("d"), "d")
+    return st.pair_sums(days, value="adjclose").select(F.col("left").alias("left_symbol"), F.col("right").alias("right_symbol"), "n", F.col("sxy").alias("xy"))
 
 
 @query(f"SELECT event_id, tau, {R('amount / 1e6 * exp(-1.0 / tau)', 'weight')} FROM ledger, (SELECT unnest([1, 5, 20, 60]) AS tau)", ("ledger",))
