@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, mix64
+from .common import cut, fold, mix64
 
 #: Labelled rows, at most about, that the model is fitted on.
 TRAIN_ROWS = 8000
@@ -88,13 +88,14 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     one class are missing the model is constant: the share of class 1, or 0.5 without any row."""
     marked = labels.where(F.col(label).isNotNull() & (F.coalesce(fold(key), F.lit(0)) != 0)).select(F.col(key).alias("id"), (F.col(label) > 0).cast("int").alias("y"), (F.pmod(F.xxhash64(key), F.lit(1 << 30)) / float(1 << 30)).alias("u"))
     n = marked.count()
-    marked = marked.groupBy("id").agg(F.max("y").alias("y"), F.max("u").alias("u"))
+    share = train_rows / n if n else 1.0
+    marked = cut(marked.where(F.col("u") < share).groupBy("id").agg(F.max("y").alias("y"), F.max("u").alias("u")))
+    # The sample has about train_rows rows of some bytes; texts go to it, never through a shuffle.
+    marked = F.broadcast(marked) if marked.count() <= 2 * train_rows else marked
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text")).join(marked, "id")
     # A bag has at most one entry of 4 bytes for each byte and order, and no more than there are buckets.
-    entries = F.least(F.octet_length(F.col(text)) * 4, F.lit(1 << BUCKET_BITS))
-    weight = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), entries.alias("n")).join(marked, "id").agg(F.sum(4 * F.col("n"))).first()[0] or 0
-    share = min(train_rows / n if n else 1.0, TRAIN_BYTES / weight if weight else 1.0)
-    marked = marked.where(F.col("u") < share).drop("u")
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text")).join(marked, "id").select("y", "text")
+    weight = rows.agg(F.sum(4 * F.least(F.octet_length("text") * 4, F.lit(1 << BUCKET_BITS)))).first()[0] or 0
+    rows = rows.where(F.col("u") < share * min(1.0, TRAIN_BYTES / weight if weight else 1.0)).select("y", "text")
     schema = T.StructType([T.StructField("y", T.IntegerType()), T.StructField("f", T.BinaryType()), T.StructField("c", T.BinaryType())])
 
     def bags(it):
