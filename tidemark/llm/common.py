@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.storage import cut, forget, shared_dir
 
-__all__ = ["components", "cut", "forget", "hot_limit", "meet", "shared_dir"]
+__all__ = ["components", "cut", "forget", "hot_limit", "key_slices", "meet", "runs", "shared_dir"]
 #: White space between words: blank and the control characters 9 to 13.
 SPACE = r"[\x20\x09-\x0D]+"
 _MULT = 0x9E3779B97F4A7C15
@@ -110,6 +110,42 @@ def slices(texts, limit: int = BLOCK_BYTES):
         at = to
 
 
+def runs(keys) -> np.ndarray:
+    """First places of the runs of equal values of an Arrow column; NULLs are equal."""
+    code = keys.dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+    return np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.empty(0, np.int64)
+
+
+def key_slices(batches, key: str, text: str, limit: int | None = None):
+    """Record batches of rows sorted by key, cut anew so that the rows of a key stay together: pairs of batch
+    and whether its last key goes on in the next one, which is so only beyond `limit` bytes of rows."""
+    import pyarrow as pa
+
+    def joined(held):
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else held[0]
+
+    held, size = [], 0  # rows of the last key
+    for b in batches:
+        for at, to in slices(b[text]):
+            now = b.slice(at, to - at)
+            if held and now[key][0].as_py() != held[0][key][0].as_py():
+                yield joined(held), False
+                held, size = [], 0
+            last = int(runs(now[key])[-1])
+            if last:
+                if held:  # the first key of `now` is the held one
+                    now, last = joined([*held, now]), last + sum(len(h) for h in held)
+                yield now.slice(0, last), False
+                held, size, now = [], 0, now.slice(last)
+            held.append(now)
+            size += now.nbytes
+            if limit is not None and size > limit:
+                yield joined(held), True
+                held, size = [], 0
+    if held:
+        yield joined(held), False
+
+
 def hot_limit(rows: int) -> int:
     """Rows of one key above which the key is hot, for tables of up to 64 times `rows` rows: so at most
     65,536 keys are."""

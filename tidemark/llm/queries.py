@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classlm, decontam, html, langid, minhash, packing, quality, sharding, toxicity, urls
-from .common import fold, read
+from . import chat, classlm, decontam, html, langid, minhash, packing, quality, repair, sharding, toxicity, trie, urls
+from .common import cut, fold, read
 
 
 def _held_out(key: str, remainder: int):
@@ -62,9 +62,46 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+#: Fixed value: both turns of conversation -7, with the strings that mark turns.
+CONTROLS = r"\### Assistant: </turn> ok"
+
+
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all formatted conversations and of one whose texts hold control strings, read back from the
+    formatted texts. NULL texts are empty; ties of turn go by role and text."""
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROLS).alias("text"))
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.digests(chat.format_chats(rows))
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """conv_id, turn, role, text, there: some turns lost, emptied, without stops, said twice or given to the user, as
+    crc32 of conversation and turn decides; lost ones stay as rows that are not there. NULLs are one blank."""
+    blank = F.lit(" ")
+    lot = F.crc32(F.concat(F.coalesce(F.col("conv_id").cast("string"), blank), F.lit(":"), F.coalesce(F.col("turn").cast("string"), blank)).cast("binary")) % 20
+    text, role = F.coalesce("text", blank), F.coalesce("role", blank)
+    some = rows.select("conv_id", "turn", F.when(lot == 4, "user").otherwise(role).alias("role"), F.when(lot == 1, "").when(lot == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"), (lot != 0).alias("there"), lot.alias("lot"))
+    return some.select("conv_id", "turn", "role", "text", "there", F.explode(F.when(F.col("lot") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy")).drop("copy")
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and the digest of the repaired turns of all conversations after damage."""
+    fixed = repair.repair(damaged(read(spark, sf_dir, "conversations")), present="there")
+    joined = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n")
+    return fixed.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.sha2(joined.cast("binary"), 256).alias("repaired_sha256"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, each rebuilt with the start of the one that its id names. Rows without a
+    conv_id belong to no conversation and are left out."""
+    turns = cut(trie.turn_rows(read(spark, sf_dir, "conversations")))
+    c = F.col("conv_id")
+    return trie.prefix_trie(*trie.grafted(turns, c - c % 20, F.crc32(c.cast("string").cast("binary")) % 4, longest=3))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_sharding, op2_near_duplicates, op3_packing, op4_toxicity, op5_html, op6_urls, op7_class_lm, op8_decontamination, op9_language, op10_quality)
+    for f in (op1_sharding, op2_near_duplicates, op3_packing, op4_toxicity, op5_html, op6_urls, op7_class_lm, op8_decontamination, op9_language, op10_quality, op11_chat_format, op12_repair, op13_prefix_trie)
 }
 
 
@@ -166,4 +203,86 @@ SELECT page_id, host, path, {_judge_sql("host", "path", "name")} AS rule,
        CASE WHEN coalesce({_judge_sql("host", "path", "block")}, CASE WHEN allowed THEN FALSE WHEN blocked THEN TRUE END, FALSE) THEN 'block' ELSE 'allow' END AS verdict
 FROM p LEFT JOIN alias ON alias.a = {_NODE.format("url")}"""
 
-ORACLES: dict[str, str] = {"op2_near_duplicates": _OP2, "op6_urls": _OP6, "op8_decontamination": _OP8, "op10_quality": _OP10}
+def _controls_sql(text: str) -> str:
+    """How many backslashes the template puts into a text."""
+    return rf"(len(regexp_extract_all({text}, '\\')) + coalesce(list_sum(list_transform(regexp_extract_all({text}, '###+'), lambda x: length(x) - 2)), 0) + len(regexp_extract_all({text}, '</turn>')))"
+
+
+_OP11 = f"""
+WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', {_quoted(CONTROLS)} UNION ALL SELECT -7, 1, 'assistant', {_quoted(CONTROLS)}),
+n AS (SELECT *, CASE WHEN role IN ('system', 'user', 'assistant') THEN length(role)
+        ELSE 1 + length(role) + {_controls_sql("role")} + length(role) - length(replace(role, ':', '')) END AS label FROM r)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum({len("###  : </turn>") - 1} + label + length(text) + {_controls_sql("text")} + 1)::BIGINT AS formatted_chars
+FROM n GROUP BY conv_id"""
+
+
+def _crc_sql(text: str) -> str:
+    """crc32 of a text of ASCII letters, bit by bit."""
+    bits = f"flatten(list_transform(string_split({text}, ''), lambda c: list_transform(range(0, 8), lambda k: (ascii(c)::BIGINT >> k) & 1)))"
+    return f"xor(list_reduce(list_prepend(4294967295, {bits}), lambda c, b: xor(c >> 1, (xor(c, b) & 1) * 3988292384)), 4294967295)"
+
+
+def _edit_sql(weight: str, cost: str, letter: str, line: str) -> str:
+    """A repair as text: cost in 12 digits, audit, a sign before all letters, lines. Puts an edit before it."""
+    mark = f"instr({weight}, chr(1))"
+    line = f"{line} || chr(10)" if line else "''"
+    return f"lpad((substr({weight}, 1, 12)::BIGINT + {cost})::VARCHAR, 12, '0') || '{letter}' || substr({weight}, 13, {mark} - 12) || {line} || substr({weight}, {mark} + 1)"
+
+
+_STATES = {0: (2, "user"), 1: (2, "user"), 2: (3, "assistant"), 3: (2, "user")}
+
+
+def _row_sql(state: int) -> str:
+    to, role = _STATES[state]
+    kept = {0: f"WHEN i1 = 's' THEN w1 WHEN i1 = 'u' THEN w{to}", 2: f"WHEN i1 = 'a' THEN w{to}"}.get(state, f"WHEN i1 = 'u' THEN w{to}")
+    return f"least({_edit_sql(f'w{state}', '4', 'D', '')}, CASE WHEN fault NOT IN ('b', 'd') THEN {_edit_sql(f'(CASE {kept} END)', 'late', 'K', 'line')} END, CASE WHEN fault NOT IN ('b', 'd') THEN {_edit_sql(f'w{to}', '3 + late', 'R', _quoted(role + ':') + ' || text')} END) AS g{state}"
+
+
+def _gap_sql(state: int) -> str:
+    to, role = _STATES[state]
+    then, next_role = _STATES[to]
+    once = _edit_sql(f"g{to}", "3", "I", _quoted(role + ":"))
+    return f"least(g{state}, {once}, {_edit_sql('(' + _edit_sql(f'g{then}', '3', 'I', _quoted(next_role + ':')) + ')', '3', 'I', _quoted(role + ':'))}) AS w{state}"
+
+
+_OP12 = f"""
+WITH RECURSIVE o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS lot FROM conversations),
+d AS (SELECT conv_id, turn, CASE lot WHEN 4 THEN 'user' ELSE role END AS role, CASE lot WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(CASE lot WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM o WHERE lot <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM d),
+f AS (SELECT *, role || ':' || text AS line, substr(role, 1, 1) AS i1, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS i0,
+        CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+             WHEN regexp_extract(text, '(?s)([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault FROM n),
+k AS (SELECT *, CASE fault WHEN 't' THEN 3 ELSE 0 END AS late FROM f),
+c AS (SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+        count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (i > 1 AND i0 || i1 NOT IN ('su', 'ua', 'au')) AS illegal FROM k GROUP BY conv_id),
+g AS (SELECT conv_id, n AS i, NULL::VARCHAR AS g1, NULL::VARCHAR AS g2, lpad('0', 12, '0') || chr(1) AS g0, lpad('0', 12, '0') || chr(1) AS g3 FROM c),
+s AS (SELECT conv_id, i, {", ".join(f"CASE WHEN g{q} IS NULL AND g{_STATES[q][0]} IS NULL THEN {_edit_sql('(' + _edit_sql('g3', '3', 'I', _quoted('assistant:')) + ')', '3', 'I', _quoted('user:'))} ELSE {_gap_sql(q).rpartition(' AS ')[0]} END AS w{q}" for q in range(4))} FROM g
+      UNION ALL
+      SELECT conv_id, i, {", ".join(_gap_sql(q) for q in range(4))} FROM
+        (SELECT s.conv_id, s.i - 1 AS i, {", ".join(_row_sql(q) for q in range(4))} FROM s JOIN k ON k.conv_id IS NOT DISTINCT FROM s.conv_id AND k.i = s.i)),
+best AS (SELECT conv_id, w0, instr(w0, chr(1)) AS mark FROM s WHERE i = 0)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+       coalesce(substr(w0, 1, 12)::BIGINT, 0) AS cost, coalesce(substr(w0, 13, mark - 13), '') AS audit,
+       sha256(coalesce(substr(w0, mark + 1, greatest(length(w0) - mark - 1, 0)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM a.conv_id"""
+
+_OP13 = f"""
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+h AS (SELECT c, c - c % 20 AS base, {_crc_sql("c::VARCHAR")} % 4 AS h FROM (SELECT DISTINCT c FROM t)),
+r AS (SELECT h.c, 0 AS half, t.pos, t.role, t.text FROM h JOIN t ON t.c = h.base AND t.pos <= h.h UNION ALL SELECT h.c, 1, t.pos, t.role, t.text FROM h JOIN t ON t.c = h.c AND t.pos > h.h),
+p AS (SELECT c, role, text, row_number() OVER (PARTITION BY c ORDER BY half, pos) AS d, to_json(list(struct_pack(role, text)) OVER (PARTITION BY c ORDER BY half, pos)) AS k FROM r),
+q AS (SELECT c, d, k, len(regexp_extract_all(text, '{_LINE}+')) AS words FROM p UNION ALL SELECT c, 0, '[]', 0 FROM h),
+e AS (SELECT *, d = max(d) OVER (PARTITION BY c) AS ends FROM q),
+n AS (SELECT d, k, min(c) AS c, count(*) AS n_convs, any_value(words) AS words, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256 FROM e GROUP BY d, k),
+u AS (SELECT n.*, m.c AS up FROM n LEFT JOIN q ON q.c = n.c AND q.d = n.d - 1 LEFT JOIN n m ON m.d = q.d AND m.k = q.k),
+kids AS (SELECT up AS c, d - 1 AS d, count(*) AS n FROM u WHERE d > 0 GROUP BY 1, 2),
+own AS (SELECT u.*, coalesce(kids.n, 0) AS n_children, (u.n_convs - 1) * u.words AS saved FROM u LEFT JOIN kids ON kids.c = u.c AND kids.d = u.d),
+sums AS (SELECT q.d, q.k, count(*) FILTER (own.n_children = 0) AS n_leaves, sum(own.saved) AS saved_tokens FROM own JOIN q ON q.c = own.c AND q.d <= own.d GROUP BY q.d, q.k)
+SELECT own.c AS conv_id, own.d::BIGINT AS depth, own.up AS parent_conv_id, own.n_convs, own.n_children, sums.n_leaves, sums.saved_tokens::BIGINT AS saved_tokens, own.ends_sha256 FROM own JOIN sums ON sums.d = own.d AND sums.k = own.k"""
+
+ORACLES: dict[str, str] = {"op2_near_duplicates": _OP2, "op6_urls": _OP6, "op8_decontamination": _OP8, "op10_quality": _OP10, "op11_chat_format": _OP11, "op12_repair": _OP12, "op13_prefix_trie": _OP13}
