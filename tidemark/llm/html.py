@@ -14,33 +14,51 @@ from pyspark.sql import types as T
 
 from .quality import STOP_WORDS
 
-#: Elements that start a block, elements without main text, and elements without an end tag.
+#: Elements that start a block, elements without main text, elements that most often have none,
+#: elements whose content is no markup, and elements without an end tag.
 BLOCK = set("address article aside blockquote body br button center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section select summary table tbody td textarea tfoot th thead tr ul".split())
-OUTSIDE = set("nav header footer aside form button select textarea menu dialog noscript template iframe svg canvas object title head".split())
+OUTSIDE = set("button select textarea noscript template iframe svg canvas object title head".split())
+ASIDE = set("nav header footer aside form menu dialog".split())
 RAW = ("script", "style", "noembed", "xmp")
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-#: Words in class, id or role of elements with prose of another kind: adverts, notices, comments, teasers.
-FOREIGN = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|newsletter|subscribe|signup|login|"
-    r"comments?|disqus|replies|respond|related|recommended|teasers?)(?:$|[\s_-])",
-    re.I,
-)
-#: Words for parts of a page's layout; they say nothing against blocks of good prose.
-LAYOUT = re.compile(
-    r"(?:^|[\s_-])(?:banner|overlay|sidebar|side|widget|menu|nav|navbar|navigation|breadcrumbs?|header|masthead|footer|share|sharing|social|tags|pagination|pager|complementary|contentinfo|search)(?:$|[\s_-])",
-    re.I,
-)
-#: Names that tell what an element has or lacks, and heads of articles: no marks.
-_NO_MARK = re.compile(r"\S*(?<![^\s_-])(?:has|with|without|no|not)[_-]\S*|(?<!\S)(?:article|post|entry|content|story|page|section)[_-]+header(?!\S)", re.I)
-#: A tag up to its end; quotes hide a ">" only after "=". Nothing is tried twice, so time grows with the page.
+#: Parts of class, id and role names of elements with prose of another kind: adverts, notices,
+#: comments, teasers. Then those of a page's layout; they say nothing against blocks of good prose.
+FOREIGN = set("ad ads cookie cookies consent gdpr notice notices alert alerts popup modal newsletter subscribe signup login comment comments disqus replies respond related recommended teaser teasers".split())
+FOREIGN_STARTS = ("advert", "sponsor", "promo")
+LAYOUT = set("banner overlay sidebar side widget menu nav navbar navigation breadcrumb breadcrumbs header masthead footer share sharing social tags pagination pager complementary contentinfo search".split())
+#: Parts of names that tell what an element has or lacks, and what a header belongs to, if it is
+#: the head of an article.
+_HAS, _LACKS, _OWNERS = {"has", "with", "without", "no", "not"}, {"off", "free", "none", "closed", "disabled"}, {"article", "post", "entry", "content", "story", "page", "section"}
+#: A tag up to its end; quotes hide a ">" only after "=". The second takes the first ">".
 _TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)>", re.S)
+_SHORT_TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*+)([^>]*+)>", re.S)
 _OTHER = re.compile(r"<[!?/][^>]*+>", re.S)
+#: Tags without an end are looked for at the cost of so many whole pages; after that the first ">" ends a tag.
+PATIENCE = 8
 _NAME = re.compile(r"</?[A-Za-z]")
 _RAW_END = {name: re.compile(f"</{name}", re.I) for name in RAW}
-_MARKED = re.compile(r"(?:^|[\s\"'])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_MARKED = re.compile(r"(?:^|[\s\"'])(?:class|id|role)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*+:\s*+none|aria-hidden\s*+=\s*+[\"']?true", re.I)
 _STOP = frozenset(STOP_WORDS)
 _WORD = re.compile(r"\w+")
+#: Ends of sentences in many scripts. Letters that are words of their own count for several.
+_SENTENCE = re.compile(r"[.!?…。！？؟۔।॥։።](?:[\s\"'»”)\]]|$)|[。！？]")
+_DENSE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\U00020000-\U0002ffff]")
+
+
+def kind_of_names(said: str) -> str:
+    """What the names in class, id and role say of an element: foreign, layout or nothing."""
+    found = ""
+    for name in said.lower().split():
+        parts = re.split("[_-]+", name)
+        if any(p in _HAS for p in parts[:-1]) or any(p in _LACKS for p in parts[1:]) or (parts[-1] == "header" and len(parts) > 1 and parts[-2] in _OWNERS):
+            continue
+        if any(p in FOREIGN or p.startswith(FOREIGN_STARTS) for p in parts):
+            return "foreign"
+        if any(p in LAYOUT for p in parts):
+            found = "layout"
+    return found
 
 
 @dataclass
@@ -50,6 +68,9 @@ class Rules:
     stop_low: float = 0.1
     stop_high: float = 0.3
     link_high: float = 0.4
+    dense: int = 3  # what a letter that is a word counts for
+    holds: float = 0.8  # share of the good text that a marked element must hold not to count
+    rest: float = 0.1  # and what may be outside of it, compared with that
 
 
 @dataclass
@@ -57,9 +78,10 @@ class Block:
     text: str
     linked: int  # characters inside links
     inside: bool  # in an article or main element
-    outside: bool  # in a menu, header, form and the like by its elements, or hidden
+    outside: bool  # in a button, list of choices and the like by its elements, or hidden
     layout: int = 0  # innermost element around it that layout words mark
-    foreign: int = 0  # innermost element around it that words for other prose mark and no heading is in
+    foreign: int = 0  # innermost element around it that is a menu, header, form and the like, or marked by words for other prose
+    heading: bool = False
 
 
 class Marks:
@@ -67,9 +89,16 @@ class Marks:
 
     def __init__(self):
         self.around = [0]
+        self.void = {0}  # those that do not count
+        self.named = {0}  # those that are marked by their names alone
+        self.firm: set[int] = set()  # those that count whatever they hold
 
-    def add(self, around: int) -> int:
+    def add(self, around: int, named: bool = True, firm: bool = False) -> int:
         self.around.append(around)
+        if named:
+            self.named.add(len(self.around) - 1)
+        if firm:
+            self.firm.add(len(self.around) - 1)
         return len(self.around) - 1
 
     def climb(self, mark: int, seen: set[int]) -> None:
@@ -79,21 +108,21 @@ class Marks:
             mark = self.around[mark]
 
 
-def blocks(page: str) -> tuple[list[Block], Marks]:
-    """The blocks of a page in order, references decoded and white space squeezed, and its layout marks."""
+def blocks(page: str) -> tuple[list[Block], Marks, Marks]:
+    """The blocks of a page in order, references decoded and white space squeezed, its layout and foreign marks."""
     out: list[Block] = []
     stack: list[tuple[str, bool, bool, int, int]] = []  # name, outside, article or main, marks around it
     open_: dict[str, int] = {}
     parts: list[str] = []
-    linked = outside = inside = links = layout = foreign = 0
+    linked = outside = inside = links = layout = foreign = headings = 0
     plain, other = Marks(), Marks()
-    void: set[int] = set()  # foreign marks around a main element or a first heading
+    headed: set[int] = set()  # foreign marks around a first heading
 
     def flush():
         nonlocal linked
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
-            out.append(Block(text, linked, inside > 0, outside > 0, layout, foreign))
+            out.append(Block(text, linked, inside > 0, outside > 0, layout, foreign, headings > 0))
         parts.clear()
         linked = 0
 
@@ -105,15 +134,16 @@ def blocks(page: str) -> tuple[list[Block], Marks]:
                 linked += len(text)
 
     def leave() -> str:
-        nonlocal outside, inside, links, layout, foreign
+        nonlocal outside, inside, links, layout, foreign, headings
         top, marked, main, plain_, other_ = stack.pop()
         open_[top] -= 1
         if marked or main or plain_ != layout or other_ != foreign:
             flush()
         outside, inside, links, layout, foreign = outside - marked, inside - main, links - (top == "a"), plain_, other_
+        headings -= top in HEADINGS
         return top
 
-    at, last = 0, page.rfind(">")
+    at, last, spent = 0, page.rfind(">"), 0
     while at < len(page):
         sign = page.find("<", at)
         if sign < 0:
@@ -124,14 +154,19 @@ def blocks(page: str) -> tuple[list[Block], Marks]:
             end = page.find("-->", sign + 4)
             at = end + 3 if end >= 0 else len(page)
             continue
-        m = (_TAG.match(page, sign) or _OTHER.match(page, sign)) if sign < last else None
+        m = None
+        if sign < last:
+            if spent <= PATIENCE * len(page):
+                m = _TAG.match(page, sign)
+                spent += 0 if m else len(page) - sign
+            m = m or _SHORT_TAG.match(page, sign) or _OTHER.match(page, sign)
         if m is None:  # a tag without an end hides the rest; any other sign is text
             if sign > last and _NAME.match(page, sign):
                 break
             add("<")
             at = sign + 1
             continue
-        at, name = m.end(), m[2].lower() if m.re is _TAG else ""
+        at, name = m.end(), m[2].lower() if m.re is not _OTHER else ""
         if not name:
             continue
         if name in RAW and not m[1]:
@@ -151,52 +186,115 @@ def blocks(page: str) -> tuple[list[Block], Marks]:
             if name == "p" and stack and stack[-1][0] == "p":
                 leave()
             said = " ".join(a or b or c for a, b, c in _MARKED.findall(m[3])) if m[3] else ""
-            if name in ("h1", "main"):
-                other.climb(foreign, void)
-            marked = name not in ("html", "body", "article", "main") and (name in OUTSIDE and not (name == "header" and inside) or bool(m[3] and _HIDDEN.search(m[3])))
-            said = _NO_MARK.sub(" ", said) if said and name not in ("html", "body", "main") else ""
-            is_other = bool(said and FOREIGN.search(said))
-            is_plain = bool(said and not is_other and name != "article" and LAYOUT.search(said))
-            article = name == "main" or name == "article" and not is_other
+            if name == "main":  # what is around the main element or a first heading is no foreign prose
+                other.climb(foreign, other.void)
+            if name == "h1":
+                other.climb(foreign, headed)
+            hidden = bool(m[3] and _HIDDEN.search(m[3]))
+            whole = name in ("html", "body", "article", "main")
+            marked = not whole and (name in OUTSIDE or hidden)
+            said_ = kind_of_names(said) if said and name not in ("html", "body", "main") else ""
+            by_name = said_ == "foreign"
+            is_other = by_name or (not whole and name in ASIDE and not (name == "header" and inside))
+            is_plain = said_ == "layout" and not is_other and name != "article"
+            article = name == "main" or name == "article" and not by_name
             if (marked or is_other or is_plain) and name not in BLOCK:
                 flush()
             stack.append((name, marked, article, layout, foreign))
             open_[name] = open_.get(name, 0) + 1
             layout = plain.add(layout) if is_plain else layout
-            foreign = other.add(foreign) if is_other else foreign
+            foreign = other.add(foreign, by_name and name not in ASIDE, name in ASIDE and name != "form") if is_other else foreign
+            headings += name in HEADINGS
             outside, inside, links = outside + marked, inside + article, links + (name == "a")
     flush()
-    for b in out:
-        b.foreign = 0 if b.foreign in void else b.foreign
-    return out, plain
+    other.void |= headed & other.named
+    return out, plain, other
 
 
-def _rule(b: Block, rules: Rules) -> bool | None:
-    density = b.linked / max(1, len(b.text))
+def _stops(b: Block) -> float:
     words = _WORD.findall(b.text.lower())
-    stops = sum(w in _STOP for w in words) / max(1, len(words))
-    if b.inside:
-        return True if len(b.text) >= rules.short and density <= rules.link_high and stops >= rules.stop_low else None
-    if density > rules.link_high:
-        return False
-    if len(b.text) < rules.short:
-        return False if b.linked else None
-    if stops >= rules.stop_high or (stops >= rules.stop_low and len(b.text) >= rules.long):
-        return True
-    return None if stops >= rules.stop_low else False
-
-
-def labels(items: list[Block], marks: Marks, rules: Rules = Rules()) -> list[bool]:
-    """First pass: good, bad or open by length, stop words and links, and bad by place. A layout mark counts
-    only around no good block; text outside of articles is bad only where articles hold at least half of
-    the good text. Second pass: an open block is good if its nearest decided neighbour is, at a tie that
-    before it; without any it is good only inside an article."""
-    first = [False if b.outside or b.foreign else _rule(b, rules) for b in items]
+    return sum(w in _STOP for w in words) / max(1, len(words))
+
+
+def _length(b: Block, rules: Rules) -> int:
+    return len(b.text) + (0 if b.text.isascii() else (rules.dense - 1) * len(_DENSE.findall(b.text)))
+
+
+def _rules(items: list[Block], rules: Rules) -> list[bool | None]:
+    """Good, bad or open by length, links and stop words. Where long blocks with ends of sentences but without
+    stop words hold more text than those with them, the page's language is none of those listed; then ends of
+    sentences count for stop words, as they always do in other scripts."""
+    stops, long = [_stops(b) for b in items], [_length(b, rules) for b in items]
+    ends = [len(_SENTENCE.findall(b.text)) if s < rules.stop_low and n >= rules.short else 0 for b, s, n in zip(items, stops, long, strict=True)]
+    known = other = 0
+    for b, s, n, e in zip(items, stops, long, ends, strict=True):
+        if n >= rules.short and b.linked <= rules.link_high * len(b.text):
+            known, other = known + (n if s >= rules.stop_low else 0), other + (n if e else 0)
+    out: list[bool | None] = []
+    for b, s, n, e in zip(items, stops, long, ends, strict=True):
+        density = b.linked / len(b.text)
+        script = not b.text.isascii() and sum(c > "\u024f" for c in b.text if c.isalpha()) > len(b.text) / 4
+        if e and (other > known or script):
+            s = rules.stop_high if e * rules.long >= n / 2 else rules.stop_low
+        if b.inside:
+            out.append(True if n >= rules.short and density <= rules.link_high and s >= rules.stop_low else None)
+        elif density > rules.link_high:
+            out.append(False)
+        elif n < rules.short:
+            out.append(False if b.linked else None)
+        elif s >= rules.stop_high or (s >= rules.stop_low and n >= rules.long):
+            out.append(True)
+        else:
+            out.append(None if s >= rules.stop_low or script else False)
+    return out
+
+
+def _open_wrappers(items: list[Block], first: list[bool | None], marks: Marks, rules: Rules) -> set[int]:
+    """Marked elements that hold nearly all good text of the page, so that their mark cannot be right: the
+    outer ones of those around each other, as many as it takes till good text is outside of marks."""
+    n = len(marks.around)
+    held = [0] * n
+    for b, x in zip(items, first, strict=True):
+        if x and not b.outside:
+            held[b.foreign] += len(b.text)
+    for m in range(n - 1, 0, -1):
+        held[marks.around[m]] += held[m]
+    chain = [m for m in range(1, n) if m not in marks.void and m not in marks.firm and held[m] and held[m] >= rules.holds * held[0]]
+    if not chain:
+        return set()
+    place = {m: i + 1 for i, m in enumerate(chain)}
+    deepest, barred = [0] * n, [False] * n
+    for m in range(1, n):
+        up = marks.around[m]
+        deepest[m] = place.get(m, deepest[up])
+        barred[m] = barred[up] or (m not in place and m not in marks.void)
+    free = [0] * (len(chain) + 1)  # text, headings left out, outside of marks once so many of the chain are open
+    for b, x in zip(items, first, strict=True):
+        if x is not False and not b.outside and not b.heading and not barred[b.foreign]:
+            free[deepest[b.foreign]] += len(b.text)
+    opened, so_far = 0, free[0]
+    while opened < len(chain) and so_far < rules.rest * held[chain[opened]]:
+        opened += 1
+        so_far += free[opened]
+    return set(chain[:opened])
+
+
+def labels(items: list[Block], marks: Marks, other: Marks, rules: Rules = Rules()) -> list[bool]:
+    """First pass: good, bad or open by length, stop words and links, and bad by place. Menus, headers, footers
+    and the like count; forms and words for other prose do unless they mark nearly all good text; a layout mark counts only around no
+    good block; text outside of articles is bad only where articles hold at least half of the good text.
+    Second pass: an open block is good if its nearest decided neighbour is, at a tie that before it; without
+    any it is good only inside an article."""
+    first = _rules(items, rules)
+    void, foreign = other.void | _open_wrappers(items, first, other, rules), [False] * len(other.around)
+    for m in range(1, len(foreign)):
+        foreign[m] = foreign[other.around[m]] or m not in void
+    first = [False if b.outside or foreign[b.foreign] else x for b, x in zip(items, first, strict=True)]
     held: set[int] = {0}
     for b, x in zip(items, first, strict=True):
         if x:
             marks.climb(b.layout, held)
-    off = [bool(b.outside or b.foreign or b.layout not in held) for b in items]
+    off = [bool(b.outside or foreign[b.foreign] or b.layout not in held) for b in items]
     good = [0, 0]
     for b, x in zip(items, first, strict=True):
         good[b.inside] += len(b.text) if x else 0
@@ -224,8 +322,8 @@ def labels(items: list[Block], marks: Marks, rules: Rules = Rules()) -> list[boo
 
 
 def main_text(page: str | None, rules: Rules = Rules()) -> str:
-    items, marks = blocks(page or "")
-    return " ".join(b.text for b, good in zip(items, labels(items, marks, rules), strict=True) if good)
+    items, marks, other = blocks(page or "")
+    return " ".join(b.text for b, good in zip(items, labels(items, marks, other, rules), strict=True) if good)
 
 
 def extract(pages: DataFrame, html: str = "html", key: str = "page_id", rules: Rules = Rules()) -> DataFrame:
