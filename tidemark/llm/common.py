@@ -126,7 +126,7 @@ def key_slices(batches, key: str, text: str, limit: int | None = None):
 
     held, size = [], 0  # rows of the last key
     for b in batches:
-        for at, to in slices(b[text]):
+        for at, to in slices(b[text], min(limit or BLOCK_BYTES, BLOCK_BYTES)):
             now = b.slice(at, to - at)
             if held and now[key][0].as_py() != held[0][key][0].as_py():
                 yield joined(held), False
