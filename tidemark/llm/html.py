@@ -69,7 +69,7 @@ class Rules:
     stop_high: float = 0.3
     link_high: float = 0.4
     dense: int = 3  # what a letter that is a word counts for
-    holds: float = 0.8  # share of the good text that a marked element must hold not to count
+    holds: float = 0.5  # share of the good text above which a marked element may not count
     rest: float = 0.1  # and what may be outside of it, compared with that
 
 
@@ -250,8 +250,8 @@ def _rules(items: list[Block], rules: Rules) -> list[bool | None]:
 
 
 def _open_wrappers(items: list[Block], first: list[bool | None], marks: Marks, rules: Rules) -> set[int]:
-    """Marked elements that hold nearly all good text of the page, so that their mark cannot be right: the
-    outer ones of those around each other, as many as it takes till good text is outside of marks."""
+    """Marked elements that hold most good text of the page, with hardly any outside of marks, so that their mark
+    cannot be right: of such elements around each other the outer ones, till text is outside of marks."""
     n = len(marks.around)
     held = [0] * n
     for b, x in zip(items, first, strict=True):
@@ -259,7 +259,7 @@ def _open_wrappers(items: list[Block], first: list[bool | None], marks: Marks, r
             held[b.foreign] += len(b.text)
     for m in range(n - 1, 0, -1):
         held[marks.around[m]] += held[m]
-    chain = [m for m in range(1, n) if m not in marks.void and m not in marks.firm and held[m] and held[m] >= rules.holds * held[0]]
+    chain = [m for m in range(1, n) if m not in marks.void and m not in marks.firm and held[m] > rules.holds * held[0]]
     if not chain:
         return set()
     place = {m: i + 1 for i, m in enumerate(chain)}
@@ -281,7 +281,7 @@ def _open_wrappers(items: list[Block], first: list[bool | None], marks: Marks, r
 
 def labels(items: list[Block], marks: Marks, other: Marks, rules: Rules = Rules()) -> list[bool]:
     """First pass: good, bad or open by length, stop words and links, and bad by place. Menus, headers, footers
-    and the like count; forms and words for other prose do unless they mark nearly all good text; a layout mark counts only around no
+    and the like count; forms and words for other prose do unless hardly any good text is outside of them; a layout mark counts only around no
     good block; text outside of articles is bad only where articles hold at least half of the good text.
     Second pass: an open block is good if its nearest decided neighbour is, at a tie that before it; without
     any it is good only inside an article."""

@@ -173,24 +173,38 @@ def _judge_sql(host: str, path: str, value: str) -> str:
     return "CASE " + " ".join(f"WHEN ({host} = '{r.host}' OR ends_with({host}, '.{r.host}')) AND starts_with({path}, '{r.path}') THEN {pick(r)}" for r in order) + " END"
 
 
-def _attribute_sql(tag: str, attribute: str) -> str:
-    out = f"regexp_extract(regexp_extract(html, {_quoted(getattr(urls, tag))}), {_quoted(getattr(urls, attribute))}, 1)"
-    for name, char in urls.REFERENCES:
-        out = f"replace({out}, {_quoted(name)}, {_quoted(char)})"
-    return out
-
-
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+#: The same reading of markup, for an engine without look-ahead: what ends a name is read with it.
+_NO_MARKUP = "(?is)<!--.*?(-->|$)|" + "|".join(rf"<{n}([\s/][^<>]*)?>.*?(</{n}[\s/>]|$)" for n in ("script", "style", "template", "noscript"))
+_ELEMENT = r"""(?is)<(?:link|meta|base)[\s/](?:=\s*"[^"]*"|=\s*'[^']*'|[^<>"'=]|[="'])*>"""
+_ATTRIBUTE = r"""(?s)[^\s"'<>/=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?"""
+_BLANKS = "' ' || chr(9) || chr(10) || chr(12) || chr(13)"
+
+
+def _decoded_sql(text: str) -> str:
+    """Numeric references and the five names of markup, each decoded once."""
+    name = "split_part(x, ';', 1)"
+    rest = "substr(x, instr(x, ';') + 1)"
+    code = f"CASE WHEN regexp_matches(x, '^#[0-9]{{1,7}};') THEN substr({name}, 2)::BIGINT WHEN regexp_matches(x, '^#[xX][0-9A-Fa-f]{{1,6}};') THEN ('0x' || substr({name}, 3))::BIGINT ELSE list_extract([38, 60, 62, 34, 39], list_position(['amp', 'lt', 'gt', 'quot', 'apos'], CASE WHEN contains(x, ';') THEN {name} END)) END"
+    return f"split_part({text}, '&', 1) || coalesce(array_to_string(list_transform(string_split({text}, '&')[2:], lambda x: coalesce(chr(({code})::INTEGER) || {rest}, '&' || x)), ''), '')"
+
+
 _UP = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _NODE = f"CASE WHEN regexp_matches({{0}}, '^[^:/?#]*://[^/?#]') THEN translate(regexp_extract({{0}}, '^[^:/?#]*://([^/?#]*)', 1), {_UP}) || regexp_extract({{0}}, '^[^:/?#]*://[^/?#]*([^#]*)', 1) END"
 _OP6 = f"""
 WITH RECURSIVE r AS (SELECT page_id, url, html, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, url, html, translate(regexp_extract(rest, '^([^/?#]*)', 1), {_UP}) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
-h AS (SELECT url, regexp_replace(html, '(?s)<!--.*?(-->|$)', ' ', 'g') AS html FROM p),
-t AS (SELECT url AS u, {_attribute_sql("BASE", "HREF")} AS base, unnest([{_attribute_sql("CANONICAL", "HREF")}, {_attribute_sql("REFRESH", "TARGET")}]) AS v FROM h),
+h AS (SELECT row_number() OVER () AS row, url, unnest(regexp_extract_all(regexp_replace(html, {_quoted(_NO_MARKUP)}, ' ', 'g'), {_quoted(_ELEMENT)})) AS tag FROM p),
+a AS (SELECT row, url, place, tag, unnest(regexp_extract_all(tag, {_quoted(_ATTRIBUTE)})) AS att, unnest(range(len(regexp_extract_all(tag, {_quoted(_ATTRIBUTE)})))) AS nr FROM (SELECT *, row_number() OVER () AS place FROM h)),
+m AS (SELECT place, any_value(row) AS row, any_value(url) AS u, lower(any_value(att) FILTER (nr = 0)) AS tag, {", ".join(f"""trim(arg_min(CASE WHEN regexp_matches(att, '(?s)=[[:space:]]*["'']') THEN substr(ltrim(substr(att, instr(att, '=') + 1), {_BLANKS}), 2, length(ltrim(substr(att, instr(att, '=') + 1), {_BLANKS})) - 2)
+        WHEN contains(att, '=') THEN ltrim(substr(att, instr(att, '=') + 1), {_BLANKS}) ELSE '' END, nr) FILTER (lower(rtrim(split_part(att, '=', 1), {_BLANKS})) = '{n}' AND nr > 0), {_BLANKS}) AS "{n}" """ for n in ("href", "rel", "content", "http-equiv"))} FROM a GROUP BY place),
+n AS (SELECT row, any_value(u) AS u, arg_min(href, place) FILTER (tag = 'base' AND href IS NOT NULL) AS base,
+        arg_min(href, place) FILTER (tag = 'link' AND list_contains(regexp_split_to_array(lower(rel), '[[:space:]]+'), 'canonical') AND href IS NOT NULL) AS canonical,
+        arg_min(content, place) FILTER (tag = 'meta' AND lower("http-equiv") = 'refresh' AND content IS NOT NULL) AS refresh FROM m GROUP BY row),
+t AS (SELECT u, {_decoded_sql("coalesce(base, '')")} AS base, {_decoded_sql("v")} AS v FROM (SELECT u, base, unnest([canonical, regexp_extract(refresh, '(?is)(^|[[:space:];,])url[[:space:]]*=[[:space:]]*["'']?([^"''[:space:]>]+)', 2)]) AS v FROM n)),
 v AS (SELECT CASE WHEN regexp_matches(base, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN base WHEN starts_with(base, '/') AND NOT starts_with(base, '//') THEN regexp_extract(u, '^([^:/?#]*://[^/?#]*)', 1) || base ELSE u END AS f, u, v FROM t),
 x AS (SELECT u, CASE WHEN regexp_matches(v, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN v WHEN starts_with(v, '//') THEN 'http:' || v
         WHEN starts_with(v, '/') THEN regexp_extract(f, '^([^:/?#]*://[^/?#]*)', 1) || v ELSE regexp_extract(f, '^([^?#]*/)', 1) || v END AS v FROM v WHERE v <> ''),

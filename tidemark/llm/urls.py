@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import unescape
+
 from .common import components, cut
 
 
@@ -56,30 +58,39 @@ def judge(host: Column, path: Column, rules: Sequence[Rule] = RULES) -> tuple[Co
     return name, block
 
 
-#: Patterns of elements and of the attributes that hold addresses; rel may be a list of names.
-CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*(?:"(?:[^">]*\s)?canonical(?:\s[^">]*)?"|'(?:[^'>]*\s)?canonical(?:\s[^'>]*)?'|canonical\b)[^>]*>"""
-REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
-BASE = r"""(?is)<base\b[^>]*>"""
-HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
-TARGET = r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)"""
-#: References that addresses in attributes hold, the ampersand last.
-REFERENCES = (("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#x27;", "'"), ("&#47;", "/"), ("&#x2F;", "/"), ("&#58;", ":"), ("&#x3A;", ":"), ("&lt;", "<"), ("&gt;", ">"), ("&#38;", "&"), ("&#x26;", "&"), ("&amp;", "&"))
+#: What is no markup of the page, the elements that name addresses, and their attributes: a name, and a value
+#: that may be quoted. Each pattern stops at the next "<" outside of quotes, so time grows with the page.
+NO_MARKUP = r"""(?is)<!--.*?(?:-->|\z)|<(script|style|template|noscript)(?=[\s/>])[^<>]*+>.*?(?:</\1(?=[\s/>])|\z)"""
+ELEMENT = r"""(?is)<(?:link|meta|base)(?=[\s/>])(?:[^<>"'=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|[="'])*+>"""
+ATTRIBUTE = r"""(?s)[^\s"'<>/=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>]++))?"""
+
+
+def _attributes(tag: Column) -> Column:
+    """The attributes of a tag in order as (name, value); the first is the element's name."""
+    value = lambda a: F.regexp_replace(F.regexp_extract(a, r"(?s)^[^=]*+=\s*+(.*)$", 1), r"""(?s)^(["'])(.*)\1$""", "$2")
+    return F.transform(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(0)), lambda a: F.struct(F.lower(F.regexp_extract(a, r"^([^\s=]+)", 1)).alias("name"), value(a).alias("value")))
 
 
-def _attribute(html: Column, tag: str, attribute: str) -> Column:
-    out = F.regexp_extract(F.regexp_extract(html, tag, 0), attribute, 1)
-    for name, char in REFERENCES:
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return out
+def _said(attributes: Column, name: str) -> Column:
+    """Value of the first attribute of that name, without blanks around it; NULL if there is none."""
+    return F.btrim(F.get(F.filter(attributes, lambda a: a["name"] == name), F.lit(0))["value"], F.lit(" \t\n\r\f"))
 
 
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Edges (a, b) between a page's address and those that it names as its canonical address or
-    sends the reader on to. Comments do not count; references in addresses are decoded; relative
-    addresses are taken from the base element, if it has an absolute one or a path, else from the page's."""
-    body = F.col("body")
-    found = pages.where(F.col(f"`{html}`").rlike(CANONICAL) | F.col(f"`{html}`").rlike(REFRESH)).select(F.col(f"`{url}`").alias("u"), F.regexp_replace(F.col(f"`{html}`"), r"(?s)<!--.*?(-->|$)", " ").alias("body"))
-    found = found.select("u", _attribute(body, BASE, HREF).alias("base"), F.explode(F.array(_attribute(body, CANONICAL, HREF), _attribute(body, REFRESH, TARGET))).alias("v")).where("v <> ''")
+    sends the reader on to; of each kind the first counts. Comments, scripts and styles are no markup; a rel
+    attribute may list several names; character references in addresses are decoded; relative addresses are
+    taken from the base element, if it has an absolute one or a path, else from the page's."""
+    page = F.col(f"`{html}`")
+    found = pages.where(page.rlike("(?i)canonical|refresh")).select(F.col(f"`{url}`").alias("u"), F.regexp_extract_all(F.regexp_replace(page, NO_MARKUP, " "), F.lit(ELEMENT), F.lit(0)).alias("tags"))
+    found = found.select("u", F.transform("tags", _attributes).alias("tags"))
+    canonical = lambda t: F.array_contains(F.split(F.lower(F.coalesce(_said(t, "rel"), F.lit(""))), r"\s+"), "canonical")
+    refresh = lambda t: F.lower(F.coalesce(_said(t, "http-equiv"), F.lit(""))) == "refresh"
+    first = lambda name, fits, attribute: _said(F.get(F.filter("tags", lambda t: (t[0]["name"] == name) & fits(t) & _said(t, attribute).isNotNull()), F.lit(0)), attribute)
+    target = F.regexp_extract(first("meta", refresh, "content"), r"""(?is)(?:^|[\s;,])url\s*+=\s*+["']?([^"'\s>]+)""", 1)
+    found = found.select("u", first("base", lambda _: F.lit(True), "href").alias("base"), F.explode(F.array(first("link", canonical, "href"), target)).alias("v")).where("v <> ''")
+    plain = lambda x: F.when(F.col(x).contains("&"), unescape(x)).otherwise(F.col(x))
+    found = found.select("u", F.coalesce(plain("base"), F.lit("")).alias("base"), plain("v").alias("v"))
     origin = lambda x: F.regexp_extract(x, r"^([^:/?#]*://[^/?#]*)", 1)
     v, u, base = F.col("v"), F.col("u"), F.col("base")
     start = F.when(base.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), base).when(base.startswith("/") & ~base.startswith("//"), F.concat(origin(u), base)).otherwise(u)
@@ -94,7 +105,9 @@ def filter_urls(pages: DataFrame, redirects: DataFrame | None = None, rules: Seq
     joined to its own by canonical links of pages and by redirects (two columns of addresses), at any
     distance. If a rule allows one of them it is allowed, else if one is blocked it is blocked; with no
     rule among them it is allowed. Addresses count without scheme and fragment. A NULL url and one
-    without :// has no alias and is allowed. Repeated rows are judged each for itself."""
+    without :// has no alias and is allowed; a NULL or empty page names nothing; very long ones are searched whole,
+    in time that grows with them. Repeated rows are judged each for itself; at a tie of rules allow goes first.
+    Other columns are not read, whatever their names; an empty table gives an empty result."""
     host, path = host_path(F.col("u"))
     rows = pages.select(F.col(f"`{key}`").alias("page_id"), F.col(f"`{url}`").alias("u")).select("page_id", node(F.col("u")).alias("node"), host.alias("host"), path.alias("path"))
     name, block = judge(F.col("host"), F.col("path"), rules)
