@@ -320,3 +320,63 @@ def test_pairs_by_blocks_equal_pairs_by_day(spark):
     want = spark.sql("SELECT a.symbol, b.symbol, count(*), sum(a.x), sum(b.x), sum(a.x * a.x), sum(b.x * b.x), sum(a.x * b.x) FROM pair_rows a JOIN pair_rows b ON a.d = b.d AND a.symbol < b.symbol WHERE a.x IS NOT NULL AND b.x IS NOT NULL GROUP BY 1, 2")
     assert got == sorted(map(tuple, want.collect())) and len(got) == 91
     assert st.pair_sums(rows.limit(0)).count() == 0
+
+
+def test_tags_are_chosen_by_firm_whatever_their_days(spark):
+    """The first listed tag with any unit, and its first unit as delivered, hide all others, also where they are newer."""
+    t = lambda s, tag, unit, no, filed, val, tax="x": (s, tax, tag, unit, no, D(2019, 1, 1), D(2019, 3, 31), filed, val)
+    rows = [
+        t("A", "first", "USD", 0, D(2023, 1, 1), 1.0), t("A", "second", "USD", 0, D(2020, 1, 1), 2.0),  # only the later tag counts
+        t("B", "second", "EUR", 0, D(2020, 1, 1), 3.0), t("B", "second", "USD", 1, D(2020, 1, 1), 4.0), t("B", "second", "EUR", 0, None, 5.0),
+        t("C", "third", "USD", 0, D(2020, 1, 1), 6.0), t("D", "first", "USD", 0, D(2020, 1, 1), 7.0, "other"),
+    ]
+    facts = spark.createDataFrame(rows, "symbol string, taxonomy string, tag string, unit string, unit_no int, start_d date, end_d date, filed date, val double")
+    out = sd.resolve_tags(facts, {"spent": ("x", ("first", "second")), "again": ("x", ("second",))})
+    got = {(r["symbol"], r["tag"], r["source_tag"], r["unit"], r["val"]) for r in out.collect()}
+    assert got == {("A", "spent", "first", "USD", 1.0), ("A", "again", "second", "USD", 2.0), *((("B", c, "second", "EUR", v)) for c in ("spent", "again") for v in (3.0, 5.0))}
+    assert sd.resolve_tags(facts.where("false")).count() == 0
+
+
+def test_units_keep_their_order_of_arrival(spark, tmp_path):
+    row = '[{"start": "2020-01-01", "end": "2020-03-31", "filed": "2020-05-01", "val": 1}]'
+    (tmp_path / "f.json").write_text('{"cik": "1", "facts": {"dei": {"T": {"units": {"zeta": %s, "alpha": %s}}}}}' % (row, row))
+    assert {(r["unit"], r["unit_no"]) for r in sources.read_facts(spark, str(tmp_path)).collect()} == {("zeta", 0), ("alpha", 1)}
+
+
+def test_running_quarters_equal_the_join_with_all_facts(spark):
+    """Late filings, amendments, filings without a day and firms with few quarters."""
+    import random
+
+    r, facts, events = random.Random(4), [], []
+    for firm in "ABC":
+        for tag in ("u", "v"):
+            for q in range(14 if firm != "C" else 2):
+                start = D(2018, 1, 1) + dt.timedelta(91 * q)
+                for _ in range(r.randint(1, 3)):
+                    filed = None if r.random() < 0.1 else start + dt.timedelta(r.choice([60, 100, 130, 200, 500]))
+                    facts.append((firm, tag, start, start + dt.timedelta(r.choice([90, 90, 90, 300])), filed, r.random()))
+        events += [(f"{firm}{i}", firm, D(2018, 1, 1) + dt.timedelta(r.randrange(1500))) for i in range(40)]
+    facts = [f for i, f in enumerate(facts) if all((f[0], f[1], f[3], f[4]) != (g[0], g[1], g[3], g[4]) for g in facts[:i])]
+    f = spark.createDataFrame(facts, "symbol string, tag string, start_d date, end_d date, filed date, val double")
+    e = spark.createDataFrame(events, "event_id string, ticker string, asof date")
+    key = lambda x: (x["event_id"], x["tag"], x["k"], x["end_d"], round(x["val"], 9))
+    known = sd.quarters_known(e, f)
+    assert {key(x) for x in known.collect()} == {key(x) for x in sd.pit_quarters(e, f).where("k <= 5").collect()}
+    assert "SortMergeJoin" not in known._jdf.queryExecution().toString() and sd.latest_quarters(f.where("false")).count() == 0
+
+
+def test_text_by_source_preference(spark):
+    """Releases before primary documents, periodic filings by their primary document, empty ones skipped."""
+    filings = [(1, "A", "8-K", D(2020, 1, 1)), (2, "A", "8-K", D(2020, 2, 1)), (3, "A", "10-Q", D(2020, 3, 1)), (4, "A", "8-K", D(2020, 4, 1)), (5, "A", "8-K", D(2020, 4, 1)), (6, "B", "10-Q", D(2020, 1, 1))]
+    docs = [
+        (1, 1, "ex99-1.htm", "press_release", ""), (1, 2, "ex99-2.htm", "press_release", "one"), (1, 3, "main.htm", "primary_filing", "x"),
+        (2, 1, "ex99-1.htm", "press_release", ""), (2, 2, "main.htm", "primary_filing", "four"),
+        (3, 1, "ex99-1.htm", "press_release", "x"), (3, 2, "main.htm", "primary_filing", "sixsix"),
+        (4, 1, "main.htm", "primary_filing", ""), (5, 1, "main.htm", "primary_filing", "fiveseven"), (6, 1, "main.htm", "primary_filing", ""),
+    ]
+    texts = sd.filing_texts(spark.createDataFrame(filings, "filing long, ticker string, form string, filed date"), spark.createDataFrame(docs, "filing long, place int, name string, source_type string, text string"), F.length("text"))
+    got = {r["d"]: (r["text_score"], r["text_source"]) for r in texts.collect()}
+    assert got == {D(2020, 1, 1): (3, "press_release"), D(2020, 2, 1): (4, "primary_filing"), D(2020, 3, 1): (6, "periodic_filing"), D(2020, 4, 1): (9, "primary_filing")}
+    events = spark.createDataFrame([(1, "A", D(2020, 3, 15)), (2, "A", D(2020, 7, 30)), (3, "A", D(2020, 7, 31)), (4, "B", D(2020, 2, 1)), (5, "A", None)], "event_id long, ticker string, asof date")
+    out = {r["event_id"]: (r["text_score"], r["text_source"], r["text_day"]) for r in sd.with_text(events, texts).collect()}
+    assert out == {1: (6, "periodic_filing", D(2020, 3, 1)), 2: (9, "primary_filing", D(2020, 4, 1)), 3: (None, "missing", None), 4: (None, "missing", None), 5: (None, "missing", None)}

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import functions as fx
 from . import series as ts
@@ -93,6 +96,30 @@ def map_to_trading_day(events: DataFrame, cal: DataFrame, ts_col: str = "ts") ->
     return out.withColumnsRenamed({"asof_time": "t0", "idx": "t0_idx"}).drop("target")
 
 
+#: Concepts, and the taxonomy and tags that report them, the preferred tag first.
+CONCEPTS: dict[str, tuple[str, tuple[str, ...]]] = {
+    "shares": ("dei", ("EntityCommonStockSharesOutstanding",)),
+    "repurchases": ("us-gaap", ("PaymentsForRepurchaseOfCommonStock", "StockRepurchasedAndRetiredDuringPeriodValue", "TreasuryStockValueAcquiredCostMethod")),
+    "revenue": ("us-gaap", ("RevenueFromContractWithCustomerExcludingAssessedTax", "SalesRevenueNet")),
+    "operating_income": ("us-gaap", ("OperatingIncomeLoss",)),
+    "capex": ("us-gaap", ("PaymentsToAcquirePropertyPlantAndEquipment",)),
+}
+
+
+def resolve_tags(facts: DataFrame, concepts: Mapping[str, tuple[str, Sequence[str]]] = CONCEPTS) -> DataFrame:
+    """Facts (symbol, taxonomy, tag, unit, unit_no, ...) of the concepts, `tag` being the concept and `source_tag`
+    the reported one: for each firm and concept all facts of the first listed tag that the firm reports at all, in
+    that tag's first unit (by unit_no). The choice looks at no day, so a tag that a firm reports only later
+    hides the others all the time. A tag may serve several concepts; a firm without any of a concept's tags has
+    no facts of it. The choice is a minimum for each firm and concept, added up before its shuffle."""
+    places = [(c, taxonomy, tag, i) for c, (taxonomy, tags) in concepts.items() for i, tag in enumerate(tags)]
+    known_tags = facts.sparkSession.createDataFrame(places, "concept string, taxonomy string, tag string, place int")
+    ranked = facts.join(F.broadcast(known_tags), ["taxonomy", "tag"])  # a parameter list
+    best = ranked.groupBy("symbol", "concept").agg(F.min(F.struct("place", "unit_no")).alias("best"))
+    chosen = ranked.join(best, ["symbol", "concept"]).where((F.col("place") == F.col("best.place")) & (F.col("unit_no") == F.col("best.unit_no")))
+    return chosen.select("symbol", F.col("concept").alias("tag"), F.col("tag").alias("source_tag"), "unit", "start_d", "end_d", "filed", "val")
+
+
 def known(facts: DataFrame, asof: Column) -> Column:
     """Facts filed by the as-of day (or without a filing day) about periods that ended by it."""
     return F.coalesce(F.col("filed") <= asof, F.lit(True)) & (F.col("end_d") <= asof)
@@ -136,10 +163,63 @@ def pit_quarters(events: DataFrame, facts: DataFrame, asof: str = "asof", low: i
     its events; sums and latest values alone come from with_quarter_total and with_instant."""
     f = facts.where(quarter_lengths(low, high)).select(F.col("symbol").alias("ticker"), "tag", "end_d", "filed", "val")
     rows = events.select("event_id", "ticker", asof).join(f, "ticker").where(known(f, F.col(asof)))
-    last = rows.groupBy("event_id", "tag", "end_d").agg(F.max_by("val", "filed").alias("val"))
+    last = rows.groupBy("event_id", "tag", "end_d").agg(F.max_by("val", F.coalesce("filed", F.lit("0001-01-01").cast("date"))).alias("val"))
     return last.withColumn("k", F.row_number().over(Window.partitionBy("event_id", "tag").orderBy(F.desc("end_d"))))
 
 
+def latest_quarters(facts: DataFrame, n: int = 5, low: int = 70, high: int = 110) -> DataFrame:
+    """What is known of each firm's latest quarters from a day on: ticker, known_from, quarters, a map from tag to
+    the latest n quarters (end_d, val; latest first), each with its latest filing's value (at a tie the first
+    in order of val). One row for each firm and day on which a quarter is filed or amended; it holds all tags.
+
+    A quarter that n later ones have pushed out never comes back, so a firm's state is bounded by n and its tags;
+    it runs along the firm's facts, which Spark has sorted, and no event or fact meets another."""
+    f = _known_from(facts.where(quarter_lengths(low, high) & F.col("val").isNotNull())).select("ticker", "tag", "known_from", "end_d", "filed", "val")
+    ordered = f.repartition("ticker").sortWithinPartitions("ticker", "known_from", F.asc_nulls_first("filed"), "val")
+    types = {name: f.schema[name].dataType for name in ("ticker", "known_from")}
+    schema = T.StructType([*[T.StructField(k, t) for k, t in types.items()], T.StructField("quarters", T.MapType(T.StringType(), T.ArrayType(T.StructType([T.StructField("end_d", T.DateType()), T.StructField("val", T.DoubleType())]))))])
+
+    def run(it):
+        firm = day = None
+        state: dict[str, dict] = {}  # tag -> end of quarter -> (filed, val)
+
+        def snapshot():
+            return firm, day, {tag: [{"end_d": e, "val": ends[e][1]} for e in sorted(ends, reverse=True)] for tag, ends in state.items()}
+
+        for batch in it:
+            out = []
+            for ticker, tag, at, end, filed, val in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if day is not None and (ticker, at) != (firm, day):
+                    out.append(snapshot())
+                if ticker != firm:
+                    state = {}
+                firm, day = ticker, at
+                ends = state.setdefault(tag, {})
+                was = ends.get(end)
+                if was is None or (was[0] is None and filed is not None) or (was[0] is not None and filed is not None and filed > was[0]):
+                    ends[end] = (filed, val)
+                if len(ends) > n:
+                    del ends[min(ends)]
+            yield _batch(out, schema)
+        if day is not None:
+            yield _batch([snapshot()], schema)
+
+    return ordered.mapInArrow(run, schema)
+
+
+def _batch(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
+    names = schema.names
+    return pa.RecordBatch.from_pylist([{k: (list(v.items()) if isinstance(v, dict) else v) for k, v in zip(names, r, strict=True)} for r in rows], to_arrow_schema(schema))
+
+
+def quarters_known(events: DataFrame, facts: DataFrame, n: int = 5, asof: str = "asof") -> DataFrame:
+    """Quarters (event_id, tag, end_d, val, k from 1, the latest) known at each event's as-of day, n at most for each
+    tag: as pit_quarters gives for k <= n, by one as-of join with latest_quarters."""
+    held = ts.asof(events.select("event_id", "ticker", asof), latest_quarters(facts, n), asof, "known_from", ["quarters"], ["ticker"])
+    tags = held.where("quarters IS NOT NULL").select("event_id", F.explode("quarters").alias("tag", "q"))
+    return tags.select("event_id", "tag", F.posexplode("q").alias("k", "x")).select("event_id", "tag", "x.end_d", "x.val", (F.col("k") + 1).alias("k"))
+
+
 def quarter_sums(quarters: DataFrame) -> DataFrame:
     """For each (event_id, tag): sum of the last four quarters (NULL if fewer), the latest, the mean of up
     to four earlier ones."""
@@ -170,6 +250,38 @@ def internal_gains(quarters: DataFrame) -> DataFrame:
     return g.select("event_id", F.when(F.col("now").isNotNull(), F.greatest(F.col("now") - F.coalesce("before", "now"), F.lit(0.0))).alias("margin_gain"), F.greatest(F.coalesce("capex", F.lit(0.0)) - F.coalesce("capex_before", "capex", F.lit(0.0)), F.lit(0.0)).alias("capex_gain"), "revenue_ttm")
 
 
+def filing_texts(filings: DataFrame, documents: DataFrame, score: Column, releases: Sequence[str] = ("8-K",), primary: str = "main.htm") -> DataFrame:
+    """What each firm's filings of a day say: ticker, d, text_score, text_source. filings: (filing, ticker, form,
+    filed); documents: (filing, place, name, source_type, text) without markup; score: of a document.
+
+    A filing of the forms `releases` speaks by its first press release with a text, else by its first document with
+    one; any other by its primary document. Filings without such a text do not speak, so that an older one does;
+    of a day's filings the first does. Only scores are shuffled, not texts."""
+    on = documents.where("text <> ''").select("filing", "place", "source_type", (F.lower("name") == primary.lower()).alias("main"), score.alias("text_score"))
+    rows = on.join(filings.select("filing", "ticker", "form", F.col("filed").alias("d")), "filing")
+    release = F.col("form").isin(*releases)
+    source = F.when(~release, "periodic_filing").otherwise(F.col("source_type"))
+    rows = rows.where(release | F.col("main")).select("ticker", "d", "filing", "place", "text_score", source.alias("text_source"))
+    first = rows.groupBy("ticker", "d").agg(F.min_by(F.struct("text_score", "text_source"), F.struct("filing", (F.col("text_source") != "press_release").cast("int"), "place")).alias("x"))
+    return first.select("ticker", "d", "x.*")
+
+
+def with_text(events: DataFrame, texts: DataFrame, days: int = 120, asof: str = "asof") -> DataFrame:
+    """events with text_score, text_source (missing without any) and text_day: of the newest text of the firm at or
+    before the as-of day, if it is at most `days` old."""
+    found = ts.asof(events, texts, asof, "d", ["text_score", "text_source"], ["ticker"], tolerance_days=days)
+    return found.withColumn("text_source", F.coalesce("text_source", F.lit("missing"))).withColumnRenamed("asof_time", "text_day")
+
+
+#: Names of the parts of the angle's sources.
+SOURCES = {"text_score": "management_lexical_proxy", "strength": "market_price_proxy", "skew": "options_realized_skew_proxy"}
+
+
+def source_variant(parts: Mapping[str, str] = SOURCES) -> Column:
+    """Names of the scores (columns) that are there, with "+"; missing if none is."""
+    return F.coalesce(F.nullif(F.concat_ws("+", *[F.when(F.col(c).isNotNull(), F.lit(n)) for c, n in parts.items()]), F.lit("")), F.lit("missing"))
+
+
 def alignment_angle(scores: Sequence[Column], h: float = 1.0) -> Column:
     """180 * (1 - mean of the scores) * h within 0..180; NULL if one is NULL."""
     total = scores[0]

@@ -671,10 +671,3 @@ def map_filter_pos(v, spark, sf):
     counts = F.create_map(F.lit("the"), fx.keyword_count("text", ["the"]), F.lit("der"), fx.keyword_count("text", ["der"]))
     out = table(spark, sf, "documents").select("doc_id", F.map_filter(counts, lambda k, x: x > 0).alias("m"))
     return out.select("doc_id", F.size("m").alias("n"), F.coalesce(F.try_element_at("m", F.lit("the")), F.lit(0)).alias("the"))
-
-
-@query("SELECT symbol, end_d, arg_min(tag, CASE tag WHEN 'capex' THEN 0 WHEN 'revenue' THEN 1 ELSE 2 END) AS tag FROM facts WHERE tag IN ('capex', 'revenue') GROUP BY symbol, end_d", ("facts",), dates="end_d")
-def arr_tag_preference(v, spark, sf):
-    place = F.array_position(F.array(F.lit("capex"), F.lit("revenue")), F.col("tag"))
-    return v("facts").where(place > 0).groupBy("symbol", "end_d").agg(F.min_by("tag", place).alias("tag"))
-

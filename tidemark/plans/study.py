@@ -55,6 +55,19 @@ def _by_day(v):
     return v.once("by_day", lambda: of(of(days, "sector"), "vix"))
 
 
+def _facts(v):
+    return v.once("facts", lambda: sd.resolve_tags(v("raw_facts")))
+
+
+_FACTS = f"""
+facts AS (SELECT symbol, concept AS tag, tag AS source_tag, unit, start_d, end_d, filed, val FROM (SELECT r.*, p.concept, dense_rank() OVER (PARTITION BY symbol, concept ORDER BY place, unit_no) AS k FROM raw_facts r JOIN (VALUES {", ".join(f"('{c}', '{x}', '{t}', {i})" for c, (x, tags) in sd.CONCEPTS.items() for i, t in enumerate(tags))}) p(concept, taxonomy, tag, place) ON r.taxonomy = p.taxonomy AND r.tag = p.tag) WHERE k = 1)"""
+
+
+@query(f",{_FACTS}\nSELECT DISTINCT symbol, tag, source_tag, unit FROM facts", ("raw_facts",))
+def arr_tag_preference(v, spark, sf):
+    return _facts(v).select("symbol", "tag", "source_tag", "unit").distinct()
+
+
 _EV = """
 mk AS (SELECT d, adjclose, coalesce(adjclose / lag(adjclose) OVER w - 1, 0) AS ret, row_number() OVER w - 1 AS idx, adjclose / lag(adjclose, 20) OVER w - 1 AS state FROM mkt WINDOW w AS (ORDER BY d)),
 tg AS (SELECT l.*, CAST(CAST(x AS DATE) + CAST(hour(x) >= 16 AS INTEGER) AS DATE) AS target FROM (SELECT *, timezone('America/New_York', timezone('UTC', announced + to_hours(hour))) AS x FROM ledger) l),
@@ -67,27 +80,27 @@ def map_to_trading_day(v, spark, sf):
     return _events(v).select("event_id", "t0", F.col("asof").alias("prior_d"))
 
 
-@query(f",{_EV}\nSELECT event_id, {R('arg_max(val, (end_d, filed))', 'shares')} FROM ev JOIN facts f ON f.symbol = ev.ticker AND f.tag = 'revenue' AND f.filed <= ev.prior_d AND f.end_d <= ev.prior_d GROUP BY 1", ("mkt", "ledger", "firms", "facts"))
+@query(f",{_FACTS},{_EV}\nSELECT event_id, {R('arg_max(val, (end_d, filed))', 'shares')} FROM ev JOIN facts f ON f.symbol = ev.ticker AND f.tag = 'shares' AND f.filed <= ev.prior_d AND f.end_d <= ev.prior_d GROUP BY 1", ("mkt", "ledger", "firms", "raw_facts"))
 def pit_instant(v, spark, sf):
-    return sd.pit_instant(_events(v), v("facts"), "revenue", "shares")
+    return sd.pit_instant(_events(v), _facts(v), "shares", "shares")
 
 
 _PQ = "pq AS (SELECT *, row_number() OVER (PARTITION BY event_id, tag ORDER BY end_d DESC) AS k FROM (SELECT event_id, tag, end_d, arg_max(val, filed) AS val FROM ev JOIN facts f ON f.symbol = ev.ticker AND f.filed <= ev.prior_d AND f.end_d <= ev.prior_d AND date_diff('day', start_d, end_d) + 1 BETWEEN 70 AND 110 GROUP BY ALL))"
 
 
-@query(f",{_EV},{_PQ}\nSELECT event_id, tag, end_d, {R('val', 'val')}, CAST(k AS INTEGER) AS k FROM pq", ("mkt", "ledger", "firms", "facts"), "end_d")
+@query(f",{_FACTS},{_EV},{_PQ}\nSELECT event_id, tag, end_d, {R('val', 'val')}, CAST(k AS INTEGER) AS k FROM pq", ("mkt", "ledger", "firms", "raw_facts"), "end_d")
 def pit_quarters(v, spark, sf):
-    return sd.pit_quarters(_events(v), v("facts"))
+    return sd.pit_quarters(_events(v), _facts(v))
 
 
-@query(f",{_EV},{_PQ}\nSELECT event_id, tag, {R('CASE WHEN count(*) FILTER (WHERE k <= 4) = 4 THEN sum(val) FILTER (WHERE k <= 4) END', 'ttm')}, {R('max(val) FILTER (WHERE k = 1)', 'latest')}, {R('avg(val) FILTER (WHERE k BETWEEN 2 AND 5)', 'earlier')} FROM pq GROUP BY 1, 2", ("mkt", "ledger", "firms", "facts"))
+@query(f",{_FACTS},{_EV},{_PQ}\nSELECT event_id, tag, {R('CASE WHEN count(*) FILTER (WHERE k <= 4) = 4 THEN sum(val) FILTER (WHERE k <= 4) END', 'ttm')}, {R('max(val) FILTER (WHERE k = 1)', 'latest')}, {R('avg(val) FILTER (WHERE k BETWEEN 2 AND 5)', 'earlier')} FROM pq GROUP BY 1, 2", ("mkt", "ledger", "firms", "raw_facts"))
 def ttm_sum(v, spark, sf):
-    return sd.quarter_sums(sd.pit_quarters(_events(v), v("facts")))
+    return sd.quarter_sums(sd.quarters_known(_events(v), _facts(v)))
 
 
 def _features(v):
     """All point-in-time features of the events, one row for each."""
-    px, facts = _returns(v), v.once("facts", lambda: v("facts"))
+    px, facts = _returns(v), _facts(v)
     w20 = F.lag("d", 20).over(ts.ordered(KEY, "d"))
     daily = px.select(F.col("symbol").alias("ticker"), F.col("d").alias("asof"), (fx.annualize(ts.trailing_std(30, 10, KEY)) * (5.0 / 252) ** 0.5).alias("vol_amplitude"), ts.skew_score(20, 8, KEY).alias("skew"), (ts.momentum(20, KEY)).alias("stock_20"), w20.alias("from_d"))
     f = _events(v).join(daily, ["ticker", "asof"], "left")
@@ -95,18 +108,17 @@ def _features(v):
     f = f.join(small(days.withColumnRenamed("d", "asof")), "asof", "left").join(small(days.select(F.col("d").alias("from_d"), F.col("sector").alias("sector_from"))), "from_d", "left")
     f = f.withColumn("strength", fx.tanh_score(F.col("stock_20") - (fx.safe_div("sector", "sector_from") - 1), 0.15))
     f = ts.asof(f, px.select(F.col("symbol").alias("ticker"), "d", F.col("adjclose").alias("close")), "asof", "d", ["close"], ["ticker"]).drop("asof_time")
-    f = sd.with_instant(f, facts, "revenue", "shares").drop("asof_time").withColumn("cap", F.col("shares") * F.col("close"))
+    f = sd.with_instant(f, facts, "shares", "shares").drop("asof_time").withColumn("cap", F.col("shares") * F.col("close"))
     f = ts.trailing_sum(f, v("dividends").withColumnRenamed("symbol", "ticker"), "asof", "d", "amount", "dividend", 365, ["ticker"])
     f = f.withColumn("income", F.when(F.col("close") > 0, F.coalesce("dividend", F.lit(0.0)) / F.col("close")).otherwise(0.0))
     before = ts.Window.partitionBy("ticker").orderBy(F.datediff("announced", _day("1970-01-01"))).rangeBetween(ts.Window.unboundedPreceding, -1)
     f = f.withColumns({"prior": F.coalesce(F.sum("amount").over(before), F.lit(0.0)), "eve": F.date_sub("announced", 1)})
     f = sd.with_quarter_total(f, facts.where((F.col("tag") == "repurchases") & (F.col("end_d") >= _day(START))), "spent", "eve").drop("asof_time", "eve")
     f = f.withColumn("balance", F.greatest(F.col("prior") - F.coalesce("spent", F.lit(0.0)), F.lit(0.0)))
-    f = f.join(sd.internal_gains(sd.pit_quarters(_events(v), facts.where(F.col("tag").isin("revenue", "operating_income", "capex")))), "event_id", "left")
+    f = f.join(sd.internal_gains(sd.quarters_known(_events(v), facts.where(F.col("tag").isin("revenue", "operating_income", "capex")))), "event_id", "left")
     f = f.withColumn("capital_amplitude", sd.capital_amplitude(F.col("balance"), F.col("cap"), F.col("income"), F.col("variant") == "internal_reallocation", F.col("margin_gain"), F.col("capex_gain"), F.col("revenue_ttm")))
     pos, neg = fx.keyword_count("text", POSITIVE), fx.keyword_count("text", NEGATIVE)
-    said = v("texts").select("ticker", "d", "doc_id", ((pos + 1.0) / (pos + neg + 2.0)).alias("text_score")).groupBy("ticker", "d").agg(F.max_by("text_score", "doc_id").alias("text_score"))
-    f = ts.asof(f, said, "asof", "d", ["text_score"], ["ticker"], tolerance_days=120).drop("asof_time")
+    f = sd.with_text(f, v.once("said", lambda: sd.filing_texts(v("statements"), sd.select_documents(v("statement_docs")), (pos + 1.0) / (pos + neg + 2.0))))
     f = f.withColumn("angle", sd.alignment_angle([F.col("text_score"), F.col("strength"), F.col("skew")]))
     f = f.withColumn("index_value", sd.interference_index(F.col("capital_amplitude"), F.col("vol_amplitude"), F.col("angle")))
     return f.withColumn("intensity", F.when(F.col("cap") != 0, F.col("amount") / F.col("cap")))
@@ -118,27 +130,28 @@ def _count(text: str, words: list[str]) -> str:
 
 _RT = "rt AS (SELECT *, coalesce(adjclose / lag(adjclose) OVER w - 1, 0) AS ret, lag(adjclose, 20) OVER w AS c20, lag(d, 20) OVER w AS d20 FROM px WINDOW w AS (PARTITION BY symbol ORDER BY d))"
 _SIDE = "CASE WHEN count(ret) FILTER (WHERE ret {0} 0) OVER x > 1 THEN stddev_samp(ret) FILTER (WHERE ret {0} 0) OVER x ELSE coalesce(avg(abs(ret)) FILTER (WHERE ret {0} 0) OVER x, 0) END"
-_FT = f"""{_EV},
+_FT = f"""{_FACTS},{_EV},
 {_RT},
 dy AS (SELECT symbol, d, adjclose, c20, d20, CASE WHEN count(*) OVER y >= 10 THEN coalesce(stddev_samp(ret) OVER y, 0) * sqrt(252) * sqrt(5.0 / 252) END AS vol_amplitude, count(*) OVER x AS n20, {_SIDE.format('>')} AS up, {_SIDE.format('<')} AS down
   FROM rt WINDOW x AS (PARTITION BY symbol ORDER BY d ROWS 19 PRECEDING), y AS (PARTITION BY symbol ORDER BY d ROWS 29 PRECEDING)),
 ds AS (SELECT symbol, dy.d, vol_amplitude, CASE WHEN n20 >= 8 THEN CASE WHEN up + down > 0 THEN up / (up + down) ELSE 0.5 END END AS skew, 0.5 + 0.5 * tanh((dy.adjclose / c20 - 1 - (a.adjclose / b.adjclose - 1)) / 0.15) AS strength
   FROM dy ASOF LEFT JOIN sector a ON dy.d >= a.d ASOF LEFT JOIN sector b ON dy.d20 >= b.d),
 {_PQ},
-sh AS (SELECT event_id, arg_max(val, (end_d, filed)) AS shares FROM ev JOIN facts f ON f.symbol = ev.ticker AND f.tag = 'revenue' AND f.filed <= ev.prior_d AND f.end_d <= ev.prior_d GROUP BY 1),
+sh AS (SELECT event_id, arg_max(val, (end_d, filed)) AS shares FROM ev JOIN facts f ON f.symbol = ev.ticker AND f.tag = 'shares' AND f.filed <= ev.prior_d AND f.end_d <= ev.prior_d GROUP BY 1),
 dv AS (SELECT event_id, sum(x.amount) AS dividend FROM ev JOIN dividends x ON x.symbol = ev.ticker AND x.d > ev.prior_d - INTERVAL 365 DAY AND x.d <= ev.prior_d GROUP BY 1),
 pr AS (SELECT l.event_id, coalesce(sum(e.amount), 0) AS prior FROM ledger l LEFT JOIN ledger e ON e.ticker = l.ticker AND e.announced < l.announced GROUP BY 1),
 sp AS (SELECT event_id, sum(val) AS spent FROM (SELECT event_id, end_d, arg_max(val, filed) AS val FROM ev JOIN facts f ON f.symbol = ev.ticker AND f.tag = 'repurchases' AND f.filed <= ev.announced - 1 AND f.end_d <= ev.announced - 1 AND date_diff('day', start_d, end_d) + 1 BETWEEN 70 AND 110 GROUP BY ALL) WHERE end_d >= DATE '{START}' GROUP BY 1),
 wd AS (SELECT event_id, k, max(val) FILTER (WHERE tag = 'revenue') AS rv, max(val) FILTER (WHERE tag = 'operating_income') AS oi, max(val) FILTER (WHERE tag = 'capex') AS cx FROM pq WHERE k <= 5 AND tag IN ('revenue', 'operating_income', 'capex') GROUP BY 1, 2),
 ig AS (SELECT event_id, greatest(nw - coalesce(bf, nw), 0) AS mg, greatest(coalesce(cx1, 0) - coalesce(cxb, cx1, 0), 0) AS cg, rt4 FROM (SELECT event_id, max(CASE WHEN k = 1 THEN coalesce(oi / nullif(rv, 0), 0) END) AS nw, avg(CASE WHEN k > 1 THEN oi / nullif(rv, 0) END) AS bf, max(CASE WHEN k = 1 THEN cx END) AS cx1, avg(CASE WHEN k > 1 THEN cx END) AS cxb, CASE WHEN count(rv) FILTER (WHERE k <= 4) = 4 THEN sum(rv) FILTER (WHERE k <= 4) END AS rt4 FROM wd GROUP BY 1)),
-tx AS (SELECT ticker, d, ({_count('t', POSITIVE)} + 1.0) / ({_count('t', POSITIVE)} + {_count('t', NEGATIVE)} + 2.0) AS text_score FROM (SELECT ticker, d, lower(arg_max(text, doc_id)) AS t FROM texts GROUP BY 1, 2)),
+ft0 AS (SELECT g.filing, ticker, filed AS d, CASE WHEN form <> '8-K' THEN 'periodic_filing' WHEN name = 'ex99-1.htm' THEN 'press_release' ELSE 'primary_filing' END AS text_source, lower(trim(regexp_replace(regexp_replace(text, '(?s)<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))) AS t FROM statement_docs s JOIN statements g ON g.filing = s.filing WHERE form = '8-K' OR name = 'main.htm'),
+tx AS (SELECT ticker, d, text_source, ({_count('t', POSITIVE)} + 1.0) / ({_count('t', POSITIVE)} + {_count('t', NEGATIVE)} + 2.0) AS text_score FROM (SELECT *, row_number() OVER (PARTITION BY ticker, d ORDER BY filing, text_source <> 'press_release') AS r FROM ft0 WHERE t <> '') WHERE r = 1),
 f1 AS (SELECT ev.*, ds.vol_amplitude, ds.skew, ds.strength, sh.shares, dv.dividend, pr.prior, sp.spent, ig.mg, ig.cg, ig.rt4 FROM ev LEFT JOIN ds ON ds.symbol = ev.ticker AND ds.d = ev.prior_d LEFT JOIN sh ON sh.event_id = ev.event_id LEFT JOIN dv ON dv.event_id = ev.event_id LEFT JOIN pr ON pr.event_id = ev.event_id LEFT JOIN sp ON sp.event_id = ev.event_id LEFT JOIN ig ON ig.event_id = ev.event_id),
-f2 AS (SELECT f1.*, p.adjclose AS close, x.adjclose AS vix, CASE WHEN date_diff('day', t.d, f1.prior_d) <= 120 THEN t.text_score END AS text_score FROM f1 ASOF LEFT JOIN px p ON p.symbol = f1.ticker AND f1.prior_d >= p.d ASOF LEFT JOIN vix x ON f1.prior_d >= x.d ASOF LEFT JOIN tx t ON t.ticker = f1.ticker AND f1.prior_d >= t.d),
+f2 AS (SELECT f1.*, p.adjclose AS close, x.adjclose AS vix, CASE WHEN date_diff('day', t.d, f1.prior_d) <= 120 THEN t.text_score END AS text_score, CASE WHEN date_diff('day', t.d, f1.prior_d) <= 120 THEN t.text_source ELSE 'missing' END AS text_source, CASE WHEN date_diff('day', t.d, f1.prior_d) <= 120 THEN t.d END AS text_day FROM f1 ASOF LEFT JOIN px p ON p.symbol = f1.ticker AND f1.prior_d >= p.d ASOF LEFT JOIN vix x ON f1.prior_d >= x.d ASOF LEFT JOIN tx t ON t.ticker = f1.ticker AND f1.prior_d >= t.d),
 f3 AS (SELECT *, shares * close AS cap, CASE WHEN close > 0 THEN coalesce(dividend, 0) / close ELSE 0 END AS income, greatest(prior - coalesce(spent, 0), 0) AS balance FROM f2),
 f4 AS (SELECT *, CASE WHEN variant = 'internal_reallocation' THEN CASE WHEN cap > 0 AND rt4 IS NOT NULL AND mg IS NOT NULL THEN greatest((mg * rt4 + coalesce(cg, 0)) / cap, 0) END WHEN cap <> 0 THEN balance / cap + income END AS capital_amplitude,
   CASE WHEN text_score + strength + skew IS NOT NULL THEN greatest(0, least(180, 180 * (1 - (text_score + strength + skew) / 3))) END AS angle, CASE WHEN cap <> 0 THEN amount / cap END AS intensity FROM f3),
 ft AS (SELECT *, coalesce(2 * capital_amplitude * vol_amplitude / nullif(capital_amplitude * capital_amplitude + vol_amplitude * vol_amplitude, 0), CASE WHEN capital_amplitude + vol_amplitude IS NOT NULL THEN 0 END) * cos(radians(angle)) AS index_value FROM f4)"""
-_FVIEWS = ("px", "mkt", "ledger", "firms", "facts", "dividends", "sector", "vix", "texts")
+_FVIEWS = ("px", "mkt", "ledger", "firms", "raw_facts", "dividends", "sector", "vix", "statement_docs", "statements")
 
 
 def feature_query(name: str, columns: str, source: str | None = None):
@@ -154,12 +167,17 @@ def feature_query(name: str, columns: str, source: str | None = None):
 
 
 for _name, _columns in {
-    "market_cap": "cap", "trailing_yield": "income", "authorization_balance": "prior balance", "capital_amplitude": "capital_amplitude", "vol_amplitude": "vol_amplitude", "text_score": "text_score",
+    "market_cap": "cap", "trailing_yield": "income", "authorization_balance": "prior balance", "capital_amplitude": "capital_amplitude", "vol_amplitude": "vol_amplitude",
     "relative_strength": "strength", "skew_score": "skew", "market_state": "state vix", "interference_index": "angle index_value",
 }.items():
     feature_query(_name, _columns)
 
 
+@query(f",{_FT}\nSELECT event_id, {R('text_score', 'text_score')}, text_source, text_day FROM ft", _FVIEWS, "text_day")
+def text_score(v, spark, sf):
+    return _features(v).select("event_id", "text_score", "text_source", "text_day")
+
+
 def _path(v, last=120):
     return sd.offsets(_events(v), _returns(v), _market(v), last)
 
@@ -209,9 +227,18 @@ pn AS (SELECT f.*, c.car AS car_5, index_value IS NOT NULL AND state IS NOT NULL
 _PANEL = f",{_FT},{_PATH.replace(_RT + ',', '')},{_PN}"
 
 
-@query(f"{_PANEL}\nSELECT event_id, ticker, t0, {R('capital_amplitude', 'capital_amplitude')}, {R('vol_amplitude', 'vol_amplitude')}, {R('angle', 'angle')}, {R('index_value', 'index_value')}, {R('intensity', 'intensity')}, {R('car_5', 'car_5')}, eligible, reasons, coverage FROM pn", _FVIEWS, "t0")
+_PANEL_NUMBERS = "amount cap balance income capital_amplitude vol_amplitude intensity state vix text_score strength skew angle index_value car_5 drawdown".split()
+_PANEL_NAMES = "event_id ticker t0 announced variant text_source text_day source_variant eligible reasons coverage data_tier".split()
+
+
+@query(
+    f"{_PANEL},{_DD.replace(chr(10) + 'bs AS', 'bs AS')}\nSELECT {', '.join('pn.' + n if n == 'event_id' else n for n in _PANEL_NAMES if n not in ('source_variant', 'data_tier'))}, {', '.join(R(n, n) for n in _PANEL_NUMBERS)}, 'public_proxy' AS data_tier, "
+    + "coalesce(nullif(concat_ws('+', " + ", ".join(f"CASE WHEN {c} IS NOT NULL THEN '{n}' END" for c, n in sd.SOURCES.items()) + "), ''), 'missing') AS source_variant FROM pn LEFT JOIN dd ON dd.event_id = pn.event_id",
+    _FVIEWS, "t0 announced text_day",
+)
 def feature_panel(v, spark, sf):
-    return _panel(v).select("event_id", "ticker", "t0", "capital_amplitude", "vol_amplitude", "angle", "index_value", "intensity", "car_5", "eligible", "reasons", "coverage")
+    fall = sd.post_event_drawdown(_path(v), _base(v))
+    return _panel(v).join(fall, "event_id", "left").withColumns({"source_variant": sd.source_variant(), "data_tier": F.lit(sd.DATA_TIER)}).select(*_PANEL_NAMES, *_PANEL_NUMBERS)
 
 
 # Ledger

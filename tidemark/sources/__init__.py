@@ -69,11 +69,11 @@ def read_filing_index(spark: SparkSession, path: str, multiline: bool = False) -
 
 
 def read_facts(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
-    """Long facts from maps taxonomy -> tag -> unit -> rows."""
+    """Long facts from maps taxonomy -> tag -> unit -> rows; unit_no is the unit's place in its map, as delivered."""
     kind = "cik STRING, facts MAP<STRING, MAP<STRING, STRUCT<units: MAP<STRING, ARRAY<STRUCT<start: STRING, end: STRING, filed: STRING, val: DOUBLE>>>>>>"
     t = spark.read.schema(kind).json(path, multiLine=multiline).select("cik", F.explode("facts").alias("taxonomy", "tags")).select("cik", "taxonomy", F.explode("tags").alias("tag", "v"))
-    rows = t.select("cik", "taxonomy", "tag", F.explode("v.units").alias("unit", "rows")).select("cik", "taxonomy", "tag", "unit", F.inline("rows"))
-    return rows.select("cik", "taxonomy", "tag", "unit", F.to_date("start").alias("start_d"), F.to_date("end").alias("end_d"), F.to_date("filed").alias("filed"), "val")
+    rows = t.select("cik", "taxonomy", "tag", F.posexplode("v.units").alias("unit_no", "unit", "rows")).select("cik", "taxonomy", "tag", "unit", "unit_no", F.inline("rows"))
+    return rows.select("cik", "taxonomy", "tag", "unit", "unit_no", F.to_date("start").alias("start_d"), F.to_date("end").alias("end_d"), F.to_date("filed").alias("filed"), "val")
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
