@@ -222,6 +222,36 @@ def test_bootstrap_shares_draws(spark):
     assert (ci["ci_low"] <= ci["ci_high"]).all()
 
 
+@pytest.mark.parametrize("n", [2, 3, 21, 22, 23, 60, 400])
+def test_merged_blocks_equal_the_days_one_by_one(n):
+    """Summaries of blocks, merged, against a plain walk over each resample's days."""
+    r, free = np.random.default_rng(n).normal(0, 0.02, n), np.full(n, 0.0001)
+    starts, block = pn._starts(range(9), n, 21, 5), 21
+    got, size = pn.resampled(r, r - free, starts, block), min(block, n - 1)
+    for i, row in enumerate(starts):
+        days = np.concatenate([np.arange(s, s + size) for s in row])[:n]
+        assert len(days) == n and days.max() < n and days.min() > 0
+        path = np.r_[0.0, r[days[1:]]]
+        equity = np.cumprod(1 + path)
+        over = (path - free)[1:]
+        later = path[1:]
+        sd, down = later.std(ddof=1) if n > 2 else 0.0, np.sqrt((np.minimum(over, 0) ** 2).mean())
+        want = {"cagr": equity[-1] ** (252 / (n - 1)) - 1, "max_drawdown": (equity / np.maximum.accumulate(equity)).min() - 1, "sharpe": later.mean() * 252 / (sd * 252**0.5) if sd else 0.0, "sortino": over.mean() * 252 / (down * 252**0.5) if down else 0.0, "cvar_95": np.sort(later)[: max(1, math.ceil(0.05 * (n - 1)))].mean()}
+        assert all(got[m][i] == pytest.approx(w, rel=1e-9, abs=1e-12) for m, w in want.items())
+
+
+def test_bootstrap_has_no_row_for_each_day(spark):
+    from tidemark.plans import registry
+
+    out = registry.QUERIES["block_bootstrap_full"](spark, "/root/testdata/sf0.001")
+    rows = out.toPandas()
+    assert len(rows) == 50 and (rows["ci_low"] <= rows["ci_high"]).all()
+    few = registry.QUERIES["block_bootstrap_ci"](spark, "/root/testdata/sf0.001").toPandas().set_index(["symbol", "strategy", "metric"]).sort_index()
+    wide = rows.set_index(["symbol", "strategy", "metric"]).sort_index()
+    middle = (wide["ci_low"] + wide["ci_high"]) / 2
+    assert ((few["ci_low"] <= middle) & (middle <= few["ci_high"])).mean() > 0.9
+
+
 def test_filings_keep_amounts_near_buyback_words(spark):
     """5 million near a buyback word: 4 points more, and the amount reaches the candidates."""
     from tidemark.plans import study
@@ -238,12 +268,11 @@ def test_filings_keep_amounts_near_buyback_words(spark):
 
 
 def test_metrics_table_has_every_symbol(spark):
-    from tidemark.plans import backtest, registry
+    from tidemark.plans import registry
 
     rows = registry.QUERIES["metrics_table"](spark, "/root/testdata/sf0.001").toPandas()
-    symbols = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
-    assert list(rows.columns) == ["metric", *[f"{s}/{k}" for s in symbols for k in ("hold", "vol_target")]]
-    assert set(backtest._NAMES) < set(rows.columns) and rows.notna().all().all()
+    assert list(rows.columns) == ["symbol", "metric", "hold", "vol_target"] and rows.notna().all().all()
+    assert set(rows["symbol"]) == {"AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"} and len(rows) == 5 * len(pn.METRICS)
 
 
 def test_documents_are_exhibits_and_the_primary(spark):
@@ -315,11 +344,18 @@ def test_feature_panel_plan(spark):
 def test_pairs_by_blocks_equal_pairs_by_day(spark):
     """More blocks and ranges than one, days that some keys lack, NULL values; against a pairwise join."""
     rows = spark.sql("SELECT concat('S', k) AS symbol, date_add(DATE '2000-01-01', int(t)) AS d, IF((k * t) % 11 = 3, NULL, double((k * 7 + t * t * (k + 3)) % 23)) AS x FROM (SELECT id AS k FROM range(14)), (SELECT id AS t FROM range(70)) WHERE (k + t) % 5 > 0")
-    got = sorted(map(tuple, st.pair_sums(rows, block=4, days=20).collect()))
+    got = sorted(map(tuple, st.pair_sums(rows, block=4, days=20).drop("xi").collect()))
     rows.createOrReplaceTempView("pair_rows")
     want = spark.sql("SELECT a.symbol, b.symbol, count(*), sum(a.x), sum(b.x), sum(a.x * a.x), sum(b.x * b.x), sum(a.x * b.x) FROM pair_rows a JOIN pair_rows b ON a.d = b.d AND a.symbol < b.symbol WHERE a.x IS NOT NULL AND b.x IS NOT NULL GROUP BY 1, 2")
     assert got == sorted(map(tuple, want.collect())) and len(got) == 91
     assert st.pair_sums(rows.limit(0)).count() == 0
+    every = st.pair_sums(rows, block=4)
+    strong = {tuple(r) for r in every.where("n >= 20 AND xi > 0.05").collect()}
+    assert 0 < len(strong) < 91
+    for days_ in (1 << 14, 20):  # filtered inside the blocks, and after adding up ranges
+        some = {(r["left"], r["right"], r["n"]) for r in st.pair_sums(rows, block=4, days=days_, above=0.05, least=20).collect()}
+        assert some == {(r[0], r[1], r[2]) for r in strong}
+    assert every._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
 
 
 def test_tags_are_chosen_by_firm_whatever_their_days(spark):

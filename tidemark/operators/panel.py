@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import functions as fx
 from . import series as ts
@@ -83,10 +88,10 @@ def brier_summary(panel: DataFrame) -> DataFrame:
     return named.unionByName(err.agg(F.count("*").alias("n")).select(F.lit("constant").alias("forecast_source"), F.lit(0.25).alias("mean_brier"), "n"))
 
 
-def metrics_table(summary: DataFrame, strategies: Sequence[str]) -> DataFrame:
-    """A row for each metric, a column for each strategy."""
-    rows = summary.select("strategy", *[F.col(m).cast("double").alias(m) for m in METRICS]).unpivot("strategy", list(METRICS), "metric", "value")
-    return rows.groupBy("metric").pivot("strategy", list(strategies)).agg(F.max("value"))
+def metrics_table(summary: DataFrame, strategies: Sequence[str], part: Sequence[str] = ()) -> DataFrame:
+    """A row for each metric (and key of part), a column for each strategy of the list."""
+    rows = summary.select(*part, "strategy", *[F.col(m).cast("double").alias(m) for m in METRICS]).unpivot([*part, "strategy"], list(METRICS), "metric", "value")
+    return rows.groupBy(*part, "metric").pivot("strategy", list(strategies)).agg(F.max("value"))
 
 
 def compare_to_baseline(summary: DataFrame, baseline: DataFrame) -> DataFrame:
@@ -106,42 +111,83 @@ def draw(*parts: Column | str | int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
+#: Resamples of one series that a task makes at once.
+CHUNK = 250
+
+
+def _starts(resamples: range, n: int, block: int, seed: int) -> np.ndarray:
+    """Where the blocks of each resample of a series of n days start; the draws of `draw`."""
+    size, width = min(block, n - 1), max(1, n - block)
+    return np.array([[1 + int(hashlib.md5(f"{r}|{k}|{seed}".encode()).hexdigest()[:8], 16) % width for k in range(-(-n // size))] for r in resamples])
+
+
+def _blocks(r: np.ndarray, over: np.ndarray) -> dict[str, np.ndarray]:
+    """Summaries of blocks (rows): product, peak and least of the running product, least fall from its peak, sums of
+    the returns, their squares, the excess over the rate and the squares of its falls. Two that follow
+    one another have a summary made of theirs."""
+    run = np.cumprod(1 + r, axis=1)
+    return {"product": run[:, -1], "peak": run.max(1), "low": run.min(1), "fall": (run / np.maximum.accumulate(run, axis=1)).min(1), "sum": r.sum(1), "squares": (r * r).sum(1), "excess": over.sum(1), "down": (np.minimum(over, 0) ** 2).sum(1)}
+
+
+def resampled(r: np.ndarray, over: np.ndarray, starts: np.ndarray, block: int) -> dict[str, np.ndarray]:
+    """Metrics of the resamples (rows of starts) of a series of returns and excess returns: blocks are summed up once
+    for each start, a resample merges its blocks' summaries in order. The worst days are found among the days
+    of some resamples at a time."""
+    n, size = len(r), min(block, len(r) - 1)
+    last = n - (starts.shape[1] - 1) * size  # days of the last block
+    view = np.lib.stride_tricks.sliding_window_view
+    rows, over_rows = view(r, size), view(over, size)
+    first_r, first_over = rows.copy(), over_rows.copy()
+    first_r[:, 0] = first_over[:, 0] = 0.0  # the first day earns nothing and is left out of all means
+    each, first, end = _blocks(rows, over_rows), _blocks(first_r, first_over), _blocks(view(r, last), view(over, last))
+    total = {k: v[starts[:, 0]] for k, v in first.items()}
+    for k in range(1, starts.shape[1]):
+        part = {name: v[starts[:, k]] for name, v in (end if k == starts.shape[1] - 1 else each).items()}
+        total["fall"] = np.minimum(np.minimum(total["fall"], part["fall"]), total["product"] * part["low"] / total["peak"])
+        total["peak"] = np.maximum(total["peak"], total["product"] * part["peak"])
+        total["product"] = total["product"] * part["product"]
+        for name in ("sum", "squares", "excess", "down"):
+            total[name] = total[name] + part[name]
+    m, year = n - 1, ts.TRADING_DAYS
+    worst, tail = max(1, math.ceil(0.05 * m)), np.empty(len(starts))
+    for at in range(0, len(starts), 32):
+        days = (starts[at : at + 32, :, None] + np.arange(size)).reshape(-1, starts.shape[1] * size)[:, 1:n]
+        tail[at : at + 32] = np.partition(r[days], worst - 1, axis=1)[:, :worst].mean(1)
+    mean = total["sum"] / m
+    spread = np.sqrt(np.maximum(total["squares"] - m * mean * mean, 0) / (m - 1)) if m > 1 else np.zeros(len(starts))
+    down = np.sqrt(total["down"] / m)
+    ratio = lambda a, b: np.divide(a * year, b * math.sqrt(year), out=np.zeros(len(starts)), where=b > 0)
+    return {"cagr": total["product"] ** (year / max(m, 1)) - 1, "max_drawdown": total["fall"] - 1, "sharpe": ratio(mean, spread), "sortino": ratio(total["excess"] / m, down), "cvar_95": tail}
+
+
 def block_bootstrap(daily: DataFrame, part: Sequence[str], resamples: int, block: int = 21, seed: int = 1, rate: str = "annual_rate") -> DataFrame:
-    """Block resamples of daily returns (part, d, daily_return, yearly rate): metrics of each resample,
-    and their 2.5 and 97.5 percentiles. All series of one length share the draws. Blocks start on
-    1..max(1, n - block) and are cut at the end of the series; as many as fill n; the first day earns 0.
-
-    Only draws are shuffled by the length of series and resample; each meets the day's returns in one
-    join on (series, idx), and one window pass by (series, resample) gives the metrics."""
-    rows = daily.withColumns({"idx": (F.row_number().over(ts.ordered(part, "d")) - 1).cast("long"), "n": F.count("*").over(Window.partitionBy(*part))})
-    spark = daily.sparkSession
-    # Every block but one that is cut is `block` long, and a start of n - block or less cuts none.
-    lengths = rows.select("n").distinct()
-    draws = lengths.crossJoin(spark.range(resamples).select(F.col("id").alias("resample"))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / F.least(F.lit(block), F.greatest(F.col("n") - 1, F.lit(1)))) - 1)))
-    width = F.greatest(F.lit(1), F.col("n") - block)
-    start = 1 + draw(F.col("resample"), F.col("block"), seed) % width
-    size = F.least(F.lit(block), F.greatest(F.col("n") - 1, F.lit(1))).cast("long")
-    picks = draws.withColumn("start", start).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), size - 1)))
-    picks = picks.select("n", "resample", (F.col("block") * size + F.col("k")).alias("pos"), (F.col("start") + F.col("k")).alias("idx")).where("pos < n AND idx < n")
-    keyed = rows.select(*part, "n", "idx", "daily_return", F.col(rate).alias("annual_rate"))
-    drawn = picks.join(keyed, ["n", "idx"]).repartition(*part, "resample")
-    key = [*part, "resample"]
-    drawn = drawn.withColumn("daily_return", F.when(F.col("pos") == 0, 0.0).otherwise(F.col("daily_return"))).withColumn("position", F.lit(1.0)).withColumnRenamed("pos", "d")
-    equity = drawn.withColumn("equity", F.product(1 + F.col("daily_return")).over(ts.upto(key, "d")))
-    return resample_metrics(equity, key)
-
-
-def resample_metrics(rows: DataFrame, key: Sequence[str]) -> DataFrame:
-    free = F.pow(1 + F.col("annual_rate"), F.lit(1.0 / ts.TRADING_DAYS)) - 1
-    r = rows.select(*key, "d", "daily_return", "equity", free.alias("free"), (F.col("equity") / F.max("equity").over(ts.upto(key, "d")) - 1).alias("dd"), F.row_number().over(Window.partitionBy(*key).orderBy((F.col("d") == 0).cast("int"), "daily_return", "d")).alias("worst"), F.count("*").over(Window.partitionBy(*key)).alias("n"))
-    later, excess = F.col("d") > 0, F.col("daily_return") - F.col("free")
-    a = r.groupBy(*key).agg(
-        F.max_by("equity", "d").alias("last"), F.max("n").alias("n"), fx.std0(F.when(later, F.col("daily_return"))).alias("sd"), F.avg(F.when(later, F.col("daily_return"))).alias("mean"), F.avg(F.when(later, excess)).alias("mean_excess"),
-        F.sqrt(F.avg(F.when(later, F.pow(F.least(excess, F.lit(0.0)), 2)))).alias("down"), F.min("dd").alias("max_drawdown"),
-        F.avg(F.when(later & (F.col("worst") <= F.greatest(F.lit(1), F.ceil(0.05 * (F.col("n") - 1)))), F.col("daily_return"))).alias("cvar_95"),
-    )
-    year = F.sqrt(F.lit(252.0))
-    return a.select(*key, (F.pow("last", 252 / F.greatest(F.col("n") - 1, F.lit(1))) - 1).alias("cagr"), "max_drawdown", F.coalesce(fx.safe_div(F.col("mean") * 252, F.col("sd") * year), F.lit(0.0)).alias("sharpe"), F.coalesce(fx.safe_div(F.col("mean_excess") * 252, F.col("down") * year), F.lit(0.0)).alias("sortino"), F.coalesce("cvar_95", F.lit(0.0)).alias("cvar_95"))
+    """Block resamples of daily returns (part, d, daily_return, yearly rate): metrics of each resample. All series of
+    one length share the draws. Blocks start on 1..max(1, n - block) and are cut at the end of the series; as many
+    as fill n; the first day earns 0. Series of one day have no resamples; NULL returns count as 0, NULL rates too.
+
+    A series goes as one row of arrays to the tasks that make CHUNK of its resamples each, so that rows are series
+    x chunks, never resample x day; a series, of one day's rows each, must fit a task."""
+    free = F.coalesce(F.pow(1 + F.col(rate), F.lit(1.0 / ts.TRADING_DAYS)) - 1, F.lit(0.0))
+    one = daily.groupBy(*part).agg(F.sort_array(F.collect_list(F.struct("d", F.coalesce("daily_return", F.lit(0.0)).alias("r"), free.alias("free")))).alias("rows")).where(F.size("rows") > 1)
+    one = one.select(*part, F.col("rows.r").alias("r"), F.col("rows.free").alias("free"), F.size("rows").alias("n"))
+    work = one.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(-(-resamples // CHUNK) - 1)))).repartition("n", "chunk")
+    metrics = ("cagr", "max_drawdown", "sharpe", "sortino", "cvar_95")
+    schema = T.StructType([*[work.schema[p] for p in part], T.StructField("resample", T.LongType()), *[T.StructField(m, T.DoubleType()) for m in metrics]])
+
+    def run(it):
+        held, starts = None, None
+        for b in it:
+            for i in range(b.num_rows):
+                row = b.slice(i, 1)
+                r, free_ = (row[c][0].values.to_numpy() for c in ("r", "free"))
+                n, chunk = len(r), row["chunk"][0].as_py()
+                ids = range(chunk * CHUNK, min(resamples, (chunk + 1) * CHUNK))
+                if held != (n, chunk):
+                    held, starts = (n, chunk), _starts(ids, n, block, seed)
+                found = resampled(r, r - free_, starts, block)
+                yield pa.RecordBatch.from_arrays([*[pa.repeat(row[p][0], len(ids)) for p in part], pa.array(ids, pa.int64()), *[pa.array(found[m]) for m in metrics]], schema.names)
+
+    return work.mapInArrow(run, schema)
 
 
 def intervals(draws: DataFrame, part: Sequence[str], metrics: Sequence[str] = ("cagr", "max_drawdown", "sharpe", "sortino", "cvar_95")) -> DataFrame:
@@ -149,8 +195,12 @@ def intervals(draws: DataFrame, part: Sequence[str], metrics: Sequence[str] = ("
     return long.groupBy(*part, "metric").agg(F.percentile("value", 0.025).alias("ci_low"), F.percentile("value", 0.975).alias("ci_high"))
 
 
-def event_windows(seeds: DataFrame, daily: DataFrame, probs: DataFrame, reach: int = 5) -> DataFrame:
-    """For each seed (event_id, event_date) on a trading day of daily (d, ret, position, stability): the
+#: Kinds of events whose windows are looked at.
+BUCKETS = ("drawdown", "false_positive")
+
+
+def event_windows(seeds: DataFrame, daily: DataFrame, probs: DataFrame, reach: int = 5, buckets: Sequence[str] | None = BUCKETS) -> DataFrame:
+    """With buckets, only seeds whose analysis_bucket is one of them count. For each seed (event_id, event_date) on a trading day of daily (d, ret, position, stability): the
     event's highest probability and the lowest stability within `reach` trading days where it has a row
     (0 and 1 without any), the compound return of holding and of the strategy (position of the day
     before) over the next `reach` days, their difference, and position_cut = low - 1."""
@@ -158,6 +208,8 @@ def event_windows(seeds: DataFrame, daily: DataFrame, probs: DataFrame, reach: i
     cal = daily.select("d", "ret", "stability", (F.row_number().over(w) - 1).alias("idx"), F.lag("position").over(w).alias("held"))
     ahead = w.rowsBetween(1, reach)
     cal = cal.withColumns({"hold": F.coalesce(F.product(1 + F.col("ret")).over(ahead), F.lit(1.0)) - 1, "strategy": F.coalesce(F.product(1 + F.coalesce("held", F.lit(0.0)) * F.col("ret")).over(ahead), F.lit(1.0)) - 1})
+    if buckets is not None:
+        seeds = seeds.where(F.col("analysis_bucket").isin(*buckets))
     at = seeds.join(small(cal.select(F.col("d").alias("event_date"), F.col("idx").alias("i"), "hold", "strategy")), "event_date")
     near = at.select("event_id", F.col("i"), F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("o")).withColumn("idx", F.col("i") + F.col("o")).join(small(cal.select("idx", "d", "stability")), "idx")
     seen = near.join(probs.select("event_id", "d", "probability"), ["event_id", "d"]).groupBy("event_id").agg(F.max("probability").alias("peak"), F.min("stability").alias("low"))

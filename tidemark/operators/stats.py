@@ -7,11 +7,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import functions as fx
-from .panel import draw
+from .panel import draw, small
 
 RIDGE = 1e-9
 
@@ -121,20 +123,39 @@ def wild_bootstrap(spark, fit: dict, term: int, resamples: int, seed: int = 1) -
 
 def reversion_fit(cars: DataFrame, grid: Sequence[float], least_horizon: int = 60, least_r2: float = 0.8) -> DataFrame:
     """For each event (event_id, horizon, car) the tau of the grid whose curve car_inf + (car_0 - car_inf) *
-    exp(-h / tau) has the least error, the smallest at ties; curves that start outside +-0.5 or end
+    exp(-h / tau) has the least error (to 12 decimals), the smallest at ties; curves that start outside +-0.5 or end
     outside +-0.3 are left out, and events without a horizon of least_horizon. qualified: r2 is enough.
-    One exchange by event: the grid is expanded and summed beside it."""
-    rows = cars.where("car IS NOT NULL").repartition("event_id")
-    enough = rows.groupBy("event_id").agg(F.max("horizon").alias("far"), F.collect_list(F.struct("horizon", "car")).alias("points")).where(F.col("far") >= least_horizon)
-    step = enough.select("event_id", F.explode("points").alias("p"), F.lit(list(map(float, grid))).alias("grid")).select("event_id", F.col("p.horizon").alias("h"), F.col("p.car").alias("y"), F.explode("grid").alias("tau"))
-    z = F.exp(-F.col("h") / F.col("tau"))
-    sums = step.withColumn("z", z).groupBy("event_id", "tau").agg(F.regr_sxx("y", "z").alias("sxx"), F.regr_sxy("y", "z").alias("sxy"), F.regr_syy("y", "z").alias("syy"), F.avg("z").alias("mz"), F.avg("y").alias("my"))
-    slope = F.coalesce(F.try_divide("sxy", "sxx"), F.lit(0.0))
-    c = sums.withColumn("slope", slope).withColumn("car_inf", F.col("my") - F.col("slope") * F.col("mz")).withColumn("car_0", F.col("car_inf") + F.col("slope"))
-    c = c.withColumn("sse", F.greatest(F.col("syy") - F.col("slope") * F.col("sxy"), F.lit(0.0))).where("car_0 BETWEEN -0.5 AND 0.5 AND car_inf BETWEEN -0.3 AND 0.3")
-    best = c.groupBy("event_id").agg(F.min_by(F.struct("tau", "car_0", "car_inf", "sse", "syy"), F.struct(F.round("sse", 12), F.col("tau"))).alias("b"))
-    r2 = F.when(F.col("b.syy") > 0, 1 - F.col("b.sse") / F.col("b.syy")).otherwise(0.0)
-    return best.select("event_id", "b.tau", "b.car_0", "b.car_inf", r2.alias("r2"), (r2 >= least_r2).alias("qualified"))
+
+    An event is one row with its points, made in the one exchange there is; for given tau the curve is a line in
+    exp(-h / tau), so all taus of an event are solved at once from a few sums, and no row of the grid exists."""
+    taus = np.asarray(grid, float)
+    one = cars.where("car IS NOT NULL").groupBy("event_id").agg(F.max("horizon").alias("far"), F.sort_array(F.collect_list(F.struct(F.col("horizon").cast("double").alias("h"), F.col("car").cast("double").alias("y")))).alias("p"))
+    one = one.where(F.col("far") >= least_horizon).select("event_id", F.col("p.h").alias("h"), F.col("p.y").alias("y"))
+    schema = T.StructType([one.schema["event_id"], *[T.StructField(n, T.DoubleType()) for n in ("tau", "car_0", "car_inf", "r2")]])
+
+    def best(h: np.ndarray, y: np.ndarray) -> tuple[float, float, float, float] | None:
+        z = np.exp(-h[None, :] / taus[:, None])
+        mz, my = z.mean(1), y.mean()
+        dz, dy = z - mz[:, None], y - my
+        sxx, sxy, syy = (dz * dz).sum(1), dz @ dy, float(dy @ dy)
+        slope = np.divide(sxy, sxx, out=np.zeros(len(taus)), where=sxx > 0)
+        inf = my - slope * mz
+        start, sse = inf + slope, np.maximum(syy - slope * sxy, 0)
+        fits_ = np.flatnonzero((np.abs(start) <= 0.5) & (np.abs(inf) <= 0.3))
+        if not len(fits_):
+            return None
+        k = fits_[np.lexsort((taus[fits_], np.round(sse[fits_], 12)))[0]]
+        return float(taus[k]), float(start[k]), float(inf[k]), 1 - float(sse[k]) / syy if syy > 0 else 0.0
+
+    def run(it):
+        for b in it:
+            ids, h, y = b.column(0), b.column(1), b.column(2)
+            found = [best(h[i].values.to_numpy(), y[i].values.to_numpy()) for i in range(b.num_rows)]
+            keep = [i for i, f in enumerate(found) if f is not None]
+            columns = zip(*[found[i] for i in keep], strict=True) if keep else ([],) * 4
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(keep, pa.int64())), *[pa.array(list(c), pa.float64()) for c in columns]], schema.names)
+
+    return one.mapInArrow(run, schema).withColumn("qualified", F.col("r2") >= least_r2)
 
 
 def spectral_dimension(matrix: np.ndarray) -> tuple[float, list[float]]:
@@ -187,16 +208,22 @@ def tail_screen(events: DataFrame, dims: DataFrame, threshold: float = -0.2) ->
     return rows.join(F.broadcast(rates), "tier").orderBy(F.asc_nulls_last("drawdown"), "event_id")
 
 
-def pair_sums(values: DataFrame, key: str = "symbol", day: str = "d", value: str = "x", block: int = 256, days: int = 256) -> DataFrame:
+def pair_sums(values: DataFrame, key: str = "symbol", day: str = "d", value: str = "x", block: int = 256, days: int = 1 << 14, above: float | None = None, least: int = 0) -> DataFrame:
     """For each two keys with common days, left before right: n, and over those days the sums sx, sy, sxx, syy, sxy of
-    their values (one row for each key and day; rows with a NULL are left out). Keys are dealt to blocks of about
-    `block`; each two blocks meet by ranges of `days` days as matrices, whose products have the sums. So a row goes
-    to as many groups as there are blocks, and a pair is shuffled once for each range, not for each day."""
+    their values (one row for each key and day; rows with a NULL are left out), and their correlation xi (0 without
+    variance). With `above` only pairs with xi above it on `least` common days or more.
+
+    Keys are dealt to blocks of about `block`; each two blocks meet once as matrices over the whole calendar, whose
+    products have the sums, so a row goes to as many groups as there are blocks and only pairs that pass
+    leave one: what is shuffled grows with rows and with results. Two blocks hold 2 * block * days numbers. Only
+    where there are more than `days` days, pairs come by ranges of so many days and are added up."""
     rows = values.select(F.col(key).cast("string").alias("key"), F.col(day).alias("day"), F.col(value).cast("double").alias("x")).dropna()
-    blocks = max(1, -(-rows.agg(F.count_distinct("key")).first()[0] // block))
+    size = rows.agg(F.count_distinct("key").alias("keys"), F.min(F.unix_date("day")).alias("first"), F.max(F.unix_date("day")).alias("last")).first()
+    blocks, first = max(1, -(-size["keys"] // block)), size["first"] or 0
+    ranges = 1 + ((size["last"] or 0) - first) // days
     mine, other = F.pmod(F.xxhash64("key"), F.lit(blocks)), F.col("other")
     dealt = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = dealt.select("key", "day", "x", F.least("mine", other).alias("low"), F.greatest("mine", other).alias("high"), "mine", F.floor(F.unix_date("day") / days).alias("range_no"))
+    dealt = dealt.select("key", "day", "x", F.least("mine", other).alias("low"), F.greatest("mine", other).alias("high"), "mine", F.floor((F.unix_date("day") - first) / days).alias("range_no"))
 
     def products(pdf: pd.DataFrame) -> pd.DataFrame:
         names, at = np.unique(pdf["key"].to_numpy(str), return_inverse=True)
@@ -206,26 +233,34 @@ def pair_sums(values: DataFrame, key: str = "symbol", day: str = "d", value: str
         side = np.empty(len(names), int)
         side[at] = pdf["mine"]
         n, sx, sxx, sxy = seen @ seen.T, x @ seen.T, (x * x) @ seen.T, x @ x.T
-        i, j = np.nonzero(np.triu(n, 1))
+        wanted = np.triu(n > 0, 1)
         if pdf["low"].iat[0] != pdf["high"].iat[0]:
-            apart = side[i] != side[j]
-            i, j = i[apart], j[apart]
+            wanted &= side[:, None] != side[None, :]
+        if above is not None and ranges == 1:
+            wanted &= n >= least
+            spread = np.maximum(n * sxx - sx * sx, 0)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                wanted &= (n * sxy - sx * sx.T >= (above - 1e-9) * np.sqrt(spread * spread.T)) | (spread * spread.T == 0)
+        i, j = np.nonzero(wanted)
         return pd.DataFrame({"left": names[i], "right": names[j], "n": n[i, j].astype(np.int64), "sx": sx[i, j], "sy": sx[j, i], "sxx": sxx[i, j], "syy": sxx[j, i], "sxy": sxy[i, j]})
 
     sums = ("n", "sx", "sy", "sxx", "syy", "sxy")
-    parts = dealt.groupBy("low", "high", "range_no").applyInPandas(products, "left string, right string, n long, sx double, sy double, sxx double, syy double, sxy double")
-    return parts.groupBy("left", "right").agg(*[F.sum(c).alias(c) for c in sums])
+    out = dealt.groupBy("low", "high", "range_no").applyInPandas(products, "left string, right string, n long, sx double, sy double, sxx double, syy double, sxy double").drop("low", "high", "range_no")
+    if ranges > 1:
+        out = out.groupBy("left", "right").agg(*[F.sum(c).alias(c) for c in sums])
+    n, spread = F.col("n"), lambda a, aa: F.greatest(F.col("n") * F.col(aa) - F.col(a) * F.col(a), F.lit(0.0))
+    flat = (spread("sx", "sxx") <= 1e-12 * n * F.col("sxx")) | (spread("sy", "syy") <= 1e-12 * n * F.col("syy"))
+    xi = F.when(flat, 0.0).otherwise(fx.clamp(F.try_divide(n * F.col("sxy") - F.col("sx") * F.col("sy"), F.sqrt(spread("sx", "sxx") * spread("sy", "syy"))), -1, 1))
+    out = out.withColumn("xi", xi)
+    return out if above is None else out.where((F.col("n") >= least) & (F.col("xi") > above))
 
 
 def comovement_edges(returns: DataFrame, market: DataFrame, threshold: float, least: int = 60) -> DataFrame:
     """Pairs of symbols whose excess returns over the market correlate above the threshold on `least` common
     days or more; a pair without variance correlates 0."""
-    x = returns.join(market.select("d", F.col("ret").alias("m")), "d").select("symbol", "d", (F.col("ret") - F.col("m")).alias("x"))
-    n, spread = F.col("n"), lambda s, ss: F.greatest(F.col("n") * F.col(ss) - F.col(s) * F.col(s), F.lit(0.0))
-    flat = (spread("sx", "sxx") <= 1e-12 * n * F.col("sxx")) | (spread("sy", "syy") <= 1e-12 * n * F.col("syy"))
-    xi = F.when(flat, 0.0).otherwise(fx.clamp(F.try_divide(n * F.col("sxy") - F.col("sx") * F.col("sy"), F.sqrt(spread("sx", "sxx") * spread("sy", "syy"))), -1, 1))
-    r = pair_sums(x).select(F.col("left").alias("left_symbol"), F.col("right").alias("right_symbol"), xi.alias("xi"), "n")
-    return r.where((F.col("n") >= least) & (F.col("xi") > threshold)).orderBy(F.desc("xi"))
+    x = returns.join(small(market.select("d", F.col("ret").alias("m"))), "d").select("symbol", "d", (F.col("ret") - F.col("m")).alias("x"))
+    r = pair_sums(x, above=threshold, least=least)
+    return r.select(F.col("left").alias("left_symbol"), F.col("right").alias("right_symbol"), "xi", "n").orderBy(F.desc("xi"))
 
 
 def forest(rows: DataFrame, x: Sequence[str], y: str, train: Column | None = None, trees: int = 50, depth: int = 4, seed: int = 1) -> DataFrame:

@@ -66,14 +66,12 @@ def _summary(v):
     return ts.performance(_strategies(v), ["symbol", "strategy"]).withColumn("strategy", F.concat_ws("/", "symbol", "strategy")).drop("symbol")
 
 
-_NAMES = [f"{s}/{k}" for s in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY") for k in ("hold", "vol_target")]
 _LONG = "lg AS (UNPIVOT (SELECT symbol || '/' || strategy AS strategy, " + ", ".join(f"{m}::DOUBLE AS {m}" for m in pn.METRICS) + f" FROM s) ON {', '.join(pn.METRICS)} INTO NAME metric VALUE value)"
 
 
-@strat_query(f",{_LONG}\nSELECT metric, " + ", ".join(R(f"max(value) FILTER (WHERE strategy = '{n}')", f'"{n}"') for n in _NAMES) + " FROM lg GROUP BY metric")
+@strat_query(f",{_LONG}\nSELECT symbol, metric, {R('max(value) FILTER (WHERE kind = \'hold\')', 'hold')}, {R('max(value) FILTER (WHERE kind = \'vol_target\')', 'vol_target')} FROM (SELECT split_part(strategy, '/', 1) AS symbol, split_part(strategy, '/', 2) AS kind, metric, value FROM lg) GROUP BY symbol, metric")
 def metrics_table(v, spark, sf):
-    symbols = sorted(r["symbol"] for r in v("px").select("symbol").where("symbol IS NOT NULL").distinct().collect())
-    return pn.metrics_table(_summary(v), [f"{s}/{k}" for s in symbols for k in ("hold", "vol_target")])
+    return pn.metrics_table(ts.performance(_strategies(v), ["symbol", "strategy"]), ["hold", "vol_target"], ["symbol"])
 
 
 _BASE = [("AUTOMOBILE/hold", "cagr", 0.1), ("AUTOMOBILE/hold", "max_drawdown", -0.25), ("AUTOMOBILE/hold", "sharpe", 0.45), ("BUILDING/vol_target", "cagr", 0.09), ("BUILDING/vol_target", "max_drawdown", -0.18)]
@@ -152,7 +150,7 @@ def scenario_sweep(v, spark, sf):
     return ts.performance(daily, ["scenario"]).select("scenario", "total_return", "max_drawdown", "avg_position")
 
 
-RESAMPLES, BLOCK, SEED = 50, 21, 7
+RESAMPLES, ALL_RESAMPLES, BLOCK, SEED = 50, 10_000, 21, 7
 
 
 @strat_query(
@@ -172,6 +170,13 @@ def block_bootstrap_ci(v, spark, sf):
     return pn.intervals(pn.block_bootstrap(_strategies(v), part, RESAMPLES, BLOCK, SEED), part)
 
 
+@query()
+def block_bootstrap_full(v, spark, sf):
+    """The same with ALL_RESAMPLES, whose days are too many for the SQL."""
+    part = ["symbol", "strategy"]
+    return pn.intervals(pn.block_bootstrap(_strategies(v), part, ALL_RESAMPLES, BLOCK, SEED), part)
+
+
 @query(
     f"SELECT event_id, d, {R('CASE WHEN d <= peak_date THEN b + (p - b) * u * u * (3 - 2 * u) ELSE p + (t - p) * w * w * (3 - 2 * w) END', 'probability')} FROM (SELECT *, greatest(0, least(1, date_diff('day', start_date, d) / greatest(date_diff('day', start_date, peak_date), 1)::DOUBLE)) AS u, greatest(0, least(1, date_diff('day', peak_date, d) / greatest(date_diff('day', peak_date, end_date), 1)::DOUBLE)) AS w FROM (SELECT *, CAST(unnest(generate_series(start_date, end_date, INTERVAL 1 DAY)) AS DATE) AS d FROM (SELECT event_id, min(d) AS start_date, CAST(min(d) + INTERVAL 30 DAY AS DATE) AS peak_date, CAST(min(d) + INTERVAL 90 DAY AS DATE) AS end_date, min(probability) / 2 AS b, max(probability) AS p, min(probability) AS t FROM probs GROUP BY event_id)))",
     ("probs",), "d",
@@ -224,7 +229,7 @@ def brier_summary(v, spark, sf):
     f""",{_SIG},
 dl AS (SELECT m.d, coalesce(m.adjclose / lag(m.adjclose) OVER w - 1, 0) AS ret, z.stability, row_number() OVER w - 1 AS idx, lag(z.stability) OVER w AS held FROM mkt m JOIN hz z ON z.d = m.d WINDOW w AS (ORDER BY m.d)),
 fw AS (SELECT *, coalesce(product(1 + ret) OVER f, 1) - 1 AS hold, coalesce(product(1 + coalesce(held, 0) * ret) OVER f, 1) - 1 AS strategy FROM dl WINDOW f AS (ORDER BY d ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)),
-ev AS (SELECT event_id, max(resolution_date) - INTERVAL 200 DAY AS event_date FROM probs GROUP BY 1),
+ev AS (SELECT event_id, max(resolution_date) - INTERVAL 200 DAY AS event_date FROM probs GROUP BY 1 HAVING min(category) NOT IN ('other', 'trade')),
 pp AS (SELECT event_id, d, sum(probability / source_brier) / sum(1 / source_brier) AS p FROM probs GROUP BY 1, 2),
 sn AS (SELECT e.event_id, max(p.p) AS peak, min(n.stability) AS low FROM ev e JOIN fw c ON c.d = e.event_date JOIN fw n ON n.idx BETWEEN c.idx - 5 AND c.idx + 5 JOIN pp p ON p.event_id = e.event_id AND p.d = n.d GROUP BY 1)
 SELECT e.event_id, CAST(e.event_date AS DATE) AS event_date, {R('coalesce(peak, 0)', 'peak_probability')}, {R('coalesce(low, 1)', 'lowest_stability')}, {R('hold', 'hold')}, {R('strategy', 'strategy')}, {R('hold - strategy', 'avoided')}, {R('coalesce(low, 1) - 1', 'position_cut')} FROM ev e JOIN fw c ON c.d = e.event_date LEFT JOIN sn ON sn.event_id = e.event_id""",
@@ -233,7 +238,8 @@ SELECT e.event_id, CAST(e.event_date AS DATE) AS event_date, {R('coalesce(peak,
 def event_windows(v, spark, sf):
     signal = _signal(v)
     daily = ts.with_returns(v("mkt").withColumn("series", F.lit("mkt")), ["series"]).join(signal, "d").select("d", "ret", "stability", F.col("stability").alias("position"))
-    seeds = v("probs").groupBy("event_id").agg(F.date_sub(F.max("resolution_date"), 200).alias("event_date"))
+    bucket = F.when(F.min("category") == "other", "background").when(F.min("category") == "monetary", "false_positive").when(F.min("category") != "trade", "drawdown")
+    seeds = v("probs").groupBy("event_id").agg(F.date_sub(F.max("resolution_date"), 200).alias("event_date"), bucket.alias("analysis_bucket"))
     return pn.event_windows(seeds, daily, pn.pool(v("probs")))
 
 

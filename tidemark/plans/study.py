@@ -401,7 +401,9 @@ def model_benchmarks(v, spark, sf):
     return st.fits(_design(v).select("car_5", F.inline(forms)), ["a", "b", "c"], "car_5", ["model"], "effect").select("model", "r2", "n")
 
 
-_SPLITS = _solved("""SELECT CASE WHEN announced < DATE '1998-01-01' THEN 'early' ELSE 'late' END AS label, ticker AS effect, car_5 AS y, index_value AS a, state AS b, vix AS c FROM de
+#: Ranges of announcement days, both ends included; they may overlap and leave days out.
+TIME_SPLITS = (("early", "1995-01-01", "1997-12-31"), ("late", "1998-01-01", "2001-12-31"), ("middle", "1996-07-01", "2000-06-30"))
+_SPLITS = _solved(f"""SELECT 'time_' || s.name AS label, ticker AS effect, car_5 AS y, index_value AS a, state AS b, vix AS c FROM de JOIN (VALUES {", ".join(f"('{n}', DATE '{a}', DATE '{b}')" for n, a, b in TIME_SPLITS)}) s(name, low, high) ON announced BETWEEN s.low AND s.high
   UNION ALL SELECT 'size_' || (k >= n // 2)::INT, ticker, car_5, index_value, state, vix FROM (SELECT *, row_number() OVER (ORDER BY intensity, event_id) - 1 AS k, count(*) OVER () AS n FROM de WHERE intensity IS NOT NULL)
   UNION ALL SELECT 'vix_' || ((k >= n // 3)::INT + (k >= 2 * n // 3)::INT), ticker, car_5, index_value, state, vix FROM (SELECT *, row_number() OVER (ORDER BY vix, event_id) - 1 AS k, count(*) OVER () AS n FROM de)""")
 
@@ -411,7 +413,8 @@ def robustness_splits(v, spark, sf):
     rows = cut(_design(v))
     pick = lambda df, label: df.select(label.alias("label"), "ticker", "car_5", *_X)
     tier = lambda name, parts: F.concat(F.lit(name), sum((F.expr(f"int(place >= {i} * of div {parts})") for i in range(1, parts)), F.lit(0)).cast("string"))
-    time = pick(rows, F.when(F.col("announced") < _day("1998-01-01"), "early").otherwise("late"))
+    inside = F.array_compact(F.array(*[F.when(F.col("announced").between(_day(a), _day(b)), F.lit(f"time_{n}")) for n, a, b in TIME_SPLITS]))
+    time = pick(rows.withColumn("label", F.explode(inside)), F.col("label"))
     halves = ts.placed(rows, "intensity", "event_id")
     thirds = ts.placed(rows, "vix", "event_id")
     both = pick(halves, tier("size_", 2)).unionByName(pick(thirds, tier("vix_", 3)))
