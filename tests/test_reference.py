@@ -416,3 +416,39 @@ def test_text_by_source_preference(spark):
     events = spark.createDataFrame([(1, "A", D(2020, 3, 15)), (2, "A", D(2020, 7, 30)), (3, "A", D(2020, 7, 31)), (4, "B", D(2020, 2, 1)), (5, "A", None)], "event_id long, ticker string, asof date")
     out = {r["event_id"]: (r["text_score"], r["text_source"], r["text_day"]) for r in sd.with_text(events, texts).collect()}
     assert out == {1: (6, "periodic_filing", D(2020, 3, 1)), 2: (9, "primary_filing", D(2020, 4, 1)), 3: (None, "missing", None), 4: (None, "missing", None), 5: (None, "missing", None)}
+
+
+def test_named_pages_alone_are_read(spark, tmp_path):
+    """Pages with names of all kinds, one that is not named, one that is missing; the first of a number stays."""
+    import json
+
+    page = lambda *n: {"accessionNumber": [x for x, _ in n], "filingDate": ["2020-01-02"] * len(n), "form": [f for _, f in n], "acceptanceDateTime": [None] * len(n), "primaryDocument": ["d"] * len(n), "primaryDocDescription": [""] * len(n), "reportDate": [None] * len(n)}
+    folder = tmp_path / "pages x"
+    folder.mkdir()
+    main = [{"cik": "1", "filings": {"recent": page(("a", "main"), ("b", "main")), "files": [{"name": "p+1 %.json"}, {"name": "gone.json"}, {"name": "p2.json"}]}}, {"cik": "2", "filings": {"recent": page(("a", "other"))}}]
+    (tmp_path / "main.json").write_text("\n".join(map(json.dumps, main)))
+    for name, body in {"p+1 %.json": page(("b", "one"), ("c", "one")), "p2.json": page(("c", "two"), ("d", "two")), "unnamed.json": page(("e", "x"))}.items():
+        (folder / name).write_text(json.dumps(body))
+    read = lambda path: {(r["cik"], r["accession_number"]): r["form"] for r in sources.read_filing_history(spark, str(path), str(folder)).collect()}
+    assert read(tmp_path / "main.json") == {("1", "a"): "main", ("1", "b"): "main", ("1", "c"): "one", ("1", "d"): "two", ("2", "a"): "other"}
+    (tmp_path / "lone.json").write_text(json.dumps(main[1]))
+    assert read(tmp_path / "lone.json") == {("2", "a"): "other"}
+
+
+def test_stored_runs_are_read_back(spark, tmp_path):
+    """Numbers of the summary only; drawdowns by month from the curves, where there are curves."""
+    (tmp_path / "summary.json").write_text('{"a/hold": {"cagr": 0.1, "max_drawdown": -0.5, "note": "x", "none": null}, "a/timed": {"cagr": 0.25, "max_drawdown": -0.25}, "b/timed": {"cagr": 1, "max_drawdown": -1}}')
+    summary = sources.read_summary(spark, str(tmp_path / "summary.json"))
+    curve = spark.createDataFrame([("a/hold", D(2020, m, d), e) for m, d, e in ((1, 5, 9.0), (1, 31, 4.0), (2, 3, 1.0), (2, 28, 3.0), (3, 1, 5.0))] + [("c/hold", D(2020, 1, 1), 1.0)], "strategy string, d date, equity double")
+    got = {(r["strategy"], r["metric"]): r["value"] for r in pn.stored_run(summary, curve).collect()}
+    assert got == {
+        ("a/hold", "cagr"): 0.1, ("a/hold", "max_drawdown"): -0.5, ("a/hold", "max_drawdown_daily"): -0.5, ("a/hold", "max_drawdown_monthly"): -0.25,
+        ("a/timed", "cagr"): 0.25, ("a/timed", "max_drawdown"): -0.25, ("a/timed", "cost_of_caution"): pytest.approx(0.15), ("b/timed", "cagr"): 1.0, ("b/timed", "max_drawdown"): -1.0,
+    }
+    sources.write_summary(summary, str(tmp_path / "again"))
+    assert sorted(map(tuple, sources.read_summary(spark, str(tmp_path / "again")).collect())) == sorted(map(tuple, summary.collect()))
+
+
+def test_bytes_that_are_no_text_are_left_out(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"caf\xc3\xa9 \xff\xfe ok\n")
+    assert sources.read_documents(spark, str(tmp_path)).first()["text"] == "caf\u00e9  ok\n"

@@ -218,6 +218,31 @@ def event_windows(seeds: DataFrame, daily: DataFrame, probs: DataFrame, reach: i
     return out.select("event_id", "event_date", F.coalesce("peak", F.lit(0.0)).alias("peak_probability"), low.alias("lowest_stability"), "hold", "strategy", (F.col("hold") - F.col("strategy")).alias("avoided"), (low - 1).alias("position_cut"))
 
 
+def monthly_drawdown(curves: DataFrame, part: Sequence[str]) -> DataFrame:
+    """Least fall of the last equity of each month from the highest before it or its own, for each key."""
+    ends = curves.groupBy(*part, F.trunc("d", "month").alias("month")).agg(F.max_by("equity", "d").alias("equity"))
+    return ends.withColumn("fall", ts.drawdown("equity", part, "month")).groupBy(*part).agg(F.min("fall").alias("value"))
+
+
+def growth_lost(metrics: DataFrame, hold: str) -> DataFrame:
+    """cost_of_caution: a strategy's cagr less that of the strategy `hold` of the same name before the last slash."""
+    growth = metrics.where("metric = 'cagr'").withColumn("base", F.regexp_replace("strategy", "[^/]+$", hold))
+    held = growth.where("strategy = base").select("base", F.col("value").alias("held"))
+    return growth.where("strategy <> base").join(held, "base").select("strategy", F.lit("cost_of_caution").alias("metric"), (F.col("value") - F.col("held")).alias("value"))
+
+
+def stored_run(summary: DataFrame, curves: DataFrame, hold: str = "hold") -> DataFrame:
+    """An earlier run (strategy, metric, value) as comparisons need it, from its stored summary and curves (strategy,
+    d, equity): the stored max_drawdown is the daily one and the monthly one is made from the curve, for strategies
+    that have both; cost_of_caution is made where it is missing."""
+    had = summary.join(curves.select("strategy").distinct(), "strategy", "left_semi")
+    daily = had.where("metric = 'max_drawdown'").select("strategy", F.lit("max_drawdown_daily").alias("metric"), "value")
+    monthly = monthly_drawdown(curves, ["strategy"]).join(had.select("strategy").distinct(), "strategy", "left_semi").select("strategy", F.lit("max_drawdown_monthly").alias("metric"), "value")
+    kept = summary.join(daily.select("strategy", "metric").unionByName(monthly.select("strategy", "metric")), ["strategy", "metric"], "left_anti")
+    lost = growth_lost(summary, hold).join(summary.where("metric = 'cost_of_caution'").select("strategy"), "strategy", "left_anti")
+    return kept.select("strategy", "metric", "value").unionByName(daily).unionByName(monthly).unionByName(lost)
+
+
 def run_comparison(previous: DataFrame, current: DataFrame, baseline: DataFrame) -> DataFrame:
     """Three tables (strategy, metric, value) side by side with differences; rows without any value go."""
     p, c, b = (x.select("strategy", "metric", F.col("value").alias(n)) for x, n in ((previous, "previous"), (current, "current"), (baseline, "baseline")))

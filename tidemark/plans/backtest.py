@@ -5,21 +5,23 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import functions as fx
+from .. import sources as src
 from ..operators import panel as pn
 from ..operators import series as ts
+from ..storage import new_path
 from .basic import LAMBDAS, WEIGHTS, R, case_of, lookup, query, ret_query
 
 KEY = ["symbol"]
 VOL = dict(n=21, target=0.12, cap=1.0)
 
 
-def _strategies(v):
+def _strategies(v, target: float = VOL["target"], cost_bps: float = 5.0):
     """Daily rows of buy and hold and of volatility targeting for every symbol, with the day's rate."""
     r = ts.with_returns(v("px"), KEY)
-    r = r.withColumn("vol_target", ts.vol_target(VOL["n"], VOL["target"], VOL["cap"], KEY)).withColumn("hold", F.lit(1.0))
+    r = r.withColumn("vol_target", ts.vol_target(VOL["n"], target, VOL["cap"], KEY)).withColumn("hold", F.lit(1.0))
     rows = r.select("symbol", "d", "ret", F.explode(F.create_map(F.lit("hold"), F.col("hold"), F.lit("vol_target"), F.col("vol_target"))).alias("strategy", "position"))
     rate = ts.asof(v("mkt").select("d"), v("rates"), "d", "d", ["annual_rate"]).select("d", F.coalesce("annual_rate", F.lit(0.0431)).alias("annual_rate"))
-    return ts.simulate(rows.join(rate, "d"), ["symbol", "strategy"])
+    return ts.simulate(rows.join(rate, "d"), ["symbol", "strategy"], cost_bps)
 
 
 _STRAT = """,
@@ -243,13 +245,41 @@ def event_windows(v, spark, sf):
     return pn.event_windows(seeds, daily, pn.pool(v("probs")))
 
 
-@strat_query(f""",{_LONG}, {_BASE_SQL},
-cur AS (SELECT strategy, metric, value FROM lg), prv AS (SELECT strategy, metric, value * 0.5 AS value FROM lg WHERE metric <> 'calmar')
+#: What an earlier run was made with, and the metrics that its summary has.
+EARLIER = dict(target=0.08, cost_bps=10.0)
+_STORED = [m for m in pn.METRICS if m not in ("calmar", "max_drawdown_daily", "max_drawdown_monthly")]
+
+
+def earlier_run(v, spark):
+    """Paths of the summary and the curves of an earlier run, as it stored them."""
+    rows = v.once("earlier", lambda: _strategies(v, **EARLIER).withColumn("strategy", F.concat_ws("/", "symbol", "strategy")))
+    summary = ts.performance(rows, ["strategy"]).select("strategy", *[F.col(m).cast("double").alias(m) for m in (*_STORED, "max_drawdown")])
+    paths = new_path(spark), new_path(spark)
+    src.write_summary(summary.unpivot("strategy", [*_STORED, "max_drawdown"], "metric", "value"), paths[0])
+    src.write_csv(rows.select("symbol", "strategy", "d", "position", "daily_return", "equity"), paths[1])
+    return paths
+
+
+_COST = "SELECT t.symbol || '/vol_target' AS strategy, 'cost_of_caution' AS metric, t.cagr - h.cagr AS value FROM s t JOIN s h ON h.symbol = t.symbol WHERE t.strategy = 'vol_target' AND h.strategy = 'hold'"
+_EARLIER_STRAT = _STRAT.replace("0.12 / vol", "0.08 / vol").replace("* 0.0005", "* 0.001").lstrip("\n,")
+_EARLIER_SQL = f"prv AS (WITH {_EARLIER_STRAT}{_SUMMARY}, {_LONG} SELECT strategy, metric, value FROM lg WHERE metric <> 'calmar' UNION ALL SELECT strategy, 'max_drawdown', value FROM lg WHERE metric = 'max_drawdown_daily' UNION ALL {_COST})"
+
+
+@strat_query(f""",{_LONG}, {_BASE_SQL}, {_EARLIER_SQL},
+cur AS (SELECT strategy, metric, value FROM lg UNION ALL {_COST})
 SELECT coalesce(p.strategy, c.strategy, b.strategy) AS strategy, coalesce(p.metric, c.metric, b.name) AS metric, {R('p.value', 'previous')}, {R('c.value', 'current')}, {R('b.baseline', 'baseline')}, {R('c.value - p.value', 'delta_previous')}, {R('c.value - b.baseline', 'delta_baseline')}
 FROM prv p FULL OUTER JOIN cur c ON p.strategy = c.strategy AND p.metric = c.metric FULL OUTER JOIN base b ON coalesce(p.strategy, c.strategy) = b.strategy AND coalesce(p.metric, c.metric) = b.name""")
 def run_comparison(v, spark, sf):
-    cur = _summary(v).select("strategy", *[F.col(m).cast("double").alias(m) for m in pn.METRICS]).unpivot("strategy", list(pn.METRICS), "metric", "value")
-    prev = cur.where("metric <> 'calmar'").withColumn("value", F.col("value") * 0.5)
-    return pn.run_comparison(prev, cur, spark.createDataFrame(_BASE, "strategy string, metric string, value double"))
-
-
+    summary, curves = earlier_run(v, spark)
+    previous = pn.stored_run(src.read_summary(spark, summary), src.read_curves(spark, curves))
+    now = v.once("summary", lambda: _summary(v)).select("strategy", *[F.col(m).cast("double").alias(m) for m in pn.METRICS]).unpivot("strategy", list(pn.METRICS), "metric", "value")
+    current = now.unionByName(pn.growth_lost(now, "hold"))
+    return pn.run_comparison(previous, current, spark.createDataFrame(_BASE, "strategy string, metric string, value double"))
+
+
+@strat_query(f""",{_EARLIER_SQL},
+cu AS (WITH {_EARLIER_STRAT} SELECT symbol || '/' || strategy AS strategy, count(*) AS days FROM daily GROUP BY 1)
+SELECT prv.strategy, metric, {R('value', 'value')}, days FROM prv JOIN cu ON cu.strategy = prv.strategy""", summary=False)
+def scan_prior_run(v, spark, sf):
+    summary, curves = (f(spark, p) for f, p in zip((src.read_summary, src.read_curves), earlier_run(v, spark), strict=True))
+    return pn.stored_run(summary, curves).join(curves.groupBy("strategy").agg(F.count("*").alias("days")), "strategy")

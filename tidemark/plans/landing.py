@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from .. import sources as src
 from ..storage import new_path
-from .backtest import simulate_strategy
 from .basic import R, query, table
 
 
@@ -59,28 +58,37 @@ def scan_rates_csv(v, spark, sf):
     return src.read_rates(spark, path)
 
 
-def _filing_pages(v, spark, nested: bool):
-    rows = v("ledger").groupBy("ticker", F.year("announced").alias("y")).agg(F.array_sort(F.collect_list(F.struct("event_id", F.col("announced").cast("string").alias("a")))).alias("x"))
-    n = F.size("x")
-    blank = F.array_repeat(F.lit("t"), n)
-    columns = [F.col("x.event_id").alias("accessionNumber"), F.col("x.a").alias("filingDate"), F.array_repeat(F.lit("8-K"), n).alias("form"), blank.alias("primaryDocument")]
-    path = new_path(spark)
-    body = [F.struct(F.struct(*columns).alias("recent")).alias("filings")] if nested else columns
-    rows.select(F.col("ticker").alias("cik"), *body).write.json(path)
-    return path
+def _filing_columns(rows, *keys):
+    """Columnar lists of the ledger's filings for each of the keys, in the order of days."""
+    few = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("announced").cast("string").alias("a"), "event_id", "form"))).alias("x"))
+    return few.select(*keys, F.col("x.event_id").alias("accessionNumber"), F.col("x.a").alias("filingDate"), F.col("x.form").alias("form"), F.array_repeat(F.lit("t"), F.size("x")).alias("primaryDocument"))
 
 
-_FILED = "SELECT ticker AS cik, event_id AS accession_number, '8-K' AS form, announced AS filing_date FROM ledger"
+_LISTS = ("accessionNumber", "filingDate", "form", "primaryDocument")
 
 
-@query(_FILED, ("ledger",), "filing_date")
+@query("SELECT ticker AS cik, event_id AS accession_number, '8-K' AS form, announced AS filing_date FROM ledger", ("ledger",), "filing_date")
 def scan_filing_index(v, spark, sf):
-    return src.read_filing_index(spark, _filing_pages(v, spark, True)).select("cik", "accession_number", "form", "filing_date")
+    path = new_path(spark)
+    rows = _filing_columns(v("ledger").select("*", F.year("announced").alias("y"), F.lit("8-K").alias("form")), "ticker", "y")
+    rows.select(F.col("ticker").alias("cik"), F.struct(F.struct(*_LISTS).alias("recent")).alias("filings")).write.json(path)
+    return src.read_filing_index(spark, path).select("cik", "accession_number", "form", "filing_date")
 
 
-@query(_FILED, ("ledger",), "filing_date")
+@query("SELECT ticker AS cik, event_id AS accession_number, CASE WHEN year(announced) >= 2000 AND ticker <> 'BUILDING' OR month(announced) = 12 THEN '8-K' ELSE 'page' END AS form, announced AS filing_date FROM ledger WHERE NOT (year(announced) = 1997 AND ticker = 'FURNITURE' AND month(announced) <> 12)", ("ledger",), "filing_date")
 def scan_filing_pages(v, spark, sf):
-    return src.read_filing_index(spark, _filing_pages(v, spark, False)).select("cik", "accession_number", "form", "filing_date")
+    """Main payloads with the latest filings and, a second time, those of December; a page for each earlier year, one of
+    which no payload names; one page that all name is missing."""
+    main, folder = new_path(spark), new_path(spark)
+    ledger = v("ledger").withColumn("y", F.year("announced"))
+    late = (F.col("y") >= 2000) & (F.col("ticker") != "BUILDING")
+    early = ledger.where(~late).select("*", F.concat_ws("-", "ticker", "y").alias("page"), F.lit("page").alias("form"))
+    _filing_columns(early, "page").repartition("page").write.partitionBy("page").json(folder)
+    names = early.select("ticker", F.concat(F.lit("page="), "page").alias("name")).distinct().where("name <> 'page=FURNITURE-1997'")
+    names = names.unionByName(ledger.select("ticker", F.lit("page=NONE-1900").alias("name")).distinct()).groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("name"))).alias("files"))
+    rows = _filing_columns(ledger.where(late | (F.month("announced") == 12)).withColumn("form", F.lit("8-K")), "ticker").join(names, "ticker", "full")
+    rows.select(F.col("ticker").alias("cik"), F.struct(F.struct(*_LISTS).alias("recent"), "files").alias("filings")).write.json(main)
+    return src.read_filing_history(spark, main, folder).select("cik", "accession_number", "form", "filing_date")
 
 
 @query(f"SELECT symbol AS cik, tag, start_d, end_d, filed, {R('val', 'val')} FROM facts", ("facts",), "start_d end_d filed")
@@ -93,9 +101,14 @@ def scan_fact_map(v, spark, sf):
     return src.read_facts(spark, path).select("cik", "tag", "start_d", "end_d", "filed", "val")
 
 
-@query("SELECT page_id, length(html) AS n_chars, md5(html) AS digest FROM pages")
+@query("SELECT 'part-' || (page_id % 97)::VARCHAR AS name, length(string_agg(html, chr(10) ORDER BY page_id)) + 1 AS n_chars, md5(string_agg(html, chr(10) ORDER BY page_id) || chr(10)) AS digest FROM pages GROUP BY page_id % 97")
 def scan_documents(v, spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.length("html").cast("long").alias("n_chars"), F.md5("html").alias("digest"))
+    """All pages, delivered as 97 files of some pages each."""
+    path = new_path(spark)
+    parts = table(spark, sf, "pages").groupBy(F.concat(F.lit("part-"), (F.col("page_id") % 97).cast("string")).alias("name")).agg(F.array_sort(F.collect_list(F.struct("page_id", "html"))).alias("x"))
+    parts.select("name", F.array_join("x.html", "\n").alias("value")).repartition("name").write.partitionBy("name").text(path)
+    read = src.read_documents(spark, f"{path}/*/*.txt")
+    return read.select(F.regexp_extract("path", "name=([^/]+)/", 1).alias("name"), F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"))
 
 
 @query(f"SELECT event_id, ticker, {R('amount', 'amount')} FROM ledger", ("ledger",))
@@ -105,13 +118,6 @@ def scan_seed_json(v, spark, sf):
     return src.read_seeds(spark, path, "events", "event_id: STRING, ticker: STRING, amount: DOUBLE", multiline=False)
 
 
-@query()
-def scan_prior_run(v, spark, sf):
-    path = new_path(spark)
-    src.write_csv(simulate_strategy(v, spark, sf).select("symbol", "strategy", "d", F.lit(1.0).alias("position"), "daily_return", "equity"), path)
-    return src.read_curves(spark, path).groupBy("symbol", "strategy").agg(F.max_by("equity", "d").alias("last"), F.count("*").alias("n"))
-
-
 @query("SELECT event_id, announced::VARCHAR AS announced, '[' || chr(34) || ticker || chr(34) || ',' || chr(34) || hour::VARCHAR || chr(34) || ']' AS tags FROM ledger", ("ledger",))
 def sink_csv_roundtrip(v, spark, sf):
     path = new_path(spark)

@@ -63,8 +63,39 @@ def read_filing_index(spark: SparkSession, path: str, multiline: bool = False) -
     the first of an accession number stays."""
     f = spark.read.schema(f"cik STRING, filings STRUCT<recent: STRUCT<{_COLUMNS}>>, " + _COLUMNS.replace(":", "")).json(path, multiLine=multiline)
     zipped = F.arrays_zip(*[F.coalesce(F.col(f"filings.recent.{c}"), F.col(c), F.array().cast("array<string>")).alias(c) for c in _FILINGS])
-    rows = f.select("cik", F.posexplode(zipped).alias("seq", "x")).select("cik", "seq", "x.*")
-    first = rows.groupBy("cik", "accessionNumber").agg(F.min_by(F.struct("form", "filingDate", "acceptanceDateTime", "primaryDocument", "primaryDocDescription", "reportDate"), "seq").alias("x"))
+    return _first_filings(f.select("cik", F.posexplode(zipped).alias("seq", "x")), F.col("seq"))
+
+
+def _there(spark: SparkSession, folder: str, names: list[str]) -> list[str]:
+    """Paths of those names that exist in a folder; the folder is not listed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f"{folder}/{n}" for n in names if fs.exists(path(folder, n))]
+
+
+def read_filing_history(spark: SparkSession, path: str, folder: str, multiline: bool = False) -> DataFrame:
+    """Filings of main payloads (cik, filings.recent, filings.files[].name) and of the further pages that these
+    name, which lie in `folder` and have no cik of their own; the first of an accession number stays: the main
+    payload's, then that of the page named first. Pages that no payload names are not read, those that are named
+    but missing are left out. The driver holds the pages' names, as Spark's own index of files does."""
+    kind = f"cik STRING, filings STRUCT<recent: STRUCT<{_COLUMNS}>, files: ARRAY<STRUCT<name: STRING>>>"
+    main = spark.read.schema(kind).json(path, multiLine=multiline)
+    named = main.select("cik", F.posexplode("filings.files.name").alias("page_no", "page")).where("page IS NOT NULL")
+    listed = sorted(r["page"] for r in named.select("page").distinct().collect())
+    columns = lambda at: F.arrays_zip(*[F.coalesce(F.col(at + c), F.array().cast("array<string>")).alias(c) for c in _FILINGS])
+    rows = main.select("cik", F.lit(-1).alias("page_no"), F.posexplode(columns("filings.recent.")).alias("seq", "x"))
+    if there := _there(spark, folder, listed):
+        # A page is a file, or a folder of files.
+        beside = folder.rstrip("/").rpartition("/")[2]
+        pages = spark.read.schema(_COLUMNS.replace(":", "")).option("ignoreMissingFiles", "true").json(there, multiLine=multiline)
+        page = F.regexp_extract(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), rf"/\Q{beside}\E/([^/]+)", 1)
+        more = pages.select(page.alias("page"), F.posexplode(columns("")).alias("seq", "x")).join(named, "page")
+        rows = rows.unionByName(more.select("cik", "page_no", "seq", "x"))
+    return _first_filings(rows, F.struct("page_no", "seq"))
+
+
+def _first_filings(rows: DataFrame, order: Column) -> DataFrame:
+    first = rows.select("cik", order.alias("place"), "x.*").groupBy("cik", "accessionNumber").agg(F.min_by(F.struct("form", "filingDate", "acceptanceDateTime", "primaryDocument", "primaryDocDescription", "reportDate"), "place").alias("x"))
     return first.select("cik", F.col("accessionNumber").alias("accession_number"), "x.form", F.to_date("x.filingDate").alias("filing_date"), F.to_timestamp("x.acceptanceDateTime").alias("acceptance_ts"), F.col("x.primaryDocument").alias("primary_document"), F.col("x.primaryDocDescription").alias("primary_doc_description"), F.to_date("x.reportDate").alias("report_date"))
 
 
@@ -77,8 +108,8 @@ def read_facts(spark: SparkSession, path: str, multiline: bool = False) -> DataF
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """path and text of whole files; bytes that are no UTF-8 become replacement characters."""
-    return spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("text"))
+    """path and text of whole files; bytes that are no UTF-8 are left out."""
+    return spark.read.format("binaryFile").load(path).select("path", F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit("")).alias("text"))
 
 
 def read_seeds(spark: SparkSession, path: str, field: str, row: str, multiline: bool = True) -> DataFrame:
@@ -91,6 +122,20 @@ def read_curves(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("symbol STRING, strategy STRING, d DATE, position DOUBLE, daily_return DOUBLE, equity DOUBLE").csv(path, header=True)
 
 
+def read_summary(spark: SparkSession, path: str) -> DataFrame:
+    """strategy, metric, value of a run's summary, one JSON document {strategy: {metric: number}}; values that
+    are no numbers go."""
+    t = spark.read.text(path, wholetext=True).select(F.from_json("value", "MAP<STRING, MAP<STRING, STRING>>").alias("m"))
+    rows = t.select(F.explode("m").alias("strategy", "metrics")).select("strategy", F.explode("metrics").alias("metric", "v"))
+    return rows.select("strategy", "metric", F.col("v").try_cast("double").alias("value")).where("value IS NOT NULL")
+
+
+def write_summary(summary: DataFrame, path: str) -> None:
+    """A run's summary (strategy, metric, value) as one JSON document; it has a number for each strategy and metric."""
+    each = summary.groupBy("strategy").agg(F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("m"))
+    each.groupBy().agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("strategy", "m")))).alias("value")).coalesce(1).write.text(path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header; arrays, maps and structs as JSON text."""
     nested = [c for c, k in df.dtypes if k.startswith(("array", "map", "struct"))]
