@@ -452,3 +452,64 @@ def test_stored_runs_are_read_back(spark, tmp_path):
 def test_bytes_that_are_no_text_are_left_out(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes(b"caf\xc3\xa9 \xff\xfe ok\n")
     assert sources.read_documents(spark, str(tmp_path)).first()["text"] == "caf\u00e9  ok\n"
+
+
+def _series(spark, n):
+    """Two keys, one of them with most rows, and NULL keys; ties of days, NULL values."""
+    return spark.sql(f"SELECT IF(id % 11 = 3, 'b', IF(id % 13 = 5, NULL, 'a')) AS k, date_add(DATE '2000-01-01', int(id / 3)) AS d, id, IF(id % 7 = 2, NULL, double(hash(id) % 100) / 1e4) AS x, double(abs(hash(id)) % 5) / 4 AS position FROM range({n})")
+
+
+@pytest.mark.parametrize("reverse", [False, True])
+def test_scan_equals_windows_over_whole_keys(spark, reverse):
+    from pyspark.sql import Window
+
+    rows = _series(spark, 900)
+    way = [F.desc_nulls_last, F.desc_nulls_last] if reverse else [F.asc_nulls_first, F.asc_nulls_first]
+    w = Window.partitionBy("k").orderBy(way[0]("d"), way[1]("id"))
+    up = w.rowsBetween(Window.unboundedPreceding, 0)
+    filled = rows.withColumn("y", F.coalesce("x", F.lit(0.0)))
+    got = ts.scan(filled, ["k"], ["d", "id"], {"s": ("sum", "id"), "m": ("max", "y"), "l": ("last", "x"), "p": ("lag", "id", 1), "q": ("lag", "x", 40)}, 16, reverse)
+    want = filled.withColumns({"s": F.sum("id").over(up), "m": F.max("y").over(up), "l": F.last("x", ignorenulls=True).over(up), "p": F.lag("id", 1).over(w), "q": F.lag("x", 40).over(w)})
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert got.where("false").count() == 0 and ts.scan(rows.where("false"), ["k"], "d", {"s": ("sum", "id")}).count() == 0
+
+
+def test_long_series_equal_plain_windows(spark):
+    rows = _series(spark, 600).where("k IS NOT NULL").withColumnRenamed("x", "ret").dropDuplicates(["k", "d"])
+    key = lambda df, *c: sorted((r["k"], r["d"], *(None if r[x] is None else round(r[x], 12) for x in c)) for r in df.collect())
+    assert key(ts.simulate(rows, ["k"], ranges=8), "daily_return", "equity") == key(ts.simulate(rows, ["k"]), "daily_return", "equity")
+    hit = F.col("position") > 0.3
+    assert sorted(map(tuple, ts.longest_run(rows, ["k"], hit, ranges=8).collect())) == sorted(map(tuple, ts.longest_run(rows, ["k"], hit).collect()))
+    plain = rows.withColumn("drawdown", ts.drawdown("position", ["k"]))
+    assert key(ts.falls(rows, ["k"], "position", ranges=8), "drawdown") == key(plain, "drawdown")
+    some = rows.where("id % 5 = 0").select("k", F.col("d").alias("t"), F.col("id").alias("v"))
+    for forward in (False, True):
+        a, b = (ts.asof(rows.select("k", "d"), some, "d", "t", ["v"], ["k"], forward=forward, tolerance_days=20, ranges=r) for r in (8, None))
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
+def test_scan_spreads_one_key(spark):
+    """One key's rows end in many partitions, none with more than a few ranges."""
+    rows = spark.range(0, 200_000, 1, 8).select(F.lit("one").alias("k"), F.col("id").alias("d"), (F.col("id") % 10).alias("x"))
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    was = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, value in conf.items():
+            spark.conf.set(k, value)
+        out = ts.scan(rows, ["k"], "d", {"s": ("sum", "x")}, 64)
+        # One exchange by range for the rows, one for the totals of their ranges, which are summed before it; the last moves totals.
+        assert out._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(range_key") == 3
+        parts = out.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.max("s").alias("s")).collect()
+    finally:
+        for k, value in was.items():
+            spark.conf.set(k, value)
+    assert sum(r["n"] for r in parts) == 200_000 and max(r["n"] for r in parts) < 50_000 and max(r["s"] for r in parts) == 900_000
+
+
+@pytest.mark.parametrize("p", [0.0, 0.025, 0.5, 0.9, 1.0])
+def test_percentile_is_exact(spark, p):
+    rows = spark.sql("SELECT IF(id < 30000, 'long', IF(id < 30003, 'few', IF(id = 30003, NULL, IF(id < 30010, 'same', 'none')))) AS k, IF(id >= 30010, NULL, IF(id BETWEEN 30004 AND 30009, 1.5D, double(hash(id) % 1000000) / 7)) AS v FROM range(30012)")
+    want = {r["k"]: r["x"] for r in rows.groupBy("k").agg(F.percentile("v", p).alias("x")).collect()}
+    for accuracy in (10_000, 50):
+        got = {r["k"]: r["x"] for r in ts.percentile(rows, ["k"], "v", p, "x", accuracy).collect()}
+        assert set(got) == set(want) and all(got[k] == pytest.approx(v) if v is not None else got[k] is None for k, v in want.items())

@@ -4,7 +4,7 @@ scenarios and resamples run in one job; a window never lacks a key but over a ca
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -77,8 +77,13 @@ def crossings(df: DataFrame, part: Sequence[str], value: str, thresholds: Sequen
     return each.select(*part, order, "threshold", way.alias("direction"), F.round("before", 6).alias("before"), F.round(value, 6).alias("now")).where("direction IS NOT NULL")
 
 
-def longest_run(df: DataFrame, part: Sequence[str], condition: Column, order: str = "d") -> DataFrame:
-    """Days on which the condition holds and the longest run of them, for each key."""
+def longest_run(df: DataFrame, part: Sequence[str], condition: Column, order: str = "d", ranges: int | None = None) -> DataFrame:
+    """Days on which the condition holds and the longest run of them, for each key; ranges: see `scan`."""
+    if ranges:
+        hits = scan(df.withColumn("hit", F.coalesce(condition, F.lit(False)).cast("int")), part, order, {"was": ("lag", "hit", 1)}, ranges)
+        runs = scan(hits.withColumn("starts", F.greatest(F.col("hit") - F.coalesce("was", F.lit(0)), F.lit(0))), part, order, {"run": ("sum", "starts")}, ranges)
+        lengths = runs.groupBy(*part, "run").agg(F.sum("hit").alias("n"))
+        return lengths.groupBy(*part).agg(F.sum("n").alias("days"), F.max("n").alias("longest"))
     flagged = df.withColumn("hit", F.coalesce(condition, F.lit(False)))
     islands = flagged.withColumn("island", F.row_number().over(ordered(part, order)) - F.row_number().over(ordered([*part, "hit"], order)))
     runs = islands.groupBy(*part, "hit", "island").agg(F.count("*").alias("n"))
@@ -110,19 +115,105 @@ def placed(df: DataFrame, by: str, tie: str, ranges: int = 64) -> DataFrame:
     return ranged.join(F.broadcast(starts), "range_no").withColumn("place", place).drop("range_no", "start")
 
 
-def asof(left: DataFrame, right: DataFrame, left_time: str, right_time: str, values: Sequence[str], part: Sequence[str] = (), tolerance_days: int | None = None, forward: bool = False) -> DataFrame:
+_KINDS = {
+    "sum": (F.sum, lambda a, b: a + F.coalesce(b, F.lit(0))),
+    "product": (F.product, lambda a, b: a * F.coalesce(b, F.lit(1.0))),
+    "max": (F.max, F.greatest),
+    "last": (lambda c: F.last(c, ignorenulls=True), F.coalesce),
+}
+
+
+def scan(df: DataFrame, part: Sequence[str], order: str | Sequence[str], running: Mapping[str, tuple], ranges: int = 64, reverse: bool = False) -> DataFrame:
+    """df with running values, the same as of windows by key over all rows up to each, for keys of any length. running:
+    name to (kind, column), kind being sum, product, max or last (of values that are not NULL), or to (lag, column,
+    k), the value k rows before. Rows go by the columns of order, from the end if reverse; keys may be NULL.
+
+    Rows are dealt to ranges of the first column of order. Values run inside a range; of each range only its total
+    and its last rows go on to the next, through a window of one row a range, so that a key of very many rows
+    is spread over as many tasks as there are ranges. Equal values of that column are in one range."""
+    order = [order] if isinstance(order, str) else list(order)
+    by, key = order[0], ["range_key"]
+    way = F.desc if reverse else F.asc_nulls_first
+    first = [F.desc_nulls_last(c) if reverse else F.asc_nulls_first(c) for c in order]
+    last = [F.asc_nulls_first(c) if reverse else F.desc_nulls_last(c) for c in order]
+    bounds = df.agg(F.percentile_approx(by, [i / ranges for i in range(1, ranges)], 1000).alias("range_bounds"))
+    number = F.size(F.filter(F.coalesce("range_bounds", F.array()), lambda b: b < F.col(by)))
+    # A struct, as its parts may be NULL and meet nevertheless.
+    ranged = df.crossJoin(F.broadcast(bounds)).withColumn("range_key", F.struct(number.alias("no"), *[F.col(p).alias(f"k{i}") for i, p in enumerate(part)])).drop("range_bounds")  # bounds is one row
+    w, n = Window.partitionBy(*key).orderBy(*first), F.row_number()
+    upto_ = w.rowsBetween(Window.unboundedPreceding, 0)
+    sums = {k: v for k, v in running.items() if v[0] != "lag"}
+    lags = {k: v for k, v in running.items() if v[0] == "lag"}
+    rows = ranged.withColumns({f"in_{k}": _KINDS[kind][0](c).over(upto_) for k, (kind, c) in sums.items()} | {f"in_{k}": F.lag(c, j).over(w) for k, (_, c, j) in lags.items()} | {"range_row": n.over(w)})
+
+    most = max([1, *[v[2] for v in lags.values()]])
+    tail = ranged.withColumn("range_end", n.over(Window.partitionBy(*key).orderBy(*last))).where(F.col("range_end") <= most)
+    picks = {k: F.transform(F.sort_array(F.collect_list(F.struct((-F.col("range_end")).alias("e"), F.col(c).alias("v")))), lambda x: x["v"]) for k, (_, c, _) in lags.items()}
+    ends = tail.groupBy(*key).agg(F.count("*").alias("range_size"), *[p.alias(k) for k, p in picks.items()])
+    across = Window.partitionBy(*[F.col(f"range_key.k{i}") for i in range(len(part))]).orderBy(way(F.col("range_key.no")))
+    before = across.rowsBetween(Window.unboundedPreceding, -1)
+    some = across.rowsBetween(-most, -1)
+    carried = ends.select(*key, *[F.flatten(F.collect_list(k).over(some)).alias(f"c_{k}") for k in lags])
+    if sums:
+        place = F.struct(*order)
+        seen = lambda c: F.when(F.col(c).isNotNull(), place)
+        total = lambda kind, c: (F.min_by if reverse else F.max_by)(c, seen(c)) if kind == "last" else _KINDS[kind][0](c)
+        totals = ranged.groupBy(*key).agg(*[total(kind, c).alias(k) for k, (kind, c) in sums.items()])
+        over = totals.select(*key, *[_KINDS[kind][0](k).over(before).alias(f"c_{k}") for k, (kind, _) in sums.items()])
+        carried = carried.join(over, key) if lags else over
+    out = rows.join(carried, key)
+    value = {k: _KINDS[kind][1](F.col(f"in_{k}"), F.col(f"c_{k}")) for k, (kind, _) in sums.items()}
+    value |= {k: F.when(F.col("range_row") > j, F.col(f"in_{k}")).otherwise(F.try_element_at(f"c_{k}", (F.col("range_row") - j - 1).cast("int"))) for k, (_, _, j) in lags.items()}
+    return out.select(*df.columns, *[v.alias(k) for k, v in value.items()])
+
+
+def _same(left: DataFrame, right: DataFrame, key: Sequence[str]) -> DataFrame:
+    """A join in which NULL keys meet."""
+    other = right.withColumnsRenamed({k: f"r_{k}" for k in key})
+    on = [F.col(k).eqNullSafe(F.col(f"r_{k}")) for k in key]
+    return (left.join(other, on) if key else left.crossJoin(F.broadcast(other))).drop(*[f"r_{k}" for k in key])  # without a key one row
+
+
+def percentile(df: DataFrame, part: Sequence[str], value: str, p: float, name: str, accuracy: int = 10_000) -> DataFrame:
+    """Exact percentile p (0 to 1, between two places in proportion) of the values of each key that are not NULL; NULL if
+    a key has none. A sketch of each key gives bounds around the place; the values below are counted and only those
+    between them are ordered, some 6 / accuracy of the key's, so no task holds a long key's values. Where a sketch
+    has missed the place, which the counts show, the key's values are ordered after all."""
+    rows = df.select(*part, F.col(value).cast("double").alias("v"))
+    step = 3 / accuracy
+    sketch = rows.groupBy(*part).agg(F.count("v").alias("n"), F.percentile_approx("v", [max(p - step, 0.0), min(p + step, 1.0)], accuracy).alias("b"))
+    least = sketch.select(*part, "n", F.lit(p) * (F.col("n") - 1), F.get("b", F.lit(0)).alias("low"), F.get("b", F.lit(1)).alias("high")).toDF(*part, "n", "h", "low", "high")
+    met = _same(rows.where("v IS NOT NULL"), least, part)
+    counts = met.groupBy(*part).agg(F.count_if(F.col("v") < F.col("low")).alias("under"), F.count_if(F.col("v").between(F.col("low"), F.col("high"))).alias("inside"))
+    known = _same(least, counts, part)
+    sure = (F.col("under") <= F.floor("h")) & (F.ceil("h") < F.col("under") + F.col("inside"))
+    known = known.withColumns({"under": F.when(sure, F.col("under")).otherwise(0), "low": F.when(sure, F.col("low")), "high": F.when(sure, F.col("high"))})
+    near = _same(rows.where("v IS NOT NULL"), known, part).where(F.col("low").isNull() | F.col("v").between(F.col("low"), F.col("high")))
+    placed_ = near.withColumn("k", F.row_number().over(Window.partitionBy(*part).orderBy("v")) - 1 + F.col("under"))
+    two = placed_.where((F.col("k") == F.floor("h")) | (F.col("k") == F.ceil("h"))).groupBy(*part).agg(F.min("v").alias("a"), F.max("v").alias("b"), F.first("h").alias("h"))
+    found = two.select(*part, (F.col("a") + (F.col("b") - F.col("a")) * (F.col("h") - F.floor("h"))).alias(name))
+    none = sketch.where("n = 0").select(*part, F.lit(None).cast("double").alias(name))
+    return found.unionByName(none)
+
+
+def asof(left: DataFrame, right: DataFrame, left_time: str, right_time: str, values: Sequence[str], part: Sequence[str] = (), tolerance_days: int | None = None, forward: bool = False, ranges: int | None = None) -> DataFrame:
     """left with the values and the time (`asof_time`) of the last right row at or before it (forward: the
     first at or after it) with the same keys; NULL if there is none or it is farther than the tolerance.
     One shuffle by key: both sides are stacked and the last seen value is carried. Without keys all rows
-    share one window, which only calendars may."""
+    share one window, which only calendars may; with ranges, long keys and none are spread over tasks (see `scan`)."""
     seen = F.struct(F.col(right_time).alias("asof_time"), *values)
     keep = [c for c in left.columns]
     stacked = left.select(F.struct(*keep).alias("row"), *[F.col(p).alias(f"k_{p}") for p in part], F.col(left_time).alias("t"), F.lit(1).alias("side"), F.lit(None).cast(right.select(seen).schema[0].dataType).alias("seen")).unionByName(
         right.select(F.lit(None).cast(left.select(F.struct(*keep)).schema[0].dataType).alias("row"), *[F.col(p).alias(f"k_{p}") for p in part], F.col(right_time).alias("t"), F.lit(0).alias("side"), seen.alias("seen"))
     )
-    order = [F.desc("t"), "side"] if forward else ["t", "side"]
-    w = Window.partitionBy(*[f"k_{p}" for p in part]).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = stacked.withColumn("seen", F.last("seen", ignorenulls=True).over(w)).where("side = 1")
+    if ranges:
+        # From the end, the right rows of a time have to come before its left rows too.
+        stacked = stacked.withColumn("turn", -F.col("side") if forward else F.col("side"))
+        out = scan(stacked, [f"k_{p}" for p in part], ["t", "turn"], {"last_seen": ("last", "seen")}, ranges, reverse=forward).drop("seen").withColumnRenamed("last_seen", "seen").where("side = 1")
+    else:
+        order = [F.desc("t"), "side"] if forward else ["t", "side"]
+        w = Window.partitionBy(*[f"k_{p}" for p in part]).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        out = stacked.withColumn("seen", F.last("seen", ignorenulls=True).over(w)).where("side = 1")
     if tolerance_days is not None:
         near = F.abs(F.datediff("t", F.col("seen.asof_time"))) <= tolerance_days
         out = out.withColumn("seen", F.when(near, F.col("seen")))
@@ -192,9 +283,19 @@ def performance(daily: DataFrame, part: Sequence[str], rate: str = "annual_rate"
     )
 
 
-def simulate(df: DataFrame, part: Sequence[str], cost_bps: float = 5.0, ret: str = "ret", position: str = "position") -> DataFrame:
+def falls(df: DataFrame, part: Sequence[str], value: str, order: str = "d", ranges: int = 64) -> DataFrame:
+    """df with peak, the greatest value so far, and drawdown from it, for keys of any length (see `scan`)."""
+    return scan(df, part, order, {"peak": ("max", value)}, ranges).withColumn("drawdown", safe_div(F.col(value), F.col("peak")) - 1)
+
+
+def simulate(df: DataFrame, part: Sequence[str], cost_bps: float = 5.0, ret: str = "ret", position: str = "position", ranges: int | None = None) -> DataFrame:
     """df with daily_return and equity. A day earns the position of the day before less the cost of that
-    position's change; the first day earns nothing and the first position is free."""
+    position's change; the first day earns nothing and the first position is free; ranges: see `scan`."""
+    if ranges:
+        at = scan(df, part, "d", {"__held": ("lag", position, 1), "__was": ("lag", position, 2)}, ranges)
+        cost = F.abs(F.col("__held") - F.coalesce("__was", "__held")) * cost_bps / 1e4
+        paid = at.withColumn("daily_return", F.coalesce(F.col("__held") * F.col(ret) - cost, F.lit(0.0))).drop("__held", "__was").withColumn("__step", 1 + F.col("daily_return"))
+        return scan(paid, part, "d", {"equity": ("product", "__step")}, ranges).drop("__step")
     w = ordered(part, "d")
     held, was = F.lag(position).over(w), F.lag(position, 2).over(w)
     cost = F.abs(held - F.coalesce(was, held)) * cost_bps / 1e4

@@ -248,7 +248,14 @@ def agg_corr_safe(v, spark, sf):
 
 @query(f"SELECT symbol, {R('quantile_cont(adjclose, 0.025)', 'low')}, {R('quantile_cont(adjclose, 0.975)', 'high')} FROM px GROUP BY symbol", ("px",))
 def agg_percentile(v, spark, sf):
-    return v("px").groupBy("symbol").agg(F.percentile("adjclose", 0.025).alias("low"), F.percentile("adjclose", 0.975).alias("high"))
+    low, high = (ts.percentile(v("px"), KEY, "adjclose", p, n) for p, n in ((0.025, "low"), (0.975, "high")))
+    return low.join(high, "symbol")
+
+
+@query(f"SELECT l_linestatus, {R('quantile_cont(l_extendedprice, 0.3)', 'price')} FROM lineitem GROUP BY l_linestatus")
+def agg_percentile_long(v, spark, sf):
+    """Groups of nearly all rows."""
+    return ts.percentile(table(spark, sf, "lineitem"), ["l_linestatus"], "l_extendedprice", 0.3, "price")
 
 
 @query(f"SELECT symbol, strftime(d, '%Y-%m') AS month, {R('arg_max(adjclose, d)', 'adjclose')} FROM px GROUP BY 1, 2", ("px",))
@@ -424,6 +431,36 @@ def win_longest_run(v, spark, sf):
     return ts.longest_run(v("px"), KEY, F.col("adjclose") < 101.5)
 
 
+_ONE_SERIES = "(SELECT o_orderkey, o_orderdate, CAST(round(o_totalprice * 100) AS BIGINT) AS c FROM orders)"
+
+
+def _one_series(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", "o_orderdate", F.round(F.col("o_totalprice") * 100).cast("long").alias("c"))
+
+
+@query(f"SELECT o_orderkey, CAST(sum(c) OVER w AS BIGINT) AS total, max(c) OVER w AS peak, {R('c / (max(c) OVER w)::DOUBLE - 1', 'drawdown')}, {R('product(1 + (c % 101 - 50) / 1e6) OVER w', 'growth')}, lag(c) OVER w AS before, lag(c, 2) OVER w AS before_2 FROM {_ONE_SERIES} WINDOW w AS (ORDER BY o_orderdate, o_orderkey)")
+def win_long_series(v, spark, sf):
+    """All orders as one series, without a window over all of them."""
+    order = ["o_orderdate", "o_orderkey"]
+    rows = _one_series(spark, sf).withColumn("step", 1 + (F.col("c") % 101 - 50) / 1e6)
+    out = ts.scan(rows, [], order, {"total": ("sum", "c"), "growth": ("product", "step"), "before": ("lag", "c", 1), "before_2": ("lag", "c", 2), "peak": ("max", "c")})
+    return out.select("o_orderkey", "total", "peak", (F.col("c") / F.col("peak") - 1).alias("drawdown"), "growth", "before", "before_2")
+
+
+@query(f"SELECT count(*) FILTER (WHERE hit) AS days, max(n) FILTER (WHERE hit) AS longest FROM (SELECT hit, count(*) OVER (PARTITION BY hit, g) AS n FROM (SELECT c % 3 > 0 AS hit, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - row_number() OVER (PARTITION BY c % 3 > 0 ORDER BY o_orderdate, o_orderkey) AS g FROM {_ONE_SERIES}))")
+def win_long_run(v, spark, sf):
+    rows = _one_series(spark, sf)
+    return ts.longest_run(rows, [], F.col("c") % 3 > 0, ["o_orderdate", "o_orderkey"], ranges=64)
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(m.d AS VARCHAR) AS day, round((m.adjclose - 100) * 1e5, 2) + 0.0 AS price FROM lineitem l ASOF LEFT JOIN mkt m ON CAST(l.l_shipdate AS DATE) >= m.d", ("mkt",))
+def join_asof_long(v, spark, sf):
+    """All rows meet one calendar, spread over ranges of days."""
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("ship"))
+    out = ts.asof(rows, v("mkt"), "ship", "d", ["adjclose"], ranges=64)
+    return out.select("l_orderkey", "l_linenumber", F.col("asof_time").cast("string").alias("day"), F.round((F.col("adjclose") - 100) * 1e5, 2).alias("price"))
+
+
 @query("SELECT event_id, CAST((k >= n // 3)::INT + (k >= 2 * n // 3)::INT AS INTEGER) AS tier FROM (SELECT event_id, row_number() OVER (PARTITION BY ticker ORDER BY amount, event_id) - 1 AS k, count(*) OVER (PARTITION BY ticker) AS n FROM ledger)", ("ledger",))
 def win_rank_split(v, spark, sf):
     return ts.rank_split(v("ledger"), [F.col("amount"), F.col("event_id")], 3, ["ticker"]).select("event_id", "tier")
