@@ -107,10 +107,15 @@ def _units(value: np.ndarray, endings: np.ndarray, frequent: np.ndarray) -> np.n
     return unit
 
 
-def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = 10) -> np.ndarray:
+#: What a move must add to the log likelihood; far above rounding, so that sweeps end.
+LEAST_GAIN = 1e-6
+
+
+def exchange(pairs: np.ndarray, classes: int = CLASSES) -> np.ndarray:
     """Class of each unit. pairs: counts of one unit after another. Units start in turn by frequency;
     one after another moves to the class where the likelihood of class bigrams is largest, until a sweep
-    moves none. Unit 0 has class 0 for itself; units that never occur go to class 1."""
+    moves none; as every move adds to the likelihood, that comes. Unit 0 has class 0 for itself; units that
+    never occur go to class 1."""
     b = np.asarray(pairs, float)
     k, weight = classes + 1, b.sum(axis=0) + b.sum(axis=1)
     order = [u for u in np.argsort(-weight, kind="stable") if u and weight[u]]
@@ -122,7 +127,8 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = 10) -> np.
     hot[np.arange(len(b)), cls] = 1
     g = hot.T @ b @ hot
     f = lambda x: x * np.log(np.maximum(x, 1.0))  # noqa: E731  counts are whole
-    for _ in range(sweeps):
+    moved = 1
+    while moved:
         moved = 0
         for u in order:
             own, loop = cls[u], b[u, u]
@@ -139,15 +145,13 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = 10) -> np.
             gain -= f(left + after.sum() + loop) - f(left) + f(right + before.sum() + loop) - f(right)
             gain[0] = -np.inf
             best = int(gain.argmax())
-            best = own if gain[best] <= gain[own] + 1e-9 else best
+            best = own if gain[best] <= gain[own] + LEAST_GAIN else best
             moved += best != own
             cls[u] = best
             hot[u, best] = 1
             g[best] += after
             g[:, best] += before
             g[best, best] += loop
-        if not moved:
-            break
     return cls
 
 
