@@ -14,25 +14,30 @@ def _held_out(key: str, remainder: int):
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in shards 0 to 39 by balanced propagation, law rows; NULL texts have size 16."""
     return sharding.shard(read(spark, sf_dir, "documents")).drop("hub")
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents that share four fifths of their shingles of four words."""
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces of sequences of 2048 ids at most; ids as their crc32. NULL texts are one end id."""
     pieces = packing.pack(read(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score of every document, learnt from the labels outside of the fold that is held out."""
     docs = read(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
     return scored.select("doc_id", _held_out("doc_id", 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page; NULL pages have none."""
     pages = read(spark, sf_dir, "pages")
     # The url rides along as part of the key, so that no join is needed.
     boxed = pages.select(F.struct("page_id", "url").alias("page"), "html")
@@ -40,25 +45,30 @@ def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's address."""
     return urls.filter_urls(read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op7_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document under the class model, and under single words."""
     return classlm.score(read(spark, sf_dir, "documents"), fold("doc_id") == 1)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps of all documents with all items of the benchmark, the best place of each pair."""
     found = decontam.overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", F.col("item_tokens").cast("long").alias("item_tokens"), F.col("matched").cast("long").alias("matched"), F.col("position").cast("long").alias("position"))
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from the rows outside of the fold that is held out."""
     docs = read(spark, sf_dir, "documents")
     found = langid.detect(docs.select("doc_id", "text"), langid.fit(docs))
     return found.select(F.col("row.doc_id").alias("doc_id"), _held_out("row.doc_id", 0).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document; NULL texts are empty and fail."""
     return quality.quality(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
