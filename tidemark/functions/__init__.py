@@ -121,7 +121,7 @@ def announced_at(accepted: Column | str, filed: Column | str) -> Column:
 
 #: Suffixes of amounts and what they multiply by.
 SCALES = (("trillion", 1e12), ("tn", 1e12), ("billion", 1e9), ("bn", 1e9), ("b", 1e9), ("million", 1e6), ("m", 1e6), ("thousand", 1e3), ("k", 1e3))
-_SUFFIX = "trillion|tn|billion|bn|b|million|m|thousand|k"
+_SUFFIX = "|".join(name for name, _ in SCALES)
 
 
 def money_scale(suffix: Column | str) -> Column:

@@ -617,16 +617,20 @@ def str_context_money(v, spark, sf):
     return table(spark, sf, "documents").select("doc_id", fx.context_money("text", _MONEY_WORDS, least=1000).alias("amount"))
 
 
-@query(rf"SELECT o_orderkey, {R(chr(97), 'per_share')} FROM (SELECT o_orderkey, CAST(nullif(regexp_extract(o_orderpriority || ' $' || (o_orderkey % 100)::VARCHAR || '.5 per share', '(\d+(?:\.\d+)?)\s*(?:per\s+share|/share)', 1), '') AS DOUBLE) AS a FROM orders)")
+@query(rf"SELECT doc_id, {R(chr(97), 'per_share')} FROM (SELECT doc_id, CAST(nullif(regexp_extract(regexp_replace(lower(coalesce(text, '')), '(\d+)', '\1 per share', 'g'), '(\d+(?:\.\d+)?)\s*(?:per\s+share|/share)', 1), '') AS DOUBLE) AS a FROM documents)")
 def str_per_share(v, spark, sf):
-    said = F.concat("o_orderpriority", F.lit(" $"), (F.col("o_orderkey") % 100).cast("string"), F.lit(".5 per share"))
-    return table(spark, sf, "orders").select("o_orderkey", fx.per_share(said).alias("per_share"))
+    """Whole documents, every number of which is an amount per share."""
+    return table(spark, sf, "documents").select("doc_id", fx.per_share(F.regexp_replace("text", r"(\d+)", "$1 per share")).alias("per_share"))
 
 
-@query("SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 1e12 WHEN 1 THEN 1e9 WHEN 2 THEN 1e6 WHEN 3 THEN 1e3 ELSE 1 END::DOUBLE AS scale FROM orders")
+_SCALE_WORD = r"[0-9][\t\n\f\r ]*([A-Za-z]+)"
+
+
+@query(rf"SELECT doc_id, word, CASE lower(word) {' '.join(f'WHEN {chr(39)}{n}{chr(39)} THEN {x}' for n, x in fx.SCALES)} ELSE 1 END::DOUBLE AS scale FROM (SELECT doc_id, regexp_extract(coalesce(text, ''), '{_SCALE_WORD}', 1) AS word FROM documents)")
 def str_money_scale(v, spark, sf):
-    suffix = F.get(F.array(*[F.lit(s) for s in ("Trillion", "bn", "M", "k", "")]), (F.col("o_orderkey") % 5).cast("int"))
-    return table(spark, sf, "orders").select("o_orderkey", fx.money_scale(suffix).alias("scale"))
+    """The word after the first number of each document as a suffix."""
+    word = F.regexp_extract(F.coalesce("text", F.lit("")), _SCALE_WORD, 1)
+    return table(spark, sf, "documents").select("doc_id", word.alias("word")).select("doc_id", "word", fx.money_scale("word").alias("scale"))
 
 
 @query("SELECT o_orderkey, concat_ws('-', o_custkey::VARCHAR, replace(CAST(o_orderdate AS DATE)::VARCHAR, '-', ''), o_orderpriority) AS id FROM orders")
