@@ -31,7 +31,7 @@ def normal(df: pd.DataFrame) -> list[tuple]:
 #: The features share one chain of joins, which a few of its results cover.
 STUDY = {f.__name__ for f in vars(study).values() if callable(f) and getattr(f, "__module__", "") == study.__name__}
 FEATURES = STUDY | {"market_cap", "trailing_yield", "authorization_balance", "capital_amplitude", "vol_amplitude", "text_score", "relative_strength", "skew_score", "market_state", "interference_index"}
-COVER = {"feature_panel", "event_returns", "post_event_drawdown", "reversion_fit", "apply_overlay", "classify_filings", "robustness_splits", "model_benchmarks", "out_of_sample", "fixed_effect_ols", "clustered_se", "wild_cluster_bootstrap", "comovement_edges", "ttm_sum", "market_cap"}
+COVER = {"feature_panel", "fixed_effect_residuals", "firm_effects", "arr_tag_preference", "authorization_balance", "text_score", "decay_law", "event_returns", "post_event_drawdown", "reversion_fit", "apply_overlay", "classify_filings", "robustness_splits", "model_benchmarks", "out_of_sample", "fixed_effect_ols", "clustered_se", "wild_cluster_bootstrap", "comovement_edges", "ttm_sum", "market_cap"}
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.ORACLES) - FEATURES | COVER))

@@ -105,6 +105,17 @@ def ols(df: DataFrame, y: str, x: Sequence[str], cluster: str | None = None, fix
     return fit, out.drop(*[f"{a}_{i}" for a in ("own", "all", "in") for i in range(len(x) + 1)], "own_n", "effects") if fixed else out
 
 
+def effects(rows: DataFrame, fit: dict, y: str, x: Sequence[str], fixed: str) -> DataFrame:
+    """The effect of each group of fixed in a fit with it, and its coefficient against the group whose name comes first,
+    which has the intercept: mean of y less the slopes times the means of x. A NULL group has none."""
+    mean = F.avg(y)
+    for c, b in zip(x, fit["beta"][1:], strict=True):
+        mean = mean - F.avg(c) * float(b)
+    own = rows.dropna(subset=[y, *x, fixed]).groupBy(fixed).agg(mean.alias("effect"), F.count("*").alias("n"))
+    first = own.agg(F.min_by("effect", fixed).alias("intercept"), F.min(fixed).alias("first"))  # one row
+    return own.crossJoin(F.broadcast(first)).select(fixed, "effect", F.when(F.col(fixed) != F.col("first"), F.col("effect") - F.col("intercept")).alias("coefficient"), "n")
+
+
 def coefficients(spark, fit: dict) -> DataFrame:
     rows = [(n, float(b), float(s), float(fit["r2"]), fit["n"]) for n, b, s in zip(fit["names"], fit["beta"], fit["se"], strict=True)]
     return spark.createDataFrame(rows, "term string, coefficient double, std_error double, r2 double, n long")

@@ -373,6 +373,25 @@ def fixed_effect_ols(v, spark, sf):
     return st.fits(_design(v), _X, "car_5", fixed="ticker").select(F.inline(terms).alias("term", "coefficient", "std_error"), "r2", "n")
 
 
+_MEANS = "gm AS (SELECT ticker, count(*) AS n, avg(car_5) AS my, avg(index_value) AS ma, avg(state) AS mb, avg(vix) AS mc FROM de GROUP BY ticker)"
+
+
+def _primary_fit(v):
+    rows = v.once("design", lambda: _design(v))
+    return st.ols(rows, "car_5", _X, fixed="ticker")
+
+
+@query(f"{_PANEL},{_DESIGN},{_PRIMARY},{_MEANS}\nSELECT event_id, {R('my + ka * (index_value - ma) + kb * (state - mb) + kc * (vix - mc)', 'fitted')}, {R('car_5 - my - ka * (index_value - ma) - kb * (state - mb) - kc * (vix - mc)', 'residual')} FROM de JOIN gm ON gm.ticker = de.ticker, ls", _FVIEWS)
+def fixed_effect_residuals(v, spark, sf):
+    return _primary_fit(v)[1].select("event_id", "fitted", "residual")
+
+
+@query(f"{_PANEL},{_DESIGN},{_PRIMARY},{_MEANS},\nfe AS (SELECT ticker, gm.n, my - ka * ma - kb * mb - kc * mc AS effect FROM gm, ls)\nSELECT ticker, n, {R('effect', 'effect')}, CASE WHEN ticker <> (SELECT min(ticker) FROM fe) THEN {R('effect - (SELECT arg_min(effect, ticker) FROM fe)', 'x').rpartition(' AS ')[0]} END AS coefficient FROM fe", _FVIEWS)
+def firm_effects(v, spark, sf):
+    fit, _ = _primary_fit(v)
+    return st.effects(v.once("design", lambda: _design(v)), fit, "car_5", _X, "ticker")
+
+
 @query(f"{_PANEL},{_DESIGN},{_PRIMARY},{_SCORES}\n" + " UNION ALL ".join(f"SELECT '{t}' AS term, {R('k' + x, 'coefficient')}, {R(f'sqrt((SELECT sum(p{x} * p{x}) FROM pl) * g / (g - 1) * (n - 1) / (n - 3 - g))', 'std_error')}, {R('r2', 'r2')}, n FROM ls" for t, x in _TERMS), _FVIEWS)
 def clustered_se(v, spark, sf):
     fit, _ = st.ols(cut(_design(v)), "car_5", _X, cluster="ticker", fixed="ticker")
