@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontam, langid, minhash, packing, quality
-from tidemark.llm.common import cut, read
+from tidemark.llm.common import cut, forget, read
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +49,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each is written to the shared folder and read again."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages over the documents; each is written to the shared folder and read again, and goes when the next
+    is written."""
+    docs, written = read(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir))
+        if written is not None:
+            forget(written)
+        written = docs
     return STAGES[-1][1](spark, docs, sf_dir)
