@@ -121,6 +121,8 @@ def announced_at(accepted: Column | str, filed: Column | str) -> Column:
 
 #: Suffixes of amounts and what they multiply by.
 SCALES = (("trillion", 1e12), ("tn", 1e12), ("billion", 1e9), ("bn", 1e9), ("b", 1e9), ("million", 1e6), ("m", 1e6), ("thousand", 1e3), ("k", 1e3))
+#: A number, and what follows an amount for one share.
+_NUMBER, _PER_SHARE = r"(\d+(?:\.\d+)?)", r"\s*(?:per\s+share|/share)"
 _SUFFIX = "|".join(name for name, _ in SCALES)
 
 
@@ -136,7 +138,7 @@ def context_money(text: Column | str, words: list[str], radius: int = 120, least
     """Largest amount of `least` or more within `radius` characters of any of the words; NULL if none.
     A suffix counts even at the start of a longer word, unless strict_suffix."""
     low = F.lower(F.coalesce(col(text), F.lit("")))
-    pattern = F.lit(rf"(\d+(?:\.\d+)?)\s*({_SUFFIX})?{'(?![a-z])' if strict_suffix else ''}")
+    pattern = F.lit(rf"{_NUMBER}\s*({_SUFFIX})?{'(?![a-z])' if strict_suffix else ''}")
     best = []
     for w in words:
         parts = F.split(low, _literal(w.lower()), -1)
@@ -157,7 +159,7 @@ def context_money(text: Column | str, words: list[str], radius: int = 120, least
 
 def per_share(text: Column | str) -> Column:
     """The first amount followed by 'per share' or '/share', NULL if none."""
-    return F.nullif(F.regexp_extract(F.lower(F.coalesce(col(text), F.lit(""))), r"(\d+(?:\.\d+)?)\s*(?:per\s+share|/share)", 1), F.lit("")).cast("double")
+    return F.nullif(F.regexp_extract(F.lower(F.coalesce(col(text), F.lit(""))), _NUMBER + _PER_SHARE, 1), F.lit("")).cast("double")
 
 
 def market_day(ts: Column | str, close_hour: int = 16, zone: str = "America/New_York") -> tuple[Column, Column]:
