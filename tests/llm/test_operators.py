@@ -302,6 +302,27 @@ def test_class_model_matches_plain_counts(spark, edge, empty):
     assert classlm.score(empty, fold("doc_id") == 1).count() == 0
 
 
+def test_exchange_ends_where_no_move_helps():
+    """At the end no single move adds to the likelihood of class bigrams, counted anew."""
+
+    def likelihood(b, cls, k):
+        hot = np.eye(k)[cls]
+        g = hot.T @ b @ hot
+        part = lambda x: float((x * np.log(np.maximum(x, 1))).sum())
+        return part(g) - part(g.sum(0)) - part(g.sum(1))
+
+    for seed in range(8):
+        b = np.random.default_rng(seed).poisson(3, (14, 14)) * np.random.default_rng(seed + 50).integers(0, 2, (14, 14))
+        cls = classlm.exchange(b, classes=3)
+        best = likelihood(b, cls, 4)
+        assert cls[0] == 0
+        for u in range(1, 14):
+            for c in (1, 2, 3):
+                other = cls.copy()
+                other[u] = c
+                assert likelihood(b, other, 4) <= best + 1e-5
+
+
 def test_class_model_sums_to_one(spark):
     docs = table(spark, [prose(i, 50) for i in range(30)])
     model, _, _, _ = classlm.build(docs, F.lit(False))

@@ -141,7 +141,7 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES) -> np.ndarray:
             gain = (f(row) - f(g)).sum(axis=1) + (f(col) - f(g.T)).sum(axis=1)
             d = np.diag(g)
             gain += f(d + after + before + loop) - f(d + after) - f(d + before) + f(d)
-            left, right = g.sum(axis=1), g.sum(axis=0)
+            left, right = g.sum(axis=1) + before, g.sum(axis=0) + after  # with what stands beside u, in any class
             gain -= f(left + after.sum() + loop) - f(left) + f(right + before.sum() + loop) - f(right)
             gain[0] = -np.inf
             best = int(gain.argmax())
