@@ -12,8 +12,6 @@ from pyspark.sql import types as T
 
 from .common import cut, forget, hot_limit, meet
 
-#: Rounds in which the bits of the depth are coins: they halve a whole chain each. Later ones are hashes.
-DEPTH_ROUNDS = 20
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -69,8 +67,9 @@ def nodes_of(turns: DataFrame, convs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, ends
 
 
-def _coin(node: Column, turn: int) -> Column:
-    if turn < DEPTH_ROUNDS:
+def _coin(node: Column, turn: int, bits: int) -> Column:
+    """Heads or tails of a node in a round: first the bits of its depth, which halve a whole chain each, then hashes."""
+    if turn < bits:
         return F.shiftright(node["depth"], turn).bitwiseAND(F.lit(1)) == 1
     return F.xxhash64(node, F.lit(turn)).bitwiseAND(F.lit(1)) == 1
 
@@ -91,8 +90,10 @@ def subtree_totals(tree: DataFrame, values: list[str]) -> DataFrame:
     state = cut(tree.select("node", "parent", *values).join(kids, "node", "left").withColumn("open", F.coalesce("open", F.lit(0).cast("long"))))
     held = {v: f"__{v}" for v in values}
     written, rounds = [state], []
+    bits = int(tree.agg(F.max("node.depth")).first()[0] or 0).bit_length()
     while not state.isEmpty():
-        heads = F.coalesce((F.col("open") == 1) & _coin(F.col("node"), len(rounds)) & ~_coin(F.col("parent"), len(rounds)), F.lit(False))
+        heads = (F.col("open") == 1) & F.col("parent").isNotNull() & _coin(F.col("node"), len(rounds), bits) & ~_coin(F.col("parent"), len(rounds), bits)
+        heads = F.coalesce(heads, F.lit(False))
         gone = state.where(heads).select(F.col("node").alias("parent"), F.col("parent").alias("above"), *[F.col(v).alias(h) for v, h in held.items()])
         hung = state.where(~heads).join(gone, "parent", "left")
         hung = cut(hung.select("node", F.coalesce("above", "parent").alias("parent"), *values, "open", F.when(F.col("above").isNotNull(), F.col("parent")).alias("was"), *held.values()))
