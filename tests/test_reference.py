@@ -292,6 +292,20 @@ def test_references_titles_and_reasons(spark):
     assert [(r["ticker"], r["reason"]) for r in sd.excluded(days, days, gone).collect()] == [("A", "halted")]
 
 
+def test_references_cut_short_stay(spark, tmp_path):
+    """str_strip_html as its SQL: a title that ends inside a reference keeps what is left of it."""
+    import duckdb
+
+    from tidemark.plans import registry
+
+    pages = [(1, "<h1>a &amp;&amp</h1>b &am<p>&copy;&amp;lt; c&ampd; &mdash;"), (2, "&amp"), (3, None), (4, "x &notit; &quot;y&quot; &#39;z&#39;")]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = dict(con.execute(registry.ORACLES["str_strip_html"]).fetchall())
+    assert {r["page_id"]: r["text"] for r in registry.QUERIES["str_strip_html"](spark, str(tmp_path)).collect()} == want
+
+
 def test_point_in_time_matches_every_fact(spark):
     """Latest value, total of quarters and trailing sums by running windows equal a scan of all facts of the firm:
     later filings of a quarter, unknown filing days, ties of days, a firm without facts, a NULL as-of day."""
