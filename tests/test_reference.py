@@ -306,6 +306,17 @@ def test_references_cut_short_stay(spark, tmp_path):
     assert {r["page_id"]: r["text"] for r in registry.QUERIES["str_strip_html"](spark, str(tmp_path)).collect()} == want
 
 
+def test_event_windows_of_all_events(spark):
+    """No category of events is left out: each event whose day is a trading day has its window."""
+    from tidemark.plans import bindings, registry
+
+    v = bindings.Views(spark, "/root/testdata/sf0.01")
+    days = v("probs").groupBy("event_id").agg(F.date_sub(F.max("resolution_date"), 200).alias("d"), F.min("category").alias("category"))
+    want = days.join(v("mkt"), "d").select("event_id", "category").collect()
+    assert {r["event_id"] for r in registry.QUERIES["event_windows"](spark, "/root/testdata/sf0.01").collect()} == {r["event_id"] for r in want}
+    assert {"other", "trade"} <= {r["category"] for r in want}
+
+
 def test_point_in_time_matches_every_fact(spark):
     """Latest value, total of quarters and trailing sums by running windows equal a scan of all facts of the firm:
     later filings of a quarter, unknown filing days, ties of days, a firm without facts, a NULL as-of day."""

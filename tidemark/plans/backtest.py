@@ -231,7 +231,7 @@ def brier_summary(v, spark, sf):
     f""",{_SIG},
 dl AS (SELECT m.d, coalesce(m.adjclose / lag(m.adjclose) OVER w - 1, 0) AS ret, z.stability, row_number() OVER w - 1 AS idx, lag(z.stability) OVER w AS held FROM mkt m JOIN hz z ON z.d = m.d WINDOW w AS (ORDER BY m.d)),
 fw AS (SELECT *, coalesce(product(1 + ret) OVER f, 1) - 1 AS hold, coalesce(product(1 + coalesce(held, 0) * ret) OVER f, 1) - 1 AS strategy FROM dl WINDOW f AS (ORDER BY d ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)),
-ev AS (SELECT event_id, max(resolution_date) - INTERVAL 200 DAY AS event_date FROM probs GROUP BY 1 HAVING min(category) NOT IN ('other', 'trade')),
+ev AS (SELECT event_id, max(resolution_date) - INTERVAL 200 DAY AS event_date FROM probs GROUP BY 1),
 pp AS (SELECT event_id, d, sum(probability / source_brier) / sum(1 / source_brier) AS p FROM probs GROUP BY 1, 2),
 sn AS (SELECT e.event_id, max(p.p) AS peak, min(n.stability) AS low FROM ev e JOIN fw c ON c.d = e.event_date JOIN fw n ON n.idx BETWEEN c.idx - 5 AND c.idx + 5 JOIN pp p ON p.event_id = e.event_id AND p.d = n.d GROUP BY 1)
 SELECT e.event_id, CAST(e.event_date AS DATE) AS event_date, {R('coalesce(peak, 0)', 'peak_probability')}, {R('coalesce(low, 1)', 'lowest_stability')}, {R('hold', 'hold')}, {R('strategy', 'strategy')}, {R('hold - strategy', 'avoided')}, {R('coalesce(low, 1) - 1', 'position_cut')} FROM ev e JOIN fw c ON c.d = e.event_date LEFT JOIN sn ON sn.event_id = e.event_id""",
@@ -240,9 +240,8 @@ SELECT e.event_id, CAST(e.event_date AS DATE) AS event_date, {R('coalesce(peak,
 def event_windows(v, spark, sf):
     signal = _signal(v)
     daily = ts.with_returns(v("mkt").withColumn("series", F.lit("mkt")), ["series"]).join(signal, "d").select("d", "ret", "stability", F.col("stability").alias("position"))
-    bucket = F.when(F.min("category") == "other", "background").when(F.min("category") == "monetary", "false_positive").when(F.min("category") != "trade", "drawdown")
-    seeds = v("probs").groupBy("event_id").agg(F.date_sub(F.max("resolution_date"), 200).alias("event_date"), bucket.alias("analysis_bucket"))
-    return pn.event_windows(seeds, daily, pn.pool(v("probs")))
+    seeds = v("probs").groupBy("event_id").agg(F.date_sub(F.max("resolution_date"), 200).alias("event_date"))
+    return pn.event_windows(seeds, daily, pn.pool(v("probs")), buckets=None)
 
 
 #: What an earlier run was made with, and the metrics that its summary has.
