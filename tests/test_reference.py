@@ -317,6 +317,48 @@ def test_event_windows_of_all_events(spark):
     assert {"other", "trade"} <= {r["category"] for r in want}
 
 
+def test_text_helpers_equal_plain_ones_and_take_linear_time(spark):
+    """Amounts near words, counts and squeezed text against plain Python, and one long text full of both."""
+    import random
+    import re
+    import time
+
+    from tidemark import functions as fx
+
+    rng = random.Random(5)
+    parts = ["the ", "aaa", "a", "aa ", "5 million", "1.5b", "12 345.67.8 ", "\n", "  ", " \t", "\u00a0", "é", "9.", "x" * 7, "2 Mx ", "THE", "\x0b"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(300)]
+
+    def amount(t, words, radius, least):
+        best, scale = [], dict(fx.SCALES)
+        for w in words:
+            for hit in re.finditer(re.escape(w), t.lower()):
+                around = t.lower()[max(hit.start() - radius, 0) : hit.end() + radius]
+                best += [float(m[1]) * scale.get(m[2], 1.0) for m in re.finditer(rf"{fx._NUMBER}\s*({fx._SUFFIX})?", around, re.ASCII)]
+        return max((v for v in best if v >= least), default=None)
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select(
+        "id", fx.context_money("t", ["the", "aa"], 6, 2.0).alias("m"), fx.keyword_count("t", ["The", "aa", "é"]).alias("n"), fx.squeeze("t").alias("s")
+    ).collect()
+    for r in rows:
+        t = texts[r["id"]]
+        assert r["m"] == amount(t, ["the", "aa"], 6, 2.0)
+        assert r["n"] == sum(t.lower().count(w) for w in ("the", "aa", "é"))
+        assert r["s"] == re.sub(r"\s+", " ", t, flags=re.ASCII).strip(" ")
+    began = time.time()
+    long = spark.range(1).select(F.repeat(F.lit("the plan of 7 "), 60_000).alias("t")).select(fx.context_money("t", ["the"], least=1.0), fx.keyword_count("t", ["the"])).first()
+    assert tuple(long) == (7.0, 60_000) and time.time() - began < 30
+
+
+def test_statement_texts_are_scored_before_the_shuffle(spark):
+    docs = spark.sql("SELECT 1L AS filing, id AS doc_id, 'main.htm' AS name, repeat('the und ', 9) AS text FROM range(3)")
+    found = sd.select_documents(docs, read={"n": fx.keyword_count("text", ["the"])})
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    window = plan[plan.index("Window") :]
+    assert window.index("replace(") > 0 and "text#" not in window.split("Project")[0]
+    assert [(r["said"], r["n"]) for r in found.collect()] == [(True, 9)] * 3
+
+
 def test_point_in_time_matches_every_fact(spark):
     """Latest value, total of quarters and trailing sums by running windows equal a scan of all facts of the firm:
     later filings of a quarter, unknown filing days, ties of days, a firm without facts, a NULL as-of day."""
