@@ -347,6 +347,25 @@ def test_exchange_finds_classes():
     assert len(set(cls[1:5])) == 1 and len(set(cls[5:9])) == 1 and cls[1] != cls[5]
 
 
+def test_class_pairs_are_clustered_in_a_task(spark, monkeypatch):
+    """The driver, here limited to two rows, does not gather the pairs of units; classes and their pairs are those
+    of plain counts."""
+    docs = spark.createDataFrame([(0, "a b a c"), (1, "b a"), (2, None), (3, "zzz a")], "doc_id long, text string")
+    frequent = np.sort(classlm.words("a b c")[0])
+    for name in ("toPandas", "collect", "toArrow"):
+        monkeypatch.setattr(type(docs), name, lambda self, f=getattr(type(docs), name): f(self.limit(2)))
+    cls, follows = classlm._clustered(docs, "text", F.col("doc_id") == 3, frequent)
+    units = 1 + classlm.FREQUENT + classlm.ENDINGS
+    pairs = np.zeros((units, units))
+    for text in ("a b a c", "b a", ""):
+        seq = [0, *(classlm._units(*classlm.words(text), frequent) if text else []), 0]
+        for a, b in zip(seq, seq[1:]):
+            pairs[a, b] += 1
+    want = classlm.exchange(pairs)
+    hot = np.eye(classlm.CLASSES + 1)[want]
+    assert (cls == want).all() and (follows == hot.T @ pairs @ hot).all()
+
+
 def test_decontamination(spark, edge, empty):
     item = [prose(900 + i, 30) for i in range(3)] + ["too short", prose(950, 8), None, ""]
     bench = spark.createDataFrame(list(enumerate(item)), "item_id long, text string")

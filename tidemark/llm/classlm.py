@@ -176,8 +176,10 @@ def _chunks(docs: DataFrame, key: str, text: str, held: Column, n: int) -> DataF
     return rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)))
 
 
-def _pair_counts(docs: DataFrame, key: str, text: str, held: Column, frequent: np.ndarray) -> np.ndarray:
-    """How often one unit follows another in all training texts, the end standing before each text."""
+def _clustered(docs: DataFrame, text: str, held: Column, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Class of each unit, and how often one class follows another, from how often one unit follows another in
+    all training texts, the end standing before each text. The unit pairs, a matrix of fixed size, are added up
+    and clustered in a task, so that the driver gets only what has the size of units and classes."""
     units = 1 + FREQUENT + ENDINGS
     rows = docs.where(~F.coalesce(held, F.lit(False))).select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
 
@@ -199,12 +201,25 @@ def _pair_counts(docs: DataFrame, key: str, text: str, held: Column, frequent: n
                     size = 0
         flush()
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at // units), pa.array(at % units), pa.array(total[at])], ["before", "unit", "n"])
 
-    cells = rows.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(units * units)
-    out[cells["cell"].to_numpy()] = cells["n"].to_numpy()
-    return out.reshape(units, units)
+    def cluster(it):
+        pairs = np.zeros((units, units))
+        for b in it:
+            for before, after in zip(b.column("before").to_pylist(), b.column("after"), strict=True):
+                pairs[before, after.values.field("unit").to_numpy()] = after.values.field("n").to_numpy()
+        cls = exchange(pairs)
+        hot = np.zeros((units, CLASSES + 1))
+        hot[np.arange(units), cls] = 1
+        yield pa.RecordBatch.from_arrays([pa.array([cls.astype(np.int64).tobytes()]), pa.array([(hot.T @ pairs @ hot).tobytes()])], ["cls", "follows"])
+
+    cells = rows.mapInArrow(run, "before long, unit long, n long").repartition("before").groupBy("before", "unit").agg(F.sum("n").alias("n"))
+    lines = cells.groupBy("before").agg(F.collect_list(F.struct("unit", "n")).alias("after"))  # a row a unit
+    row = lines.repartition(1).mapInArrow(cluster, "cls binary, follows binary").first()
+    k = CLASSES + 1
+    if row is None:  # no training text
+        return exchange(np.zeros((units, units))), np.zeros((k, k))
+    return np.frombuffer(row["cls"], np.int64), np.frombuffer(row["follows"]).reshape(k, k)
 
 
 def build(docs: DataFrame, held: Column, text: str = "text", key: str = "doc_id") -> tuple[Model, DataFrame, int, int]:
@@ -230,12 +245,11 @@ def build(docs: DataFrame, held: Column, text: str = "text", key: str = "doc_id"
         n[1 + i], types[1 + i] = c, 1
         n[1 + FREQUENT + e] -= c
         types[1 + FREQUENT + e] -= 1
-    pairs = _pair_counts(docs, key, text, held, frequent)
-    cls = exchange(pairs)
+    cls, g = _clustered(docs, text, held, frequent)
     k = CLASSES + 1
     hot = np.zeros((units, k))
     hot[np.arange(units), cls] = 1
-    count, kinds, g = n @ hot, types @ hot, hot.T @ pairs @ hot
+    count, kinds = n @ hot, types @ hot
     plain = (count + ADD) / (count.sum() + ADD * k)
     after = g.sum(axis=1, keepdims=True)
     transition = (g + TRANSITION_PRIOR * plain[None]) / (after + TRANSITION_PRIOR)
