@@ -580,3 +580,19 @@ def test_percentile_is_exact(spark, p):
     for accuracy in (10_000, 50):
         got = {r["k"]: r["x"] for r in ts.percentile(rows, ["k"], "v", p, "x", accuracy).collect()}
         assert set(got) == set(want) and all(got[k] == pytest.approx(v) if v is not None else got[k] is None for k, v in want.items())
+
+
+def test_percentile_gathers_no_long_key(spark, monkeypatch):
+    """No task gets all rows of a key, whatever the optimizer thinks of sizes; many keys are split into long and short ones."""
+    rows = spark.sql("SELECT CASE WHEN id % 10 = 0 THEN NULL WHEN id % 10 < 8 THEN -1L ELSE id % 100 END AS n, id % 7 / 2D AS v FROM range(5000)")
+    want = {r["n"]: r["x"] for r in rows.groupBy("n").agg(F.percentile("v", 0.3).alias("x")).collect()}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = ts.percentile(rows, ["n"], "v", 0.3, "x")
+        assert "BroadcastHashJoin" in (plan := found._jdf.queryExecution().executedPlan().toString()) and "SortMergeJoin" not in plan
+        assert {r["n"]: r["x"] for r in found.collect()} == want
+        monkeypatch.setattr(ts, "FEW_KEYS", 3)
+        monkeypatch.setattr(ts, "HOT_ROWS", 400)
+        assert {r["n"]: r["x"] for r in ts.percentile(rows, ["n"], "v", 0.3, "x").collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
